@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from dossier.llm import langid, shuffle_shards, simhash
+from dossier.llm import decontaminate, langid, mixing, shuffle_shards, simhash, topk
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
         "op4_sharding": shuffle_shards.op4_sharding,
+        "op6_decontamination": decontaminate.op6_decontamination,
         "op8_simhash": simhash.op8_simhash,
+        "op9_topk": topk.op9_topk,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": shuffle_shards.ORACLE_SQL}
+    return {
+        "op4_sharding": shuffle_shards.ORACLE_SQL,
+        "op6_decontamination": decontaminate.ORACLE_SQL,
+        "op9_topk": topk.ORACLE_SQL,
+        "op10_mixing": mixing.ORACLE_SQL,
+    }
