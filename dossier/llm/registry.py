@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, langid, mixing, shuffle_shards, simhash, topk
+from dossier.llm import decontaminate, langid, mixing, shuffle_shards, simhash, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
+        "op2_warc": warc.op2_warc,
         "op4_sharding": shuffle_shards.op4_sharding,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op8_simhash": simhash.op8_simhash,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.ORACLE_SQL,
         "op4_sharding": shuffle_shards.ORACLE_SQL,
         "op6_decontamination": decontaminate.ORACLE_SQL,
         "op9_topk": topk.ORACLE_SQL,
