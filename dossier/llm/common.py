@@ -83,7 +83,7 @@ def rolling(values: np.ndarray, k: int, base: int) -> np.ndarray:
         if left:
             n = len(power) - span
             power = power[:n] * powers + power[span : span + n]
-            powers, span = powers * powers, span * 2
+            powers, span = (np.array([powers]) ** 2)[0], span * 2
     return mix64(out[: len(values) - k + 1])
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, langid, mixing, shuffle_shards, simhash, topk, warc
+from dossier.llm import decontaminate, langid, mixing, phrases, quality, shuffle_shards, simhash, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
         "op2_warc": warc.op2_warc,
+        "op3_phrases": phrases.op3_phrases,
         "op4_sharding": shuffle_shards.op4_sharding,
+        "op5_quality": quality.op5_quality,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op8_simhash": simhash.op8_simhash,
         "op9_topk": topk.op9_topk,
