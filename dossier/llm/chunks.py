@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES, SHARD_BYTES = 4 << 20, 24 << 20
+CHUNK_BYTES, SHARD_BYTES = 2 << 20, 24 << 20
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, kind: str) -> tuple[DataFrame, int]:
@@ -21,7 +21,7 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, kind: str) -> tuple[DataF
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     n = total // CHUNK_BYTES + 1
     id_ = F.col(id_col).cast("long")
-    text = F.coalesce(F.col(text_col).cast(kind), F.lit("").cast(kind))
+    text = F.coalesce(F.col(text_col), F.lit("")).cast(kind)
     chunked = docs.select(F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias("chunk"), id_.alias("id"), text.alias("text"))
     return chunked, total // SHARD_BYTES + 1
 

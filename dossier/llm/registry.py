@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, langid, mixing, phrases, quality, shuffle_shards, simhash, topk, warc
+from dossier.llm import decontaminate, langid, mixing, phrases, quality, repeats, shuffle_shards, simhash, topk, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_sharding": shuffle_shards.op4_sharding,
         "op5_quality": quality.op5_quality,
         "op6_decontamination": decontaminate.op6_decontamination,
+        "op7_repeats": repeats.op7_repeats,
         "op8_simhash": simhash.op8_simhash,
         "op9_topk": topk.op9_topk,
         "op10_mixing": mixing.op10_mixing,
