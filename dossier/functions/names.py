@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -108,13 +109,16 @@ def fuzzy(a: Column, b: Column) -> Column:
 
 
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table in the bits of one integer."""
+    full = (1 << len(a)) - 1
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    row = full
+    for y in b:
+        met = row & masks.get(y, 0)
+        row = (row + met) | (row - met)
+    return len(a) - (row & full).bit_count()
 
 
 def ratio_of(a: str, b: str) -> float:
@@ -130,16 +134,17 @@ def partial_of(a: str, b: str) -> float:
     return max(ratio_of(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
 
 
-@F.pandas_udf(T.IntegerType())
-def loose_score(a: pd.Series, b: pd.Series) -> pd.Series:
+@lru_cache(100_000)
+def loose_score_of(a: str | None, b: str | None) -> int:
     """0 to 100: the best of ratio, partial ratio and ratio of sorted tokens of loose normal forms; 0 if one is empty."""
+    if not a or not b:
+        return 0
+    return round(max(ratio_of(a, b), partial_of(a, b), ratio_of(" ".join(sorted(a.split())), " ".join(sorted(b.split())))))
 
-    def one(x: str | None, y: str | None) -> int:
-        if not x or not y:
-            return 0
-        return round(max(ratio_of(x, y), partial_of(x, y), ratio_of(" ".join(sorted(x.split())), " ".join(sorted(y.split())))))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+@F.pandas_udf(T.IntegerType())
+def loose_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([loose_score_of(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def token_subset(a: Column, b: Column) -> Column:
