@@ -116,8 +116,8 @@ def top_claims(t: Tables) -> DataFrame:
 @query("srt_06_top_chunks", """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 9) AS sim FROM embeddings, q)
     SELECT vec_id, round(sim, 6) AS similarity FROM s ORDER BY sim DESC, vec_id LIMIT 5""")
 def top_chunks(t: Tables) -> DataFrame:
-    one = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row by its key
-    scored = t.embeddings.join(F.broadcast(one)).withColumn("s", F.round(cosine(F.col("embedding"), F.col("q")), 9))
+    rows = t.spark.sql("SELECT vec_id, embedding, (SELECT first(embedding) FROM {e} WHERE vec_id = 0) AS q FROM {e}", e=t.embeddings)
+    scored = rows.withColumn("s", F.round(cosine(F.col("embedding"), F.col("q")), 9))
     return scored.orderBy(F.desc("s"), "vec_id").limit(5).select("vec_id", F.round("s", 6).alias("similarity"))
 
 
