@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dossier.plans.bindings import Tables, with_views
 
-MODULES = ("listing", "joining", "counting", "ordering", "naming", "resolving", "claiming", "ingesting", "researching", "operating")
+MODULES = ("listing", "joining", "counting", "ordering", "naming", "resolving", "claiming", "ingesting", "researching", "operating", "flowing")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
