@@ -61,7 +61,7 @@ def _grams(codes: np.ndarray, starts: np.ndarray, order: int):
     h = np.zeros(len(codes), np.uint64)
     for m in range(1, order + 1):
         shifted = np.zeros(len(codes), np.uint64)
-        shifted[m - 1 :] = codes[: len(codes) - m + 1]
+        shifted[m - 1 :] = codes[: max(0, len(codes) - m + 1)]
         h = h + (shifted + np.uint64(1)) * _BASE ** np.uint64(m)
         yield m, mix64(h + np.uint64(m)), place
 
@@ -131,6 +131,8 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     back = None
     for m, h, place in _grams(codes, starts, len(model.keys)):
         keys = model.keys[m - 1]
+        if not len(keys):  # the sample has no word so long
+            break
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         found = (keys[at] == h) & (place >= m - 1)
         if m > 1:  # the context is the n-gram of the order below that ends one place before
