@@ -88,18 +88,16 @@ def rolling(values: np.ndarray, k: int, base: int) -> np.ndarray:
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost least value in each run of w values (fewer values than w: none).
+    """Position of the least value in each run of w hashes, the leftmost of equal ones (fewer values than w: none).
 
-    Ties are told apart by position only among equal values, so equal runs pick the same offset.
+    The low bits of each hash give way to its position, so minima carry their place; equal runs pick the same offset.
     """
-    n = len(values) - w + 1
-    if n <= 0:
+    if len(values) < w:
         return np.zeros(0, np.int64)
-    best, at, span = values, np.arange(len(values)), 1
-    while span < w:  # windows of `span` values, doubled, the last step overlapping
+    low = np.uint64((1 << len(values).bit_length()) - 1)
+    best, span = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
+    while span < w:  # minima of `span` values, doubled, the last step overlapping
         step = min(span, w - span)
-        m = len(best) - step
-        right = best[step:] < best[:m]
-        at, best = np.where(right, at[step:], at[:m]), np.where(right, best[step:], best[:m])
+        best = np.minimum(best[:-step], best[step:])
         span += step
-    return at[:n]
+    return (best & low).astype(np.int64)

@@ -5,11 +5,11 @@ A byte is removed when a ``LENGTH``-byte string that covers it also starts anywh
 1. Every such string has an anchor, the ``ANCHOR``-byte gram of least hash inside it. Consecutive strings with the same
    anchor form a segment. Chunks send the (anchor, segment) hashes of their segments to shards; a shard answers which
    anchors occur more than once and which chunk shall send the bytes of each different segment.
-2. The shards gather those bytes. Equal strings share an anchor, so each shard can build a suffix array over its own segments
-   alone: suffixes are ranked by prefix doubling, common prefixes are measured, and a stack scan of the longest-common-prefix
-   array walks the interval tree. An interval whose members are preceded by different bytes cannot be extended to the left:
-   it is a maximal repeat group, reported with all of its occurrences. A segment that is the only one of its anchor but
-   occurs several times is such a group by itself.
+2. A segment that occurs several times is repeated whole. The others are compared with all segments of their anchor, whose
+   bytes the shards gather, one copy of each. Equal strings are aligned on their anchor, so a shard builds the suffix array
+   of the suffixes that start at anchors: it sorts them, measures the common prefixes of neighbours, and a stack scan of
+   these walks the common-prefix interval tree. The members of an interval are then put in the order of their bytes to the
+   left: neighbours whose left extensions differ there bound a maximal repeat group, which holds all of its occurrences.
 3. Chunks get the repeated ranges of their segments back, mark every occurrence and cut them out.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH have no repeated string; repeated rows repeat each
@@ -19,6 +19,7 @@ other and vanish whole where they are long enough; an empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,21 +32,29 @@ from dossier.llm.common import mix64, sliding_argmin, table
 LENGTH, ANCHOR = 200, 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: What a shard asks of a chunk for a segment: its repeats, and its bytes; and whether the segment itself occurs again.
+#: What a shard says of a segment: its anchor occurs again; its bytes are asked for; it occurs again itself.
 SHARED, OWNER, AGAIN = 1, 2, 4
 
 
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    out = []
+    for base in (_BASE, _BACK):
+        power = np.full(n, base, np.uint64)
+        power[0] = 1
+        out.append(np.cumprod(power, out=power))
+    return out[0], out[1]
+
+
 class Hashes:
     """Hashes of any slices of a byte array, by prefix sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray) -> None:
-        power = np.full(len(data) + 1, _BASE, np.uint64)
-        back = np.full(len(data) + 1, _BACK, np.uint64)
-        power[0] = back[0] = 1
-        np.cumprod(power, out=power)
-        self.back = np.cumprod(back, out=back)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self.sums[1:])
+        n = len(data) + 1
+        power, self.back = _powers(1 << max(n.bit_length(), 20))
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: n - 1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
@@ -62,12 +71,12 @@ class Chunk:
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         n = len(self.data) - length + 1
         self.anchor = self.segment = np.zeros(0, np.uint64)
-        self.start = self.end = np.zeros(0, np.int64)
+        self.start = self.end = self.left = np.zeros(0, np.int64)
         if n <= 0:
             return
         hashes = Hashes(self.data)
-        grams = np.arange(len(self.data) - anchor + 1)
-        h = hashes.of(grams, grams + anchor)
+        m = len(self.data) - anchor + 1
+        h = mix64((hashes.sums[anchor:] - hashes.sums[:m]) * hashes.back[:m] + np.uint64(anchor))
         chosen = sliding_argmin(h, length - anchor + 1)
         inside = np.zeros(n, bool)  # strings that lie in one document
         for e, s in zip(self.ends.tolist(), self.sizes.tolist(), strict=True):
@@ -79,6 +88,7 @@ class Chunk:
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
         # Strings at the seam of two documents are out, so a run never spans it.
         self.start, self.end = at[first], at[last] + length
+        self.left = chosen[self.start] - self.start  # bytes in front of the anchor
         self.anchor, self.segment = h[chosen[self.start]], hashes.of(self.start, self.end)
 
     def entries(self):
@@ -116,7 +126,10 @@ def asked_segments(key, pdf: pd.DataFrame) -> pd.DataFrame:
         for starts, flag in ((new_a, SHARED), (new, AGAIN)):
             total = np.add.reduceat(occurs, np.flatnonzero(starts))
             flags[order] |= np.where(total[np.cumsum(starts) - 1] > 1, flag, 0).astype(np.uint8)
-        flags[order] |= np.where(new & (flags[order] & SHARED > 0), OWNER, 0).astype(np.uint8)
+        group = np.cumsum(new_a) - 1
+        kinds, once = np.bincount(group, new), np.bincount(group, new & (flags[order] & AGAIN == 0))
+        ask = (kinds > 1) & (once > 0)  # the anchor has different segments, and one that is not repeated whole
+        flags[order] |= np.where(new & ask[group], OWNER, 0).astype(np.uint8)
     rows, at = [], 0
     for chunk, p in zip(pdf["chunk"], parts, strict=True):
         rows.append((chunk, key[0], flags[at : at + len(p)].tobytes()))
@@ -136,108 +149,99 @@ def send_bytes(shards: int, length: int, anchor: int):
             own = i[flags & OWNER > 0].tolist()
             text = [c.data[b:e].tobytes() for b, e in zip(c.start[own].tolist(), c.end[own].tolist(), strict=True)]
             if len(i):
-                rows.append((s, key[0], c.anchor[i].tobytes(), c.segment[i].tobytes(), flags.tobytes(), np.fromiter(map(len, text), np.int32, len(text)).tobytes(), b"".join(text)))
-        return pd.DataFrame(rows, columns=["shard", "chunk", "anchors", "segments", "flags", "sizes", "bytes"])
+                rows.append((s, key[0], c.anchor[i].tobytes(), c.segment[i].tobytes(), flags.tobytes(), c.left[own].astype(np.int32).tobytes(), np.fromiter(map(len, text), np.int32, len(text)).tobytes(), b"".join(text)))
+        return pd.DataFrame(rows, columns=["shard", "chunk", "anchors", "segments", "flags", "lefts", "sizes", "bytes"])
 
     return send
 
 
-def suffix_array(data: np.ndarray, reach: int) -> np.ndarray:
-    """Positions of data in the order of the suffixes' first `reach` values or more, by prefix doubling."""
-    n = len(data)
-    rank, span = data.astype(np.int64) + 1, 1
-    packed = np.zeros(n, np.int64)  # seven values at once for a start
-    for i in range(7):
-        shifted = np.zeros(n, np.int64)
-        shifted[: n - i] = rank[i:]
-        packed = packed * 257 + shifted
-    span = 7
-    while True:
-        order = np.argsort(packed, kind="stable")
-        new = np.append(True, packed[order][1:] != packed[order][:-1])
-        rank[order] = np.cumsum(new)
-        if span >= reach or new.all():
-            return order
-        packed = rank * (n + 1)
-        packed[: n - span] += rank[span:]
-        span *= 2
-
-
 def common_prefixes(data: np.ndarray, left: np.ndarray, right: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at left and right, at most `most`, compared eight bytes, then one at a time."""
+    """Length of the common prefix of the bytes from left and from right on, at most `most`, eight bytes at a time."""
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 8, 8), (1, 1))
-    out, live = np.zeros(len(left), np.int64), np.arange(len(left))
+    out, live = np.zeros(len(left), np.int64), np.flatnonzero(most > 0)
     while len(live):
-        a, b = left[live] + out[live], right[live] + out[live]
-        differs = eight[a] != eight[b]
+        differs = eight[left[live] + out[live]] != eight[right[live] + out[live]]
         run = np.where(differs.any(1), differs.argmax(1), 8)
         out[live] += run
         live = live[(run == 8) & (out[live] < most[live])]
     return np.minimum(out, most)
 
 
-def maximal_repeats(segments: list[bytes], length: int):
-    """(length, segment numbers, offsets) of each maximal repeat group of at least `length` bytes in different places."""
-    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(segments), np.uint8)
+def sorted_bytes(texts: list[bytes], anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (anchor, text), and for each neighbour pair of that order whether it has one anchor and its common prefix."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes) - sizes
+    # An end mark that UTF-8 never holds: fixed-width byte strings drop zero bytes at their end.
+    order = np.argsort(np.array([t + b"\xff" for t in texts], dtype=bytes), kind="stable")
+    order = order[np.argsort(anchors[order], kind="stable")]
+    same = anchors[order[1:]] == anchors[order[:-1]]
+    most = np.where(same, np.minimum(sizes[order[1:]], sizes[order[:-1]]), 0)
+    return order, same, common_prefixes(np.frombuffer(b"".join(texts), np.uint8), starts[order[:-1]], starts[order[1:]], most)
+
+
+def intervals(same: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """(first, last, common prefix) of the nodes of the interval tree, by a stack scan of the common prefixes."""
+    out, stack = [], []
+    for at, (joined_, now) in enumerate(zip([*same.tolist(), False], [*lcp.tolist(), 0], strict=True)):
+        now, first = now if joined_ else -1, at
+        while stack and stack[-1][1] > now:
+            first, size = stack.pop()
+            out.append((first, at, size))
+        if now >= 0 and (not stack or stack[-1][1] < now):
+            stack.append((first, now))
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def maximal_repeats(anchors: np.ndarray, segments: list[bytes], lefts: np.ndarray, length: int):
+    """(segment, from, to) of the occurrences of maximal repeats of at least `length` bytes in segments of equal anchors."""
+    none = np.zeros(0, np.int64)
     if len(segments) < 2:
-        return
-    owner = np.repeat(np.arange(len(segments)), sizes)
-    rest = ends[owner] - np.arange(len(data))
-    order = suffix_array(data, int(sizes.max()))
-    order = order[rest[order] >= length]
-    left, right = order[:-1], order[1:]
-    lcp = common_prefixes(data, left, right, np.minimum(rest[left], rest[right]))
-    before = np.where(rest == sizes[owner], -1 - owner, np.append(0, data[:-1]).astype(np.int64))[order]  # its own at a start
-    joined_ = lcp >= length
-    # Whole runs preceded by one and the same byte extend to the left: their groups are found one place before.
-    begin = np.flatnonzero(np.diff(np.append(False, joined_).astype(np.int8)) == 1)
-    end = np.flatnonzero(np.diff(np.append(joined_, False).astype(np.int8)) == -1)
-    changes = np.cumsum(np.append(0, before[1:] != before[:-1]))
-    for i, j in zip(begin.tolist(), end.tolist(), strict=True):
-        if changes[j + 1] == changes[i]:
-            continue
-        stack: list[tuple[int, int]] = []  # (first place, common prefix) of the open intervals
-        for at in range(i, j + 2):
-            now, first = int(lcp[at]) if at <= j else 0, at
-            while stack and stack[-1][1] > now:
-                first, size = stack.pop()
-                if changes[at] > changes[first]:  # left extensions differ: maximal
-                    places = order[first : at + 1]
-                    yield size, owner[places], places - (ends - sizes)[owner[places]]
-            if now >= length and (not stack or stack[-1][1] < now):
-                stack.append((first, now))
+        return none, none, none
+    cuts = lefts.tolist()
+    order, same, lcp = sorted_bytes([t[c:] for t, c in zip(segments, cuts, strict=True)], anchors)
+    before = [t[:c][::-1] for t, c in zip(segments, cuts, strict=True)]
+    place = np.empty(len(segments), np.int64)
+    by_left, _, _ = sorted_bytes(before, anchors)
+    place[by_left] = np.arange(len(by_left))
+    nodes = intervals(same, lcp)
+    sizes = nodes[:, 1] - nodes[:, 0] + 1
+    node = np.repeat(np.arange(len(nodes)), sizes)
+    member = order[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + nodes[node, 0]] if len(nodes) else none
+    by = np.lexsort((place[member], node))  # members of each interval by the bytes in front of the anchor
+    node, member = node[by], member[by]
+    x, y, together = member[:-1], member[1:], node[1:] == node[:-1]
+    ends = np.cumsum(lefts)
+    data = np.frombuffer(b"".join(before), np.uint8)
+    extent = common_prefixes(data, ends[x] - lefts[x], ends[y] - lefts[y], np.where(together, np.minimum(lefts[x], lefts[y]), 0))
+    right = nodes[node, 2]
+    found = together & (extent + right[1:] >= length)  # left extensions differ beyond: the repeat is maximal
+    who = np.concatenate([x[found], y[found]])
+    back, ahead = np.tile(extent[found], 2), np.tile(right[1:][found], 2)
+    return who, lefts[who] - back, lefts[who] + ahead
 
 
 def repeated_ranges(length: int):
+    """For each chunk the shared segments it named: 0 ranges and whole = 1, or the repeated ranges."""
+
     def find(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         parts = unpack(pdf["anchors"], np.uint64)
-        a, s, flags = joined(parts, np.uint64), joined(unpack(pdf["segments"], np.uint64), np.uint64), joined(unpack(pdf["flags"], np.uint8), np.uint8)
+        a, flags = joined(parts, np.uint64), joined(unpack(pdf["flags"], np.uint8), np.uint8)
         own = np.flatnonzero(flags & OWNER)
-        sizes = joined(unpack(pdf["sizes"], np.int32), np.int32).astype(np.int64)
+        lefts, sizes = (joined(unpack(pdf[c], np.int32), np.int32).astype(np.int64) for c in ("lefts", "sizes"))
         ends, data = np.cumsum(sizes), b"".join(pdf["bytes"])
         text = [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        ranges = [[(0, n)] if f & AGAIN else [] for n, f in zip(sizes.tolist(), flags[own].tolist(), strict=True)]
-        _, inverse, kinds = np.unique(a[own], return_inverse=True, return_counts=True)
-        several = np.flatnonzero(kinds[inverse] > 1)  # segments whose anchor has other segments
-        for size, who, offset in maximal_repeats([text[i] for i in several], length):
-            for i, o in zip(several[who].tolist(), offset.tolist(), strict=True):
-                ranges[i].append((o, o + size))
-        packed = [_merged(r) for r in ranges]
-        order = np.lexsort((s[own], a[own]))
-        sorted_a, sorted_s = a[own][order], s[own][order]
+        ranges: dict[int, list[tuple[int, int]]] = {}
+        for i, b, e in zip(*(x.tolist() for x in maximal_repeats(a[own], text, lefts, length)), strict=True):
+            ranges.setdefault(int(own[i]), []).append((b, e))
         rows, at = [], 0
-        for chunk, p in zip(pdf["chunk"], parts, strict=True):
-            mine = slice(at, at + len(p))
+        for chunk, p, s in zip(pdf["chunk"], parts, pdf["segments"], strict=True):
+            whole = flags[at : at + len(p)] & AGAIN > 0
+            found = [b"" if w else _merged(ranges.get(i, [])) for i, w in enumerate(whole.tolist(), at)]
+            rows.append((chunk, p.tobytes(), s, whole.tobytes(), np.fromiter((len(f) // 8 for f in found), np.int32, len(found)).tobytes(), b"".join(found)))
             at += len(p)
-            low = np.searchsorted(sorted_a, a[mine])
-            who = [int(order[i + np.searchsorted(sorted_s[i:j], t)]) for i, j, t in zip(low, np.searchsorted(sorted_a, a[mine], "right"), s[mine], strict=True)]
-            found = [packed[w] for w in who]
-            rows.append((chunk, a[mine].tobytes(), s[mine].tobytes(), np.fromiter((len(f) // 8 for f in found), np.int32, len(found)).tobytes(), b"".join(found)))
-        return pd.DataFrame(rows, columns=["chunk", "anchors", "segments", "counts", "ranges"])
+        return pd.DataFrame(rows, columns=["chunk", "anchors", "segments", "whole", "counts", "ranges"])
 
     return find
 
@@ -257,10 +261,14 @@ def cut_out(length: int, anchor: int):
         c = Chunk(docs, length, anchor)
         a, s = joined(unpack(found["anchors"], np.uint64), np.uint64), joined(unpack(found["segments"], np.uint64), np.uint64)
         counts, ranges = joined(unpack(found["counts"], np.int32), np.int32).astype(np.int64), joined(unpack(found["ranges"], np.int32), np.int32).reshape(-1, 2).astype(np.int64)
+        whole = joined(unpack(found["whole"], bool), bool)
         gone = np.zeros(len(c.data), bool)
-        if len(ranges):
-            known = {k: (e - n, e) for k, n, e in zip(zip(a.tolist(), s.tolist(), strict=True), counts.tolist(), np.cumsum(counts).tolist(), strict=True) if n}
-            marks = [ranges[slice(*known[k])] + b for k, b in zip(zip(c.anchor.tolist(), c.segment.tolist(), strict=True), c.start.tolist(), strict=True) if k in known]
+        if len(a):
+            known = {k: None if w else ranges[e - n : e] for k, w, n, e in zip(zip(a.tolist(), s.tolist(), strict=True), whole.tolist(), counts.tolist(), np.cumsum(counts).tolist(), strict=True)}
+            marks = []
+            for k, b, e in zip(zip(c.anchor.tolist(), c.segment.tolist(), strict=True), c.start.tolist(), c.end.tolist(), strict=True):
+                if k in known:
+                    marks.append(np.array([[b, e]]) if known[k] is None else known[k] + b)
             gone = spread(np.concatenate(marks), len(c.data)) if marks else gone
         rows = []
         for i, (e, n) in enumerate(zip(c.ends.tolist(), c.sizes.tolist(), strict=True)):
@@ -282,8 +290,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str, text_col: str, length: i
     chunks = chunked.groupBy("chunk")
     named = chunks.applyInPandas(send_segments(shards, length, anchor), "shard int, chunk int, anchors binary, segments binary, again binary")
     asked = named.groupBy("shard").applyInPandas(asked_segments, "chunk int, shard int, flags binary")
-    sent = chunks.cogroup(asked.groupBy("chunk")).applyInPandas(send_bytes(shards, length, anchor), "shard int, chunk int, anchors binary, segments binary, flags binary, sizes binary, bytes binary")
-    found = sent.groupBy("shard").applyInPandas(repeated_ranges(length), "chunk int, anchors binary, segments binary, counts binary, ranges binary")
+    sent = chunks.cogroup(asked.groupBy("chunk")).applyInPandas(send_bytes(shards, length, anchor), "shard int, chunk int, anchors binary, segments binary, flags binary, lefts binary, sizes binary, bytes binary")
+    found = sent.groupBy("shard").applyInPandas(repeated_ranges(length), "chunk int, anchors binary, segments binary, whole binary, counts binary, ranges binary")
     out = chunks.cogroup(found.groupBy("chunk")).applyInPandas(cut_out(length, anchor), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)
 
