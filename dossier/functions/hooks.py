@@ -34,6 +34,12 @@ def no_verdict(a: str, b: str) -> float:
     return 0.0
 
 
+def initials_verdict(a: str, b: str) -> float:
+    """Same-person verdict of a simple kind: sure when last names and first initials are equal."""
+    x, y = a.split(), b.split()
+    return 0.8 if x and y and x[-1] == y[-1] and x[0][0] == y[0][0] else 0.0
+
+
 @F.pandas_udf(T.StructType([T.StructField("exclude", T.BooleanType()), T.StructField("is_fact_witness", T.BooleanType()), T.StructField("confidence", T.DoubleType()), T.StructField("reason", T.StringType())]))
 def keep_attorney(names: pd.Series, observations: pd.Series) -> pd.DataFrame:
     """Attorney verdict: keep, unsure."""
@@ -71,3 +77,11 @@ def safe_query(answer: Column) -> Column:
 
     short = F.array_join(F.slice(F.split(F.trim(answer), r"\s+"), 1, 10), " ")
     return F.when(has_pii(short) | (F.trim(answer) == ""), None).otherwise(short)
+
+
+def case_analysis(case_name: Column, snippet: Column, concepts: Column) -> Column:
+    """Case relevance and analysis as JSON: ten points less one for each asked concept that the snippet lacks, at least one."""
+    low = F.lower(F.coalesce(snippet, F.lit("")))
+    missing = F.size(F.filter(concepts, lambda c: ~F.contains(low, c)))
+    score = F.greatest(F.lit(1), 10 - missing)
+    return F.to_json(F.struct(score.alias("score"), F.concat(F.lit("About "), case_name).alias("reason")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -170,3 +171,11 @@ def cosine(a: Column, b: Column) -> Column:
 
     lengths = norm(a) * norm(b)
     return F.when(lengths > 0, dot / lengths).otherwise(F.lit(0.0))
+
+
+def hmac_sha256(body: Column, secret: str) -> Column:
+    """Hex HMAC-SHA256 of a body under one secret: two rounds of the built-in hash around the padded key."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, body.cast("binary")), 256))), 256)

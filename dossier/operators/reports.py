@@ -72,3 +72,25 @@ def witness_lines(links: DataFrame, claims: DataFrame) -> DataFrame:
     named = links.join(claims.select(F.col("id").alias("case_claim_id"), "claim_type", "claim_number"), "case_claim_id")
     line = F.concat(F.lit("• "), F.initcap("claim_type"), F.lit(" #"), F.col("claim_number").cast("string"), F.lit(" ("), F.col("relationship"), F.lit("): "), F.substring("explanation", 1, 80))
     return named.groupBy("person_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+
+
+def scope(mentions: DataFrame, documents: DataFrame, jobs: DataFrame, job: int | None = None, matter: int | None = None, importance: str | None = None) -> DataFrame:
+    """Mentions of a report: of the job's matter if a job is asked for (it takes precedence), else of the matter."""
+    docs = documents.select(F.col("id").alias("document_id"), "matter_id")
+    if job is not None:
+        docs = docs.join(jobs.where(F.col("id") == job).select("matter_id"), "matter_id", "left_semi")
+    elif matter is not None:
+        docs = docs.where(F.col("matter_id") == matter)
+    rows = mentions if importance is None else mentions.where(F.col("importance") == importance.lower())
+    return rows.join(docs.select("document_id"), "document_id", "left_semi")
+
+
+def write_report(rows: DataFrame, path: str, form: str = "parquet") -> None:
+    """Writes a report table in its order: parquet, json or csv."""
+    getattr(rows.orderBy("place").drop("place").write.mode("overwrite").option("header", "true"), form)(path)
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Writes named tables side by side."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")

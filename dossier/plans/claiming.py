@@ -96,6 +96,19 @@ def report(t: Tables) -> DataFrame:
     return P.report(_report_rows(t)).select((F.col("source_summary") == "See Below").alias("is_summary"), "color_class", "confidence", "observation", "source_document")
 
 
+@query("snk_02_report_scope", "SELECT m.id FROM mentions m JOIN filings d ON m.document_id = d.id JOIN jobs j ON j.matter_id = d.matter_id WHERE j.id = 4 AND m.importance = 'high'")
+def report_scope(t: Tables) -> DataFrame:
+    return P.scope(t.mentions, t.filings, t.jobs, job=4, matter=9, importance="high").select("id")
+
+
+@query("snk_03_relevancy_tables", """SELECT claim_type, count(*) AS claims, count(*) FILTER (WHERE n > 0) AS linked FROM (SELECT c.claim_type, c.id, count(p.id) AS n FROM claims c LEFT JOIN links l ON l.case_claim_id = c.id
+    LEFT JOIN canonicals p ON p.id = l.person_id GROUP BY 1, 2) GROUP BY claim_type""")
+def relevancy_tables(t: Tables) -> DataFrame:
+    tables = C.relevancy(_claims(t), t.links, _people(t))
+    both = tables["allegations"].select("claim_type", "witnesses").unionByName(tables["defenses"].select("claim_type", "witnesses"))
+    return both.groupBy("claim_type").agg(F.count("*").alias("claims"), F.count_if(F.size("witnesses") > 0).alias("linked"))
+
+
 @query("rpt_02_color_class", """WITH r AS (SELECT concat(full_name, ' ', canonical_id) AS who, min(CASE coalesce(relevance, CASE importance WHEN 'high' THEN 'highly_relevant' WHEN 'low' THEN 'somewhat_relevant' ELSE 'relevant' END)
       WHEN 'highly_relevant' THEN 0 WHEN 'relevant' THEN 1 WHEN 'somewhat_relevant' THEN 2 ELSE 3 END) AS c, count(*) AS n FROM mentions WHERE id % 50 = 1 GROUP BY 1)
     SELECT c AS color_class, sum(CASE WHEN n = 1 THEN 1 ELSE n + 1 END)::BIGINT AS rows FROM r GROUP BY c""")

@@ -179,3 +179,19 @@ def prompt_text(t: Tables) -> DataFrame:
     from dossier.operators import research as S
 
     return S.context_text(t.documents, ["source"], [F.col("doc_id")], F.substring("text", 1, 100), most=5).withColumnRenamed("context", "prompt")
+
+
+_INNER, _OUTER = (bytes(k ^ pad for k in b"secret".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+
+
+@query("fn_30_hmac", f"SELECT event_id, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(props)))) AS h FROM events")
+def hmac(t: Tables) -> DataFrame:
+    return t.events.select("event_id", X.hmac_sha256(F.col("props"), "secret").alias("h"))
+
+
+@query("fn_34_folder_path", "SELECT c_custkey AS id, concat(r_name, '/', n_name, '/', c_name) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def folder_path(t: Tables) -> DataFrame:
+    from dossier.operators.sync import folder_tree
+    from dossier.plans.ingesting import _folders
+
+    return folder_tree(_folders(t)).where("depth = 2").select(F.substring("id", 2, 20).cast("long").alias("id"), "path")

@@ -56,3 +56,29 @@ def attorney_verdict(t: Tables) -> DataFrame:
 @query("udf_04_extraction")
 def extraction(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(hooks.people_in(F.col("text"))).alias("people"))
+
+
+@query("udf_02_verdict")
+def verdict(t: Tables) -> DataFrame:
+    """A verdict that is sure of equal initials and last names confirms uncertain pairs."""
+    found = P.resolved(_mentions(t), verdict=hooks.initials_verdict)
+    return found.select("id", "matter_id", "person", "match_type")
+
+
+@query("udf_05_verified", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'checked' ELSE role END AS people FROM conversations")
+def verified(t: Tables) -> DataFrame:
+    answer = F.when(F.col("turn") % 2 == 0, F.lit("checked"))
+    return t.conversations.select("conv_id", "turn", hooks.verified(F.col("role"), answer).alias("people"))
+
+
+@query("udf_06_claims", "SELECT id, 'allegation' AS claim_type, concat(claim_text, '.') AS claim_text FROM claims WHERE id % 2 = 0 UNION ALL SELECT id, 'defense', concat('The hospital denies it ', id) FROM claims")
+def claims(t: Tables) -> DataFrame:
+    text = F.concat(F.expr("CASE WHEN id % 2 = 0 THEN concat(claim_text, '. ') ELSE 'Nothing here. ' END"), F.lit("The hospital denies it "), "id")
+    return t.claims.select("id", F.inline(hooks.claims_in(text)))
+
+
+@query("udf_08_case_analysis", "SELECT id, CASE WHEN contains(lower(claim_text), 'fraud') THEN 9 WHEN contains(lower(claim_text), 'negligence') THEN 9 ELSE 8 END::BIGINT AS score FROM claims")
+def case_analysis(t: Tables) -> DataFrame:
+    asked = F.array(F.lit("fraud"), F.lit("negligence"))
+    answer = hooks.case_analysis(F.lit("Roe"), F.col("claim_text"), asked)
+    return t.claims.select("id", F.get_json_object(answer, "$.score").cast("long").alias("score"))
