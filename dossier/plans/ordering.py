@@ -121,10 +121,10 @@ def top_chunks(t: Tables) -> DataFrame:
     return scored.orderBy(F.desc("s"), "vec_id").limit(5).select("vec_id", F.round("s", 6).alias("similarity"))
 
 
-@query("srt_07_uncertain", "SELECT canonical_id, list_sum(list_slice(list_reverse_sort(list(confidence_score)), 1, 3)) AS top3 FROM mentions GROUP BY canonical_id")
+@query("srt_07_uncertain", "SELECT canonical_id, round(list_sum(list_slice(list_reverse_sort(list(confidence_score)), 1, 3)), 6) AS top3 FROM mentions GROUP BY canonical_id")
 def uncertain(t: Tables) -> DataFrame:
     top = t.mentions.withColumn("n", _place("canonical_id")(F.desc("confidence_score"), "id")).where("n <= 3")
-    return top.groupBy("canonical_id").agg(F.sum("confidence_score").alias("top3"))
+    return top.groupBy("canonical_id").agg(F.round(F.sum("confidence_score"), 6).alias("top3"))
 
 
 @query("srt_08_report_order", """SELECT id, relevance FROM canonicals ORDER BY coalesce(CASE relevance WHEN 'highly_relevant' THEN 0 WHEN 'relevant' THEN 1 WHEN 'somewhat_relevant' THEN 2 WHEN 'not_relevant' THEN 3 END, 1), id LIMIT 50""")
