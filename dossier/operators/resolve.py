@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from dossier.functions import fixed, rules
 from dossier.functions import names as N
+from dossier.operators.components import connected_components
 from dossier.operators.relations import merged_people
+from dossier.sources.shared import materialize
 
 FORMS = "matter_id long, form string, person int, match_type string, match_score double"
 
@@ -105,7 +107,7 @@ def forms(mentions: DataFrame, compat: bool = False) -> DataFrame:
 def resolved(mentions: DataFrame, compat: bool = False, verdict: Callable[[str, str], float] | None = None) -> DataFrame:
     """mentions (id, matter_id, document_id, source_page, full_name) with person (0, 1, .. in each matter) and how it matched.
 
-    A mention without any name left in its strict form matches other such mentions only.
+    A mention whose name is null takes no part; one without anything left in its strict form matches such mentions only.
     """
     named = forms(mentions, compat)
     place = F.struct("document_id", F.coalesce("source_page", F.lit(-1)).alias("page"), "id")
@@ -145,3 +147,44 @@ def stats(found: DataFrame) -> DataFrame:
     """(matter_id, mentions, people, merged_share): share of mentions that founded no person, in percent."""
     n = F.count_distinct("person")
     return found.groupBy("matter_id").agg(F.count("*").alias("mentions"), n.alias("people"), F.round((1 - n / F.count("*")) * 100, 1).alias("merged_share"))
+
+
+def linked(mentions: DataFrame) -> DataFrame:
+    """Scale mode for matters with very many names: (id, matter_id, form, person) by the rule tiers alone, transitively.
+
+    Forms that share the last name and a variant of another name are one person by the last-name tier, whichever two are
+    taken, so each such key links its forms to its least one: no pairs are formed. A token set that is contained in others
+    is a key of its own. People are the connected components; person is the least form hash of one. Placeholders
+    (unknown first names) join the least form of their last name. No fuzzy tier; the ordered fold stays the reference.
+    """
+    named = forms(mentions)
+    few = named.select("matter_id", "form").distinct().where("form <> ''").withColumn("node", F.xxhash64("matter_id", "form"))
+    few = materialize(few.withColumn("t", N.tokens(F.col("form"))), "forms")
+    given = F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))
+    unknown = F.array(*map(F.lit, fixed.UNKNOWN_NAMES))
+    table = F.create_map(*[x for k, v in fixed.NICKNAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    real = F.array_except(given, unknown)
+    variants = F.array_distinct(F.flatten(F.transform(real, lambda x: F.coalesce(table[x], F.array(x)))))
+    several = few.where(F.size("t") > 1).withColumn("last", F.element_at("t", -1))
+    by_name = several.select("matter_id", "node", "last", F.explode(variants).alias("key"))
+    stars = by_name.groupBy("matter_id", "last", "key").agg(F.min("node").alias("v")).join(by_name, ["matter_id", "last", "key"]).select(F.col("node").alias("u"), "v")
+    known = several.where(F.size(real) > 0).groupBy("matter_id", "last").agg(F.min("node").alias("v"))
+    wild = several.where(F.arrays_overlap(given, unknown) & (F.size(real) == 0)).join(known, ["matter_id", "last"]).select(F.col("node").alias("u"), "v")
+    # Sorted subsets of two tokens or more, grown token by token; of longer names the first eight tokens in order count.
+    ordered = F.slice(F.array_sort(F.array_distinct("t")), 1, 8)
+    grown = F.aggregate(ordered, F.array(F.lit("")), lambda done, x: F.concat(done, F.transform(done, lambda s: F.trim(F.concat_ws(" ", s, x)))))
+    inside = several.select("matter_id", F.col("node").alias("u"), F.explode(F.filter(grown, lambda s: F.contains(s, F.lit(" ")))).alias("key"))
+    whole = several.groupBy("matter_id", F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("key")).agg(F.min("node").alias("v"))
+    edges = stars.unionByName(wild).unionByName(inside.join(whole, ["matter_id", "key"]).select("u", "v"))
+    found = connected_components(edges)
+    people = few.join(found, "node", "left").select("matter_id", "form", F.coalesce("component", "node").alias("person"))
+    return named.join(people, ["matter_id", "form"], "left").select("id", "matter_id", "form", "person")
+
+
+def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(matter_id, people_a, people_b, same): share of mentions whose person holds equally many mentions in both results."""
+    size = lambda x, n: x.groupBy("matter_id", "person").agg(F.count("*").alias(n))
+    both = a.select("id", "matter_id", "person").join(size(a, "n"), ["matter_id", "person"]).withColumnRenamed("person", "p")
+    other = b.select("id", "matter_id", "person").join(size(b, "m"), ["matter_id", "person"]).drop("matter_id")
+    joined = both.join(other, "id")
+    return joined.groupBy("matter_id").agg(F.count_distinct("p").alias("people_a"), F.count_distinct("person").alias("people_b"), F.round(F.count_if(F.col("n") == F.col("m")) / F.count("*"), 4).alias("same"))

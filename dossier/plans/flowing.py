@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +9,12 @@ from dossier.functions.names import strict
 from dossier.plans.bindings import Tables
 from dossier.plans.registry import query
 from dossier.sources import landing as L
+from dossier.sources.shared import scratch
 from dossier.streaming import flows as S
 
 
 def _folder(t: Tables) -> str:
-    """A new folder in the shared one (spark.checkpoint.dir); a local one where that is unset."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dossier-")
-    return f"{shared.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    return scratch(t.spark, "flow")
 
 
 def _arriving(t: Tables, table: str) -> DataFrame:

@@ -21,6 +21,13 @@ def canonicalize(t: Tables) -> DataFrame:
     return found.select("id", "matter_id", "person", "match_type", F.round("match_score", 4).alias("match_score"))
 
 
+@query("er_20_scale_mode")
+def scale_mode(t: Tables) -> DataFrame:
+    """The pair-free transitive form beside the ordered fold, matter by matter."""
+    rows = _mentions(t)
+    return P.agreement(P.resolved(rows), P.linked(rows))
+
+
 @query("er_21_merged")
 def merged(t: Tables) -> DataFrame:
     people = P.canonical_people(P.resolved(_mentions(t)))

@@ -55,3 +55,9 @@ def test_credits(spark):
     said = [r["decision"] for r in credit_decisions(asked, orgs("free")).orderBy("id").collect()]
     assert said == ["free"] * 10 + ["balance"] * 2 + ["denied"] * 2
     assert {r["decision"] for r in credit_decisions(asked, orgs("trialing")).collect()} == {"paid"}
+
+
+def test_linked_forms(spark):
+    rows = [(i, 1, i, None, n, "other", None, None, None, 0.5) for i, n in enumerate(["John Carroll", "John Mike Carroll", "Mike Carroll", "Michael Carroll", "FNU Carroll", "Ann Lee", "Lee Ann", "Ann Stone", "", None, " ".join(f"Token{i}" for i in range(30))])]
+    found = {r["id"]: r["person"] for r in P.linked(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len({found[i] for i in range(5)}) == 1 and found[5] == found[6] != found[7] and len(found) == len(rows) - 1
