@@ -48,17 +48,40 @@ def _feistel(df: DataFrame, x: str, a: int, b: int, seed: int, only: Column) ->
     return df.withColumn(x, F.when(only, F.col("__l") * b + F.col("__r")).otherwise(F.col(x))).drop("__l", "__r")
 
 
+def _image(x: int, a: int, b: int, seed: int) -> int:
+    left, right = divmod(x, b)
+    for i, (k, c) in enumerate(keys(seed)):
+        t = ((right if i % 2 == 0 else left) % PRIME + k) % PRIME
+        t = (t * t % PRIME * t + c) % PRIME
+        left, right = ((left + t) % a, right) if i % 2 == 0 else (left, (right + t) % b)
+    return left * b + right
+
+
+def longest_walk(n: int, a: int, b: int, seed: int) -> int:
+    """Passes after which every number below n is below n again: one more than the longest way back from outside.
+
+    Fewer than a (about the root of n) numbers lie outside; some may form cycles that no number below n ever meets.
+    """
+    image = {z: _image(z, a, b, seed) for z in range(n, a * b)}
+    met = {y for y in image.values() if y >= n}
+    longest = 1
+    for z in image:
+        steps, at = 1, z
+        if z in met:  # not the start of a way: a longer one leads over it, or it lies in a cycle
+            continue
+        while at >= n:
+            at, steps = image[at], steps + 1
+        longest = max(longest, steps)
+    return longest
+
+
 def permute(df: DataFrame, number: str, n: int, seed: int = SEED) -> DataFrame:
     """df whose column `number`, 0 to n - 1, is replaced by its place in the shuffle."""
     if n < 2:
         return df
     a = math.isqrt(n - 1) + 1
     b = -(-n // a)
-    outside = df.sparkSession.range(n, a * b).withColumnRenamed("id", "__z")  # fewer than a numbers
-    walks = 1
-    while outside.head(1):
-        outside = _feistel(outside, "__z", a, b, seed, F.lit(True)).where(F.col("__z") >= n)
-        walks += 1
+    walks = longest_walk(n, a, b, seed)
     df = _feistel(df, number, a, b, seed, F.lit(True))
     for _ in range(walks - 1):
         df = _feistel(df, number, a, b, seed, F.col(number) >= n)
