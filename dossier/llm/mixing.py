@@ -70,8 +70,8 @@ def schedule(found: DataFrame, slots: int = SLOTS) -> DataFrame:
     return ranked.select("place", "sid", F.expr("rank div blocks").alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block"), cut.alias("cut"), "slot")
 
 
-def mix_sources(docs: DataFrame, id_col: str, source_col: str, text_col: str, slots: int = SLOTS) -> DataFrame:
-    """(id_col, size, source_size, target, taken) for each row of docs."""
+def _taken(docs: DataFrame, id_col: str, source_col: str, text_col: str, slots: int = SLOTS) -> DataFrame:
+    """(id, none, name, key, size, source_size, target, taken) for each row of docs; none and name stand for its source."""
     each = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     each = materialize(each.withColumn("key", mix(F.col("id"), keys(SEED, 1)[0])), "sizes")
     found = materialize(targets(each), "targets")
@@ -85,17 +85,23 @@ def mix_sources(docs: DataFrame, id_col: str, source_col: str, text_col: str, sl
     offsets = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("sid", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["sid", "bucket"])
-    placed = placed.select("id", "size", "source_size", "target", "sid", "slot", (F.col("inside") + F.col("offset")).alias("start"))
+    placed = placed.select("id", "none", "name", "key", "size", "source_size", "target", "sid", "slot", (F.col("inside") + F.col("offset")).alias("start"))
     held = placed.where("size > 0").withColumn("block", F.explode(F.expr("sequence(start div slot, (start + size - 1) div slot)")))
     uses = plan.groupBy("sid", "block").agg(F.count_if(F.col("cut").isNull()).alias("full"), F.coalesce(F.max("cut"), F.lit(0)).alias("cut"))
     low = F.greatest(F.col("start") - F.col("block") * F.col("slot"), F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * F.col("slot"), F.col("slot"))
     part = F.col("full") * (high - low) + F.greatest(F.least(high, F.col("cut")) - low, F.lit(0))
     taken = held.join(uses, ["sid", "block"], "left").withColumn("part", F.coalesce(part, F.lit(0)))
-    keyed = ["id", "size", "source_size", "target", "sid", "start"]
+    keyed = ["id", "none", "name", "key", "size", "source_size", "target", "sid", "start"]
     taken = taken.groupBy(keyed).agg(F.sum("part").alias("taken"))
     none = placed.where("size = 0").select(*keyed, F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    return taken.unionByName(none).drop("sid", "start")
+
+
+def mix_sources(docs: DataFrame, id_col: str, source_col: str, text_col: str, slots: int = SLOTS) -> DataFrame:
+    """(id_col, size, source_size, target, taken) for each row of docs."""
+    found = _taken(docs, id_col, source_col, text_col, slots)
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -103,11 +109,24 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with each row as often as the mix takes it whole (taken / size, rounded half up); rows never taken go."""
-    plan = mix_sources(docs, id_col, source_col, text_col)
-    copies = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("__copies")
-    plan = materialize(plan.where("size > 0").groupBy(id_col).agg(copies).where("__copies > 0"), "copies")
-    return docs.join(plan, id_col).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies")
+    """docs with each row as often as the mix takes it whole (taken / size, rounded half up); rows never taken go.
+
+    A source's schedule takes whole epochs and then the first blocks of one more, so along the shuffled order the number of
+    copies falls once, by one. The last place before that fall says it all: the texts meet one row a source and are not
+    shuffled. Rows of equal id that lie on that very place are taken alike.
+    """
+    place = lambda key, i: F.struct(key.alias("key"), F.coalesce(i.cast("long"), F.lit(-(1 << 63))).alias("id"))
+    plan = _taken(docs, id_col, source_col, text_col).where("size > 0")
+    plan = plan.withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
+    last = [F.max(F.when(F.col("copies") == n, place(F.col("key"), F.col("id")))) for n in range(MOST + 1)]
+    cuts = plan.groupBy("none", "name").agg(F.min("copies").alias("low"), F.max("copies").alias("high"), *[x.alias(f"last{n}") for n, x in enumerate(last)])
+    cut = F.element_at(F.array(*[f"last{n}" for n in range(MOST + 1)]), F.col("high") + 1)
+    cuts = materialize(cuts.select(F.col("none").alias("__none"), F.col("name").alias("__name"), "low", "high", cut.alias("cut")).withColumnsRenamed({"low": "__low", "high": "__high", "cut": "__cut"}), "cuts")
+    at = place(mix(F.col(id_col), keys(SEED, 1)[0]), F.col(id_col))
+    rows = docs.withColumns({"__none": F.col(source_col).isNull(), "__name": F.coalesce(F.col(source_col), F.lit(""))}).join(cuts, ["__none", "__name"])
+    rows = rows.where(F.col(text_col).rlike(f"[^{SPACE}]")).withColumn("__copies", F.when(at <= F.col("__cut"), F.col("__high")).otherwise(F.col("__low")))
+    rows = rows.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*docs.columns)
 
 
 ORACLE_SQL = f"""
