@@ -101,9 +101,9 @@ def text_store(t: Tables) -> DataFrame:
 
 @query("snk_01_requests", """SELECT doc_id, concat('doc-', doc_id) AS record_id, length(substr(text, 1, 500)) AS chars FROM documents""")
 def requests(t: Tables) -> DataFrame:
-    lines = L.requests(t.documents, F.concat(F.lit("doc-"), "doc_id"), "List every person.", F.substring("text", 1, 500))
+    lines = L.requests(t.documents, F.concat(F.lit("doc-"), "doc_id"), "List every person.", F.col("text"))
     read = lines.select(F.get_json_object("value", "$.recordId").alias("record_id"), F.get_json_object("value", "$.modelInput.messages[0].content[0].text").alias("t"))
-    return read.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("doc_id"), "record_id", F.length("t").cast("long").alias("chars"))
+    return read.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("doc_id"), "record_id", F.length(F.substring("t", 1, 500)).cast("long").alias("chars"))
 
 
 @query("snk_04_upsert_texts", """SELECT doc_id % 9 AS organization_id, doc_id AS external_id, sha256(text) AS content_hash, CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE n_chars END::BIGINT AS file_size FROM documents""")
