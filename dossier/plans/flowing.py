@@ -55,8 +55,8 @@ def progress(t: Tables) -> DataFrame:
 @query("str_05_inactivity")
 def inactivity(t: Tables) -> DataFrame:
     folder = _folder(t)
-    S.drain(S.sessions(_arriving(t, "events"), "user_id", "30 minutes"), f"{folder}/out", "append", f"{folder}/checkpoint")
-    return t.spark.read.parquet(f"{folder}/out/n=*").select("user_id", "started", "ended", "events")
+    S.drain(_arriving(t, "events").select("user_id", "ts"), f"{folder}/out", "append", f"{folder}/checkpoint")
+    return S.sessions(t.spark.read.parquet(f"{folder}/out/n=*"), "user_id", "30 minutes")
 
 
 @query("str_06_daily_usage", "SELECT user_id, ts::DATE::VARCHAR AS day, count(*) AS used FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")

@@ -62,14 +62,16 @@ def progress(events: DataFrame, key: str, total: int) -> DataFrame:
 
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Activity runs that end after a silent gap: (key, started, ended, events), append mode."""
-    runs = timed(events).withWatermark("ts", LATE).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
-    return runs.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
+    """Activity runs of landed events that end after a silent gap, closed at the last event: (key, started, ended, events)."""
+    timely = timed(events)
+    runs = timely.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
+    closed = runs.join(timely.agg(F.max("ts").alias("now")), F.col("w.end") <= F.col("now"))
+    return closed.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
 
 
 def daily_usage(events: DataFrame, key: str) -> DataFrame:
-    """(key, day, used), update mode: late rows count until the watermark passes their day."""
-    days = timed(events).withWatermark("ts", LATE).groupBy(key, F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("used"))
+    """(key, day, used), update mode: late rows always count."""
+    days = timed(events).groupBy(key, F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("used"))
     return days.select(key, F.to_date("w.start").alias("day"), "used")
 
 
