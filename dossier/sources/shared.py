@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a fresh local folder, set as the session's checkpoint folder."""
+    """spark.checkpoint.dir. Where it is unset, a local session (tests) gets a fresh local folder, set as its checkpoint folder; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="dossier-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -30,3 +32,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing will read again."""
+    spark = df.sparkSession
+    shared = shared_dir(spark).split(":", 1)[-1].strip("/")
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if f"/{shared}/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
