@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.sources.shared import materialize, scratch
 
-__all__ = ["lower_ascii", "materialize", "mix64", "rolling", "scratch", "sliding_argmin", "table", "words"]
+__all__ = ["lower_ascii", "materialize", "mix64", "rolling", "scratch", "shingle_hashes", "sliding_argmin", "table", "word_hashes", "words"]
 
 #: ASCII white space that separates words; everything else belongs to words.
 SPACE = "\\x20\\x09-\\x0D"
 WORD_BYTES = rb"[^\x20\x09-\x0D]+"
+_SPACES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
+PIECE = 1 << 20
+_BASE, _SHINGLE_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +64,46 @@ def rolling(values: np.ndarray, k: int, base: int) -> np.ndarray:
     return mix64(out[: len(values) - k + 1])
 
 
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        power = np.full(n, base, np.uint64)
+        power[0] = 1
+        out.append(np.cumprod(power, out=power))
+    return out[0], out[1]
+
+
+def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
+    """64-bit hash of each word of a text in UTF-8, piece by piece, so memory does not grow with ten times the text."""
+    out, at = [], 0
+    while at < len(text):
+        end = len(text) if at + PIECE >= len(text) else 1 + max(text.rfind(c, at + 1, at + PIECE) for c in _SPACES)
+        if end <= at:  # a word longer than a piece
+            end = min((i for c in _SPACES if (i := text.find(c, at + PIECE)) >= 0), default=len(text))
+        data = np.frombuffer(text[at:end].lower() if lower else text, np.uint8, end - at, 0 if lower else at)
+        at = end
+        solid = np.zeros(len(data) + 2, bool)
+        np.greater(data - np.uint8(9), 4, out=solid[1:-1])
+        solid[1:-1] &= data != 32
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        start, stop = edge[::2], edge[1::2]
+        if not len(start):
+            continue
+        power, back = _powers(1 << max(20, len(data).bit_length()))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+        out.append(mix64((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_hashes(text: bytes, k: int) -> np.ndarray:
+    """64-bit hash of each run of k words, A-Z lower-cased; fewer words: one hash of all; none: empty."""
+    h = word_hashes(text, lower=True)
+    return rolling(h, min(k, len(h)), _SHINGLE_BASE + 2 * min(k, len(h))) if len(h) else h
+
+
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     """Position of the least value in each run of w hashes, the leftmost of equal ones (fewer values than w: none).
 
