@@ -1,7 +1,7 @@
 """Reproducible shuffle into shards: a Feistel permutation with cycle walking over global row numbers.
 
-Rows get gapless numbers without a global sort: a hash bucket of the id (``BUCKETS`` of them, whatever the size), the
-bucket's offset, and the row's rank in its bucket. A Feistel network over the smallest grid a x b >= N permutes the
+Rows get gapless numbers without a global sort: a hash bucket of the id (about ``BUCKET_ROWS`` rows each, ``BUCKETS`` of
+them at least), the bucket's offset, and the row's rank in its bucket. Only the offsets, one row a bucket, meet in one task. A Feistel network over the smallest grid a x b >= N permutes the
 numbers; a result outside [0, N) walks on until it falls inside. The place p that a row gets gives shard p mod n and slot
 p div n, so shard sizes differ by one row at most (law ``rows``) and slots are gapless from 0. The round function is
 cubing modulo a prime, so any engine with 64-bit integers computes the same shuffle.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import table
 
-PRIME, BUCKETS, ROUNDS, SHARDS, SEED = 2_147_483_647, 1024, 4, 8, 20_240_229
+PRIME, BUCKETS, BUCKET_ROWS, ROUNDS, SHARDS, SEED = 2_147_483_647, 1024, 65_536, 4, 8, 20_240_229
 
 
 def keys(seed: int, n: int = ROUNDS) -> list[tuple[int, int]]:
@@ -90,14 +90,15 @@ def permute(df: DataFrame, number: str, n: int, seed: int = SEED) -> DataFrame:
 
 def numbered(df: DataFrame, id_col: str, order: list[str], number: str, seed: int = SEED) -> tuple[DataFrame, int]:
     """df with gapless row numbers from 0 in a column, and their count. Order inside a bucket: the id, then `order`."""
-    bucket = (mix(F.col(id_col), keys(seed + 1, 1)[0]) % BUCKETS).cast("int")
+    total = df.count()
+    bucket = (mix(F.col(id_col), keys(seed + 1, 1)[0]) % max(BUCKETS, total // BUCKET_ROWS)).cast("int")
     counts = df.select(bucket.alias("__bucket")).groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))  # BUCKETS rows at most
+    before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row for each bucket
     offsets = counts.select("__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.col(id_col).asc_nulls_first(), *order))
     out = df.withColumn("__bucket", bucket).withColumn(number, inside.cast("long"))
-    out = out.join(F.broadcast(offsets), "__bucket").withColumn(number, F.col(number) + F.col("__before") - 1)
+    # A row for each BUCKET_ROWS rows: 12 bytes each, broadcast up to a million of them.
+    out = out.join(F.broadcast(offsets) if total < BUCKET_ROWS * 1_000_000 else offsets, "__bucket").withColumn(number, F.col(number) + F.col("__before") - 1)
     return out.drop("__bucket", "__before"), total
 
 
@@ -145,7 +146,7 @@ sized AS (SELECT count(*)::BIGINT AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM d
 grid AS (SELECT n, a, (n + a - 1) // a AS b FROM sized),
 walked AS (
   SELECT doc_id, size, text_crc32, n, a, b, 0 AS step,
-    row_number() OVER (ORDER BY {_sql_mix('doc_id', keys(SEED + 1, 1)[0])} % {BUCKETS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS p FROM docs, grid
+    row_number() OVER (ORDER BY {_sql_mix('doc_id', keys(SEED + 1, 1)[0])} % greatest({BUCKETS}, n // {BUCKET_ROWS}), doc_id NULLS FIRST, text_crc32, size) - 1 AS p FROM docs, grid
   UNION ALL
   SELECT doc_id, size, text_crc32, n, a, b, step + 1, l{ROUNDS} * b + r{ROUNDS} FROM ({_sql_feistel('p')}) WHERE step = 0 OR p >= n)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {SHARDS})::INTEGER AS shard, p // {SHARDS} AS slot, NULL::INTEGER AS grown_shard

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm import near_copies
 from dossier.llm.common import WORD_BYTES, materialize, table
 from dossier.operators.components import connected_components
 
@@ -108,3 +109,9 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     found = cluster(docs, id_col, text_col, shingle)
     gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct(), "copies")
     return docs.join(gone, id_col, "left_anti")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies (five-word shingles, Jaccard similarity of 0.8 or more): candidates from rare common shingles,
+    pruned by their fingerprints' differing bits, confirmed on the texts; see near_copies for why."""
+    return near_copies.dedupe(docs, id_col, text_col)
