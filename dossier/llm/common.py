@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.sources.shared import materialize, scratch
+from dossier.sources.shared import discard, materialize, scratch
 
-__all__ = ["lower_ascii", "materialize", "mix64", "rolling", "scratch", "shingle_hashes", "sliding_argmin", "table", "word_hashes", "words"]
+__all__ = ["discard", "lower_ascii", "materialize", "mix64", "rolling", "scratch", "shingle_hashes", "sliding_argmin", "table", "word_hashes", "words"]
 
 #: ASCII white space that separates words; everything else belongs to words.
 SPACE = "\\x20\\x09-\\x0D"

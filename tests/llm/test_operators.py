@@ -1,6 +1,7 @@
 """Training-data operators: defined results at the edges, and brute-force twins on small tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -334,6 +335,33 @@ def test_topk(spark, scale, monkeypatch):
     assert not found
 
 
+def best_by_hand(rows, k, scale=64, every=20):
+    """(query_id, rank, vec_id, score clamped to a long) in integers without limit."""
+    whole = lambda v: [math.floor(x * scale) if math.isfinite(x * scale) else int(x) * scale for x in v]
+    queries, out = {}, []
+    for i, v in rows:
+        if i % every == 0:
+            queries[i] = min(queries.get(i, v), v)
+    for q, v in queries.items():
+        scored = sorted((-sum(a * b for a, b in zip(whole(v), whole(c))), i) for i, c in rows if i != q)[:k]
+        out += [(q, n, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["repeats", "large", "huge"])
+def test_topk_extremes(spark, kind, monkeypatch):
+    """Repeated queries and candidates, ties, and finite components of any size."""
+    monkeypatch.setattr(topk, "SPARE", 3)
+    r = np.random.default_rng(7)
+    rows = [(i % 50, [float(x) for x in r.integers(-3, 4, 5)]) for i in range(150)] + [(0, [1.0] * 5), (0, [1.0] * 5)]
+    if kind == "large":
+        rows += [(60 + i, [1e9 * s, 1e9, -1e9, 5.0, float(i)]) for i, s in enumerate((1, -1, 1, 1))] + [(80, [1e9] * 5), (81, [1e9] * 5)]
+    if kind == "huge":
+        rows += [(100, [1.7e308, -1e300, 0.0, 1.0, 1e-300]), (101, [1e308] * 5), (102, [-1e308] * 5), (120, [1e150] * 5), (121, [1e150] * 5), (40, [2.0**60] * 5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(frame.repartition(3), "vec_id", "embedding", k=6).collect())) == best_by_hand(rows, 6)
+
+
 def test_topk_few(spark):
     few = spark.createDataFrame([(0, [1.0]), (20, [2.0, 1.0]), (3, [0.5])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk.top_k(few, "vec_id", "embedding", k=5).collect())) == [(0, 1, 20, 8192), (0, 2, 3, 2048), (20, 1, 0, 8192), (20, 2, 3, 4096)]
