@@ -104,17 +104,26 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     return rolling(h, min(k, len(h)), _SHINGLE_BASE + 2 * min(k, len(h))) if len(h) else h
 
 
+def _sliding_min(values: np.ndarray, w: int) -> np.ndarray:
+    """The least value of each run of w, by minima of doubled spans, the last step overlapping."""
+    best, span = values, 1
+    while span < w:
+        step = min(span, w - span)
+        best = np.minimum(best[:-step], best[step:])
+        span += step
+    return best
+
+
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     """Position of the least value in each run of w hashes, the leftmost of equal ones (fewer values than w: none).
 
-    The low bits of each hash give way to its position, so minima carry their place; equal runs pick the same offset.
+    The rule is the same at every length, so equal runs pick the same offset wherever they lie. Minima first carry their
+    place in the low bits; runs in which two hashes differ in those bits only are found by the true minimum and decided alone.
     """
     if len(values) < w:
         return np.zeros(0, np.int64)
     low = np.uint64((1 << len(values).bit_length()) - 1)
-    best, span = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
-    while span < w:  # minima of `span` values, doubled, the last step overlapping
-        step = min(span, w - span)
-        best = np.minimum(best[:-step], best[step:])
-        span += step
-    return (best & low).astype(np.int64)
+    at = (_sliding_min((values & ~low) | np.arange(len(values), dtype=np.uint64), w) & low).astype(np.int64)
+    for j in np.flatnonzero(values[at] != _sliding_min(values, w)).tolist():
+        at[j] = j + int(values[j : j + w].argmin())
+    return at

@@ -90,10 +90,38 @@ def test_warc_reader_reports_damage(spark, tmp_path):
     good = warc._member(warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None))
     wrong = warc._member(warc.record(2, "u", b"payload", "00", None))
     path = tmp_path / "x.warc.gz"
-    path.write_bytes(good + wrong + good[:-9])
+    path.write_bytes(good + wrong + good[:-9] + good + good[:-9])
     rows = warc.read(spark.createDataFrame([(str(path),)], "archive string")).orderBy("offset").collect()
-    assert [r["error"] for r in rows] == [None, "payload digest", "gzip"]
-    assert [r["offset"] for r in rows] == [0, len(good), len(good) + len(wrong)]
+    assert [r["error"] for r in rows] == [None, "payload digest", "gzip", None, "gzip"]
+    assert [r["offset"] for r in rows] == [0, len(good), len(good) + len(wrong), 2 * len(good) + len(wrong) - 9, 3 * len(good) + len(wrong) - 9]
+    assert [r["skipped"] for r in rows] == [None, None, len(good) - 9, None, len(good) - 9]
+
+
+def test_warc_addresses_and_long_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/b c\r\nX: y", "z" * 3_000_000)], "page_id long, url string, html string")
+    rows = warc.read(warc.write(pages, "page_id", "html", "url", str(tmp_path / "w"))).collect()
+    assert [(r["page_id"], r["payload_bytes"], r["error"]) for r in rows] == [(1, 3_000_000, None)]
+
+
+def test_sliding_argmin_is_the_same_everywhere():
+    """Hashes that differ in their low bits only: a short and a long run choose the same offset."""
+    from dossier.llm.common import sliding_argmin
+
+    run = np.full(161, 1 << 63, np.uint64)
+    run[90], run[20] = 5, 6
+    short = sliding_argmin(run, 161)
+    long = sliding_argmin(np.concatenate([np.full(100_000, 1 << 62, np.uint64), run]), 161)
+    assert short[0] == 90 and long[100_000] == 100_090
+    r = np.random.default_rng(1).integers(0, 40, 5000).astype(np.uint64)
+    assert sliding_argmin(r, 9).tolist() == [i + int(r[i : i + 9].argmin()) for i in range(4992)]
+
+
+class Kept:
+    def __init__(self):
+        self.data = b""
+
+    def feed(self, data):
+        self.data += data
 
 
 @pytest.mark.parametrize("piece", [1, 7, 1 << 20])
@@ -101,7 +129,20 @@ def test_warc_pieces(piece):
     import io
 
     data = b"".join(warc._member(bytes([i]) * i) for i in range(1, 5))
-    assert [x for _, x in warc.members(io.BytesIO(data), piece)] == [bytes([i]) * i for i in range(1, 5)]
+    assert [x.data for _, x, _ in warc.members(io.BytesIO(data), piece, Kept)] == [bytes([i]) * i for i in range(1, 5)]
+
+
+@pytest.mark.parametrize("piece", [1, 50, 1 << 20])
+@pytest.mark.parametrize("damage", ["flipped", "cut", "noise"])
+def test_warc_goes_on_after_damage(piece, damage):
+    """Members behind a damaged one still come, and one row says what was skipped."""
+    import io
+
+    parts = [warc._member(random.Random(i).randbytes(300)) for i in range(4)]
+    bad = {"flipped": bytes(b ^ 0x55 if k > 20 else b for k, b in enumerate(parts[1])), "cut": parts[1][:100], "noise": b"noise" * 30}[damage]
+    found = list(warc.members(io.BytesIO(parts[0] + bad + parts[2] + parts[3]), piece, Kept))
+    assert [x and x.data for _, x, _ in found] == [random.Random(0).randbytes(300), None, random.Random(2).randbytes(300), random.Random(3).randbytes(300)]
+    assert [(at, n) for at, _, n in found][1] == (len(parts[0]), len(bad))
 
 
 def test_warc_empty(spark, tmp_path):
