@@ -355,6 +355,14 @@ def test_decontamination(spark, monkeypatch, limit):
     assert decontaminate.contained_items(documents(spark, rows), bench.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_decontamination_of_few_words(spark):
+    """Items of one to four words are found as whole word sequences."""
+    bench = spark.createDataFrame([(1, "Alpha"), (2, "beta gamma"), (3, "one two three four"), (4, " "), (5, "one two three four five")], "item_id long, text string")
+    rows = [(1, "an ALPHA here", None, None), (2, "beta  Gamma", None, None), (3, "gamma beta alphabet", None, None), (4, "zero one two three\tfour five", None, None), (5, "alpha", None, None), (6, words(3, 30_000) + " beta gamma", None, None)]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(documents(spark, rows), bench, "doc_id", "text", "item_id", "text").collect()}
+    assert found == {(1, 1), (2, 2), (4, 3), (4, 5), (5, 1), (6, 2)}
+
+
 # --- top-k -----------------------------------------------------------------------------------------------------------
 
 
