@@ -153,9 +153,10 @@ def linked(mentions: DataFrame) -> DataFrame:
     """Scale mode for matters with very many names: (id, matter_id, form, person) by the rule tiers alone, transitively.
 
     Forms that share the last name and a variant of another name are one person by the last-name tier, whichever two are
-    taken, so each such key links its forms to its least one: no pairs are formed. A token set that is contained in others
-    is a key of its own. People are the connected components; person is the least form hash of one. Placeholders
-    (unknown first names) join the least form of their last name. No fuzzy tier; the ordered fold stays the reference.
+    taken, so each such key links its forms to its least one: no pairs are formed. A token set meets the forms that hold the
+    rarest of its tokens (in its matter), and those that hold all of its tokens are linked to it, however long they are.
+    People are the connected components; person is the least form hash of one. Placeholders (unknown first names) join the
+    least form of their last name. No fuzzy tier; the ordered fold stays the reference.
     """
     named = forms(mentions)
     few = named.select("matter_id", "form").distinct().where("form <> ''").withColumn("node", F.xxhash64("matter_id", "form"))
@@ -170,21 +171,28 @@ def linked(mentions: DataFrame) -> DataFrame:
     stars = by_name.groupBy("matter_id", "last", "key").agg(F.min("node").alias("v")).join(by_name, ["matter_id", "last", "key"]).select(F.col("node").alias("u"), "v")
     known = several.where(F.size(real) > 0).groupBy("matter_id", "last").agg(F.min("node").alias("v"))
     wild = several.where(F.arrays_overlap(given, unknown) & (F.size(real) == 0)).join(known, ["matter_id", "last"]).select(F.col("node").alias("u"), "v")
-    # Sorted subsets of two tokens or more, grown token by token; of longer names the first eight tokens in order count.
-    ordered = F.slice(F.array_sort(F.array_distinct("t")), 1, 8)
-    grown = F.aggregate(ordered, F.array(F.lit("")), lambda done, x: F.concat(done, F.transform(done, lambda s: F.trim(F.concat_ws(" ", s, x)))))
-    inside = several.select("matter_id", F.col("node").alias("u"), F.explode(F.filter(grown, lambda s: F.contains(s, F.lit(" ")))).alias("key"))
-    whole = several.groupBy("matter_id", F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("key")).agg(F.min("node").alias("v"))
-    edges = stars.unionByName(wild).unionByName(inside.join(whole, ["matter_id", "key"]).select("u", "v"))
+    sets = several.select("matter_id", "node", F.array_sort(F.array_distinct("t")).alias("set"))
+    holders = sets.select("matter_id", "node", "set", F.explode("set").alias("token"))
+    often = holders.groupBy("matter_id", "token").agg(F.count("*").alias("n"))
+    rarest = holders.join(often, ["matter_id", "token"]).groupBy("matter_id", "set").agg(F.min("node").alias("v"), F.min_by("token", F.struct("n", "token")).alias("token"))
+    rarest = rarest.where(F.size("set") > 1).withColumnRenamed("set", "part")
+    inside = holders.where(F.size("set") > 1).join(rarest, ["matter_id", "token"]).where(F.size(F.array_except("part", "set")) == 0).select(F.col("node").alias("u"), "v")
+    edges = stars.unionByName(wild).unionByName(inside)
     found = connected_components(edges)
     people = few.join(found, "node", "left").select("matter_id", "form", F.coalesce("component", "node").alias("person"))
     return named.join(people, ["matter_id", "form"], "left").select("id", "matter_id", "form", "person")
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(matter_id, people_a, people_b, same): share of mentions whose person holds equally many mentions in both results."""
-    size = lambda x, n: x.groupBy("matter_id", "person").agg(F.count("*").alias(n))
-    both = a.select("id", "matter_id", "person").join(size(a, "n"), ["matter_id", "person"]).withColumnRenamed("person", "p")
-    other = b.select("id", "matter_id", "person").join(size(b, "m"), ["matter_id", "person"]).drop("matter_id")
-    joined = both.join(other, "id")
-    return joined.groupBy("matter_id").agg(F.count_distinct("p").alias("people_a"), F.count_distinct("person").alias("people_b"), F.round(F.count_if(F.col("n") == F.col("m")) / F.count("*"), 4).alias("same"))
+    """(matter_id, people_a, people_b, same): the share of mentions whose person has the same members in both results.
+
+    Counted over the different (person of a, person of b) combinations: a person is the same when its only combination
+    holds all mentions of either side.
+    """
+    both = a.select("id", "matter_id", F.col("person").alias("p")).join(b.select("id", F.col("person").alias("q")), "id")
+    cells = both.groupBy("matter_id", "p", "q").agg(F.count("*").alias("n"))
+    of_a = cells.groupBy("matter_id", "p").agg(F.sum("n").alias("in_a"))
+    of_b = cells.groupBy("matter_id", "q").agg(F.sum("n").alias("in_b"))
+    joined = cells.join(of_a, ["matter_id", "p"]).join(of_b.withColumnRenamed("q", "r").withColumnRenamed("matter_id", "m"), (F.col("matter_id") == F.col("m")) & F.col("q").eqNullSafe(F.col("r")))
+    equal = F.when((F.col("n") == F.col("in_a")) & (F.col("n") == F.col("in_b")), F.col("n")).otherwise(0)
+    return joined.groupBy("matter_id").agg(F.count_distinct("p").alias("people_a"), F.count_distinct("q").alias("people_b"), F.round(F.sum(equal) / F.sum("n"), 4).alias("same"))

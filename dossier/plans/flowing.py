@@ -52,7 +52,10 @@ def progress(t: Tables) -> DataFrame:
     return _latest(t, S.progress(_arriving(t, "events"), "user_id", 60), ["user_id"])
 
 
-@query("str_05_inactivity")
+@query("str_05_inactivity", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+    r AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e),
+    s AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM r GROUP BY user_id, run)
+    SELECT user_id, started, ended, events, ended <= (SELECT max(ts) FROM events) AS closed FROM s""")
 def inactivity(t: Tables) -> DataFrame:
     folder = _folder(t)
     S.drain(_arriving(t, "events").select("user_id", "ts"), f"{folder}/out", "append", f"{folder}/checkpoint")

@@ -62,11 +62,12 @@ def progress(events: DataFrame, key: str, total: int) -> DataFrame:
 
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Activity runs of landed events that end after a silent gap, closed at the last event: (key, started, ended, events)."""
+    """Activity runs of landed events, split by silent gaps: (key, started, ended, events, closed). An end is the last event
+    plus the gap; a run is closed when that lies at or before the last event of all, else it is still open."""
     timely = timed(events)
     runs = timely.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
-    closed = runs.join(timely.agg(F.max("ts").alias("now")), F.col("w.end") <= F.col("now"))
-    return closed.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
+    now = timely.agg(F.max("ts").alias("now"))
+    return runs.join(F.broadcast(now)).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events", (F.col("w.end") <= F.col("now")).alias("closed"))
 
 
 def daily_usage(events: DataFrame, key: str) -> DataFrame:
@@ -95,18 +96,49 @@ def apply_changes(state: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.select("external_id", F.when(~u, F.col("content_hash")).alias("content_hash"), (F.col("is_processed") & ~u).alias("is_processed"), (F.col("is_soft_deleted") | d).alias("is_soft_deleted"))
 
 
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, out: str) -> dict[int, list[int]]:
+    """The versions of each bucket of a state folder; versions whose write was not finished do not count."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder, found = path(out), {}
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for v in fs.listStatus(folder) if fs.exists(folder) else []:
+        if fs.exists(path(v.getPath(), "_SUCCESS")):
+            for b in fs.listStatus(v.getPath()):
+                if b.getPath().getName().startswith("bucket="):
+                    found.setdefault(int(b.getPath().getName()[7:]), []).append(int(v.getPath().getName()[2:]))
+    return found
+
+
+def _state(spark: SparkSession, out: str, newest: dict[int, int], schema) -> DataFrame:
+    paths = [f"{out}/v={v}/bucket={b}" for b, v in sorted(newest.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def change_stream(events: DataFrame, state: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Runs apply_changes over a stream: every batch reads version n - 1 of the state and writes version n."""
-    spark = state.sparkSession
-    state.write.mode("overwrite").parquet(f"{out}/v=-1")
-    seen = []
+    """Runs apply_changes over a stream: every batch reads the newest version of the buckets of ids that it touches and
+    writes only those, as version n. With an existing checkpoint the state folder is kept as it is: the run goes on from
+    the newest committed versions, and without new files it returns those. A repeated batch reads versions before its own."""
+    spark, schema = state.sparkSession, state.schema
+    bucket = F.pmod(F.xxhash64("external_id"), F.lit(BUCKETS)).cast("int")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    if not (path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) and _versions(spark, out)):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        state.withColumn("bucket", bucket).repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(f"{out}/v=-1")
 
     def save(batch: DataFrame, number: int) -> None:
-        apply_changes(spark.read.parquet(f"{out}/v={number - 1}"), batch).write.mode("overwrite").parquet(f"{out}/v={number}")
-        seen.append(number)
+        batch = batch.withColumn("bucket", bucket)
+        touched = {r["bucket"] for r in batch.select("bucket").distinct().collect()}  # BUCKETS at most
+        before = {b: max((v for v in versions if v < number), default=None) for b, versions in _versions(spark, out).items() if b in touched}
+        old = _state(spark, out, {b: v for b, v in before.items() if v is not None}, schema)
+        new = apply_changes(old, batch.drop("bucket")).select(*schema.names).withColumn("bucket", bucket)
+        new.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/v={number}")
 
     events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/v={max(seen, default=-1)}")
+    return _state(spark, out, {b: max(v) for b, v in _versions(spark, out).items()}, schema)
 
 
 def resolve_stream(mentions: DataFrame) -> DataFrame:

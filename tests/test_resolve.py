@@ -61,3 +61,17 @@ def test_linked_forms(spark):
     rows = [(i, 1, i, None, n, "other", None, None, None, 0.5) for i, n in enumerate(["John Carroll", "John Mike Carroll", "Mike Carroll", "Michael Carroll", "FNU Carroll", "Ann Lee", "Lee Ann", "Ann Stone", "", None, " ".join(f"Token{i}" for i in range(30))])]
     found = {r["id"]: r["person"] for r in P.linked(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len({found[i] for i in range(5)}) == 1 and found[5] == found[6] != found[7] and len(found) == len(rows) - 1
+
+
+def test_linked_long_names(spark):
+    """Token subsets of names of any length link, wherever their tokens stand in the alphabet."""
+    names = ["Zzz Yyy", "Aaa Bbb Ccc Ddd Eee Fff Ggg Hhh Yyy Zzz", "Bbb Aaa", "Yyy Qqq", "Hhh Ggg Fff"]
+    rows = [(i, 1, i, None, n, "other", None, None, None, 0.5) for i, n in enumerate(names)]
+    found = {r["id"]: r["person"] for r in P.linked(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[0] == found[1] == found[2] == found[4] != found[3]
+
+
+def test_agreement_compares_members(spark):
+    a = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 1), (4, 1, 1), (5, 1, 2)], "id long, matter_id long, person long")
+    b = spark.createDataFrame([(1, 1, 9), (2, 1, 8), (3, 1, 8), (4, 1, 9), (5, 1, None)], "id long, matter_id long, person long")
+    assert [tuple(r) for r in P.agreement(a, b).collect()] == [(1, 3, 2, 0.2)]
