@@ -89,18 +89,26 @@ def coalesced_text(documents: DataFrame, by_id: DataFrame, by_hash: DataFrame) -
 
 
 def merged_people(mentions: DataFrame, key: list[str]) -> DataFrame:
-    """One row per group of mentions: longest name (earliest of equals), role by priority, highest relevance, contacts, sources."""
+    """One row per group of mentions: longest name (earliest of equals), role by priority, highest relevance, all reasons in
+    order joined by " | ", first non-empty contacts, sources. observations(mentions) holds the observations themselves."""
     from dossier.functions.text import relevance_rank
 
     rank = relevance_rank(F.col("relevance"))
-    seen = F.array_sort(F.collect_list(F.when(F.col("observation").isNotNull(), F.struct("document_id", "id", "observation"))))
+    filled = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("id"))).alias(c)
+    reasons = F.array_sort(F.collect_list(F.when(F.coalesce(F.col("relevance_reason"), F.lit("")) != "", F.struct("id", F.col("relevance_reason").alias("r")))))
     return mentions.groupBy(*key).agg(
         F.max_by("full_name", F.struct(F.length("full_name"), -F.col("id"))).alias("full_name"),
         F.min_by("role", F.struct(role_rank(F.col("role")), "id")).alias("role"),
         F.max_by("relevance", F.struct(rank, -F.col("id"))).alias("relevance"),
-        F.transform(seen, lambda x: x["observation"]).alias("observations"),
-        F.min_by("email", F.when(F.col("email").isNotNull(), F.col("id"))).alias("email"),
+        F.nullif(F.array_join(F.transform(reasons, lambda x: x["r"]), " | "), F.lit("")).alias("relevance_reason"),
+        F.count_if(F.coalesce(F.col("observation"), F.lit("")) != "").alias("observations"),
+        filled("email"), filled("phone"), filled("address"),
         F.max("confidence_score").alias("max_confidence"),
         F.count_distinct("document_id").alias("documents"),
         F.count("*").alias("mentions"),
-    )
+    )
+
+
+def observations(mentions: DataFrame, key: list[str]) -> DataFrame:
+    """The observations of merged people, one row each: key, document_id, source_page, observation, confidence_score."""
+    return mentions.where(F.coalesce(F.col("observation"), F.lit("")) != "").select(*key, "document_id", "source_page", "observation", "confidence_score")

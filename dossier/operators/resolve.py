@@ -1,29 +1,37 @@
 """Person resolution: mentions of a matter become canonical people.
 
-Mentions first collapse natively to the different strict name forms of their matter (longest spelling, first place); the
-ordered fold then runs over those few forms, one matter at a time, so a matter with very many mentions costs one row for
-each spelling. A form takes the first earlier person, in order of creation, that it equals, shares a token subset with or
-matches by last name; else the one with the best fuzzy score of at least 0.85; else the one whose embedding (a pluggable
-column function) is nearest from 0.92; else one that a pluggable verdict confirms; else it founds a person. A longer
-spelling replaces a person's name. Order: document, page (none first), mention.
+The ordered fold reads mentions sorted by matter, document, page (none first) and id, many matters in one stream, and keeps
+only the people of the current matter. A mention takes the first person, in order of creation, that its strict form equals,
+shares a token subset with or matches by last name; else the one with the best fuzzy score of at least 0.85, unless an
+embedding of the names (a pluggable column function) scores higher from 0.92; else, of the three best doubtful ones (fuzzy
+from 0.70, embedding from 0.85), the first that a pluggable verdict confirms; else it founds a person. A longer spelling
+replaces a person's name. What a form was given is remembered until a name changes or a person comes, so a matter of very
+many mentions costs a look-up for most of them. The fold of one matter is sequential by definition: beyond that, linked()
+is the form without an order.
+
+Defined results: mentions without a name or a matter take no part; a name without anything left in its strict form matches
+such names only; rows that repeat are mentions of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed, rules
 from dossier.functions import names as N
+from dossier.functions.text import relevance_rank
 from dossier.operators.components import connected_components
-from dossier.operators.relations import merged_people
 from dossier.sources.shared import materialize
 
-FORMS = "matter_id long, form string, person int, match_type string, match_score double"
+FOUND = "id long, person int, match_type string, match_score double"
+#: Is the new mention (name, role, observation) the known person (name, role, observation of the founder)? With confidence.
+Verdict = Callable[[dict, dict], tuple[bool, float]]
 
 
 def excluded(mentions: DataFrame, firm_domain: str | None = None) -> DataFrame:
@@ -63,39 +71,83 @@ def fuzzy_of(a: str, b: str) -> float:
     return 0.6 * N.jaro_winkler_of(a, b) + 0.4 * edits
 
 
-def fold(verdict: Callable[[str, str], float] | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The ordered fold over one matter's forms (form, place, longest, n_chars). verdict: confidence that two are one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        people: list[list] = []  # form of the current name, its length
-        rows = []
-        for r in pdf.sort_values("place").itertuples(index=False):
-            found, best, doubtful = None, 0.0, []
-            for i, (form, _) in enumerate(people):
-                if hit := tier(r.form, form):
-                    found = (i, *hit)
-                    break
-                score = fuzzy_of(r.form, form)
-                if score >= fixed.FUZZY_MATCH and score > best:
-                    found, best = (i, "fuzzy", score), score
-                elif score >= fixed.FUZZY_UNCERTAIN:
-                    doubtful.append((score, i))
-            if found is None and verdict is not None:
-                for score, i in sorted(doubtful, key=lambda x: -x[0])[:3]:
-                    if (sure := verdict(r.form, people[i][0])) >= fixed.VERDICT:
-                        found = (i, "verified", (score + sure) / 2)
-                        break
-            if found is None:
-                people.append([r.form, r.n_chars])
-                rows.append((r.matter_id, r.form, len(people) - 1, "none", 0.0))
-                continue
-            i, kind, score = found
-            if r.n_chars > people[i][1]:
-                people[i] = [r.form, r.n_chars]
-            rows.append((r.matter_id, r.form, i, kind, score))
-        return pd.DataFrame(rows, columns=["matter_id", "form", "person", "match_type", "match_score"])
+class People:
+    """The people of one matter, in order of creation, and what each form was given since the last change."""
+
+    def __init__(self, verdict: Verdict | None) -> None:
+        self.verdict, self.people, self.known, self.vectors = verdict, [], {}, {}
 
-    return run
+    def _nearest(self, form: str, found: tuple | None, doubtful: list) -> tuple | None:
+        """The embedding tier: better than the fuzzy score found so far, or doubtful."""
+        mine = self.vectors.get(form)
+        if mine is None or (found is not None and found[2] >= fixed.EMBEDDING_MATCH):
+            return found
+        fuzzy_person, best = (found[0], found[2]) if found else (None, 0.0)
+        for i, p in enumerate(self.people):
+            other = self.vectors.get(p["form"])
+            size = 0.0 if other is None else float(np.linalg.norm(mine) * np.linalg.norm(other))
+            if i == fuzzy_person or not size:
+                continue
+            score = float(mine @ other) / size
+            if score >= fixed.EMBEDDING_MATCH and score > best:
+                found, best = (i, "embedding", score), score
+            elif score >= fixed.EMBEDDING_UNCERTAIN:
+                doubtful.append((score, i))
+        return found
+
+    def _match(self, form: str, new: dict) -> tuple | None:
+        found, doubtful = None, []
+        for i, p in enumerate(self.people):
+            if hit := tier(form, p["form"]):
+                return i, *hit
+            score = fuzzy_of(form, p["form"])
+            if score >= fixed.FUZZY_MATCH and score > (found[2] if found else 0.0):
+                found = (i, "fuzzy", score)
+            elif score >= fixed.FUZZY_UNCERTAIN:
+                doubtful.append((score, i))
+        found = self._nearest(form, found, doubtful)
+        if found is None and self.verdict is not None:
+            for score, i in sorted(doubtful, key=lambda x: -x[0])[:3]:
+                same, sure = self.verdict(new, {k: self.people[i][k] for k in ("name", "role", "observation")})
+                if same and sure >= fixed.VERDICT:
+                    return i, "verified", (score + sure) / 2
+        return found
+
+    def add(self, form: str, name: str, role: str | None, observation: str | None, vector) -> tuple:
+        """(person, how, score) of the next mention."""
+        if vector is not None:
+            self.vectors[form] = np.asarray(vector, np.float64)
+        new = {"name": name, "role": role, "observation": observation}
+        key = form if self.verdict is None else (form, role, observation)
+        if key not in self.known:
+            self.known[key] = self._match(form, new)
+        found = self.known[key]
+        if found is None:
+            self.people.append({"form": form} | new)
+            self.known = {}
+            return len(self.people) - 1, "none", 0.0
+        person = self.people[found[0]]
+        if len(name) > len(person["name"]):
+            if form != person["form"]:
+                self.known = {}
+            person["form"], person["name"] = form, name
+        return found
+
+
+def _matters(df: DataFrame, order: list[str], run: Callable, schema: str) -> DataFrame:
+    """run() over the rows of each matter in order, many matters in one stream: it gets an iterator of (is new matter, row)."""
+
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, work = object(), run()
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.matter_id != last:
+                    last, work = row.matter_id, run()
+                out.append(work(row))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.repartition("matter_id").sortWithinPartitions("matter_id", *order).mapInPandas(stream, schema)
 
 
 def forms(mentions: DataFrame, compat: bool = False) -> DataFrame:
@@ -104,43 +156,81 @@ def forms(mentions: DataFrame, compat: bool = False) -> DataFrame:
     return mentions.join(spellings, "full_name")
 
 
-def resolved(mentions: DataFrame, compat: bool = False, verdict: Callable[[str, str], float] | None = None) -> DataFrame:
-    """mentions (id, matter_id, document_id, source_page, full_name) with person (0, 1, .. in each matter) and how it matched.
+def resolved(mentions: DataFrame, compat: bool = False, verdict: Verdict | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """mentions (id, matter_id, document_id, source_page, full_name, and role and observation for a verdict) with form, person
+    (0, 1, .. in each matter) and how it matched. embed: a column function from names to vectors; it runs once a spelling."""
+    named = forms(mentions.where("matter_id IS NOT NULL"), compat)
+    rows = named.select("matter_id", "document_id", F.coalesce("source_page", F.lit(-1)).alias("page"), "id", "form", "full_name", *[F.col(c) if verdict else F.lit(None).cast("string").alias(c) for c in ("role", "observation")])
+    if embed is not None:
+        vectors = rows.select("full_name").distinct().withColumn("vector", embed(F.col("full_name")))
+        first = F.row_number().over(Window.partitionBy("matter_id", "form").orderBy("document_id", "page", "id")) == 1
+        rows = rows.withColumn("first", first).join(vectors, "full_name").withColumn("vector", F.when(F.col("first"), F.col("vector"))).drop("first")
+    else:
+        rows = rows.withColumn("vector", F.lit(None).cast("array<float>"))
 
-    A mention whose name is null takes no part; one without anything left in its strict form matches such mentions only.
-    """
-    named = forms(mentions, compat)
-    place = F.struct("document_id", F.coalesce("source_page", F.lit(-1)).alias("page"), "id")
-    few = named.groupBy("matter_id", "form").agg(F.min(place).alias("first"), F.max(F.length("full_name")).cast("long").alias("n_chars"))
-    few = few.select("matter_id", "form", F.concat_ws(" ", *[F.lpad(F.col(f"first.{c}").cast("string"), 20, "0") for c in ("document_id", "page", "id")]).alias("place"), "n_chars")
-    people = few.groupBy("matter_id").applyInPandas(fold(verdict), FORMS)
-    return named.join(people, ["matter_id", "form"])
+    def run():
+        people = People(verdict)
+        return lambda r: (r.id, *people.add(r.form, r.full_name, r.role, r.observation, r.vector))
+
+    found = _matters(rows, ["document_id", "page", "id"], run, FOUND)
+    return named.join(found, "id")
 
 
 def canonical_people(found: DataFrame) -> DataFrame:
-    """One row for each person of resolved mentions."""
-    return merged_people(found, ["matter_id", "person"])
+    """One row for each person of resolved mentions, as if each had been merged into the person in order.
+
+    The longest name (the earliest of equals), the role of the first mention, the highest relevance with its reason (a first
+    mention without one counts as relevant), the first non-empty contacts, the highest confidence. `observations` counts
+    those of merged_observations(); `source_documents` counts the mentions whose document had shown no observation before.
+    """
+    key, order = ["matter_id", "person"], F.struct("document_id", F.coalesce("source_page", F.lit(-1)).alias("page"), "id")
+    told = F.coalesce(F.col("observation"), F.lit("")) != ""
+    before = Window.partitionBy(*key, "document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    of_person = Window.partitionBy(*key)
+    rows = found.withColumn("place", order).withColumns({"told": told, "new": ~F.coalesce(F.max(told).over(before), F.lit(False))})
+    firsts = rows.groupBy(*key).agg(F.min("place").alias("start"))
+    rows = rows.join(firsts, key)
+    rank = relevance_rank(F.when(F.col("place") == F.col("start"), F.when(relevance_rank(F.col("relevance")) < 0, "relevant").otherwise(F.col("relevance"))).otherwise(F.col("relevance")))
+    rows = rows.withColumn("rank", rank)
+    filled = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("place"))).alias(c)
+    best = F.max(F.struct("rank", *[(-F.col(f"place.{c}")).alias(c) for c in ("document_id", "page", "id")], "relevance_reason"))
+    people = rows.groupBy(*key).agg(
+        F.max(F.struct(F.length("full_name"), *[(-F.col(f"place.{c}")).alias(c) for c in ("document_id", "page", "id")], "full_name"))["full_name"].alias("full_name"),
+        F.min_by("role", "place").alias("role"), best.alias("best"), filled("email"), filled("phone"), filled("address"),
+        F.max("confidence_score").alias("max_confidence"), F.count_if(F.col("told") & F.col("new")).alias("observations"), F.count_if("new").alias("source_documents"), F.count("*").alias("mentions"),
+    )
+    relevance = F.element_at(F.array(*map(F.lit, fixed.RELEVANCE)), (F.col("best.rank") + 1).cast("int"))
+    return people.withColumns({"relevance": relevance, "relevance_reason": F.col("best.relevance_reason")}).drop("best")
+
+
+def merged_observations(found: DataFrame) -> DataFrame:
+    """(matter_id, person, document_id, source_page, observation): the first observation of each document of a person."""
+    told = found.where(F.coalesce(F.col("observation"), F.lit("")) != "")
+    place = F.struct(F.coalesce("source_page", F.lit(-1)).alias("page"), "id")
+    return told.groupBy("matter_id", "person", "document_id").agg(F.min_by(F.struct("source_page", "observation"), place).alias("o")).select("matter_id", "person", "document_id", "o.*")
 
 
 def loose_clusters(mentions: DataFrame, least: int = fixed.LOOSE_MATCH) -> DataFrame:
-    """mentions with cluster: greedy seeds. The next free loose form seeds a cluster; later free forms join if they match the seed."""
+    """mentions with cluster: greedy seeds. The next free loose form seeds a cluster; later free forms join if they match the seed.
+
+    A form joins the first seed, in order, that it matches, so one ordered pass over the forms of a matter gives it.
+    """
     spellings = mentions.select("full_name").distinct().withColumn("form", N.loose(F.col("full_name")))
     named = mentions.join(spellings, "full_name")
-    few = named.groupBy("matter_id", "form").agg(F.min("id").alias("place"))
+    few = named.where("matter_id IS NOT NULL").groupBy("matter_id", "form").agg(F.min("id").alias("place"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("place")["form"].tolist()
-        seeds: dict[str, int] = {}
-        for i, seed in enumerate(ordered):
-            if seed in seeds:
-                continue
-            seeds[seed] = n = len(set(seeds.values()))
-            for other in ordered[i + 1 :]:
-                if other not in seeds and N.loose_score_of(seed, other) >= least:
-                    seeds[other] = n
-        return pd.DataFrame({"matter_id": pdf["matter_id"].iloc[0], "form": list(seeds), "cluster": list(seeds.values())})
+    def run():
+        seeds: list[str] = []
+
+        def place(r) -> tuple:
+            n = next((i for i, seed in enumerate(seeds) if N.loose_score_of(seed, r.form) >= least), len(seeds))
+            if n == len(seeds):
+                seeds.append(r.form)
+            return r.matter_id, r.form, n
+
+        return place
 
-    return named.join(few.groupBy("matter_id").applyInPandas(run, "matter_id long, form string, cluster int"), ["matter_id", "form"])
+    return named.join(_matters(few, ["place"], run, "matter_id long, form string, cluster int"), ["matter_id", "form"])
 
 
 def stats(found: DataFrame) -> DataFrame:

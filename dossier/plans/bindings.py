@@ -26,6 +26,8 @@ VIEWS = {
         CASE l_suppkey % 4 WHEN 0 THEN 'Counsel for the plaintiff, filed a motion' WHEN 1 THEN 'Testified that the attorney for defendant was late'
           WHEN 2 THEN 'Saw the accident' END AS observation,
         CASE WHEN l_partkey % 3 = 0 THEN concat('p', l_suppkey, '@Firm', l_suppkey % 4, '.com') END AS email,
+        CASE WHEN l_partkey % 4 = 1 THEN concat('555-', l_partkey) END AS phone, CASE WHEN l_orderkey % 5 = 2 THEN concat(l_orderkey, ' Main St') END AS address,
+        CASE WHEN l_partkey % 5 < 4 THEN concat('reason ', l_linenumber) END AS relevance_reason,
         CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linenumber END AS source_page, l_discount * 10 AS confidence_score, l_shipdate AS created_at FROM lineitem"""),
     "canonicals": ("supplier", """SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS matter_id, s_name AS full_name, CASE s_suppkey % 3 WHEN 0 THEN 'expert' WHEN 1 THEN 'plaintiff' ELSE 'other' END AS role,
         CASE s_suppkey % 4 WHEN 0 THEN 'not_relevant' WHEN 1 THEN 'relevant' WHEN 2 THEN 'highly_relevant' END AS relevance, s_suppkey % 6 AS source_document_count FROM supplier"""),

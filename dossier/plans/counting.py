@@ -72,15 +72,15 @@ _ROLE = "CASE role WHEN 'expert' THEN 2 WHEN 'attorney' THEN 4 WHEN 'eyewitness'
 _REL = "CASE relevance WHEN 'not_relevant' THEN 0 WHEN 'somewhat_relevant' THEN 1 WHEN 'relevant' THEN 2 WHEN 'highly_relevant' THEN 3 ELSE -1 END"
 
 
-@query("agg_09_merged_people", f"""WITH g AS (SELECT canonical_id, arg_max(full_name, (length(full_name), -id)) AS full_name, arg_min(role, ({_ROLE}, id)) AS role, max({_REL}) AS rank,
-      arg_min(email, id) FILTER (WHERE email IS NOT NULL) AS email, max(confidence_score) AS max_confidence, count(DISTINCT document_id) AS documents, count(*) AS mentions, count(observation) AS observations
-      FROM mentions GROUP BY canonical_id)
-    SELECT canonical_id, full_name, role, rank, email, max_confidence, documents, mentions, observations FROM g""")
+@query("agg_09_merged_people", f"""SELECT canonical_id, arg_max(full_name, (length(full_name), -id)) AS full_name, arg_min(role, ({_ROLE}, id)) AS role, max({_REL}) AS rank,
+      string_agg(relevance_reason, ' | ' ORDER BY id) AS relevance_reason, arg_min(email, id) FILTER (WHERE email IS NOT NULL) AS email, arg_min(phone, id) FILTER (WHERE phone IS NOT NULL) AS phone,
+      arg_min(address, id) FILTER (WHERE address IS NOT NULL) AS address, max(confidence_score) AS max_confidence, count(DISTINCT document_id) AS documents, count(*) AS mentions, count(observation) AS observations
+      FROM mentions GROUP BY canonical_id""")
 def merged_people(t: Tables) -> DataFrame:
     from dossier.functions.text import relevance_rank
 
     found = R.merged_people(t.mentions, ["canonical_id"])
-    return found.withColumn("rank", relevance_rank(F.col("relevance"))).withColumn("observations", F.size("observations").cast("long")).drop("relevance")
+    return found.withColumn("rank", relevance_rank(F.col("relevance"))).drop("relevance")
 
 
 @query("agg_10_relevancy_stats", """SELECT c.matter_id, count(DISTINCT c.id) FILTER (WHERE claim_type = 'allegation') AS allegations, count(DISTINCT c.id) FILTER (WHERE claim_type = 'defense') AS defenses,

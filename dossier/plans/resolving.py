@@ -17,7 +17,8 @@ def _mentions(t: Tables) -> DataFrame:
 
 @query("er_20_canonicalize")
 def canonicalize(t: Tables) -> DataFrame:
-    found = P.resolved(P.excluded(_mentions(t), "firm2.com"), verdict=hooks.no_verdict)
+    """All tiers: names embedded once a spelling, doubtful pairs put to a verdict (the default is never sure)."""
+    found = P.resolved(P.excluded(_mentions(t), "firm2.com"), verdict=hooks.no_verdict, embed=hooks.embed)
     return found.select("id", "matter_id", "person", "match_type", F.round("match_score", 4).alias("match_score"))
 
 
@@ -30,8 +31,7 @@ def scale_mode(t: Tables) -> DataFrame:
 
 @query("er_21_merged")
 def merged(t: Tables) -> DataFrame:
-    people = P.canonical_people(P.resolved(_mentions(t)))
-    return people.withColumn("observations", F.size("observations"))
+    return P.canonical_people(P.resolved(_mentions(t)))
 
 
 @query("er_22_loose_clusters")
@@ -44,10 +44,13 @@ def recanonicalize(t: Tables) -> DataFrame:
     return P.stats(P.resolved(_mentions(t)))
 
 
-@query("er_24_members", "SELECT canonical_id, count(*) AS n, min(full_name) AS first_name, max(full_name) AS last_name FROM mentions GROUP BY canonical_id")
+@query("er_24_members", "SELECT canonical_id, id, full_name, row_number() OVER (PARTITION BY canonical_id ORDER BY full_name, id) AS place FROM mentions")
 def members(t: Tables) -> DataFrame:
-    listed = t.mentions.groupBy("canonical_id").agg(F.array_sort(F.collect_list(F.struct("full_name", "id"))).alias("of"))
-    return listed.select("canonical_id", F.size("of").cast("long").alias("n"), F.col("of")[0]["full_name"].alias("first_name"), F.element_at("of", -1)["full_name"].alias("last_name"))
+    """The members of each person by name, one row each: no list of a person's mentions is gathered."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("canonical_id").orderBy("full_name", "id"))
+    return t.mentions.select("canonical_id", "id", "full_name", place.cast("long").alias("place"))
 
 
 @query("udf_01_embedding")

@@ -4,7 +4,8 @@ import pytest
 
 from dossier.operators import resolve as P
 
-SCHEMA = "id long, matter_id long, document_id long, source_page int, full_name string, role string, observation string, email string, relevance string, confidence_score double"
+SCHEMA = "id long, matter_id long, document_id long, source_page int, full_name string, role string, observation string, email string, relevance string, confidence_score double, phone string, address string, relevance_reason string"
+#: Fixed golden data: names of one or several people, and the number of people.
 GROUPS = {
     1: (["John Smith", "John A. Smith", "J. Smith", "JOHN SMITH", "Mr. John Smith"], 2),
     2: (["Dr. Maria Garcia", "Maria Garcia, M.D.", "Maria L. Garcia", "Dr. M. Garcia"], 2),
@@ -16,7 +17,7 @@ GROUPS = {
 
 
 def mentions(spark):
-    rows = [(m * 100 + i, m, i, None, n, "other", None, None, None, 0.5) for m, (names, _) in GROUPS.items() for i, n in enumerate(names)]
+    rows = [(m * 100 + i, m, i, None, n, "other", None, None, None, 0.5, None, None, None) for m, (names, _) in GROUPS.items() for i, n in enumerate(names)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -58,7 +59,7 @@ def test_credits(spark):
 
 
 def test_linked_forms(spark):
-    rows = [(i, 1, i, None, n, "other", None, None, None, 0.5) for i, n in enumerate(["John Carroll", "John Mike Carroll", "Mike Carroll", "Michael Carroll", "FNU Carroll", "Ann Lee", "Lee Ann", "Ann Stone", "", None, " ".join(f"Token{i}" for i in range(30))])]
+    rows = [(i, 1, i, None, n, "other", None, None, None, 0.5, None, None, None) for i, n in enumerate(["John Carroll", "John Mike Carroll", "Mike Carroll", "Michael Carroll", "FNU Carroll", "Ann Lee", "Lee Ann", "Ann Stone", "", None, " ".join(f"Token{i}" for i in range(30))])]
     found = {r["id"]: r["person"] for r in P.linked(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len({found[i] for i in range(5)}) == 1 and found[5] == found[6] != found[7] and len(found) == len(rows) - 1
 
@@ -66,7 +67,7 @@ def test_linked_forms(spark):
 def test_linked_long_names(spark):
     """Token subsets of names of any length link, wherever their tokens stand in the alphabet."""
     names = ["Zzz Yyy", "Aaa Bbb Ccc Ddd Eee Fff Ggg Hhh Yyy Zzz", "Bbb Aaa", "Yyy Qqq", "Hhh Ggg Fff"]
-    rows = [(i, 1, i, None, n, "other", None, None, None, 0.5) for i, n in enumerate(names)]
+    rows = [(i, 1, i, None, n, "other", None, None, None, 0.5, None, None, None) for i, n in enumerate(names)]
     found = {r["id"]: r["person"] for r in P.linked(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found[0] == found[1] == found[2] == found[4] != found[3]
 
@@ -75,3 +76,72 @@ def test_agreement_compares_members(spark):
     a = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 1), (4, 1, 1), (5, 1, 2)], "id long, matter_id long, person long")
     b = spark.createDataFrame([(1, 1, 9), (2, 1, 8), (3, 1, 8), (4, 1, 9), (5, 1, None)], "id long, matter_id long, person long")
     assert [tuple(r) for r in P.agreement(a, b).collect()] == [(1, 3, 2, 0.2)]
+
+
+def test_merge_in_order(spark):
+    """Role of the first, higher relevance with its reason, one observation a document, first contacts, highest confidence."""
+    rows = [
+        (1, 1, 1, 2, "Ann Lee", "expert", None, None, None, 0.2, None, "", "why not"),
+        (2, 1, 1, 3, "Ann Mary Lee", "plaintiff", "saw", "", "not_relevant", 0.9, None, "1 Main St", "no"),
+        (3, 1, 1, 4, "Ann Lee", "other", "saw again", "a@b.c", "highly_relevant", None, "555", None, "first"),
+        (4, 1, 2, None, "Mary Ann Lee", "other", "heard", "x@y.z", "highly_relevant", 0.5, "777", None, "second"),
+        (5, 1, 3, None, "Ann Lee", "other", "", None, "bogus", 0.1, None, None, "third"),
+    ]
+    found = P.resolved(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    one = P.canonical_people(found).collect()
+    assert len(one) == 1
+    told = {k: one[0][k] for k in ("full_name", "role", "relevance", "relevance_reason", "email", "phone", "address", "max_confidence", "observations", "source_documents", "mentions")}
+    assert told == {"full_name": "Ann Mary Lee", "role": "expert", "relevance": "highly_relevant", "relevance_reason": "first", "email": "a@b.c", "phone": "555", "address": "1 Main St", "max_confidence": 0.9, "observations": 2, "source_documents": 4, "mentions": 5}
+    assert sorted((r["document_id"], r["observation"]) for r in P.merged_observations(found).collect()) == [(1, "saw"), (2, "heard")]
+    shy = P.canonical_people(P.resolved(spark.createDataFrame(rows[:2], SCHEMA))).first()
+    assert (shy["relevance"], shy["relevance_reason"]) == ("relevant", "why not")
+
+
+def test_order_counts(spark):
+    """The fold reads mentions one by one: a name that became longer in between changes what an equal form meets later."""
+    names = ["Bob Stone", "Bob Lee Stone", "Lee Stone"]
+    rows = [(i, 1, i, None, n, "other", None, None, None, 0.5, None, None, None) for i, n in enumerate([*names, "Bob Stone"])]
+    found = {r["id"]: (r["person"], r["match_type"]) for r in P.resolved(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {0: (0, "none"), 1: (0, "token_subset"), 2: (0, "token_subset"), 3: (0, "token_subset")}
+
+
+def test_embedding_and_verdict_tiers(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, 1, i, None, n, r, None, None, None, 0.5, None, None, None) for i, (n, r) in enumerate([("Qadir Khan", "expert"), ("Gadhafi Mohammed", "expert"), ("Xu Wei", "other"), ("Qadhir Kahn", "expert")])]
+    near = lambda name: F.when(name == "Gadhafi Mohammed", F.array(F.lit(1.0), F.lit(0.1))).when(name == "Qadir Khan", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    kinds = lambda f: {r["id"]: (r["person"], r["match_type"]) for r in f.collect()}
+    assert kinds(P.resolved(frame))[1] == (1, "none")
+    assert kinds(P.resolved(frame, embed=near))[1] == (0, "embedding")
+    plain = kinds(P.resolved(frame))[3]
+    asked = kinds(P.resolved(frame, verdict=lambda new, known: (new["role"] == known["role"] and known["name"] == "Qadir Khan", 0.8)))[3]
+    assert plain == (0, "fuzzy") or (plain[1], asked) == ("none", (0, "verified"))
+
+
+def test_folds_like_plain_python(spark):
+    """Random names of several matters against the fold written out over all mentions."""
+    import random
+
+    r = random.Random(3)
+    pool = ["John Smith", "Jon Smith", "John Q Smith", "J. Smith", "Mike Carroll", "Michael Carroll", "Mikey Carol", "FNU Carroll", "Ann Lee", "Lee Ann", "Anne Leigh", "Dr. Ann Lee Stone", ""]
+    rows = [(i, r.randrange(4), r.randrange(9), r.choice([None, 1, 2]), r.choice(pool), "other", None, None, None, 0.5, None, None, None) for i in range(300)]
+    strict = {n: f for n, f in P.forms(spark.createDataFrame([(n,) for n in pool], "full_name string")).select("full_name", "form").collect()}
+    people, want = {}, {}
+    for i, m, d, page, name, *_ in sorted(rows, key=lambda x: (x[1], x[2], -1 if x[3] is None else x[3], x[0])):
+        mine, found, best = people.setdefault(m, []), None, 0.0
+        for k, known in enumerate(mine):
+            if P.tier(strict[name], strict[known]):
+                found = k
+                break
+            score = P.fuzzy_of(strict[name], strict[known])
+            if score >= 0.85 and score > best:
+                found, best = k, score
+        if found is None:
+            mine.append(name)
+            found = len(mine) - 1
+        elif len(name) > len(mine[found]):
+            mine[found] = name
+        want[i] = found
+    got = {x["id"]: x["person"] for x in P.resolved(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()}
+    assert got == want
