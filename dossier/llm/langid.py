@@ -6,11 +6,14 @@ fit the models, the rest calibrates them. The models are kept as sorted hash arr
 log-probabilities and of back-off weights for each language, so one binary search serves all languages.
 
 A text gets the language of the lowest cross-entropy per character. ``score`` is a softmax of the length-normalised
-cross-entropies whose temperature is fitted on the calibration rows; a text is rejected when it has no letter or when its
-cross-entropy exceeds the largest one met in calibration (scaled by length) times ``slack``.
+cross-entropies whose temperature is fitted on the calibration rows. A text is rejected when it has no letter, or when its
+cross-entropy is above the limit of its language and length. Limits come from the calibration rows, which are cut into pieces
+of each class of ``LENGTHS`` letters: a limit is the quantile of the pieces' cross-entropies that the share ``REJECT`` of them
+exceeds. Between classes, a text takes the limit of the longest class that it reaches, so it is judged as a shorter one.
 
 Defined results: null, empty or letterless text: ``und``, score 0, rejected. No labelled row at all: every text is ``und``.
-Repeated rows and extra columns pass through unchanged; whole texts are read, whatever their length.
+Repeated rows and extra columns pass through unchanged; whole texts are read, whatever their length; of languages that fit
+equally well the first by name is taken.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 from dossier.llm.common import mix64, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
-BLANK, ORDER, ROWS_PER_LANG, SLACK = 32, 5, 300, 2.0
-#: Deviations of the cross-entropy shrink with the root of the letters, up to so many.
-SETTLED = 64
+ORDER, ROWS_PER_LANG, REJECT = 5, 300, 0.001
+#: Classes of length, in letters and word ends: cross-entropies vary less the longer the text.
+LENGTHS = (1, 8, 16, 32, 64, 128, 256, 512)
 SCHEMA = "lang string, score double, cross_entropy double, n_letters long, rejected boolean"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,8 +45,7 @@ class Model:
     logp: list[np.ndarray] = field(default_factory=list)
     loglam: list[np.ndarray] = field(default_factory=list)
     floor: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    limit: np.ndarray = field(default_factory=lambda: np.zeros((0, len(LENGTHS))))
     temperature: float = 1.0
 
 
@@ -146,7 +148,7 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
 
 
 def entropies(model: Model, texts: list[str | None], chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropy in nats a letter (word ends count) for each text and language, and the letters of each text."""
+    """Cross-entropy in nats a letter (word ends count) for each text and language, and the letters and word ends of each text."""
     ce, letters = np.full((len(texts), max(1, len(model.langs))), np.inf), np.zeros(len(texts), np.int64)
     rows, found, size = [], [], 0
 
@@ -172,18 +174,19 @@ def entropies(model: Model, texts: list[str | None], chunk: int = 1_000_000) ->
     return ce, letters
 
 
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.array(LENGTHS), np.maximum(n, 1), "right") - 1
+
+
 def decide(model: Model, texts: list[str | None]) -> pd.DataFrame:
     """The columns of SCHEMA for each text."""
     ce, n = entropies(model, texts)
     best = ce.argmin(1)
     some = n > 0
-    logits = -model.temperature * ce * np.sqrt(np.maximum(n, 1))[:, None]
-    with np.errstate(invalid="ignore", over="ignore"):
-        top = 1 / np.exp(logits - logits.max(1, keepdims=True)).sum(1)
+    logits = np.where(some[:, None], -model.temperature * ce * np.sqrt(np.maximum(n, 1))[:, None], 0.0) if model.langs else np.zeros_like(ce)
+    top = 1 / np.exp(logits - logits.max(1, keepdims=True)).sum(1)
     least = ce[np.arange(len(ce)), best]
-    far = np.zeros(len(ce), bool)
-    if model.langs:
-        far[some] = ((least - model.mean[best]) * np.sqrt(np.minimum(n, SETTLED)) > model.limit[best])[some]
+    far = some & (least > model.limit[best, length_class(n)]) if model.langs else ~some
     return pd.DataFrame(
         {
             "lang": [model.langs[b] if s else "und" for b, s in zip(best, some, strict=True)],
@@ -195,9 +198,21 @@ def decide(model: Model, texts: list[str | None]) -> pd.DataFrame:
     )
 
 
-def calibrate(model: Model, texts: list[str], langs: list[str], slack: float = SLACK) -> Model:
-    """Sets the temperature, and for each language the mean cross-entropy and the largest deviation times slack."""
-    model.mean, model.limit = np.zeros(len(model.langs)), np.full(len(model.langs), np.inf)
+def pieces(text: str, size: int) -> list[str]:
+    """The words of a text in consecutive pieces of at least `size` letters and word ends."""
+    out, now, n = [], [], 0
+    for w in LETTERS.findall(text.lower()):
+        now.append(w)
+        n += len(w) + 1
+        if n >= size:
+            out.append(" ".join(now))
+            now, n = [], 0
+    return out
+
+
+def calibrate(model: Model, texts: list[str], langs: list[str], reject: float = REJECT) -> Model:
+    """Sets the temperature, and the limits of each language and length."""
+    model.limit = np.full((len(model.langs), len(LENGTHS)), np.inf)
     ce, n = entropies(model, texts)
     rows = np.flatnonzero((n > 0) & np.isin(np.array(langs, object), model.langs))
     if not len(rows):
@@ -205,20 +220,25 @@ def calibrate(model: Model, texts: list[str], langs: list[str], slack: float = S
     truth = np.array([model.langs.index(langs[i]) for i in rows])
     ce, n = ce[rows], n[rows]
     loss = {}
-    for t in (0.05, 0.1, 0.2, 0.4, 0.8, 1.6):
+    for t in 0.05 * 2.0 ** np.arange(12):
         logits = -t * ce * np.sqrt(n)[:, None]
         logits -= logits.max(1, keepdims=True)
         loss[t] = -(logits[np.arange(len(rows)), truth] - np.log(np.exp(logits).sum(1))).mean()
-    model.temperature = min(loss, key=loss.get)
-    for c in range(len(model.langs)):
-        own = ce[truth == c, c], n[truth == c]
-        if len(own[0]):
-            model.mean[c] = np.average(own[0], weights=own[1])
-            model.limit[c] = slack * max(8.0, ((own[0] - model.mean[c]) * np.sqrt(np.minimum(own[1], SETTLED))).max())
+    model.temperature = float(min(loss, key=loss.get))
+    for c, lang in enumerate(model.langs):
+        own = [texts[i] for i in rows if langs[i] == lang]
+        for k, size in enumerate(LENGTHS):
+            found = entropies(model, [p for t in own for p in pieces(t, size)])[0][:, c]
+            if len(found) * reject >= 1:
+                model.limit[c, k] = np.quantile(found, 1 - reject, method="higher")
+            elif k:  # too few pieces to know the quantile: judged as shorter ones
+                model.limit[c, k] = model.limit[c, k - 1]
+            elif len(found):
+                model.limit[c, k] = found.max()
     return model
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_lang: int = ROWS_PER_LANG, order: int = ORDER, slack: float = SLACK) -> Model:
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_lang: int = ROWS_PER_LANG, order: int = ORDER, reject: float = REJECT) -> Model:
     """Fit on labelled rows; at most about rows_per_lang (documented bound) of each language are read whole."""
     rows = labelled.where(F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -239,7 +259,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per
         return Model()
     held = found[found["held"]]
     held = held if len(held) >= 20 else found
-    return calibrate(_stack(parts, order), held["text"].tolist(), held["lang"].tolist(), slack)
+    return calibrate(_stack(parts, order), held["text"].tolist(), held["lang"].tolist(), reject)
 
 
 def identify(model: Model, text: Column, spark) -> Column:

@@ -7,7 +7,7 @@ keeps few; those are compiled into one Spark column expression, so scoring runs
 At most about ``MAX_ROWS`` labelled rows, chosen by a hash of the id, fit the model (documented bound); all rows are scored.
 Defined results: null and empty texts have all statistics 0 and get a score like any other; without labels of both classes
 every score is the share of label 1, or 0.5 without any label; labels that are null, or of unknown documents, are not used;
-rows that repeat score alike; extra columns are ignored.
+rows that repeat score alike; texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,16 +96,20 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, trees: int = TREES, depth: in
     sample = rows.where(picked).select(F.col("label").cast("double").alias("label"), *stats)
     sample = sample.withColumn("features", array_to_vector(F.array(*stats)))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=SEED, maxBins=64).fit(sample)
-    found = dict.fromkeys(p for t in forest.trees for p in _paths(t._java_obj.rootNode(), ()))
-    rules = sorted(found, key=repr)
-    flags = F.array(*[condition(r).cast("double") for r in rules])
-    held = sample.select("label", array_to_vector(flags).alias("features"))
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=40, standardization=True).fit(held)
+    rules = sorted({p for t in forest.trees for p in _paths(t._java_obj.rootNode(), ())}, key=repr)
+    lasso = weighed(sample, rules, penalty)
     weights = lasso.coefficients.toArray()
     kept = [i for i, w in enumerate(weights) if abs(w) > 1e-9]
     return Rules([rules[i] for i in kept], [float(weights[i]) for i in kept], float(lasso.intercept))
 
 
+def weighed(sample: DataFrame, rules: list[tuple], penalty: float = PENALTY):
+    """The L1 logistic model of label over which rules hold."""
+    flags = F.array(*[condition(r).cast("double") for r in rules])
+    held = sample.select("label", array_to_vector(flags).alias("features"))
+    return LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=40, standardization=True).fit(held)
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     stats = statistics(table(spark, sf_dir, "documents"), ["doc_id"], "text")
     labels = table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))

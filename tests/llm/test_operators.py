@@ -60,14 +60,70 @@ def test_langid_without_labels(spark):
     assert langid.decide(model, ["the", None])["lang"].tolist() == ["und", "und"]
 
 
-def test_kneser_ney_sums_to_one():
-    text = ["abab", "abba", "baab", "ab"]
-    parts, floor = langid._kneser_ney(text, np.array([3, 2, 1, 4]), 3)
-    model = langid._stack({"x": (parts, floor)}, 3)
-    # After "a" at the start of a word: all letters, the end of the word, and one unseen letter.
-    letters = sorted({c for w in text for c in w})
-    after = lambda c: float(np.exp(langid.word_scores(model, ["a" + c])[0, 0] - langid.word_scores(model, ["a"])[0, 0]))
-    assert after(letters[0]) > 0 and after("z") > 0 and after("b") > after("z")
+def kneser_ney_by_hand(words, weights, order):
+    """P(letter | letters before it in the word, the first one a blank), written out from the definition."""
+    grams = [{} for _ in range(order)]
+    for word, weight in zip(words, weights, strict=True):
+        framed = f" {word} "
+        for end in range(1, len(framed)):
+            for m in range(1, order + 1):
+                if end - m + 1 >= 0:
+                    g = framed[end - m + 1 : end + 1]
+                    grams[m - 1][g] = grams[m - 1].get(g, 0) + weight
+    counts = []
+    for m in range(1, order + 1):
+        found = dict(grams[m - 1])
+        if m < order:
+            for g in found:
+                kinds = sum(1 for x in grams[m] if x[1:] == g)
+                starts = m > 1 and g[0] == " "
+                found[g] = found[g] if starts or not kinds else kinds
+        n1, n2 = (sum(1 for v in found.values() if v == k) for k in (1, 2))
+        counts.append((found, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5))
+    uniform = 1 / (len(grams[0]) + 1)
+
+    def p(letter, before):
+        if before is None:
+            return uniform
+        found, discount = counts[len(before)]
+        mine = {g: v for g, v in found.items() if g[:-1] == before}
+        lower = p(letter, before[1:] if before else None)
+        if not mine:
+            return lower
+        total = sum(mine.values())
+        return max(mine.get(before + letter, 0) - discount, 0) / total + discount * len(mine) / total * lower
+
+    return p
+
+
+def test_kneser_ney_by_hand():
+    """Every word's probability equals the definition's, and what may follow sums to one."""
+    words, weights, order = ["abab", "abba", "baab", "ab", "b", "caca"], [3, 2, 1, 4, 1, 2], 3
+    parts, floor = langid._kneser_ney(words, np.array(weights), order)
+    model = langid._stack({"x": (parts, floor)}, order)
+    p = kneser_ney_by_hand(words, weights, order)
+    for word in [*words, "cab", "zz", "abc", "bz", "a"]:
+        framed = f" {word} "
+        want = sum(math.log(p(framed[i], framed[max(0, i - order + 1) : i])) for i in range(1, len(framed)))
+        assert langid.word_scores(model, [word])[0, 0] == pytest.approx(want, abs=1e-4)
+    letters = [*"abc", " ", "z"]  # z stands for the one unseen letter
+    for before in (" ", " a", "ab", "ca", "b", "", "zz"):
+        assert sum(p(x, before) for x in letters) == pytest.approx(1)
+
+
+def test_langid_limits(spark):
+    """Held-back texts are rejected at about the stated rate or below, random and foreign letters are not taken."""
+    r = random.Random(2)
+    syllables = {"en": ["the", "er", "ing", "on", "and", "th"], "fr": ["que", "eau", "les", "ment", "ai", "ou"]}
+    make = lambda lang, n: " ".join("".join(r.choices(syllables[lang], k=r.randrange(1, 4))) for _ in range(n))
+    rows = [(i, make(lang, r.randrange(5, 120)), lang, "a") for i in range(400) for lang in syllables]
+    rows = [(k, *x[1:]) for k, x in enumerate(rows)]
+    model = langid.fit(documents(spark, rows[:600]), "doc_id", "text", "lang")
+    held = langid.decide(model, [x[1] for x in rows[600:]])
+    assert held["lang"].tolist() == [x[2] for x in rows[600:]] and held["rejected"].mean() <= 0.02
+    odd = langid.decide(model, ["".join(r.choices("bcdfgjkpqvwxyz", k=9)) + " " + "".join(r.choices("bcdfgjkpqvwxyz", k=40)) for _ in range(50)] + ["быстрая лиса бежит в лес"])
+    assert odd["rejected"].mean() >= 0.95
+    assert np.isfinite(model.limit).all()
 
 
 # --- WARC ------------------------------------------------------------------------------------------------------------
@@ -330,6 +386,31 @@ def test_quality(spark):
     assert all((found[i] > 0.5) == bool(i % 2) for i in range(400))
 
 
+def test_quality_column_is_the_model(spark):
+    """The compiled column equals the fitted logistic model over the rules, and a tree's rules are its nodes."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, words(i, 20 + i % 70, 300 if i % 3 else 30) + "! " * (i % 5), None, None) for i in range(200)] + [(900, None, None, None), (901, words(5, 60_000), None, None)]
+    stats = quality.statistics(documents(spark, rows), ["doc_id"], "text")
+    names = [c for c in stats.columns if c.startswith("s")]
+    sample = stats.where("doc_id < 200").withColumn("label", ((F.col("doc_id") % 3 > 0) & (F.col("doc_id") % 7 > 0)).cast("double"))
+    forest = RandomForestClassifier(numTrees=3, maxDepth=3, seed=1).fit(sample.withColumn("features", array_to_vector(F.array(*names))))
+    paths = [quality._paths(t._java_obj.rootNode(), ()) for t in forest.trees]
+    rules = sorted({p for own in paths for p in own}, key=repr)
+    lasso = quality.weighed(sample, rules, 0.001)
+    model = quality.Rules(rules, [float(w) for w in lasso.coefficients], float(lasso.intercept))
+    found = stats.select("doc_id", *names, model.score().alias("score")).collect()
+    holds = lambda rule, r: all((r[f"s{i}"] <= t) == low for i, low, t in rule)
+    for r in found:
+        flags = Vectors.dense([float(holds(rule, r)) for rule in rules])
+        assert r["score"] == pytest.approx(lasso.predictProbability(flags)[1], abs=1e-9)
+        for tree, own in zip(forest.trees, paths, strict=True):
+            leaves = [p for p in own if not any(q[: len(p)] == p and len(q) > len(p) for q in own)]
+            assert sum(holds(p, r) for p in leaves) == 1 and tree.numNodes == len(own) + 1
+
+
 def test_quality_without_labels(spark):
     stats = quality.statistics(empty(spark), ["doc_id"], "text")
     model = quality.fit(stats.withColumnRenamed("doc_id", "id").withColumn("label", F.lit(1)))
