@@ -1,12 +1,12 @@
 """Substring dedup by repeated-phrase automata: recurring word windows are removed from all but their first document.
 
 1. Every run of ``WINDOW`` words has an anchor, the ``ANCHOR``-word shingle of least hash inside it; equal windows have equal
-   anchors. Chunks send their distinct anchors to shards, which say which anchors more than one document holds.
+   anchors. Chunks send their distinct anchors to shards, which name those that more than one document holds.
 2. Windows with such an anchor are confirmed: shards find, for each window (96-bit hash), the smallest document that holds
-   it and name the windows that some chunk holds but does not own.
+   it, and name it to each chunk that holds the window where more than one document does.
 3. Each chunk cuts its recurring windows into passages (runs of consecutive windows), compiles them into an Aho-Corasick
-   automaton and streams all of its documents through it; every occurrence of a passage that started in a smaller document
-   is removed. The automata are shards of the whole dictionary: each holds the passages that its chunk can contain.
+   automaton and streams its documents through it; every occurrence of a passage that started in a smaller document is
+   removed. The automata are shards of the whole dictionary: each holds the passages that its part of a chunk contains.
 
 Defined results: null and blank texts have no words; ``kept_sha256`` of nothing is that of the empty string; rows that
 repeat an id are the same document; a row without an id counts as the largest document; documents of fewer than 13 words are
@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.chunks import by_shard, dealt, joined, spread, unpack
+from dossier.llm.chunks import by_chunk, by_shard, dealt, joined, lookup, parts, runs, spread, unpack
 from dossier.llm.common import rolling, sliding_argmin, table
 
 WINDOW, ANCHOR = 13, 5
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LAST = np.iinfo(np.int64).max
 _B1, _B2, _B3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
-ENTRIES = "shard int, chunk int, a binary, b binary, c binary"
+ENTRIES = "shard int, chunk int, hi binary, lo binary, doc binary, many binary"
 
 
 class Chunk:
@@ -65,72 +65,78 @@ class Chunk:
         return rolling(self.h, window, _B2)[self.at], rolling(self.h, window, _B3)[self.at].astype(np.uint32)
 
 
-def _first(hi: np.ndarray, lo: np.ndarray, doc: np.ndarray):
-    """Order by (window, doc), whether each place starts a new window, and the number of its window."""
-    order = np.lexsort((doc, lo, hi))
-    h, w = hi[order], lo[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-    return order, new, np.cumsum(new) - 1
+def _distinct(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(hi, lo, smallest document, do several documents hold it) of each different (hi, lo) of entries (hi, lo, document)."""
+    hi, lo, doc = (joined([f[k] for f in found], kind) for k, kind in enumerate((np.uint64, np.uint32, np.int64)))
+    order, new = runs(hi, lo)
+    first = np.flatnonzero(new)
+    if not len(first):
+        return hi, lo, doc, np.zeros(0, bool)
+    least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+    return hi[order[first]], lo[order[first]], least, most > least
+
+
+def _sent(key: tuple, shards: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """One row for each shard of a chunk's different entries."""
+    hi, lo, doc, many = _distinct(found)
+    rows = [(s, key[0], hi[i].tobytes(), lo[i].tobytes(), doc[i].tobytes(), many[i].tobytes()) for s, i in by_shard(hi, shards)]
+    return pd.DataFrame(rows, columns=["shard", "chunk", "hi", "lo", "doc", "many"])
 
 
 def send_anchors(shards: int, window: int, anchor: int):
-    def send(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        c = Chunk(pdf, window)
-        a, ids = c.anchors(window, anchor), c.ids[c.doc[c.at]]
-        order = np.argsort(a, kind="stable")
-        values, first = np.unique(a[order], return_index=True)
-        ids = ids[order]
-        many = np.maximum.reduceat(ids, first) > np.minimum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
-        rows = [(s, key[0], values[i].tobytes(), many[i].tobytes(), b"") for s, i in by_shard((values % np.uint64(shards)).astype(np.int64))]
-        return pd.DataFrame(rows, columns=["shard", "chunk", "a", "b", "c"])
+    def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for part in parts(pdf):
+            c = Chunk(part, window)
+            a = c.anchors(window, anchor)
+            hi, _, least, many = _distinct([(a, np.zeros(len(a), np.uint32), c.ids[c.doc[c.at]])])
+            # A second document, where there is one, keeps the word of several.
+            found.append((hi, np.zeros(len(hi), np.uint32), least))
+            found.append((hi[many], np.zeros(int(many.sum()), np.uint32), least[many] + 1))
+        return _sent(key, shards, found)
 
     return send
 
 
-def shared_anchors(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk a bit for each anchor it sent: do several documents hold it?"""
-    parts = unpack(pdf["a"], np.uint64)
-    values, counts = np.unique(joined(parts, np.uint64), return_counts=True)
+def recurring(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk, those of its entries that more than one document holds, with the smallest of all."""
+    sizes = np.fromiter(map(len, pdf["hi"]), np.int64, len(pdf)) // 8
+    hi, lo = joined(unpack(pdf["hi"], np.uint64), np.uint64), joined(unpack(pdf["lo"], np.uint32), np.uint32)
+    doc, many = joined(unpack(pdf["doc"], np.int64), np.int64), joined(unpack(pdf["many"], bool), bool)
+    chunk = np.repeat(pdf["chunk"].to_numpy(np.int64), sizes)
+    order, new = runs(hi, lo)
     rows = []
-    for chunk, a, many in zip(pdf["chunk"], parts, unpack(pdf["b"], bool), strict=True):
-        rows.append((chunk, key[0], np.packbits(many | (counts[np.searchsorted(values, a)] > 1)).tobytes()))
-    return pd.DataFrame(rows, columns=["chunk", "shard", "bits"])
+    if len(order):
+        first = np.flatnonzero(new)
+        least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+        several = (most > least) | np.logical_or.reduceat(many[order], first)
+        group = np.cumsum(new) - 1
+        use = order[several[group]]
+        owner = least[group[several[group]]]
+        rows = [(c, hi[use[i]].tobytes(), lo[use[i]].tobytes(), owner[i].tobytes()) for c, i in by_chunk(chunk[use])]
+    return pd.DataFrame(rows, columns=["chunk", "hi", "lo", "owner"])
 
 
-def send_windows(shards: int, window: int, anchor: int):
-    def send(key, docs: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-        c = Chunk(docs, window)
-        a = c.anchors(window, anchor)
-        values = np.unique(a)
-        answer = dict(zip(bits["shard"], bits["bits"], strict=True))
-        keep = np.zeros(len(values), bool)
-        for s, i in by_shard((values % np.uint64(shards)).astype(np.int64)):
-            keep[i] = np.unpackbits(np.frombuffer(answer[s], np.uint8), count=len(i)).astype(bool)
-        use = np.flatnonzero(keep[np.searchsorted(values, a)]) if len(values) else np.zeros(0, np.int64)
-        hi, lo = c.windows(window)
-        hi, lo, doc = hi[use], lo[use], c.ids[c.doc[c.at[use]]]
-        order, new, _ = _first(hi, lo, doc)
-        at = order[new]  # the smallest document of the chunk for each window
-        hi, lo, doc = hi[at], lo[at], doc[at]
-        rows = [(s, key[0], hi[i].tobytes(), lo[i].tobytes(), doc[i].tobytes()) for s, i in by_shard((hi % np.uint64(shards)).astype(np.int64))]
-        return pd.DataFrame(rows, columns=["shard", "chunk", "a", "b", "c"])
+def _answers(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hi, lo, owner) of what the shards told a chunk, sorted."""
+    hi, lo, owner = joined(unpack(pdf["hi"], np.uint64), np.uint64), joined(unpack(pdf["lo"], np.uint32), np.uint32), joined(unpack(pdf["owner"], np.int64), np.int64)
+    order = np.lexsort((lo, hi))
+    return hi[order], lo[order], owner[order]
 
-    return send
 
+def send_windows(shards: int, window: int, anchor: int):
+    def send(key: tuple, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        shared, _, _ = _answers(told)
+        found = []
+        for part in parts(docs) if len(shared) else ():
+            c = Chunk(part, window)
+            a = c.anchors(window, anchor)
+            use = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, a), len(shared) - 1)] == a)
+            hi, lo = c.windows(window)
+            found.append((hi[use], lo[use], c.ids[c.doc[c.at[use]]]))
+        return _sent(key, shards, found)
 
-def earlier_windows(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk, the windows whose smallest document lies in another chunk."""
-    parts = unpack(pdf["a"], np.uint64)
-    hi, lo, doc = joined(parts, np.uint64), joined(unpack(pdf["b"], np.uint32), np.uint32), joined(unpack(pdf["c"], np.int64), np.int64)
-    order, new, group = _first(hi, lo, doc)
-    late = np.zeros(len(hi), bool)
-    late[order] = doc[order] > doc[order][new][group]
-    rows, at = [], 0
-    for chunk, a in zip(pdf["chunk"], parts, strict=True):
-        rows.append((chunk, a[late[at : at + len(a)]].tobytes()))
-        at += len(a)
-    return pd.DataFrame(rows, columns=["chunk", "late"])
+    return send
 
 
 def _passages(c: Chunk, repeated: np.ndarray, owner: np.ndarray, window: int):
@@ -146,36 +152,33 @@ def _passages(c: Chunk, repeated: np.ndarray, owner: np.ndarray, window: int):
 
 
 def strip(window: int):
-    """The answer for each document of a chunk, located by the chunk's automaton."""
-
-    def locate(key, docs: pd.DataFrame, late: pd.DataFrame) -> pd.DataFrame:
-        c = Chunk(docs, window)
-        hi, lo = c.windows(window)
-        known = np.sort(joined(unpack(late["late"], np.uint64), np.uint64))
-        place = np.minimum(np.searchsorted(known, hi), max(len(known) - 1, 0))
-        elsewhere = known[place] == hi if len(known) else np.zeros(len(hi), bool)
-        doc = c.ids[c.doc[c.at]]
-        order, new, group = _first(hi, lo, doc)
-        own = np.zeros(len(hi), np.int64)
-        own[order] = doc[order][new][group]  # the smallest document of this chunk that holds the window
-        own[elsewhere] = np.iinfo(np.int64).min
-        framed = [f" {' '.join(ws)} " for ws in c.words]
-        edges = [np.cumsum([0, *map(len, ws)]) + np.arange(len(ws) + 1) for ws in c.words]  # the blank before each word
-        automaton = ahocorasick.Automaton()
-        for d, i, j, most in _passages(c, own < doc, own, window):
-            passage = framed[d][edges[d][i] : edges[d][j + 1] + 1]
-            automaton.add_word(passage, (len(passage), most))
-        automaton.make_automaton()
+    """The answer for each document of a chunk, located by the automata of its parts."""
+
+    def locate(key: tuple, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        hi, lo, owner = _answers(told)
         rows = []
-        for d, ws in enumerate(c.words):
-            kept, removed = ws, 0
-            if len(automaton) and len(ws) >= window:
-                found = [(end - n + 1, end) for end, (n, most) in automaton.iter(framed[d]) if most < c.ids[d]]
-                if found:
-                    gone = spread(np.searchsorted(edges[d], np.array(found)), len(ws))
-                    removed = int(gone.sum())
-                    kept = [w for w, g in zip(ws, gone.tolist(), strict=True) if not g]
-            rows.append((c.raw[d], len(ws), removed, hashlib.sha256(" ".join(kept).encode()).hexdigest(), " ".join(kept)))
+        for part in parts(docs):
+            c = Chunk(part, window)
+            at = lookup((hi, lo), c.windows(window))
+            doc = c.ids[c.doc[c.at]]
+            own = np.where(at >= 0, owner[at], doc) if len(owner) else doc
+            framed = [f" {' '.join(ws)} " for ws in c.words]
+            edges = [np.cumsum([0, *map(len, ws)]) + np.arange(len(ws) + 1) for ws in c.words]  # the blank before each word
+            automaton = ahocorasick.Automaton()
+            for d, i, j, most in _passages(c, own < doc, own, window):
+                passage = framed[d][edges[d][i] : edges[d][j + 1] + 1]
+                automaton.add_word(passage, (len(passage), most))
+            automaton.make_automaton()
+            for d, ws in enumerate(c.words):
+                kept, removed = ws, 0
+                if len(automaton) and len(ws) >= window:
+                    found = [(end - n + 1, end) for end, (n, most) in automaton.iter(framed[d]) if most < c.ids[d]]
+                    if found:
+                        gone = spread(np.searchsorted(edges[d], np.array(found)), len(ws))
+                        removed = int(gone.sum())
+                        kept = [w for w, g in zip(ws, gone.tolist(), strict=True) if not g]
+                text = " ".join(kept)
+                rows.append((c.raw[d], len(ws), removed, hashlib.sha256(text.encode()).hexdigest(), text))
         out = pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept_sha256", "kept"])
         return out.astype({"id": "Int64"})
 
@@ -186,11 +189,12 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WI
     """(id_col, n_words, n_removed, kept_sha256, kept): what stays of each document."""
     chunked, shards = dealt(docs, id_col, text_col, "string")
     chunks = chunked.groupBy("chunk")
+    answer = "chunk int, hi binary, lo binary, owner binary"
     asked = chunks.applyInPandas(send_anchors(shards, window, anchor), ENTRIES)
-    bits = asked.groupBy("shard").applyInPandas(shared_anchors, "chunk int, shard int, bits binary")
-    sent = chunks.cogroup(bits.groupBy("chunk")).applyInPandas(send_windows(shards, window, anchor), ENTRIES)
-    late = sent.groupBy("shard").applyInPandas(earlier_windows, "chunk int, late binary")
-    out = chunks.cogroup(late.groupBy("chunk")).applyInPandas(strip(window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    shared = asked.groupBy("shard").applyInPandas(recurring, answer)
+    sent = chunks.cogroup(shared.groupBy("chunk")).applyInPandas(send_windows(shards, window, anchor), ENTRIES)
+    told = sent.groupBy("shard").applyInPandas(recurring, answer)
+    out = chunks.cogroup(told.groupBy("chunk")).applyInPandas(strip(window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -241,8 +241,7 @@ def passages(seed):
 
 @pytest.mark.parametrize("chunk", [300, 1 << 20])
 def test_phrases(spark, monkeypatch, chunk):
-    monkeypatch.setattr("dossier.llm.chunks.CHUNK_BYTES", chunk)
-    monkeypatch.setattr("dossier.llm.chunks.SHARD_BYTES", 4 * chunk)
+    monkeypatch.setattr("dossier.llm.chunks.sized", lambda total: (total // chunk + 1, total // (4 * chunk) + 1))
     rows = passages(chunk)
     found = phrases.remove_repeats(documents(spark, [(i, t, None, None) for i, t in rows]), "doc_id", "text").drop("kept").collect()
     assert sorted(map(tuple, found), key=repr) == phrases_by_hand(rows)
@@ -277,13 +276,51 @@ def bytes_by_hand(rows, length):
 
 @pytest.mark.parametrize(("chunk", "length", "anchor"), [(400, 200, 40), (1 << 20, 200, 40), (700, 24, 7)])
 def test_repeats(spark, monkeypatch, chunk, length, anchor):
-    monkeypatch.setattr("dossier.llm.chunks.CHUNK_BYTES", chunk)
-    monkeypatch.setattr("dossier.llm.chunks.SHARD_BYTES", 2 * chunk)
+    monkeypatch.setattr("dossier.llm.chunks.sized", lambda total: (total // chunk + 1, total // (2 * chunk) + 1))
     rows = [*passages(chunk + 1), (70, "ab" * 400), (71, "a" * 300), (72, "x" + "a" * 250 + "y"), (73, "é" * 150), (74, "zé" * 150), (75, "a\x00" * 130)]
     found = repeats.remove_repeated_bytes(documents(spark, [(i, t, None, None) for i, t in rows]), "doc_id", "text", length, anchor).drop("kept").collect()
     assert sorted(map(tuple, found), key=repr) == bytes_by_hand(rows, length)
 
 
+@pytest.mark.parametrize(("hot", "local"), [(3, 2), (3, 1000), (1, 1)])
+def test_repeats_of_hot_anchors(hot, local, monkeypatch):
+    """A common line in many contexts: its strings are dealt one by one; every step run in one process."""
+    import pandas as pd
+
+    from dossier.llm import chunks
+
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "LOCAL", local)
+    monkeypatch.setattr(chunks, "PART_BYTES", 900)
+    line = words(77, 12, 500)
+    rows = [(i, f"{words(i, 30, 900)} {line} {words(-i, 30, 900)}") for i in range(40)]
+    rows += [(100 + i, f"{words(i, 25, 900)} {line} {words(-i, 30, 900)}") for i in range(9)] + [(200, rows[3][1]), (201, rows[4][1][40:]), (202, None), (203, "")]
+    docs, shards, length, anchor = pd.DataFrame([(i % 5, i, (t or "").encode()) for i, t in rows], columns=["chunk", "id", "text"]), 3, 60, 12
+    groups = dict(list(docs.groupby("chunk")))
+
+    def exchange(frames, column, f):
+        both = pd.concat(list(frames), ignore_index=True)
+        return [f((k,), own) for k, own in both.groupby(column)]
+
+    def told(answers, k):
+        both = pd.concat(answers, ignore_index=True)
+        return both[both["chunk"] == k]
+
+    asked = exchange((repeats.send_segments(shards, length, anchor)((k,), g) for k, g in groups.items()), "shard", repeats.asked_segments)
+    assert any((np.frombuffer(f, np.uint8) & repeats.SPREAD).any() for a in asked for f in a["flags"])
+    found = exchange((repeats.send_bytes(shards, length, anchor)((k,), g, told(asked, k)) for k, g in groups.items()), "shard", repeats.repeated_ranges(length))
+    out = pd.concat([repeats.cut_out(length, anchor)((k,), g, told(found, k)) for k, g in groups.items()])
+    assert sorted(map(tuple, out.drop(columns="kept").astype(object).to_numpy().tolist()), key=repr) == bytes_by_hand(rows, length)
+
+
+def test_exchange_grows_with_the_bytes():
+    """Rows between chunks and shards: five times the bytes, about five times the rows."""
+    from dossier.llm.chunks import sized
+
+    rows = [a * b for a, b in (sized(x << 20) for x in (160, 800, 4000, 20_000))]
+    assert all(4 < y / x < 6.5 for x, y in zip(rows, rows[1:], strict=False))
+
+
 def test_repeats_edges(spark):
     rows = [(r["doc_id"], r["text"]) for r in edges(spark).collect()]
     found = repeats.remove_repeated_bytes(edges(spark), "doc_id", "text").drop("kept").collect()
