@@ -40,7 +40,7 @@ def report(rows: DataFrame) -> DataFrame:
     rank = relevance_rank(F.coalesce("relevance", F.when(F.col("importance") == "high", "highly_relevant").when(F.col("importance") == "low", "somewhat_relevant").otherwise("relevant")))
     rows = rows.withColumn("rank", F.when(rank < 0, 1).otherwise(3 - rank))
     person = Window.partitionBy("full_name")
-    within = person.orderBy("rank", "id")
+    within = person.orderBy("rank", "id", F.desc("confidence_score"))
     rows = rows.withColumns({"n": F.count("*").over(person), "i": F.row_number().over(within), "top": F.min(F.struct("rank", "id")).over(person)})
     kinds = F.when(F.col("n") == 1, F.array(F.lit("single"))).when(F.col("i") == 1, F.array(F.lit("summary"), F.lit("detail"))).otherwise(F.array(F.lit("detail")))
     rows = rows.withColumn("kind", F.explode(kinds))

@@ -64,9 +64,11 @@ def witness_summary(t: Tables) -> DataFrame:
     return _part("witness_summary")(t)
 
 
-@query("clm_04_unlinked", "SELECT id AS person_id, full_name FROM canonicals WHERE id NOT IN (SELECT person_id FROM links WHERE case_claim_id % 40 = 3)")
+@query("clm_04_unlinked", "SELECT * FROM (SELECT id AS person_id, full_name FROM canonicals UNION ALL SELECT -c_custkey, c_name FROM customer) WHERE person_id NOT IN (SELECT person_id FROM links)")
 def unlinked(t: Tables) -> DataFrame:
-    return C.relevancy(_claims(t), t.links.where("case_claim_id % 40 = 3"), _people(t))["unlinked"]
+    """People of the matters, and clients, whom no claim is linked to."""
+    clients = t.customer.select((-F.col("c_custkey")).alias("person_id"), F.col("c_name").alias("full_name"))
+    return C.relevancy(_claims(t), t.links, _people(t).unionByName(clients))["unlinked"]
 
 
 @query("clm_04_stats", "SELECT claim_type, count(*) AS claims FROM claims GROUP BY claim_type")
@@ -81,13 +83,13 @@ def claims_of_matter(t: Tables) -> DataFrame:
 
 def _report_rows(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
-    people = t.mentions.where("id % 50 = 1").withColumns({"full_name": F.concat("full_name", F.lit(" "), "canonical_id"), "filename": F.concat(F.lit("doc "), "document_id")})
+    people = t.mentions.withColumns({"full_name": F.concat("full_name", F.lit(" "), "document_id"), "filename": F.concat(F.lit("doc "), "document_id")})
     return people.withColumns({"phone": none, "address": none, "relevance_reason": none, "source_quote": none, "document_relevance": none})
 
 
-@query("rpt_01_report", """WITH r AS (SELECT *, concat(full_name, ' ', canonical_id) AS who, CASE coalesce(relevance, CASE importance WHEN 'high' THEN 'highly_relevant' WHEN 'low' THEN 'somewhat_relevant' ELSE 'relevant' END)
-      WHEN 'highly_relevant' THEN 0 WHEN 'relevant' THEN 1 WHEN 'somewhat_relevant' THEN 2 ELSE 3 END AS rank FROM mentions WHERE id % 50 = 1),
-    g AS (SELECT *, count(*) OVER (PARTITION BY who) AS n, row_number() OVER (PARTITION BY who ORDER BY rank, id) AS i, min(rank) OVER (PARTITION BY who) AS top FROM r),
+@query("rpt_01_report", """WITH r AS (SELECT *, concat(full_name, ' ', document_id) AS who, CASE coalesce(relevance, CASE importance WHEN 'high' THEN 'highly_relevant' WHEN 'low' THEN 'somewhat_relevant' ELSE 'relevant' END)
+      WHEN 'highly_relevant' THEN 0 WHEN 'relevant' THEN 1 WHEN 'somewhat_relevant' THEN 2 ELSE 3 END AS rank FROM mentions),
+    g AS (SELECT *, count(*) OVER (PARTITION BY who) AS n, row_number() OVER (PARTITION BY who ORDER BY rank, id, confidence_score DESC) AS i, min(rank) OVER (PARTITION BY who) AS top FROM r),
     k AS (SELECT *, unnest(CASE WHEN n = 1 THEN ['single'] WHEN i = 1 THEN ['summary', 'detail'] ELSE ['detail'] END) AS kind FROM g)
     SELECT kind = 'summary' AS is_summary, top AS color_class, CASE kind WHEN 'detail' THEN '' ELSE printf('%.0f%%', round_even(confidence_score * 100, 0)) END AS confidence,
       CASE kind WHEN 'summary' THEN concat('Multiple observations (', n, ' entries) - see details below') ELSE coalesce(observation, '') END AS observation,
@@ -109,8 +111,8 @@ def relevancy_tables(t: Tables) -> DataFrame:
     return both.groupBy("claim_type").agg(F.count("*").alias("claims"), F.count_if(F.size("witnesses") > 0).alias("linked"))
 
 
-@query("rpt_02_color_class", """WITH r AS (SELECT concat(full_name, ' ', canonical_id) AS who, min(CASE coalesce(relevance, CASE importance WHEN 'high' THEN 'highly_relevant' WHEN 'low' THEN 'somewhat_relevant' ELSE 'relevant' END)
-      WHEN 'highly_relevant' THEN 0 WHEN 'relevant' THEN 1 WHEN 'somewhat_relevant' THEN 2 ELSE 3 END) AS c, count(*) AS n FROM mentions WHERE id % 50 = 1 GROUP BY 1)
+@query("rpt_02_color_class", """WITH r AS (SELECT concat(full_name, ' ', document_id) AS who, min(CASE coalesce(relevance, CASE importance WHEN 'high' THEN 'highly_relevant' WHEN 'low' THEN 'somewhat_relevant' ELSE 'relevant' END)
+      WHEN 'highly_relevant' THEN 0 WHEN 'relevant' THEN 1 WHEN 'somewhat_relevant' THEN 2 ELSE 3 END) AS c, count(*) AS n FROM mentions GROUP BY 1)
     SELECT c AS color_class, sum(CASE WHEN n = 1 THEN 1 ELSE n + 1 END)::BIGINT AS rows FROM r GROUP BY c""")
 def color_class(t: Tables) -> DataFrame:
     return P.report(_report_rows(t)).groupBy("color_class").agg(F.count("*").alias("rows"))

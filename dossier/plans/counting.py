@@ -92,12 +92,14 @@ def relevancy_stats(t: Tables) -> DataFrame:
 
 
 @query("agg_11_witness_relevance", """WITH s AS (SELECT p.id, count(l.case_claim_id) AS n, coalesce(sum(CASE WHEN relationship = 'supports' THEN 2 WHEN relationship IS NULL THEN 0 ELSE 1 END), 0)::BIGINT AS score
-      FROM canonicals p LEFT JOIN (SELECT * FROM links WHERE case_claim_id % 97 = 0) l ON l.person_id = p.id GROUP BY p.id)
+      FROM (SELECT id, id AS key FROM canonicals UNION SELECT -id, id FROM mentions) p LEFT JOIN (SELECT person_id AS id, * FROM links UNION ALL SELECT -witness_id, * FROM links) l ON l.id = p.id GROUP BY p.id)
     SELECT id, score, CASE WHEN n = 0 THEN 'UNKNOWN' WHEN score >= 4 OR n >= 3 THEN 'HIGHLY_RELEVANT' WHEN score >= 2 THEN 'RELEVANT' ELSE 'SOMEWHAT_RELEVANT' END AS level FROM s""")
 def witness_relevance(t: Tables) -> DataFrame:
     from dossier.operators.claims import relevance_levels
 
-    return relevance_levels(t.canonicals.select("id"), t.links.where("case_claim_id % 97 = 0").withColumnRenamed("person_id", "id"), "id")
+    people = t.canonicals.select("id").unionByName(t.mentions.select((-F.col("id")).alias("id")).distinct())
+    of_person = t.links.withColumn("id", F.col("person_id")).unionByName(t.links.withColumn("id", -F.col("witness_id")))
+    return relevance_levels(people, of_person, "id")
 
 
 @query("agg_12_authority_stats", "SELECT source, count(*) AS documents, count(*) FILTER (WHERE n_chars > 500) AS processed, sum(greatest(1, ceil(n_chars / 800)))::BIGINT AS chunks FROM documents GROUP BY source")

@@ -13,19 +13,22 @@ from dossier.sources import landing as L
 
 
 def _pages(t: Tables) -> DataFrame:
-    """Matters as pages of 200 JSON items; the item with id 900 comes again as 1200."""
-    item = F.to_json(F.struct(F.expr("CASE WHEN id = 1200 THEN 900 ELSE id END").alias("id"), "display_number", "description", F.expr("CASE WHEN id % 2 = 0 THEN named_struct('name', client_name) END").alias("client"), F.struct(F.col("status").alias("name")).alias("status"), "practice_area"))
+    """Matters as pages of 200 JSON items; on a further page behind all others the last one comes again, and new ones after it."""
+    item = F.to_json(F.struct("id", "display_number", "description", F.expr("CASE WHEN id % 2 = 0 THEN named_struct('name', client_name) END").alias("client"), F.struct(F.col("status").alias("name")).alias("status"), "practice_area"))
     rows = t.matters.select(F.floor(F.col("id") / 200).alias("page"), "id", item.alias("item"))
-    listed = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("of"))
+    last = t.matters.agg(F.max("id")).first()[0]
+    again = rows.where(F.col("id") >= last - 1).select((F.floor(F.lit(last) / 200) + 1).alias("page"), "id", F.when(F.col("id") == last, F.regexp_replace("item", f'^\\{{"id":{last}', f'{{"id":{last + 1}')).otherwise(F.regexp_replace("item", f'^\\{{"id":{last - 1}', f'{{"id":{last}')).alias("item"))
+    listed = rows.unionByName(again).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("of"))  # 200 a page
     return listed.select("page", F.concat(F.lit('{"data": ['), F.array_join(F.transform("of", lambda x: x["item"]), ","), F.lit("]}")).alias("value"))
 
 
-@query("src_01_paged_scan", "SELECT id FROM matters WHERE id < 1200")
+@query("src_01_paged_scan", "SELECT id FROM matters")
 def paged_scan(t: Tables) -> DataFrame:
+    """The scan stops at the first repeated item: what comes on that page from there on is dropped."""
     return L.pages(_pages(t)).select("id")
 
 
-@query("src_02_matters", "SELECT id::VARCHAR AS external_id, client_name, status, practice_area FROM matters WHERE id < 1200 AND id % 2 = 0 AND client_name IS NOT NULL AND status = 'Open'")
+@query("src_02_matters", "SELECT id::VARCHAR AS external_id, client_name, status, practice_area FROM matters WHERE id % 2 = 0 AND client_name IS NOT NULL AND status = 'Open'")
 def matters(t: Tables) -> DataFrame:
     return L.matters(L.pages(_pages(t)), only_open=True).select("external_id", "client_name", "status", "practice_area")
 
@@ -67,10 +70,12 @@ def assets(t: Tables) -> DataFrame:
     return found.select("name", "asset_type", F.length("text").alias("chars"), "error")
 
 
-@query("src_06a_decoded_text", "SELECT doc_id, text FROM documents")
+@query("src_06a_decoded_text", """SELECT doc_id, md5(CASE WHEN lang = 'en' THEN text ELSE regexp_replace(text, '[^\\x00-\\x{FF}]', '?', 'g') END) AS h FROM documents""")
 def decoded_text(t: Tables) -> DataFrame:
-    latin = F.when(F.col("lang") == "en", F.col("text").cast("binary")).otherwise(F.coalesce(F.try_validate_utf8("text"), F.lit("")).cast("binary"))
-    return t.documents.select("doc_id", L.decoded(latin).alias("text"))
+    """English texts as UTF-8 bytes, the others as Latin-1 bytes: those with letters beyond ASCII are no valid UTF-8."""
+    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    content = F.when(F.col("lang") == "en", F.col("text").cast("binary")).otherwise(latin)
+    return t.documents.select("doc_id", F.md5(L.decoded(content).cast("binary")).alias("h"))
 
 
 @query("src_06c_csv_text", "SELECT doc_id, len(list_filter(string_split(concat_ws(',', lang, source, n_chars), ','), lambda x: x <> '')) AS cells FROM documents")
@@ -99,11 +104,11 @@ def text_store(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("snk_01_requests", """SELECT doc_id, concat('doc-', doc_id) AS record_id, length(substr(text, 1, 500)) AS chars FROM documents""")
+@query("snk_01_requests", """SELECT doc_id, concat('doc-', doc_id) AS record_id, length(text) AS chars FROM documents""")
 def requests(t: Tables) -> DataFrame:
     lines = L.requests(t.documents, F.concat(F.lit("doc-"), "doc_id"), "List every person.", F.col("text"))
     read = lines.select(F.get_json_object("value", "$.recordId").alias("record_id"), F.get_json_object("value", "$.modelInput.messages[0].content[0].text").alias("t"))
-    return read.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("doc_id"), "record_id", F.length(F.substring("t", 1, 500)).cast("long").alias("chars"))
+    return read.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("doc_id"), "record_id", F.length("t").cast("long").alias("chars"))
 
 
 @query("snk_04_upsert_texts", """SELECT doc_id % 9 AS organization_id, doc_id AS external_id, sha256(text) AS content_hash, CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE n_chars END::BIGINT AS file_size FROM documents""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import fixed, rules
 from dossier.functions.names import tokens
 from dossier.operators import relations as R
 from dossier.plans.bindings import Tables
@@ -59,11 +60,11 @@ def semi_delete(t: Tables) -> DataFrame:
     return t.mentions.join(gone, "document_id", "left_anti").select("id")
 
 
-@query("jn_08_snapshot", "SELECT d.id, d.matter_id FROM filings d WHERE NOT d.is_soft_deleted AND d.matter_id % 4 = 1")
+@query("jn_08_snapshot", "SELECT d.id, d.matter_id, f.id IS NOT NULL AS in_snapshot FROM filings d LEFT JOIN (SELECT id FROM filings WHERE NOT is_soft_deleted AND updated_at < DATE '1997-01-01') f ON d.id = f.id")
 def snapshot(t: Tables) -> DataFrame:
-    frozen = t.filings.where("NOT is_soft_deleted AND matter_id % 4 = 1").groupBy("matter_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    ids = frozen.select(F.explode("ids").alias("id"))
-    return t.filings.join(ids, "id", "left_semi").select("id", "matter_id")
+    """Today's documents against those that were live when the job was made."""
+    frozen = t.filings.where("NOT is_soft_deleted AND updated_at < DATE '1997-01-01'").select("id", F.lit(True).alias("kept"))
+    return t.filings.join(frozen, "id", "left").select("id", "matter_id", F.col("kept").isNotNull().alias("in_snapshot"))
 
 
 @query("jn_09_absent", "SELECT id FROM filings WHERE id % 5 <> 0 AND id NOT IN (SELECT id FROM filings WHERE id % 7 <> 0)")
@@ -102,11 +103,10 @@ def record_ids(t: Tables) -> DataFrame:
     return parsed.join(t.filings.select("id"), "id").select("id", "record_id")
 
 
-@query("jn_17_concepts", " UNION ALL ".join("SELECT doc_id, '{}' AS concept FROM documents WHERE {}".format(c[0], " OR ".join(f"contains(lower(text), '{w}')" for w in c)) for c in (("thing", "thi"), ("order", "ord", "ere"), ("end", "end", "ent"))))
+@query("jn_17_concepts", "SELECT id, CASE " + " ".join("WHEN {} THEN '{}'".format(" OR ".join(f"contains(lower(claim_text), '{w}')" for w in c), c[0]) for c in fixed.CONCEPTS) + " END AS concept FROM claims")
 def concepts(t: Tables) -> DataFrame:
-    dictionary = (("thing", "thi"), ("order", "ord", "ere"), ("end", "end", "ent"))
-    found = F.array(*[F.when(F.lower("text").rlike("|".join(c)), F.lit(c[0])) for c in dictionary])
-    return t.documents.select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("concept"))
+    """The first concept, in the order of the dictionary, that a text names."""
+    return t.claims.select("id", F.get(rules.concept_queries(F.col("claim_text"), 1), F.lit(0)).alias("concept"))
 
 
 @query("jn_18_counts", """SELECT t.id, count(DISTINCT d.id) AS documents, count(m.id) AS mentions FROM matters t
@@ -126,9 +126,8 @@ def user_organization(t: Tables) -> DataFrame:
 
 @query("jn_22_selected", "SELECT matter_id, id FROM jobs WHERE status = 'completed' AND id % 7 < 2")
 def selected(t: Tables) -> DataFrame:
-    nested = t.jobs.where("status = 'completed'").groupBy("matter_id").agg(F.collect_list("id").alias("results"))
-    picked = t.jobs.where("id % 7 < 2").groupBy("matter_id").agg(F.collect_set("id").alias("wanted"))
-    return nested.join(picked, "matter_id").select("matter_id", F.explode(F.array_intersect("results", "wanted")).alias("id"))
+    wanted = t.jobs.where("id % 7 < 2").select("matter_id", "id")
+    return t.jobs.where("status = 'completed'").join(wanted, ["matter_id", "id"], "left_semi").select("matter_id", "id")
 
 
 @query("jn_23_latest_job", "SELECT d.id, j.job FROM filings d JOIN (SELECT matter_id, arg_max(id, id) AS job FROM jobs GROUP BY matter_id) j USING (matter_id)")

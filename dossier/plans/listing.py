@@ -25,11 +25,8 @@ def mention_rows(t: Tables) -> DataFrame:
 @query("prj_02_canonical_observations", """SELECT canonical_id, count(*) AS n, sum(doc)::BIGINT AS docs, sum(page)::BIGINT AS pages, count(*) FILTER (WHERE text = '') AS untold
     FROM (SELECT canonical_id, coalesce(document_id, 0) AS doc, coalesce(source_page, 0) AS page, coalesce(observation, '') AS text FROM mentions) GROUP BY canonical_id""")
 def canonical_observations(t: Tables) -> DataFrame:
-    nested = t.mentions.groupBy("canonical_id").agg(F.collect_list(F.struct("document_id", "source_page", "observation")).alias("seen"))
-    rekeyed = F.transform("seen", lambda x: F.struct(F.coalesce(x["document_id"], F.lit(0)).alias("doc_id"), F.coalesce(x["source_page"], F.lit(0)).alias("page"), F.coalesce(x["observation"], F.lit("")).alias("text")))
-    flat = nested.withColumn("o", rekeyed)
-    total = lambda f: F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s + x[f])
-    return flat.select("canonical_id", F.size("o").cast("long").alias("n"), total("doc_id").alias("docs"), total("page").alias("pages"), F.size(F.filter("o", lambda x: x["text"] == "")).cast("long").alias("untold"))
+    rekeyed = t.mentions.select("canonical_id", F.coalesce("document_id", F.lit(0)).alias("doc_id"), F.coalesce("source_page", F.lit(0)).alias("page"), F.coalesce("observation", F.lit("")).alias("text"))
+    return rekeyed.groupBy("canonical_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("docs"), F.sum("page").cast("long").alias("pages"), F.count_if(F.col("text") == "").alias("untold"))
 
 
 @query("prj_03_job_rows", """SELECT j.id, CASE WHEN total_documents = 0 THEN 0.0 ELSE round(processed_documents * 100.0 / total_documents, 1) END::DOUBLE AS progress,
@@ -162,8 +159,7 @@ def observation_search(t: Tables) -> DataFrame:
 
 @query("flt_19_awaiting_review", "SELECT matter_id, count(*) AS results FROM jobs WHERE status = 'completed' AND NOT is_archived GROUP BY matter_id")
 def awaiting_review(t: Tables) -> DataFrame:
-    ready = t.jobs.where("status = 'completed' AND NOT is_archived").groupBy("matter_id").agg(F.collect_list("id").alias("results"))
-    return ready.select("matter_id", F.size("results").cast("long").alias("results"))
+    return t.jobs.where("status = 'completed' AND NOT is_archived").groupBy("matter_id").agg(F.count("*").alias("results"))
 
 
 @query("flt_20_query_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),

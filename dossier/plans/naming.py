@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import fixed
 from dossier.functions import names as N
 from dossier.functions import text as X
 from dossier.plans.bindings import Tables
@@ -19,13 +20,18 @@ def _names(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Every name beside the next in order: a lag over the few different names."""
-    from pyspark.sql import Window
+    """The different pairs of names that follow each other in a document, with their strict forms n and m."""
+    lines = t.mentions.select("document_id", (F.col("id") % 10).alias("line"), "full_name")
+    after = lines.select("document_id", (F.col("line") - 1).alias("line"), F.col("full_name").alias("other"))
+    names = _names(t)
+    found = lines.join(after, ["document_id", "line"]).select("full_name", "other").distinct()
+    return found.join(names, "full_name").join(names.select(F.col("full_name").alias("other"), F.col("n").alias("m")), "other")
 
-    return _names(t).withColumn("m", F.lag("n").over(Window.partitionBy(F.lit(0)).orderBy("full_name"))).where("m IS NOT NULL")
 
-
-_PAIRS = f"SELECT * FROM (SELECT full_name, n, lag(n) OVER (ORDER BY full_name) AS m FROM ({_NAMES})) WHERE m IS NOT NULL"
+_PAIRS = f"""SELECT p.*, a.n, b.n AS m FROM (SELECT DISTINCT x.full_name, y.full_name AS other FROM mentions x JOIN mentions y ON x.document_id = y.document_id AND y.id % 10 = x.id % 10 + 1) p
+    JOIN ({_NAMES}) a ON a.full_name = p.full_name JOIN ({_NAMES}) b ON b.full_name = p.other"""
+_LEV = "CASE WHEN n = m THEN 1.0 ELSE 1 - levenshtein(n, m) / greatest(length(n), length(m)) END"
+_NICK = "(VALUES " + ", ".join(f"('{k}', ['" + "', '".join(v) + "'])" for k, v in fixed.NICKNAMES.items()) + ") AS t(k, v)"
 
 
 @query("fn_01_strict", f"SELECT id, {_STRICT} AS n FROM mentions")
@@ -48,38 +54,44 @@ def parts(t: Tables) -> DataFrame:
 
 @query("fn_04_jaro_winkler")
 def jaro_winkler(t: Tables) -> DataFrame:
-    return _pairs(t).select("full_name", F.round(N.jaro_winkler("n", "m"), 6).alias("score"))
+    return _pairs(t).select("full_name", "other", F.round(N.jaro_winkler("n", "m"), 6).alias("score"))
 
 
-@query("fn_05_levenshtein", f"SELECT full_name, round(CASE WHEN n = m THEN 1.0 ELSE 1 - levenshtein(n, m) / greatest(length(n), length(m)) END, 6)::DOUBLE AS score FROM ({_PAIRS})")
+@query("fn_05_levenshtein", f"SELECT full_name, other, round({_LEV}, 6)::DOUBLE AS score FROM ({_PAIRS})")
 def levenshtein(t: Tables) -> DataFrame:
-    return _pairs(t).select("full_name", F.round(N.levenshtein_similarity(F.col("n"), F.col("m")), 6).alias("score"))
+    return _pairs(t).select("full_name", "other", F.round(N.levenshtein_similarity(F.col("n"), F.col("m")), 6).alias("score"))
 
 
 @query("fn_06_fuzzy")
 def fuzzy(t: Tables) -> DataFrame:
-    return _pairs(t).select("full_name", F.round(N.fuzzy(F.col("n"), F.col("m")), 6).alias("score"))
+    return _pairs(t).select("full_name", "other", F.round(N.fuzzy(F.col("n"), F.col("m")), 6).alias("score"))
 
 
 @query("fn_07_loose_score")
 def loose_score(t: Tables) -> DataFrame:
-    return _pairs(t).select("full_name", N.loose_score("n", "m").alias("score"))
+    return _pairs(t).select("full_name", "other", N.loose_score("n", "m").alias("score"))
 
 
-@query("fn_08_token_subset", f"""WITH s AS (SELECT full_name, list_distinct(string_split(n, ' ')) AS a, list_distinct(string_split(m, ' ')) AS b FROM ({_PAIRS}))
-    SELECT full_name, CASE WHEN len(a) > 1 AND len(b) > 1 AND (list_has_all(b, a) OR list_has_all(a, b)) THEN 0.95 END::DOUBLE AS score FROM s""")
+@query("fn_08_token_subset", f"""WITH s AS (SELECT full_name, other, list_distinct(string_split(n, ' ')) AS a, list_distinct(string_split(m, ' ')) AS b FROM ({_PAIRS}))
+    SELECT full_name, other, CASE WHEN len(a) > 1 AND len(b) > 1 AND (list_has_all(b, a) OR list_has_all(a, b)) THEN 0.95 END::DOUBLE AS score FROM s""")
 def token_subset(t: Tables) -> DataFrame:
-    return _pairs(t).select("full_name", N.token_subset(F.col("n"), F.col("m")).alias("score"))
+    return _pairs(t).select("full_name", "other", N.token_subset(F.col("n"), F.col("m")).alias("score"))
 
 
-@query("fn_09_nicknames")
+@query("fn_09_nicknames", f"""WITH s AS (SELECT full_name, other, string_split(n, ' ')[1] AS a, string_split(m, ' ')[1] AS b FROM ({_PAIRS}))
+    SELECT full_name, other, list_has_any(coalesce(x.v, [a]), coalesce(y.v, [b])) AS same FROM s LEFT JOIN {_NICK.replace("t(", "x(")} ON x.k = a LEFT JOIN {_NICK.replace("t(", "y(")} ON y.k = b""")
 def nicknames(t: Tables) -> DataFrame:
-    return _pairs(t).select("full_name", N.nicknames(N.tokens(F.col("n"))[0], N.tokens(F.col("m"))[0]).alias("same"))
+    return _pairs(t).select("full_name", "other", N.nicknames(N.tokens(F.col("n"))[0], N.tokens(F.col("m"))[0]).alias("same"))
 
 
-@query("fn_10_lastname_priority")
+@query("fn_10_lastname_priority", f"""WITH s AS (SELECT full_name, other, string_split(n, ' ') AS a, string_split(m, ' ') AS b FROM ({_PAIRS})), u AS (SELECT ['{"', '".join(fixed.UNKNOWN_NAMES)}'] AS u),
+    p AS (SELECT s.*, list_distinct(a[1:len(a) - 1]) AS x, list_distinct(b[1:len(b) - 1]) AS y, u FROM s, u WHERE len(a) > 1 AND len(b) > 1 AND a[-1] = b[-1]),
+    v AS (SELECT p.*, list_distinct(flatten(list_transform(x, lambda e: coalesce(m.nick[e], [e])))) AS vx, list_distinct(flatten(list_transform(y, lambda e: coalesce(m.nick[e], [e])))) AS vy
+      FROM p, (SELECT map(list(k), list(v)) AS nick FROM {_NICK}) m)
+    SELECT s.full_name, s.other, CASE WHEN v.x IS NULL THEN NULL WHEN (list_has_any(x, u) AND len(list_filter(y, lambda e: NOT list_contains(u, e))) > 0) OR (list_has_any(y, u) AND len(list_filter(x, lambda e: NOT list_contains(u, e))) > 0) THEN 0.85
+      WHEN list_has_any(x, y) OR list_has_any(vx, vy) THEN 0.9 END::DOUBLE AS score FROM s LEFT JOIN v ON s.full_name = v.full_name AND s.other = v.other""")
 def lastname_priority(t: Tables) -> DataFrame:
-    return _pairs(t).select("full_name", N.lastname_priority(F.col("n"), F.col("m")).alias("score"))
+    return _pairs(t).select("full_name", "other", N.lastname_priority(F.col("n"), F.col("m")).alias("score"))
 
 
 @query("fn_11_cosine", """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS f FROM embeddings)
@@ -174,11 +186,13 @@ def sentence_chunks(t: Tables) -> DataFrame:
     return X.sentence_chunks(t.documents, ["doc_id"], "text").select("doc_id", "chunk_index", F.sha2("chunk_text", 256).alias("h"))
 
 
-@query("fn_33_prompt_text", "SELECT source, string_agg(concat('[', n, '] ', substr(text, 1, 100)), chr(10) ORDER BY n) AS prompt FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY source")
+@query("fn_33_prompt_text", "SELECT conv_id, string_agg(concat('[', n, '] ', role, ': ', text), chr(10) ORDER BY n) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) GROUP BY conv_id")
 def prompt_text(t: Tables) -> DataFrame:
+    """All turns of each conversation, whole, as numbered lines."""
     from dossier.operators import research as S
 
-    return S.context_text(t.documents, ["source"], [F.col("doc_id")], F.substring("text", 1, 100), most=5).withColumnRenamed("context", "prompt")
+    line = F.concat_ws(": ", "role", F.coalesce("text", F.lit("")))
+    return S.context_text(t.conversations, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], line, most=None).withColumnRenamed("context", "prompt")
 
 
 _INNER, _OUTER = (bytes(k ^ pad for k in b"secret".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))

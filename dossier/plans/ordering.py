@@ -51,14 +51,14 @@ def reasons(t: Tables) -> DataFrame:
     return C.reasons(t.links, t.claims.withColumn("claim_number", F.col("claim_number_raw").cast("long")), "person_id")
 
 
-@query("win_07_group_rows", """WITH g AS (SELECT canonical_id, count(*) AS n FROM mentions WHERE id % 100 = 1 GROUP BY 1)
-    SELECT canonical_id, n, CASE WHEN n = 1 THEN 1 ELSE n + 1 END AS report_rows FROM g""")
+@query("win_07_group_rows", """WITH g AS (SELECT document_id, count(*) AS n FROM mentions GROUP BY 1)
+    SELECT document_id, n, CASE WHEN n = 1 THEN 1 ELSE n + 1 END AS report_rows FROM g""")
 def group_rows(t: Tables) -> DataFrame:
-    sized = t.mentions.where("id % 100 = 1").withColumn("n", F.count("*").over(Window.partitionBy("canonical_id")))
-    first = _place("canonical_id")("id")
+    sized = t.mentions.withColumn("n", F.count("*").over(Window.partitionBy("document_id")))
+    first = _place("document_id")("id")
     kinds = F.when(F.col("n") == 1, F.array(F.lit("single"))).when(F.col("first") == 1, F.array(F.lit("summary"), F.lit("detail"))).otherwise(F.array(F.lit("detail")))
-    rows = sized.withColumn("first", first).select("canonical_id", "n", F.explode(kinds).alias("kind"))
-    return rows.groupBy("canonical_id", "n").agg(F.count("*").alias("report_rows"))
+    rows = sized.withColumn("first", first).select("document_id", "n", F.explode(kinds).alias("kind"))
+    return rows.groupBy("document_id", "n").agg(F.count("*").alias("report_rows"))
 
 
 @query("win_08_turn_batches", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch FROM conversations")
@@ -66,9 +66,9 @@ def turn_batches(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.floor((_place("conv_id")("turn") - 1) / 3).alias("batch"))
 
 
-@query("win_09_page_chunks", "SELECT document_id, coalesce(source_page, 0) // 2 AS chunk, count(*) AS pages FROM mentions GROUP BY 1, 2")
+@query("win_09_page_chunks", "SELECT document_id, (coalesce(source_page, 1) - 1) // 2 AS chunk, count(*) AS pages FROM mentions GROUP BY 1, 2")
 def page_chunks(t: Tables) -> DataFrame:
-    chunk = F.floor(F.coalesce("source_page", F.lit(0)) / 2).alias("chunk")
+    chunk = F.floor((F.coalesce("source_page", F.lit(1)) - 1) / 2).alias("chunk")
     return t.mentions.groupBy("document_id", chunk).agg(F.count("*").alias("pages"))
 
 
@@ -103,9 +103,9 @@ def canonicals(t: Tables) -> DataFrame:
     return R.page(t.canonicals, [F.desc("source_document_count"), F.col("full_name")], 1, 40).select("id", "source_document_count")
 
 
-@query("srt_04_matters", "SELECT id, client_name FROM matters ORDER BY client_name DESC NULLS LAST, id LIMIT 60")
+@query("srt_04_matters", "SELECT id, client_name FROM matters ORDER BY client_name DESC NULLS LAST, id")
 def matters(t: Tables) -> DataFrame:
-    return R.sorted_matters(t.matters, "client_name", descending=True).limit(60).select("id", "client_name")
+    return R.sorted_matters(t.matters, "client_name", descending=True).select("id", "client_name")
 
 
 @query("srt_05_claims", "SELECT id, confidence FROM claims ORDER BY confidence DESC NULLS LAST, id LIMIT 10")
@@ -127,10 +127,10 @@ def uncertain(t: Tables) -> DataFrame:
     return top.groupBy("canonical_id").agg(F.round(F.sum("confidence_score"), 6).alias("top3"))
 
 
-@query("srt_08_report_order", """SELECT id, relevance FROM canonicals ORDER BY coalesce(CASE relevance WHEN 'highly_relevant' THEN 0 WHEN 'relevant' THEN 1 WHEN 'somewhat_relevant' THEN 2 WHEN 'not_relevant' THEN 3 END, 1), id LIMIT 50""")
+@query("srt_08_report_order", """SELECT id, relevance FROM canonicals ORDER BY coalesce(CASE relevance WHEN 'highly_relevant' THEN 0 WHEN 'relevant' THEN 1 WHEN 'somewhat_relevant' THEN 2 WHEN 'not_relevant' THEN 3 END, 1), id""")
 def report_order(t: Tables) -> DataFrame:
     rank = relevance_rank(F.col("relevance"))
-    return t.canonicals.orderBy(F.when(rank < 0, 1).otherwise(3 - rank), "id").limit(50).select("id", "relevance")
+    return t.canonicals.orderBy(F.when(rank < 0, 1).otherwise(3 - rank), "id").select("id", "relevance")
 
 
 @query("srt_09_retry_order", "SELECT id FROM filings WHERE processing_error IS NOT NULL ORDER BY retry_count, updated_at, id LIMIT 10")
@@ -143,9 +143,9 @@ def research_order(t: Tables) -> DataFrame:
     return t.claims.orderBy(F.desc_nulls_last("confidence"), "id").limit(15).select("id")
 
 
-@query("srt_11_assets", "SELECT id, coalesce(source_page, 0) AS page FROM mentions ORDER BY coalesce(source_page, 0), id LIMIT 200")
+@query("srt_11_assets", "SELECT id, coalesce(source_page, 0) AS page FROM mentions ORDER BY coalesce(source_page, 0), id")
 def asset_order(t: Tables) -> DataFrame:
-    return t.mentions.orderBy(F.coalesce("source_page", F.lit(0)), "id").limit(200).select("id", F.coalesce("source_page", F.lit(0)).alias("page"))
+    return t.mentions.orderBy(F.coalesce("source_page", F.lit(0)), "id").select("id", F.coalesce("source_page", F.lit(0)).alias("page"))
 
 
 @query("srt_12_usage_history", "SELECT ts::DATE::VARCHAR AS day, count(*) AS used FROM events WHERE event_type = 'purchase' AND ts::DATE >= (SELECT max(ts)::DATE - 5 FROM events) GROUP BY 1 ORDER BY 1 DESC")
@@ -154,6 +154,6 @@ def usage_history(t: Tables) -> DataFrame:
     return recent.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("used")).orderBy(F.desc("day"))
 
 
-@query("srt_13_newest", "SELECT id FROM jobs ORDER BY created_at DESC, id DESC LIMIT 25")
+@query("srt_13_newest", "SELECT id FROM jobs ORDER BY created_at DESC, id DESC")
 def newest(t: Tables) -> DataFrame:
-    return t.jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(25).select("id")
+    return t.jobs.orderBy(F.desc("created_at"), F.desc("id")).select("id")

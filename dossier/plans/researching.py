@@ -61,11 +61,27 @@ def theories(t: Tables) -> DataFrame:
     return t.claims.select("id", F.explode(rules.theories(F.col("claim_text"))).alias("theory"))
 
 
-@query("fn_24_concept_queries", "WITH f AS (" + " UNION ALL ".join(f"SELECT id, {i} AS n, '{c[0]}' AS q FROM claims WHERE {_any('lower(claim_text)', c)}" for i, c in enumerate(fixed.CONCEPTS)) + """)
-    SELECT id, string_agg(q, '|' ORDER BY n) AS queries FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM f) WHERE k <= 5 GROUP BY id""")
+_ASKED = """a AS (SELECT id AS matter_id, id, CASE WHEN id % 4 <> 2 THEN claim_text WHEN id % 3 = 0 THEN concat('They are liable for lost wages. A cause of action for deceit ', id, ', liable for lost wages') WHEN id % 3 = 1 THEN concat('Plaintiff says that it never happened here ', id) ELSE 'x' END AS claim_text FROM claims),
+    o AS (SELECT id AS matter_id, id, concat('Saw, the crash! No. ', id, ' & more') AS observation FROM claims WHERE id % 5 > 0)"""
+
+
+@query("fn_23_key_facts", "SELECT document_id AS matter_id, n::INTEGER AS fact_no, observation AS fact FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY id) AS n FROM mentions) WHERE n <= 5 AND observation IS NOT NULL")
+def key_facts(t: Tables) -> DataFrame:
+    return S.key_facts(t.mentions.withColumnRenamed("document_id", "matter_id"), ["matter_id"])
+
+
+@query("fn_24_concept_queries", f"WITH {_ASKED}, f AS (" + " UNION ALL ".join(f"SELECT id, {i} AS n, '{c[0]}' AS q FROM a WHERE {_any('lower(claim_text)', c)}" for i, c in enumerate(fixed.CONCEPTS)) + """),
+    k AS (SELECT id, string_agg(q, '|' ORDER BY n) AS queries FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM f) WHERE k <= 5 GROUP BY id),
+    p AS (SELECT id, concat('deceit ', id, '|lost wages') AS queries FROM a WHERE id % 12 = 6),
+    s AS (SELECT id, substr(concat('says that it never happened here'), 1, 100) AS queries FROM a WHERE id % 4 = 2 AND id % 3 = 1),
+    w AS (SELECT id, trim(substr(regexp_replace(regexp_replace(observation, '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'), 1, 100)) AS queries FROM o WHERE id % 4 = 2 AND id % 3 = 2)
+    SELECT id AS matter_id, coalesce(k.queries, p.queries, s.queries, w.queries) AS queries FROM a LEFT JOIN k USING (id) LEFT JOIN p USING (id) LEFT JOIN s USING (id) LEFT JOIN w USING (id) WHERE coalesce(k.queries, p.queries, s.queries, w.queries) IS NOT NULL""")
 def concept_queries(t: Tables) -> DataFrame:
-    found = t.claims.select("id", rules.concept_queries(F.col("claim_text")).alias("q")).where(F.size("q") > 0)
-    return found.select("id", F.array_join("q", "|").alias("queries"))
+    """Search terms of each claim by concept, by phrase, from its plain words, or from an observation."""
+    asked = F.expr("CASE WHEN id % 4 <> 2 THEN claim_text WHEN id % 3 = 0 THEN concat('They are liable for lost wages. A cause of action for deceit ', id, ', liable for lost wages') WHEN id % 3 = 1 THEN concat('Plaintiff says that it never happened here ', id) ELSE 'x' END")
+    claims = t.claims.select(F.col("id").alias("matter_id"), "id", asked.alias("claim_text"))
+    seen = t.claims.where("id % 5 > 0").select(F.col("id").alias("matter_id"), "id", F.concat(F.lit("Saw, the crash! No. "), "id", F.lit(" & more")).alias("observation"))
+    return S.search_queries(claims, seen).select("matter_id", F.array_join("queries", "|").alias("queries"))
 
 
 @query("udf_07_query_lines", "SELECT id, 1 AS n FROM claims WHERE length(claim_text) < 100")
@@ -88,19 +104,23 @@ def authority_chunks(t: Tables) -> DataFrame:
 
 
 @query("rag_02_nearest", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(c.e, q.e), 9) AS s
-      FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id % 50 = 0)
+      FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id % 100 = 0)
     SELECT query_id, chunk_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
 def nearest(t: Tables) -> DataFrame:
-    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("matter_id"), F.col("embedding").alias("q"))
+    queries = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("matter_id"), F.col("embedding").alias("q"))
     chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("matter_id"), F.col("embedding").alias("e"))
     return S.nearest_chunks(queries, chunks).select("query_id", "chunk_id", "rank")
 
 
-@query("rag_03_context", """WITH c AS (SELECT source, string_agg(concat('[', n, '] ', doc_id), chr(10) ORDER BY n) AS x FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE lang = 'fr') WHERE n <= 3 GROUP BY source)
-    SELECT s.source, coalesce(c.x, 'external') AS context FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN c USING (source)""")
+@query("rag_03_context", """WITH c AS (SELECT source, lang, string_agg(concat('[', n, '] ', text), chr(10) ORDER BY n) AS x FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY ALL)
+    SELECT s.source, l.role AS lang, sha256(coalesce(c.x, 'external')) AS context FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT DISTINCT lang AS role FROM documents UNION SELECT 'none') l LEFT JOIN c ON c.source = s.source AND c.lang = l.role""")
 def context(t: Tables) -> DataFrame:
-    local = S.context_text(t.documents.where("lang = 'fr'"), ["source"], [F.col("doc_id")], F.col("doc_id").cast("string"), most=3)
-    return t.documents.select("source").distinct().join(local, "source", "left").select("source", F.coalesce("context", F.lit("external")).alias("context"))
+    """The first three documents of each source and language as context; a combination without any falls back."""
+    local = S.context_text(t.documents, ["source", "lang"], [F.col("doc_id")], F.col("text"), most=3)
+    none = t.documents.select("source").distinct().withColumn("lang", F.lit("none"))
+    langs = t.documents.select("lang").distinct().withColumn("k", F.lit(1))
+    asked = none.unionByName(t.documents.select("source").distinct().withColumn("k", F.lit(1)).join(langs, "k").select("source", "lang"))
+    return asked.join(local, ["source", "lang"], "left").select("source", "lang", F.sha2(F.coalesce("context", F.lit("external")), 256).alias("context"))
 
 
 def _results(t: Tables) -> DataFrame:
