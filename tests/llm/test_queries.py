@@ -2,10 +2,12 @@
 
 import os
 import zlib
+from collections import Counter
 
 import pytest
 
 from dossier.llm import registry
+from tests.llm.test_near_copies import kept_by_hand
 from tests.llm.test_operators import bytes_by_hand, classes_by_hand, fingerprint_by_hand, phrases_by_hand
 from tests.sql_twin import DATA, same
 
@@ -53,26 +55,106 @@ def test_simhash(spark):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{p:016x}", classes[i]) for i, p in prints.items()}
 
 
+def mixed_by_hand(rows):
+    """How often the mix takes each document whole: the SQL twin over these rows, rounded half up."""
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame([r.asDict() for r in rows])  # noqa: F841 (read by the SQL)
+    c = duckdb.connect()
+    c.register("documents", documents)
+    found = c.execute(registry.oracle_sql()["op10_mixing"])
+    names = [d[0] for d in found.description]
+    told = [dict(zip(names, r, strict=True)) for r in found.fetchall()]
+    return Counter({t["doc_id"]: int(t["taken"] / t["size"] + 0.5) for t in told if t["size"]}), {t["doc_id"]: t["place"] for t in told}
+
+
+def shards_by_hand(rows):
+    """(doc_id, shard, slot) of rows (doc_id, text): numbered by bucket, id, checksum and size, then walked through the permutation."""
+    from dossier.llm import shuffle_shards as S
+
+    (k, c), n = S.keys(S.SEED + 1, 1)[0], len(rows)
+
+    def bucket(i):
+        t = (i % S.PRIME + k) % S.PRIME
+        return (t * t % S.PRIME * t + c) % S.PRIME % S.BUCKETS
+
+    ordered = sorted((bucket(i), i, zlib.crc32(t.encode()), len(t.encode()) + 1) for i, t in rows)
+    a = S.math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    out = []
+    for x, (_, i, *_rest) in enumerate(ordered):
+        y = S._image(x, a, b, S.SEED)
+        while y >= n:
+            y = S._image(y, a, b, S.SEED)
+        out.append((i, y % 8, y // 8))
+    return sorted(out)
+
+
 def test_pipeline(spark):
     """Each stage against a brute-force version of its decision."""
     import corpus_pipeline as pipeline
+    from dossier.llm import langid
     from dossier.llm.common import materialize
 
     docs, kept = pipeline.table(spark, DATA, "documents"), []
-    columns = docs.columns
+    columns, given = docs.columns, documents(spark)
+    model = langid.fit(docs, "doc_id", "text", "lang")
     for name, stage in pipeline.STAGES:
         docs = materialize(stage(spark, docs, DATA), name)
         kept.append(docs.collect())
-        assert name == "sharding" or docs.columns == columns
+        assert docs.columns[: len(columns)] == columns and (name == "sharding" or docs.columns == columns)
     language, near, clean, mix, shards = kept
-    given = documents(spark)
-    assert {r["doc_id"] for r in language} == {i for i, t, _ in given if any(c.isalpha() for c in t or "")}
-    prints = {r["doc_id"]: fingerprint_by_hand(r["text"]) for r in language}
-    assert {r["doc_id"] for r in near} == {i for i, c in classes_by_hand(prints).items() if i == c}
+    said = langid.decide(model, [t for _, t, _ in given])
+    assert {r["doc_id"] for r in language} == {i for (i, _, _), bad in zip(given, said["rejected"], strict=True) if not bad}
+    assert {r["doc_id"] for r in near} == kept_by_hand([(r["doc_id"], r["text"]) for r in language])
     cut = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(len(w) - 4)}
     items = [s for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if (s := cut(r["text"]))]
     leaks = {r["doc_id"] for r in near if any(len(s & cut(r["text"])) >= 0.8 * len(s) for s in items)}
     assert {r["doc_id"] for r in clean} == {r["doc_id"] for r in near} - leaks
-    assert {r["doc_id"] for r in mix} <= {r["doc_id"] for r in clean} and len(shards) == len(mix)
-    sizes = [sum(r["shard"] == s for r in shards) for s in range(8)]
-    assert max(sizes) - min(sizes) <= 1
+    copies, _ = mixed_by_hand(clean)
+    assert Counter(r["doc_id"] for r in mix) == +copies
+    assert {r["doc_id"]: r["text"] for r in mix} == {r["doc_id"]: r["text"] for r in clean if copies[r["doc_id"]]}
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in shards) == shards_by_hand([(r["doc_id"], r["text"]) for r in mix])
+    assert Counter((r["doc_id"], r["text"]) for r in shards) == Counter((r["doc_id"], r["text"]) for r in mix)
+
+
+def test_mix_follows_the_schedule(spark):
+    """The mix is written in the order of the places, and any stretch of the schedule holds the sources in about their shares."""
+    from dossier.llm import mixing
+    from dossier.llm.common import materialize
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.collect()
+    copies, place = mixed_by_hand(rows)
+    written = [r["doc_id"] for r in mixing.mixed(docs).coalesce(1).collect()]
+    firsts = list(dict.fromkeys(written))
+    at = [place[i] for i in firsts if place[i] is not None]
+    assert Counter(written) == +copies and sum(x > y for x, y in zip(at, at[1:], strict=False)) <= 0.1 * len(at)
+    each = materialize(docs.selectExpr("source", "size(filter(split(text, '[ \\t\\n\\r\\f\\x0B]+'), w -> w <> '')) AS size"), "sizes")
+    plan = sorted((r["place"], r["sid"]) for r in mixing.schedule(materialize(mixing.targets(each), "targets")).collect())
+    share = {s: n / len(plan) for s, n in Counter(s for _, s in plan).items()}
+    for end in range(200, len(plan), 997):
+        seen = Counter(s for _, s in plan[:end])
+        assert all(abs(seen[s] - share[s] * end) <= 12 for s in share)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, empty and foreign texts, repeated rows, clashing extra columns and an empty table."""
+    import corpus_pipeline as pipeline
+    from tests.llm.test_operators import words
+
+    long = words(9, 30_000, 3_000)
+    rows = [(i, words(i, 80, 400), "en" if i % 2 else "de", "a" if i % 3 else None) for i in range(60)]
+    rows += [(100, None, "en", "a"), (101, "", None, "a"), (102, " 12 ", "en", None), (103, long, "en", "a"), (104, long, "en", "b"), (105, "\u0431\u044b\u0441\u0442\u0440\u0430\u044f \u043b\u0438\u0441\u0430 \u0431\u0435\u0436\u0438\u0442", None, None)]
+    rows += [(None, words(3, 80, 400), "en", None), (None, words(3, 80, 400), "en", None), (7, words(7, 80, 400), "de", "a")]
+    docs = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, lang string, source string, shard int, size string")
+    for name, frame, bench in (("full", docs, [(1, words(5, 30, 400)), (None, "x"), (2, None), (3, "")]), ("none", docs.limit(0), [(1, "a b c")]), ("plain", docs, [])):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    found = pipeline.run(spark, f"{tmp_path}/full").collect()
+    ids = {r["doc_id"] for r in found}
+    assert not ids & {100, 101, 102, 104, 105} and {103, None, 7} <= ids
+    assert sorted(r["slot"] for r in found if r["shard"] == 0) == list(range(sum(r["shard"] == 0 for r in found)))
+    assert all(r["size"] == len(r["text"].encode()) + 1 for r in found)
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0 and pipeline.run(spark, f"{tmp_path}/plain").count() > 0
