@@ -147,7 +147,7 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     return np.add.reduceat(total, starts, axis=0)
 
 
-def entropies(model: Model, texts: list[str | None], chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def entropies(model: Model, texts: list[str | None], chunk: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy in nats a letter (word ends count) for each text and language, and the letters and word ends of each text."""
     ce, letters = np.full((len(texts), max(1, len(model.langs))), np.inf), np.zeros(len(texts), np.int64)
     rows, found, size = [], [], 0
