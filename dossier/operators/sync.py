@@ -21,9 +21,9 @@ def merge_snapshot(local: DataFrame, source: DataFrame, matter: str, key: str, v
     """Mark and sweep on (matter, key): local rows (with is_soft_deleted) against a source snapshot.
 
     Present in the source: insert, or update and un-delete. Absent: soft-delete, but unchanged where the source has no row
-    at all for the matter. Applying it twice gives the same. Columns: matter, key, values, is_soft_deleted, action.
+    at all for the matter. Of source rows with one key the greatest values count. Applying it twice gives the same. Columns: matter, key, values, is_soft_deleted, action.
     """
-    s = source.select(matter, key, *[F.col(v).alias(f"new_{v}") for v in values], F.lit(True).alias("in_source")).dropDuplicates([matter, key])
+    s = source.groupBy(matter, key).agg(F.max(F.struct(*values)).alias("new")).select(matter, key, *[F.col(f"new.{v}").alias(f"new_{v}") for v in values], F.lit(True).alias("in_source"))
     old = local.select(matter, key, *values, "is_soft_deleted", F.lit(True).alias("in_local"))
     some = s.groupBy(matter).agg(F.count("*").alias("n"))
     both = old.join(s, [matter, key], "full_outer").join(some, matter, "left")
@@ -35,8 +35,8 @@ def merge_snapshot(local: DataFrame, source: DataFrame, matter: str, key: str, v
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
-    """Rows by key: new values where they are known, else the old ones."""
-    n = new.select(*key, *[F.col(v).alias(f"new_{v}") for v in values])
+    """Rows by key: new values where they are known, else the old ones. Of new rows with one key the greatest values count."""
+    n = new.groupBy(*key).agg(F.max(F.struct(*values)).alias("new")).select(*key, *[F.col(f"new.{v}").alias(f"new_{v}") for v in values])
     return old.select(*key, *values).join(n, key, "full_outer").select(*key, *[F.coalesce(f"new_{v}", v).alias(v) for v in values])
 
 

@@ -9,6 +9,7 @@ from dossier.operators import claims as C
 from dossier.operators import reports as P
 from dossier.plans.bindings import Tables
 from dossier.plans.registry import query
+from dossier.sources.shared import scratch
 
 
 def _claims(t: Tables) -> DataFrame:
@@ -87,17 +88,29 @@ def _report_rows(t: Tables) -> DataFrame:
     return people.withColumns({"phone": none, "address": none, "relevance_reason": none, "source_quote": none, "document_relevance": none})
 
 
-@query("rpt_01_report", """WITH r AS (SELECT *, concat(full_name, ' ', document_id) AS who, CASE coalesce(relevance, CASE importance WHEN 'high' THEN 'highly_relevant' WHEN 'low' THEN 'somewhat_relevant' ELSE 'relevant' END)
+_REPORT = """WITH r AS (SELECT *, concat(full_name, ' ', document_id) AS who, CASE coalesce(relevance, CASE importance WHEN 'high' THEN 'highly_relevant' WHEN 'low' THEN 'somewhat_relevant' ELSE 'relevant' END)
       WHEN 'highly_relevant' THEN 0 WHEN 'relevant' THEN 1 WHEN 'somewhat_relevant' THEN 2 ELSE 3 END AS rank FROM mentions),
     g AS (SELECT *, count(*) OVER (PARTITION BY who) AS n, row_number() OVER (PARTITION BY who ORDER BY rank, id, confidence_score DESC) AS i, min(rank) OVER (PARTITION BY who) AS top FROM r),
     k AS (SELECT *, unnest(CASE WHEN n = 1 THEN ['single'] WHEN i = 1 THEN ['summary', 'detail'] ELSE ['detail'] END) AS kind FROM g)
     SELECT kind = 'summary' AS is_summary, top AS color_class, CASE kind WHEN 'detail' THEN '' ELSE printf('%.0f%%', round_even(confidence_score * 100, 0)) END AS confidence,
       CASE kind WHEN 'summary' THEN concat('Multiple observations (', n, ' entries) - see details below') ELSE coalesce(observation, '') END AS observation,
-      CASE kind WHEN 'summary' THEN 'See Below' ELSE concat('doc ', document_id, CASE WHEN source_page IS NULL THEN '' ELSE concat(' (Page ', source_page, ')') END) END AS source_document FROM k""")
+      CASE kind WHEN 'summary' THEN 'See Below' ELSE concat('doc ', document_id, CASE WHEN source_page IS NULL THEN '' ELSE concat(' (Page ', source_page, ')') END) END AS source_document FROM k"""
+
+
+@query("rpt_01_report", _REPORT)
 def report(t: Tables) -> DataFrame:
     return P.report(_report_rows(t)).select((F.col("source_summary") == "See Below").alias("is_summary"), "color_class", "confidence", "observation", "source_document")
 
 
+@query("snk_02_report_file", _REPORT)
+def report_file(t: Tables) -> DataFrame:
+    """The report written as JSON lines in its order, and read back."""
+    path = scratch(t.spark, "report")
+    P.write_report(P.report(_report_rows(t)), path, "json")
+    read = t.spark.read.schema("source_summary string, color_class int, confidence string, observation string, source_document string").json(path)
+    return read.select((F.col("source_summary") == "See Below").alias("is_summary"), "color_class", "confidence", "observation", "source_document")
+
+
 @query("snk_02_report_scope", "SELECT m.id FROM mentions m JOIN filings d ON m.document_id = d.id JOIN jobs j ON j.matter_id = d.matter_id WHERE j.id = 4 AND m.importance = 'high'")
 def report_scope(t: Tables) -> DataFrame:
     return P.scope(t.mentions, t.filings, t.jobs, job=4, matter=9, importance="high").select("id")
@@ -106,7 +119,10 @@ def report_scope(t: Tables) -> DataFrame:
 @query("snk_03_relevancy_tables", """SELECT claim_type, count(*) AS claims, count(*) FILTER (WHERE n > 0) AS linked FROM (SELECT c.claim_type, c.id, count(p.id) AS n FROM claims c LEFT JOIN links l ON l.case_claim_id = c.id
     LEFT JOIN canonicals p ON p.id = l.person_id GROUP BY 1, 2) GROUP BY claim_type""")
 def relevancy_tables(t: Tables) -> DataFrame:
-    tables = C.relevancy(_claims(t), t.links, _people(t))
+    """The tables of a relevancy report, written side by side and read back."""
+    path, found = scratch(t.spark, "relevancy"), C.relevancy(_claims(t), t.links, _people(t))
+    P.write_tables({k: found[k] for k in ("allegations", "defenses")}, path)
+    tables = {k: t.spark.read.parquet(f"{path}/{k}") for k in ("allegations", "defenses")}
     both = tables["allegations"].select("claim_type", "witnesses").unionByName(tables["defenses"].select("claim_type", "witnesses"))
     return both.groupBy("claim_type").agg(F.count("*").alias("claims"), F.count_if(F.size("witnesses") > 0).alias("linked"))
 

@@ -17,8 +17,19 @@ def _folder(t: Tables) -> str:
     return scratch(t.spark, "flow")
 
 
+FILES, PER_BATCH = 6, 2
+
+
+def _landed(t: Tables, df: DataFrame, form: str = "parquet") -> str:
+    """Rows as they land: in several files, so that a stream over them takes several micro-batches."""
+    folder = _folder(t)
+    df.repartition(FILES).write.format(form).save(folder)
+    return f"{folder}/part-*"
+
+
 def _arriving(t: Tables, table: str) -> DataFrame:
-    return S.arriving(t.spark, f"{t.sf_dir}/{table[:-1]}[{table[-1]}].parquet", getattr(t, table).schema)
+    rows = getattr(t, table)
+    return S.arriving(t.spark, _landed(t, rows), rows.schema, PER_BATCH)
 
 
 def _latest(t: Tables, flow: DataFrame, key: list[str]) -> DataFrame:
@@ -30,11 +41,13 @@ def _latest(t: Tables, flow: DataFrame, key: list[str]) -> DataFrame:
 @query("str_01_changes", """WITH e AS (SELECT event_id % 1000 AS id, bool_or(event_type = 'click') AS u, bool_or(event_type = 'error') AS d FROM events GROUP BY 1)
     SELECT doc_id AS external_id, NOT coalesce(u, false) AS is_processed, coalesce(d, false) AS is_soft_deleted FROM documents LEFT JOIN e ON e.id = doc_id""")
 def changes(t: Tables) -> DataFrame:
-    kind = F.when(F.col("event_type") == "click", "document.updated").when(F.col("event_type") == "error", "document.deleted").otherwise("document.created")
-    events = _arriving(t, "events").select(kind.alias("type"), (F.col("event_id") % 1000).alias("external_id"))
+    """Webhook calls as JSON lines; purchases are calls of another type, views creations, and ids may be unknown."""
+    kind = F.expr("CASE event_type WHEN 'click' THEN 'document.updated' WHEN 'error' THEN 'document.deleted' WHEN 'purchase' THEN 'matter.updated' ELSE 'document.created' END")
+    calls = t.events.select(F.col("event_id").alias("id"), kind.alias("type"), F.struct((F.col("event_id") % 1000).alias("id")).alias("data"))
+    hooks = S.arriving(t.spark, _landed(t, calls, "json"), S.WEBHOOK, PER_BATCH, "json")
     state = t.documents.select(F.col("doc_id").alias("external_id"), F.sha2("text", 256).alias("content_hash"), F.lit(True).alias("is_processed"), F.lit(False).alias("is_soft_deleted"))
     folder = _folder(t)
-    return S.change_stream(events, state, f"{folder}/state", f"{folder}/checkpoint").drop("content_hash")
+    return S.change_stream(S.document_changes(hooks), state, f"{folder}/state", f"{folder}/checkpoint").drop("content_hash")
 
 
 @query("str_02_last_triggered", "SELECT event_type, max(ts) AS last_triggered_at FROM events GROUP BY event_type")
@@ -52,14 +65,19 @@ def progress(t: Tables) -> DataFrame:
     return _latest(t, S.progress(_arriving(t, "events"), "user_id", 60), ["user_id"])
 
 
-@query("str_05_inactivity", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
-    r AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e),
-    s AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM r GROUP BY user_id, run)
-    SELECT user_id, started, ended, events, ended <= (SELECT max(ts) FROM events) AS closed FROM s""")
+_RUNS = """SELECT {gap} AS minutes, user_id, min(ts) AS started, max(ts) + INTERVAL {gap} MINUTE AS ended, count(*) AS events, max(ts) + INTERVAL {gap} MINUTE <= (SELECT max(ts) FROM events) AS closed FROM (
+    SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM (
+      SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL {gap} MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, run"""
+
+
+@query("str_05_inactivity", " UNION ALL ".join(_RUNS.replace("{gap}", str(g)) for g in (5, 30)))
 def inactivity(t: Tables) -> DataFrame:
+    """Both rules over the landed log: jobs time out after 5 minutes, syncs after 30."""
     folder = _folder(t)
     S.drain(_arriving(t, "events").select("user_id", "ts"), f"{folder}/out", "append", f"{folder}/checkpoint")
-    return S.sessions(t.spark.read.parquet(f"{folder}/out/n=*"), "user_id", "30 minutes")
+    log = t.spark.read.parquet(f"{folder}/out/n=*")
+    both = [S.sessions(log, "user_id", f"{g} minutes").withColumn("minutes", F.lit(g)) for g in (5, 30)]
+    return both[0].unionByName(both[1])
 
 
 @query("str_06_daily_usage", "SELECT user_id, ts::DATE::VARCHAR AS day, count(*) AS used FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
@@ -71,8 +89,11 @@ def daily_usage(t: Tables) -> DataFrame:
 @query("str_07_billing", """SELECT user_id % 25 AS organization_id, arg_max(CASE event_type WHEN 'signup' THEN 'active' WHEN 'click' THEN 'trialing' WHEN 'error' THEN 'canceled' WHEN 'view' THEN 'past_due' END, (ts, event_id))
     FILTER (WHERE event_type <> 'purchase') AS status, sum(CASE WHEN event_type = 'purchase' THEN floor(value) ELSE 0 END)::BIGINT AS credits FROM events GROUP BY 1""")
 def billing(t: Tables) -> DataFrame:
-    kind = F.expr("CASE event_type WHEN 'signup' THEN 'checkout' WHEN 'click' THEN 'updated' WHEN 'error' THEN 'deleted' WHEN 'view' THEN 'failed' ELSE 'top_up' END")
-    events = _arriving(t, "events").select("event_id", "ts", (F.col("user_id") % 25).alias("organization_id"), kind.alias("type"), F.lit("trialing").alias("new_status"), F.floor("value").alias("credits"))
+    """Billing calls as JSON lines, a call of an unknown type beside each third."""
+    kind = F.expr("CASE event_type WHEN 'signup' THEN 'checkout.session.completed' WHEN 'click' THEN 'customer.subscription.updated' WHEN 'error' THEN 'customer.subscription.deleted' WHEN 'view' THEN 'invoice.payment_failed' ELSE 'credits.purchased' END")
+    calls = t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("created"), kind.alias("type"), (F.col("user_id") % 25).alias("organization_id"), F.lit("trialing").alias("status"), F.floor("value").alias("credits"))
+    calls = calls.unionByName(calls.where("id % 3 = 0").withColumn("type", F.lit("invoice.created")))
+    events = S.billing_events(S.arriving(t.spark, _landed(t, calls, "json"), S.BILLING, PER_BATCH, "json"))
     return _latest(t, S.subscription_state(events), ["organization_id"])
 
 
@@ -86,7 +107,7 @@ def answers(t: Tables) -> DataFrame:
 @query("str_09_incremental_people")
 def incremental_people(t: Tables) -> DataFrame:
     name = F.expr("concat(CASE user_id % 4 WHEN 0 THEN 'John' WHEN 1 THEN 'Mike' WHEN 2 THEN 'Bob' ELSE 'Robert' END, ' ', CASE event_id % 3 WHEN 0 THEN 'Carroll' WHEN 1 THEN 'Smith' ELSE 'Chen' END)")
-    forms = _arriving(t, "events").select((F.col("event_id") % 50).alias("matter_id"), strict(name, folded=True).alias("form"))
+    forms = _arriving(t, "events").select((F.col("event_id") % 50).alias("matter_id"), strict(name, folded=True).alias("form"), F.col("event_id").alias("place"))
     folder = _folder(t)
     S.drain(S.resolve_stream(forms), f"{folder}/out", "append", f"{folder}/checkpoint")
     return t.spark.read.parquet(f"{folder}/out/n=*").groupBy("matter_id", "form").agg(F.min("person").alias("person"))

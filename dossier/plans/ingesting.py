@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.functions.text import file_type
 from dossier.operators import sync as S
 from dossier.plans.bindings import Tables
 from dossier.plans.registry import query
 from dossier.sources import landing as L
+from dossier.sources.shared import scratch
 
 
 def _pages(t: Tables) -> DataFrame:
@@ -99,9 +105,55 @@ def answers(t: Tables) -> DataFrame:
     return L.answers(_answers(t)).select("record_id", "text", "stop_reason")
 
 
-@query("src_11_text_store", "SELECT arg_min(doc_id, doc_id) AS doc_id, sha256(text) AS h FROM documents GROUP BY sha256(text)")
+@query("src_11_text_store", """WITH s AS (SELECT doc_id % 9 AS o, doc_id, sha256(text) AS h FROM documents WHERE doc_id % 4 > 0)
+    SELECT d.doc_id, CASE WHEN i.doc_id IS NOT NULL THEN 'id' WHEN x.doc_id IS NOT NULL THEN 'hash' ELSE 'none' END AS found_by, coalesce(i.doc_id, x.doc_id) AS found FROM documents d
+    LEFT JOIN s i ON i.doc_id = d.doc_id AND i.o = d.doc_id % 9 LEFT JOIN (SELECT o, h, min(doc_id) AS doc_id FROM s GROUP BY o, h) x ON x.o = d.doc_id % 9 AND x.h = sha256(d.text)""")
 def text_store(t: Tables) -> DataFrame:
-    return t.documents.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    """A store of parsed texts laid out by organization, read by id, else by content."""
+    path = scratch(t.spark, "texts")
+    org = (F.col("doc_id") % 9).alias("organization_id")
+    L.write_store(t.documents.where("doc_id % 4 > 0").select(org, F.col("doc_id").alias("external_id"), F.sha2("text", 256).alias("content_hash"), "text"), path)
+    asked = t.documents.select(org, F.col("doc_id").alias("external_id"), F.sha2("text", 256).alias("content_hash"))
+    return L.stored_texts(t.spark, path, asked).select(F.col("external_id").alias("doc_id"), "found_by", "found")
+
+
+@query("src_06e_office", """SELECT concat(doc_id, '.', f) AS name, p AS page, CASE f WHEN 'docx' THEN concat('About ', coalesce(source, ''), chr(10), coalesce(lang, ''), chr(10), n_chars, chr(10), '[Table]', chr(10), coalesce(lang, ''), ' | ', n_chars)
+      WHEN 'xlsx' THEN CASE i WHEN 1 THEN concat(coalesce(lang, ''), ' | ', n_chars) ELSE '[Empty sheet]' END WHEN 'pptx' THEN CASE i WHEN 1 THEN concat('About ', coalesce(source, '')) ELSE '[Empty slide]' END END AS text, CASE WHEN f = 'bad' THEN 'error' ELSE 'text' END AS asset_type
+    FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pptx' ELSE 'bad' END AS f FROM documents) d
+    JOIN (SELECT * FROM (VALUES ('docx', 1, NULL::INTEGER), ('xlsx', 1, NULL), ('xlsx', 2, NULL), ('pptx', 1, 1), ('pptx', 2, 2), ('bad', 1, NULL)) AS v(k, i, p)) ON k = f""")
+def office(t: Tables) -> DataFrame:
+    """Word, sheet and slide files made of the documents' columns, and files that are no zip at all."""
+    kind = F.expr("CASE doc_id % 4 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pptx' ELSE 'bad' END")
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang", "n_chars")]
+    files = t.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit("."), kind).alias("name"), F.when(kind == "bad", "docx").otherwise(kind).alias("file_type"), _office_file(kind, *told).alias("content"))
+    return L.assets(files).select("name", "page", "text", "asset_type")
+
+
+@F.pandas_udf(T.BinaryType())
+def _office_file(kind: pd.Series, source: pd.Series, lang: pd.Series, n: pd.Series) -> pd.Series:
+    """The zip of a minimal office file."""
+    from html import escape
+
+    def one(kind: str, source: str, lang: str, n: str) -> bytes:
+        source, lang = escape(source), escape(lang)
+        if kind == "docx":
+            line = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+            parts = {"word/document.xml": f'<w:document xmlns:w="w"><w:body>{line("About " + source)}<w:tbl><w:tr><w:tc>{line(lang)}</w:tc><w:tc>{line(n)}</w:tc></w:tr></w:tbl></w:body></w:document>'}
+        elif kind == "xlsx":
+            sheet = f'<worksheet xmlns="x"><sheetData><row><c t="s"><v>0</v></c><c><v>{n}</v></c></row></sheetData></worksheet>'
+            parts = {"xl/worksheets/sheet1.xml": sheet, "xl/worksheets/sheet2.xml": '<worksheet xmlns="x"><sheetData/></worksheet>', "xl/sharedStrings.xml": f'<sst xmlns="x"><si><t>{lang}</t></si></sst>'}
+        elif kind == "pptx":
+            slide = '<p:sld xmlns:p="p" xmlns:a="a">{}</p:sld>'
+            parts = {"ppt/slides/slide1.xml": slide.format(f"<a:p><a:r><a:t>About {source}</a:t></a:r></a:p>"), "ppt/slides/slide2.xml": slide.format("")}
+        else:
+            return b"no zip"
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in parts.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    return pd.Series([one(*x) for x in zip(kind, source, lang, n, strict=True)])
 
 
 @query("snk_01_requests", """SELECT doc_id, concat('doc-', doc_id) AS record_id, length(text) AS chars FROM documents""")

@@ -237,3 +237,21 @@ def upsert_texts(store: DataFrame, new: DataFrame) -> DataFrame:
 
     sized = new.withColumn("file_size", F.coalesce("file_size", F.length("text").cast("long")))
     return upsert(store, sized, ["organization_id", "external_id"], ["content_hash", "text", "file_size"])
+
+
+def write_store(texts: DataFrame, path: str) -> None:
+    """Parsed texts (organization_id, external_id, content_hash, text), laid out by organization; an organization's rows are
+    spread over tasks by their ids, so a large one is no single file."""
+    texts.repartition("organization_id", F.pmod(F.xxhash64("external_id"), F.lit(8))).write.mode("overwrite").partitionBy("organization_id").parquet(path)
+
+
+def stored_texts(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """asked (organization_id, external_id, content_hash) with found (external id in the store), found_by (id, hash or none)
+    and text: by (organization, id), else the least id of (organization, hash). Organizations not asked for are not read."""
+    store = spark.read.schema("external_id long, content_hash string, text string, organization_id long").parquet(path)
+    key = F.col("organization_id").cast("long").alias("organization_id")
+    by_id = store.select(key, "external_id", F.col("external_id").alias("a"), F.struct("text").alias("ta"))
+    by_hash = store.groupBy(key, "content_hash").agg(F.min("external_id").alias("b"), F.min_by(F.struct("text"), "external_id").alias("tb"))
+    rows = asked.withColumn("organization_id", F.col("organization_id").cast("long")).join(by_id, ["organization_id", "external_id"], "left").join(by_hash, ["organization_id", "content_hash"], "left")
+    found_by = F.when(F.col("a").isNotNull(), "id").when(F.col("b").isNotNull(), "hash").otherwise("none")
+    return rows.withColumns({"found_by": found_by, "found": F.coalesce("a", "b"), "text": F.coalesce("ta", "tb")["text"]}).drop("a", "b", "ta", "tb")

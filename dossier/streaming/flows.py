@@ -13,12 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LATE = "2 hours"
+def arriving(spark: SparkSession, path: str, schema, per_batch: int = 4, form: str = "parquet") -> DataFrame:
+    """Files (parquet or json lines) as a stream; path is a glob, a few files a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).format(form).load(path)
 
 
-def arriving(spark: SparkSession, path: str, schema, per_batch: int = 4) -> DataFrame:
-    """Parquet files as a stream; path is a glob, a few files a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+#: JSON of document webhooks, and of billing events.
+WEBHOOK = "id bigint, type string, data struct<id: bigint>"
+BILLING = "id bigint, created timestamp_ntz, type string, organization_id bigint, status string, credits bigint"
+CHANGES = ("document.created", "document.updated", "document.deleted")
+
+
+def document_changes(hooks: DataFrame) -> DataFrame:
+    """(type, external_id) of document webhooks; other types, and calls without an id, are ignored."""
+    return hooks.where(F.col("type").isin(*CHANGES) & F.col("data.id").isNotNull()).select("type", F.col("data.id").alias("external_id"))
+
+
+def billing_events(calls: DataFrame) -> DataFrame:
+    """(event_id, ts, organization_id, type, new_status, credits) of billing calls of the five known types."""
+    kinds = {"checkout.session.completed": "checkout", "customer.subscription.updated": "updated", "customer.subscription.deleted": "deleted", "invoice.payment_failed": "failed", "credits.purchased": "top_up"}
+    kind = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in kinds.items()])
+    return calls.withColumn("kind", kind).where("kind IS NOT NULL").select(F.col("id").alias("event_id"), F.col("created").alias("ts"), "organization_id", F.col("kind").alias("type"), F.col("status").alias("new_status"), "credits")
 
 
 def drain(flow: DataFrame, out: str, mode: str, checkpoint: str) -> None:
@@ -41,11 +56,6 @@ def timed(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def deduplicated(events: DataFrame, key: str, time: str) -> DataFrame:
-    """First arrival of each event id within the lateness."""
-    return events.withWatermark(time, LATE).dropDuplicatesWithinWatermark([key])
-
-
 def last_triggered(events: DataFrame) -> DataFrame:
     """(event_type, last_triggered_at), update mode."""
     return events.groupBy("event_type").agg(F.max("ts").alias("last_triggered_at"))
@@ -142,9 +152,10 @@ def change_stream(events: DataFrame, state: DataFrame, out: str, checkpoint: str
 
 
 def resolve_stream(mentions: DataFrame) -> DataFrame:
-    """Incremental person resolution: new forms (matter_id, form) of each matter fold into the people kept as state.
+    """Incremental person resolution: new forms (matter_id, form, place) of each matter fold into the people kept as state.
 
-    Emits (matter_id, form, person) for every arriving form, append mode; a form keeps the person that it first got.
+    Forms of one micro-batch come in the order of their place, micro-batches in that of their arrival. Emits (matter_id, form,
+    person) for every arriving form, append mode; a form keeps the person that it first got.
     """
     from dossier.operators.resolve import fuzzy_of, tier
     from dossier.functions.fixed import FUZZY_MATCH
@@ -152,9 +163,10 @@ def resolve_stream(mentions: DataFrame) -> DataFrame:
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         people, known = map(list, state.get) if state.exists else ([], [])
         of = dict(zip(known, people, strict=True))
-        for pdf in frames:
+        arrived = [pdf for pdf in frames]  # one matter's share of a micro-batch
+        for pdf in [pd.concat(arrived)] if arrived else []:
             rows = []
-            for form in pdf.sort_values("form")["form"]:
+            for form in pdf.sort_values("place", kind="stable")["form"]:
                 if form not in of:
                     firsts: dict[int, str] = {}
                     for f, p in of.items():

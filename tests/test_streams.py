@@ -22,8 +22,9 @@ def test_many_files(spark, tmp_path):
             else:
                 runs.append((user, t, t + gap, 1))
     found = registry.queries()["str_05_inactivity"](spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, found)) == sorted((*x, x[2] <= last) for x in runs)
-    assert {x[-1] for x in map(tuple, found)} == {True, False}
+    told = [tuple(x[c] for c in ("user_id", "started", "ended", "events", "closed")) for x in found if x["minutes"] == 30]
+    assert sorted(told) == sorted((*x, x[2] <= last) for x in runs) and {x[-1] for x in told} == {True, False}
+    assert sum(x["events"] for x in found if x["minutes"] == 5) == 900
     used = registry.queries()["str_06_daily_usage"](spark, str(tmp_path)).collect()
     assert {(x["user_id"], x["day"]): x["used"] for x in used} == Counter((x[1], str(x[2].date())) for x in rows)
 
