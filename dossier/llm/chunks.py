@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES, CHUNK_LEAST, CHUNK_MOST = 2 << 20, 1 << 19, 32 << 20
 SHARD_BYTES, SHARD_LEAST, SHARD_MOST = 24 << 20, 8 << 20, 128 << 20
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 19
 
 
 def sized(total: int) -> tuple[int, int]:
