@@ -181,7 +181,15 @@ def fixed_chunks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(X.fixed_chunks(F.col("text"), 2000)).alias("p", "piece")).select("doc_id", F.col("p").cast("long").alias("chunk"), F.length("piece").cast("long").alias("chars"))
 
 
-@query("fn_32_sentence_chunks")
+#: The end of the chunk that starts in a text: behind the last sentence mark in its second half, marks in order of trial.
+_END = "CASE WHEN {0} + 1000 < length(text) THEN coalesce(" + ", ".join(f"CASE WHEN length(regexp_extract(substr(text, {{0}} + 1, 1000), '(?s)^(.*){mark}', 1)) > 500 THEN length(regexp_extract(substr(text, {{0}} + 1, 1000), '(?s)^(.*){mark}', 1)) + 2 END" for mark in ("\\. ", "\\.\\n", "\\? ", "\\?\\n", "! ", "!\\n")) + ", 1000) ELSE 1000 END"
+#: (doc_id, start, piece) of the chunks of the texts in d.
+CHUNKS = f"""c AS (SELECT doc_id, text, 0::BIGINT AS start, ({_END.format("0")})::BIGINT AS e FROM d WHERE length(text) > 0
+    UNION ALL SELECT doc_id, text, s, ({_END.format("s")})::BIGINT FROM (SELECT doc_id, text, start + e - 200 AS s FROM c) WHERE s < length(text)),
+    p AS (SELECT * FROM (SELECT doc_id, start, regexp_replace(substr(text, start + 1, e), '^\\s+|\\s+$', '', 'g') AS piece FROM c) WHERE piece <> '')"""
+
+
+@query("fn_32_sentence_chunks", f"WITH RECURSIVE d AS (SELECT doc_id, text FROM documents), {CHUNKS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS chunk_index, sha256(piece) AS h FROM p")
 def sentence_chunks(t: Tables) -> DataFrame:
     return X.sentence_chunks(t.documents, ["doc_id"], "text").select("doc_id", "chunk_index", F.sha2("chunk_text", 256).alias("h"))
 

@@ -9,6 +9,7 @@ from dossier.functions import fixed, hooks, rules
 from dossier.functions.text import sentence_chunks
 from dossier.operators import research as S
 from dossier.plans.bindings import Tables
+from dossier.plans.naming import CHUNKS
 from dossier.plans.registry import query
 
 
@@ -96,7 +97,8 @@ def safe_query(t: Tables) -> DataFrame:
     return t.claims.select("id", hooks.safe_query(answer).isNotNull().alias("is_safe"))
 
 
-@query("rag_01_authority_chunks")
+@query("rag_01_authority_chunks", f"""WITH RECURSIVE f AS (SELECT source, min(doc_id) AS doc_id, arg_min(text, doc_id) AS text FROM documents GROUP BY source, sha256(text)), d AS (SELECT doc_id, text FROM f), {CHUNKS}
+    SELECT source, doc_id, count(*) AS chunks FROM p JOIN f USING (doc_id) GROUP BY source, doc_id""")
 def authority_chunks(t: Tables) -> DataFrame:
     first = t.documents.groupBy("source", F.sha2("text", 256).alias("h")).agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
     chunks = sentence_chunks(first, ["source", "doc_id"], "text")
