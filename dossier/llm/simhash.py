@@ -4,13 +4,14 @@ A fingerprint is the bitwise majority of the XXH64 (seed 42) of a text's word sh
 For a Hamming limit of 2 the 64 bits form a ring of four segments; the pigeonring principle says that linked fingerprints
 have a segment from which every chain of consecutive segments stays within its share of the differences (0, then 1, 1, 2).
 So two segments are equal: either neighbours, or two opposite ones around a segment with one difference. Each pair of
-equal segments is a block key. Within a block the chain condition prunes before the full Hamming check; only links leave
-the row. Blocks over ``block`` fingerprints (a hot group) take an exact other way: each fingerprint is sent to itself and
+equal segments is a block key, and the chain that led to the key must keep to its budgets before the full Hamming check: this
+prunes most pairs that meet by chance, and those that meet under another key too. Only links leave the row. Blocks over ``block`` fingerprints (a hot group) take an exact other way: each fingerprint is sent to itself and
 its 64 one-bit neighbours; fingerprints that meet are at most two bits apart, and any two at that distance meet. Such a
 meeting point holds at most 65 fingerprints, so no group grows with the data.
 
 Defined results: a null or blank text has fingerprint zero and links like any other. Rows that repeat get the same
-component. A row without an id gets its fingerprint's component. Whole texts are read. Extra columns are ignored.
+component. A row without an id gets its fingerprint's component. Whole texts are read, whatever their length. An empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,30 +60,43 @@ def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
 
 
-def _linked(a: Column, b: Column) -> Column:
-    """Pigeonring: from some segment every chain keeps to its budget; then the full Hamming check."""
+#: The pairs of segments that make block keys.
+PAIRS = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
+
+
+def _chain(pair: Column, a: Column, b: Column) -> Column:
+    """Does the chain that led to a block key keep to its budgets (0, 1, 1, 2)? pair: the number of the equal segments.
+
+    Equal neighbours are the head of a chain whose third segment may hold one difference. Equal opposite segments count only
+    with one difference in each of the others: with none, three segments are equal and neighbours make the key.
+    """
     x = a.bitwiseXOR(b)
     d = [F.bit_count(_segment(x, i)) for i in range(SEGMENTS)]
-    chain = F.lit(False)
-    for i in range(SEGMENTS):
-        run, ok = F.lit(0), F.lit(True)
-        for n in range(1, SEGMENTS):
-            run = run + d[(i + n - 1) % SEGMENTS]
-            ok = ok & (run <= n * MAX_BITS // SEGMENTS)
-        chain = chain | ok
-    return chain & (F.bit_count(x) <= MAX_BITS)
+    out = F.lit(False)
+    for n, (i, j) in enumerate(PAIRS):
+        if j - i == 2:
+            kept = (d[(i + 1) % SEGMENTS] == 1) & (d[(j + 1) % SEGMENTS] == 1)
+        else:
+            first = i if j - i == 1 else j  # the ring closes: the last segment stands before the first
+            kept = d[(first + 2) % SEGMENTS] <= 1
+        out = F.when(pair == n, kept).otherwise(out)
+    return out
+
+
+def _near(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
 
 
 def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between the ids of distinct fingerprints (fp, id) at most two bits apart, or links with the same components."""
-    pairs = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
-    keys = F.array(*[F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(_segment(F.col("fp"), i), 16)).bitwiseOR(_segment(F.col("fp"), j)) for n, (i, j) in enumerate(pairs)])
+    keys = F.array(*[F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(_segment(F.col("fp"), i), 16)).bitwiseOR(_segment(F.col("fp"), j)) for n, (i, j) in enumerate(PAIRS)])
     keyed = nodes.select("fp", "id", F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocked = materialize(keyed.join(sizes, "key"), "blocks")
     fp = F.struct("fp", "id")
     lists = blocked.where(F.col("n") <= block).groupBy("key").agg(F.collect_list(fp).alias("of"))  # at most `block` each
-    found = F.flatten(F.transform("of", lambda a: F.transform(F.filter("of", lambda b: (b["id"] < a["id"]) & _linked(a["fp"], b["fp"])), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v")))))
+    pair = F.shiftright("key", 32)
+    found = F.flatten(F.transform("of", lambda a: F.transform(F.filter("of", lambda b: (b["id"] < a["id"]) & _chain(pair, a["fp"], b["fp"]) & _near(a["fp"], b["fp"])), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v")))))
     near = lists.select(F.inline(found)).distinct()
     large = blocked.where(F.col("n") > block).select("fp", "id").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)])
