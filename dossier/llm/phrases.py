@@ -23,7 +23,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from dossier.llm.chunks import by_chunk, by_shard, dealt, joined, lookup, parts, runs, spread, unpack
 from dossier.llm.common import rolling, sliding_argmin, table
