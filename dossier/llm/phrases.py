@@ -75,10 +75,10 @@ def _distinct(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[n
     return hi[order[first]], lo[order[first]], least, most > least
 
 
-def _sent(key: tuple, shards: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """One row for each shard of a chunk's different entries."""
+def _sent(key: tuple, shards: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], plain: bool = False) -> pd.DataFrame:
+    """One row for each shard of a chunk's different entries; plain: without the second hash and the document."""
     hi, lo, doc, many = _distinct(found)
-    rows = [(s, key[0], hi[i].tobytes(), lo[i].tobytes(), doc[i].tobytes(), many[i].tobytes()) for s, i in by_shard(hi, shards)]
+    rows = [(s, key[0], hi[i].tobytes(), b"" if plain else lo[i].tobytes(), b"" if plain else doc[i].tobytes(), many[i].tobytes()) for s, i in by_shard(hi, shards)]
     return pd.DataFrame(rows, columns=["shard", "chunk", "hi", "lo", "doc", "many"])
 
 
@@ -92,27 +92,33 @@ def send_anchors(shards: int, window: int, anchor: int):
             # A second document, where there is one, keeps the word of several.
             found.append((hi, np.zeros(len(hi), np.uint32), least))
             found.append((hi[many], np.zeros(int(many.sum()), np.uint32), least[many] + 1))
-        return _sent(key, shards, found)
+        return _sent(key, shards, found, plain=True)
 
     return send
 
 
 def recurring(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk, those of its entries that more than one document holds, with the smallest of all."""
+    """For each chunk, those of its entries that more than one document holds, with the smallest of all.
+
+    A document lies in one chunk, so an entry of two chunks has two documents.
+    """
     sizes = np.fromiter(map(len, pdf["hi"]), np.int64, len(pdf)) // 8
     hi, lo = joined(unpack(pdf["hi"], np.uint64), np.uint64), joined(unpack(pdf["lo"], np.uint32), np.uint32)
     doc, many = joined(unpack(pdf["doc"], np.int64), np.int64), joined(unpack(pdf["many"], bool), bool)
+    plain = len(doc) < len(hi)
+    if plain:
+        lo, doc = np.zeros(len(hi), np.uint32), np.zeros(len(hi), np.int64)
     chunk = np.repeat(pdf["chunk"].to_numpy(np.int64), sizes)
     order, new = runs(hi, lo)
     rows = []
     if len(order):
         first = np.flatnonzero(new)
-        least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
-        several = (most > least) | np.logical_or.reduceat(many[order], first)
+        least = np.minimum.reduceat(doc[order], first)
+        several = (np.diff(np.append(first, len(order))) > 1) | np.logical_or.reduceat(many[order], first)
         group = np.cumsum(new) - 1
         use = order[several[group]]
         owner = least[group[several[group]]]
-        rows = [(c, hi[use[i]].tobytes(), lo[use[i]].tobytes(), owner[i].tobytes()) for c, i in by_chunk(chunk[use])]
+        rows = [(c, hi[use[i]].tobytes(), b"" if plain else lo[use[i]].tobytes(), b"" if plain else owner[i].tobytes()) for c, i in by_chunk(chunk[use])]
     return pd.DataFrame(rows, columns=["chunk", "hi", "lo", "owner"])
 
 
@@ -125,7 +131,7 @@ def _answers(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def send_windows(shards: int, window: int, anchor: int):
     def send(key: tuple, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        shared, _, _ = _answers(told)
+        shared = np.sort(joined(unpack(told["hi"], np.uint64), np.uint64))
         found = []
         for part in parts(docs) if len(shared) else ():
             c = Chunk(part, window)
