@@ -98,7 +98,7 @@ def send_anchors(shards: int, window: int, anchor: int):
 
 
 def recurring(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk, those of its entries that more than one document holds, with the smallest of all.
+    """For each chunk, those of its entries that it must act on because more than one document holds them, with the smallest of all.
 
     A document lies in one chunk, so an entry of two chunks has two documents.
     """
@@ -116,8 +116,8 @@ def recurring(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         least = np.minimum.reduceat(doc[order], first)
         several = (np.diff(np.append(first, len(order))) > 1) | np.logical_or.reduceat(many[order], first)
         group = np.cumsum(new) - 1
-        use = order[several[group]]
-        owner = least[group[several[group]]]
+        act = several[group] if plain else several[group] & ((doc[order] > least[group]) | many[order])  # the first document alone keeps all
+        use, owner = order[act], least[group[act]]
         rows = [(c, hi[use[i]].tobytes(), b"" if plain else lo[use[i]].tobytes(), b"" if plain else owner[i].tobytes()) for c, i in by_chunk(chunk[use])]
     return pd.DataFrame(rows, columns=["chunk", "hi", "lo", "owner"])
 
