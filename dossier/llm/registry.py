@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import decontaminate, langid, mixing, phrases, quality, repeats, shuffle_shards, simhash, topk, warc
+from dossier.llm import centroids, decontaminate, langid, mixing, packing, phrases, quality, repeats, shuffle_shards, simhash, topk, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_topk": topk.op9_topk,
         "op10_mixing": mixing.op10_mixing,
+        "op11_packing": packing.op11_packing,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
@@ -27,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontaminate.ORACLE_SQL,
         "op9_topk": topk.ORACLE_SQL,
         "op10_mixing": mixing.ORACLE_SQL,
+        "op12_centroids": centroids.ORACLE_SQL,
     }
