@@ -4,7 +4,9 @@ Statistics of the whole text come from built-in column functions. A random fores
 rows; every path from a root to a node is a conjunctive rule. A logistic regression with an L1 penalty weighs the rules and
 keeps few; those are compiled into one Spark column expression, so scoring runs inside the JVM without any model object.
 
-At most about ``MAX_ROWS`` labelled rows, chosen by a hash of the id, fit the model (documented bound); all rows are scored.
+At most ``MAX_ROWS`` labelled rows, those with the least hashes of id and statistics, fit the model (documented bound). They
+are put in the order of the hashes into one partition, as Spark draws a forest's samples by partition and place: so any layout of
+the input gives the same model. All rows are scored.
 Defined results: null and empty texts have all statistics 0 and get a score like any other; without labels of both classes
 every score is the share of label 1, or 0.5 without any label; labels that are null, or of unknown documents, are not used;
 rows that repeat score alike; texts of any length are read whole; extra columns are ignored.
@@ -56,10 +58,10 @@ def statistics(docs: DataFrame, keep: list, text_col: str) -> DataFrame:
 
 
 def _paths(node, path: tuple) -> list[tuple]:
-    """Conjunctions (statistic, is at most, threshold) that lead to the nodes of a tree, the root left out."""
-    own = [path] if path else []
+    """Conjunctions (statistic, is at most, threshold) that lead to the nodes of a tree, the root left out unless it is a leaf."""
     if node.subtreeDepth() == 0:
-        return own
+        return [path]
+    own = [path] if path else []
     split = node.split()
     i, t = split.featureIndex(), split.threshold()
     return own + _paths(node.leftChild(), (*path, (i, True, t))) + _paths(node.rightChild(), (*path, (i, False, t)))
@@ -92,8 +94,10 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, trees: int = TREES, depth: in
         share = (ones + 0.5) / (n + 1) if n else 0.5
         return Rules([], [], math.log(share / (1 - share)))
     stats = [c for c in rows.columns if c.startswith("s")]
-    picked = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < min(1.0, max_rows / n) * 1_000_000
-    sample = rows.where(picked).select(F.col("label").cast("double").alias("label"), *stats)
+    place = F.xxhash64("id", *stats)
+    picked = F.pmod(place, F.lit(1_000_000)) < min(1.0, 1.1 * max_rows / n) * 1_000_000  # a tenth over: the limit decides
+    sample = rows.where(picked).select(F.col("label").cast("double").alias("label"), *stats, place.alias("place"))
+    sample = materialize(sample.orderBy("place", "label", *stats).limit(max_rows).drop("place"), "sample").coalesce(1)
     sample = sample.withColumn("features", array_to_vector(F.array(*stats)))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=SEED, maxBins=64).fit(sample)
     rules = sorted({p for t in forest.trees for p in _paths(t._java_obj.rootNode(), ())}, key=repr)

@@ -445,7 +445,16 @@ def test_quality_column_is_the_model(spark):
         assert r["score"] == pytest.approx(lasso.predictProbability(flags)[1], abs=1e-9)
         for tree, own in zip(forest.trees, paths, strict=True):
             leaves = [p for p in own if not any(q[: len(p)] == p and len(q) > len(p) for q in own)]
-            assert sum(holds(p, r) for p in leaves) == 1 and tree.numNodes == len(own) + 1
+            assert sum(holds(p, r) for p in leaves) == 1 and tree.numNodes == len([p for p in own if p]) + 1  # a root alone is the empty rule
+
+
+def test_quality_is_the_same_in_any_layout(spark):
+    rows = [(i, words(i, 20 + i % 70, 300 if i % 3 else 30) + "! " * (i % 5), None, None) for i in range(200)] + [(None, words(5, 9), None, None)] * 3
+    stats = quality.statistics(documents(spark, rows), ["doc_id"], "text").withColumnRenamed("doc_id", "id")
+    known = stats.withColumn("label", (F.coalesce("id", F.lit(1)) % 3 > 0).cast("int"))
+    models = [quality.fit(known.repartition(n, F.col(by)), trees=6, max_rows=m) for m in (150, 1000) for n, by in ((1, "id"), (3, "s0"), (8, "id"))]
+    for same in (models[:3], models[3:]):
+        assert len({(repr(m.rules), tuple(m.weights), m.bias) for m in same}) == 1 and same[0].rules
 
 
 def test_quality_without_labels(spark):
