@@ -1,8 +1,9 @@
 """Language identification with one interpolated Kneser-Ney character model per language.
 
 Training counts character n-grams inside letter words (the word is framed by blanks, contexts stop at its start) over a
-bounded sample of labelled rows, about ``rows_per_lang`` a language, chosen by a hash of the id. Four fifths of the sample
-fit the models, the rest calibrates them. The models are kept as sorted hash arrays, one for each order, with a column of
+bounded sample of labelled rows: of each of the ``MAX_LANGS`` most frequent languages at most ``rows_per_lang`` different rows,
+those with the least hashes of id and text. Four fifths of the sample fit the models, the rest calibrates them; where the rest
+has fewer than ``HELD`` rows, each fifth is measured under models of the other four instead. The models are kept as sorted hash arrays, one for each order, with a column of
 log-probabilities and of back-off weights for each language, so one binary search serves all languages.
 
 A text gets the language of the lowest cross-entropy per character. ``score`` is a softmax of the length-normalised
@@ -11,8 +12,9 @@ cross-entropy is above the limit of its language and length. Limits come from th
 of each class of ``LENGTHS`` letters: a limit is the quantile of the pieces' cross-entropies that the share ``REJECT`` of them
 exceeds. Between classes, a text takes the limit of the longest class that it reaches, so it is judged as a shorter one.
 
-Defined results: null, empty or letterless text: ``und``, score 0, rejected. No labelled row at all: every text is ``und``.
-Repeated rows and extra columns pass through unchanged; whole texts are read, whatever their length; of languages that fit
+Defined results: null, empty or letterless text (letters are what Unicode calls so: no digits, fractions or circled numbers):
+``und``, score 0, rejected. No labelled row at all: every text is ``und``. Rows without an id, or of one id, are told apart by
+their texts; rows equal in both count once in the sample. Repeated rows and extra columns pass through unchanged; whole texts are read, whatever their length; of languages that fit
 equally well the first by name is taken.
 """
 
@@ -23,13 +25,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import mix64, table
 
-LETTERS = re.compile(r"[^\W\d_]+")
-ORDER, ROWS_PER_LANG, REJECT = 5, 300, 0.001
+_WORD = re.compile(r"[^\W\d_]+")
+ORDER, ROWS_PER_LANG, REJECT, MAX_LANGS, HELD, FOLDS = 5, 300, 0.001, 256, 20, 5
 #: Classes of length, in letters and word ends: cross-entropies vary less the longer the text.
 LENGTHS = (1, 8, 16, 32, 64, 128, 256, 512)
 SCHEMA = "lang string, score double, cross_entropy double, n_letters long, rejected boolean"
@@ -49,6 +51,14 @@ class Model:
     temperature: float = 1.0
 
 
+def letter_words(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
+
+
 def _letters(words) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the framed words in a row, and where each word starts."""
     text = " " + "  ".join(words) + " "
@@ -164,7 +174,7 @@ def entropies(model: Model, texts: list[str | None], chunk: int = 400_000) -> tu
         rows, found, size = [], [], 0
 
     for i, text in enumerate(texts):
-        if text and model.langs and (ws := LETTERS.findall(text.lower())):
+        if text and model.langs and (ws := letter_words(text)):
             rows.append(i)
             found.append(ws)
             size += len(text)
@@ -201,7 +211,7 @@ def decide(model: Model, texts: list[str | None]) -> pd.DataFrame:
 def pieces(text: str, size: int) -> list[str]:
     """The words of a text in consecutive pieces of at least `size` letters and word ends."""
     out, now, n = [], [], 0
-    for w in LETTERS.findall(text.lower()):
+    for w in letter_words(text):
         now.append(w)
         n += len(w) + 1
         if n >= size:
@@ -210,25 +220,28 @@ def pieces(text: str, size: int) -> list[str]:
     return out
 
 
-def calibrate(model: Model, texts: list[str], langs: list[str], reject: float = REJECT) -> Model:
-    """Sets the temperature, and the limits of each language and length."""
+def calibrate(model: Model, parts: list[tuple[Model, list[str], list[str]]], reject: float = REJECT) -> Model:
+    """Sets the temperature, and the limits of each language and length. parts: texts and their languages, and models that have not seen them."""
     model.limit = np.full((len(model.langs), len(LENGTHS)), np.inf)
-    ce, n = entropies(model, texts)
-    rows = np.flatnonzero((n > 0) & np.isin(np.array(langs, object), model.langs))
-    if not len(rows):
+    logits, truth = [], []
+    for other, texts, langs in parts:
+        ce, n = entropies(other, texts)
+        rows = np.flatnonzero((n > 0) & np.isin(np.array(langs, object), other.langs))
+        scaled = np.full((len(rows), len(model.langs)), np.inf)
+        scaled[:, [model.langs.index(x) for x in other.langs]] = ce[rows] * np.sqrt(n[rows])[:, None]
+        logits.append(-scaled)
+        truth += [model.langs.index(langs[i]) for i in rows]
+    if not truth:
         return model
-    truth = np.array([model.langs.index(langs[i]) for i in rows])
-    ce, n = ce[rows], n[rows]
-    loss = {}
+    every, loss = np.concatenate(logits), {}
     for t in 0.05 * 2.0 ** np.arange(12):
-        logits = -t * ce * np.sqrt(n)[:, None]
-        logits -= logits.max(1, keepdims=True)
-        loss[t] = -(logits[np.arange(len(rows)), truth] - np.log(np.exp(logits).sum(1))).mean()
+        z = t * every
+        z = z - z.max(1, keepdims=True)
+        loss[t] = -(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(1))).mean()
     model.temperature = float(min(loss, key=loss.get))
     for c, lang in enumerate(model.langs):
-        own = [texts[i] for i in rows if langs[i] == lang]
         for k, size in enumerate(LENGTHS):
-            found = entropies(model, [p for t in own for p in pieces(t, size)])[0][:, c]
+            found = np.concatenate([entropies(other, [p for t, x in zip(texts, langs, strict=True) if x == lang for p in pieces(t, size)])[0][:, other.langs.index(lang)] for other, texts, langs in parts if lang in other.langs] or [np.zeros(0)])
             if len(found) * reject >= 1:
                 model.limit[c, k] = np.quantile(found, 1 - reject, method="higher")
             elif k:  # too few pieces to know the quantile: judged as shorter ones
@@ -238,28 +251,42 @@ def calibrate(model: Model, texts: list[str], langs: list[str], reject: float =
     return model
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_lang: int = ROWS_PER_LANG, order: int = ORDER, reject: float = REJECT) -> Model:
-    """Fit on labelled rows; at most about rows_per_lang (documented bound) of each language are read whole."""
-    rows = labelled.where(F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_lang: int = ROWS_PER_LANG) -> pd.DataFrame:
+    """(lang, place, text): at most rows_per_lang rows of each of at most MAX_LANGS languages, in the order of their hashes."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("place"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("place").alias("different")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not counts:
-        return Model()
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, rows_per_lang / n))).otherwise(share)
-    pick = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000))
-    sample = rows.where(pick < share * 1_000_000).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (pick % 5 == 0).alias("held"))
-    found = sample.where(F.col("text").isNotNull()).toPandas()  # bounded by rows_per_lang for each language
-    parts = {}
-    for lang, own in found[~found["held"]].groupby("lang"):
-        words = pd.Series([w for t in own["text"] for w in LETTERS.findall(t.lower())], dtype=object).value_counts()
-        if len(words):
-            parts[lang] = _kneser_ney(list(words.index), words.to_numpy(), order)
-    if not parts:
-        return Model()
-    held = found[found["held"]]
-    held = held if len(held) >= 20 else found
-    return calibrate(_stack(parts, order), held["text"].tolist(), held["lang"].tolist(), reject)
+        return pd.DataFrame(columns=["lang", "place", "text"])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3 * rows_per_lang / r["different"])))])
+    near = rows.where(F.pmod("place", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)  # about three times as many as needed
+    ranked = near.select("lang", "place").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1_000_000)), "place")))
+    chosen = ranked.where(F.col("rank") <= rows_per_lang).drop("rank")
+    found = near.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "place").agg(F.first("text").alias("text"))  # MAX_LANGS times rows_per_lang rows
+    return found.toPandas().sort_values(["lang", "place"], ignore_index=True)
+
+
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_lang: int = ROWS_PER_LANG, order: int = ORDER, reject: float = REJECT) -> Model:
+    """Fit on a bounded sample of labelled rows, read whole."""
+    found = sample(labelled, id_col, text_col, lang_col, rows_per_lang)
+    fold_ = found["place"].to_numpy(np.int64) // 7 % FOLDS
+
+    def model_of(rows: pd.DataFrame) -> Model:
+        parts = {}
+        for lang, own in rows.groupby("lang"):
+            words = pd.Series([w for t in own["text"] for w in letter_words(t)], dtype=object).value_counts(sort=False).sort_index()
+            if len(words):
+                parts[lang] = _kneser_ney(list(words.index), words.to_numpy(), order)
+        return _stack(parts, order) if parts else Model()
+
+    def part(i: int, other: Model) -> tuple[Model, list[str], list[str]]:
+        own = found[fold_ == i]
+        return other, own["text"].tolist(), own["lang"].tolist()
+
+    if (fold_ == 0).sum() >= HELD:
+        model = model_of(found[fold_ != 0])
+        return calibrate(model, [part(0, model)], reject) if model.langs else model
+    model = model_of(found)
+    return calibrate(model, [part(i, other) for i in range(FOLDS) if (other := model_of(found[fold_ != i])).langs], reject) if model.langs else model
 
 
 def identify(model: Model, text: Column, spark) -> Column:

@@ -55,6 +55,30 @@ def test_langid_learns_and_rejects(spark):
     assert said["rejected"].tolist()[2:] == [True, True] and said["lang"].tolist()[3] == "und"
 
 
+def test_langid_letters(spark):
+    assert langid.letter_words("Añb½c ²³ ①x ⅷ 12 ª_b") == ["añb", "c", "x", "ª", "b"]
+    rows = [(i, " ".join(random.Random(i).choices(["the", "and", "thing"], k=30)), "en", "a") for i in range(60)]
+    model = langid.fit(documents(spark, rows), "doc_id", "text", "lang")
+    said = langid.decide(model, ["½ ²", "①", "the ½"])
+    assert said["lang"].tolist() == ["und", "und", "en"] and said["score"].tolist()[:2] == [0, 0]
+
+
+def test_langid_sample_is_bounded(spark):
+    rows = [(None, f"the thing {i % 900}", "en", "a") for i in range(4000)] + [(7, f"der hund {i}", "de", "a") for i in range(500)] + [(9, "le chat", "fr", "a")] * 600 + [(1, None, "fr", "a")]
+    found = langid.sample(documents(spark, rows), "doc_id", "text", "lang", 100)
+    assert found.groupby("lang").size().to_dict() == {"en": 100, "de": 100, "fr": 1} and not found.duplicated(["lang", "place"]).any()
+    again = langid.sample(documents(spark, rows[::-1]).repartition(3), "doc_id", "text", "lang", 100)
+    assert again.equals(found)
+
+
+def test_langid_small_samples_are_cross_fitted(spark):
+    """With few rows no text is measured under a model that it fitted: limits are not those of the training rows."""
+    rows = [(i, words(i, 40, 60), "en", "a") for i in range(30)]
+    model = langid.fit(documents(spark, rows), "doc_id", "text", "lang")
+    fresh = langid.decide(model, [words(1000 + i, 40, 60) for i in range(50)])
+    assert fresh["rejected"].sum() == 0
+
+
 def test_langid_without_labels(spark):
     model = langid.fit(empty(spark), "doc_id", "text", "lang")
     assert langid.decide(model, ["the", None])["lang"].tolist() == ["und", "und"]
