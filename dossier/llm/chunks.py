@@ -1,6 +1,7 @@
 """Questions that chunks of documents put to shards of a hash space, and their answers.
 
-Documents are dealt into chunks of bounded bytes by a hash of their id; values that must meet (hashes of passages) are dealt
+Documents are dealt into chunks of bounded bytes by a hash of id and text, so rows without an id, or of one id, spread as far
+as their texts differ; values that must meet (hashes of passages) are dealt
 into shards of bounded size. A chunk sends each shard one row with packed arrays, distinct values only, so a passage that
 very many documents share costs one entry a chunk, not one a document; a shard answers a chunk only what it must act on.
 Chunks and shards both grow with the root of the input's bytes, so that the rows exchanged grow with the bytes, until they
@@ -38,7 +39,7 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, kind: str) -> tuple[DataF
     chunks, shards = sized(docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
     id_ = F.col(id_col).cast("long")
     text = F.coalesce(F.col(text_col), F.lit("")).cast(kind)
-    return docs.select(F.pmod(F.xxhash64(id_), F.lit(chunks)).cast("int").alias("chunk"), id_.alias("id"), text.alias("text")), shards
+    return docs.select(F.pmod(F.xxhash64(id_, text), F.lit(chunks)).cast("int").alias("chunk"), id_.alias("id"), text.alias("text")), shards
 
 
 def parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:

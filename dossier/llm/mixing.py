@@ -13,7 +13,8 @@ and joined to bucket offsets, so no source is gathered in one task.
 
 Defined results: null text or one without words: size 0, taken 0, no place. Whole texts of any length are counted; one
 longer than a slot starts in one block and covers several. A null source is a source of its own, last in order.
-Rows that repeat are documents of their own. An empty table gives an empty result. Extra columns are ignored.
+Rows that repeat are documents of their own. The shuffled order hashes id and text, so rows without an id or of one id spread
+over all buckets as far as their texts differ. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +23,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import SPACE, materialize, table
-from dossier.llm.shuffle_shards import PRIME, _sql_mix, keys, mix
+from dossier.llm.shuffle_shards import PRIME, _sql_dealing, _sql_mix, dealing, keys, mix
 
 SLOTS, MOST, BUCKETS, BUCKET_ROWS, SEED = 16_384, 3, 512, 65_536, 77
+#: Tables of a row for each source or bucket are broadcast up to so many rows, so that a large source is no join key.
+BROADCAST_ROWS = 200_000
 #: 2**32 divided by the golden ratio, rounded to an odd number.
 GOLDEN = 2_654_435_769
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """A table whose rows have been counted, broadcast where they are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
+def place_key(id_: Column, text: Column) -> Column:
+    """The place of a row in the shuffled order of its source."""
+    digits = F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 7)
+    return mix(dealing(id_, F.conv(digits, 16, 10).cast("long")), keys(SEED, 1)[0])
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, sid, source_size, weight, target) from (source, size); one row for each source, few by nature."""
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -76,13 +90,13 @@ def schedule(found: DataFrame, slots: int = SLOTS) -> DataFrame:
 def _taken(docs: DataFrame, id_col: str, source_col: str, text_col: str, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, int]:
     """(id, none, name, key, bucket, size, source_size, target, sid, block, taken) for each row of docs, the schedule, and the
     width of a bucket; none and name stand for the source, block is the one that the row starts in."""
-    each = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    each = materialize(each.withColumn("key", mix(F.col("id"), keys(SEED, 1)[0])), "sizes")
+    each = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), place_key(F.col(id_col), F.col(text_col)).alias("key"))
+    each = materialize(each, "sizes")
     found = materialize(targets(each), "targets")
     plan = materialize(schedule(found, slots), "schedule")
     slot = F.greatest(F.lit(1), F.expr(f"total div {slots}"))
     named = found.select("sid", "source_size", "target", slot.alias("slot"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    each = each.withColumns({"none": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))}).join(named, ["none", "name"])
+    each = each.withColumns({"none": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))}).join(_few(named, found.count()), ["none", "name"])
     width = PRIME // max(BUCKETS, each.count() // BUCKET_ROWS) + 1
     each = each.withColumn("bucket", F.expr(f"key div {width}"))
     sums = each.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
@@ -133,10 +147,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     starts = plan.groupBy("sid", "bucket", "block").agg(F.min(place(F.col("key"), F.col("id"))).alias("at"))
     inside = starts.groupBy("sid", "bucket").agg(F.array_sort(F.collect_list(F.struct("at", "block"))).alias("__blocks"))  # SLOTS blocks in all
     inside = materialize(inside.select(F.col("sid").alias("__sid"), F.col("bucket").alias("__bucket"), "__blocks"), "blocks")
-    at = place(mix(F.col(id_col), keys(SEED, 1)[0]), F.col(id_col))
-    rows = docs.withColumns({"__none": F.col(source_col).isNull(), "__name": F.coalesce(F.col(source_col), F.lit("")), "__at": at}).join(cuts, ["__none", "__name"])
+    at = place(place_key(F.col(id_col), F.col(text_col)), F.col(id_col))
+    rows = docs.withColumns({"__none": F.col(source_col).isNull(), "__name": F.coalesce(F.col(source_col), F.lit("")), "__at": at}).join(_few(cuts, cuts.count()), ["__none", "__name"])
     rows = rows.where(F.col(text_col).rlike(f"[^{SPACE}]")).withColumn("__copies", F.when(F.col("__at") <= F.col("__cut"), F.col("__high")).otherwise(F.col("__low")))
-    rows = rows.where("__copies > 0").withColumn("__bucket", F.expr(f"__at.key div {width}")).join(inside, ["__sid", "__bucket"])
+    rows = rows.where("__copies > 0").withColumn("__bucket", F.expr(f"__at.key div {width}")).join(_few(inside, inside.count()), ["__sid", "__bucket"])
     block = F.element_at(F.filter("__blocks", lambda b: b["at"] <= F.col("__at")), -1)["block"]
     rows = rows.withColumn("__block", block).drop("__blocks").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     points = slots.select(F.col("sid").alias("__sid"), F.col("epoch").cast("int").alias("__epoch"), F.col("block").alias("__block"), F.col("place").alias("__place"))
@@ -147,7 +161,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
 ORACLE_SQL = f"""
 WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {_sql_mix('doc_id', keys(SEED, 1)[0])} AS k FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {_sql_mix(_sql_dealing('doc_id', "('0x' || substr(md5(coalesce(text, '')), 1, 7))::BIGINT"), keys(SEED, 1)[0])} AS k FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w,
     sum(sum(size)) OVER ()::BIGINT AS total FROM docs GROUP BY source),

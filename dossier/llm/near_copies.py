@@ -1,12 +1,14 @@
 """Near copies: all pairs of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 A Hamming limit alone cannot find them: at a similarity of 0.8 ten of 64 fingerprint bits differ on average, and no segment
-index prunes at the twelve bits or more that would be needed. Prefix filtering makes the candidates and loses none: under
+index prunes at the twelve bits or more that would be needed. So the pairs of SimHash (see simhash: at most two differing bits, by
+pigeonring filtering) are only the first candidates. Prefix filtering makes the others and loses none: under
 any one order of all shingles, two sets of that similarity share a shingle among the first n - ceil(0.8 n) + 1 of each. The
 order here has the shingles whose hash is a multiple of ``PART`` first, rare ones before frequent ones by their exact number
 of documents, then all others by hash. A passage that many documents share so comes last, and only texts that are copies in
-large part meet. Fingerprints (bitwise majority of the shingle hashes) then prune candidates that differ in over ``BITS``
-bits, 5.6 standard deviations above the mean at 0.8, before whole shingle sets are compared.
+large part meet. An odd sketch prunes them before whole sets are compared, and loses none either: it has the parity of the
+number of shingles in each of 256 parts of the hash space, two sets differ in at least as many shingles as their sketches in bits, and
+similar ones in at most a ninth of their sizes' sum.
 
 Equal sets collapse first. Documents with a common prefix shingle form a group, cut into cells of about ``CELL`` members. A
 small group gives all pairs of fitting sizes. A larger one first gives each member its ``NEXT`` successors in hash order;
@@ -20,7 +22,7 @@ Rows that repeat stay or go together; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,14 +33,12 @@ from pyspark.sql import functions as F
 from dossier.llm.common import materialize, mix64, shingle_hashes
 from dossier.operators.components import connected_components
 
-SHINGLE, PART, BITS = 5, 4, 26
+SHINGLE, PART = 5, 4
 SMALL, NEXT, FAR, CELL = 64, 8, 16, 4096
 #: Tables of two numbers a row are broadcast up to so many rows (8 MB), else shuffled.
 BROADCAST_ROWS = 500_000
-#: Sets of fewer shingles have fingerprints of too few votes: they are not pruned.
-VOTES = 32
 _PAIRS = "u long, v long"
-_CUT = "key binary, part long, n long, fp long, k int, counted array<long>, rest array<long>"
+_CUT = "key binary, part long, n long, fp long, odd binary, k int, counted array<long>, rest array<long>"
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -55,6 +55,11 @@ def fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0])
 
 
+def odd_sketch(found: np.ndarray) -> bytes:
+    """256 bits: is the number of different hashes in each part of the hash space odd?"""
+    return np.packbits(np.bincount((found >> np.uint64(40)).astype(np.int64) % 256, minlength=256) % 2 == 1).tobytes()
+
+
 def prefix_size(n: int) -> int:
     return n + 4 * n // -5 + 1
 
@@ -67,8 +72,8 @@ def _cut(texts: pd.Series) -> pd.DataFrame:
         counted, others = s[mine].view(np.int64), s[~mine].view(np.int64)
         missing = max(0, prefix_size(len(s)) - len(counted))
         key = xxhash.xxh128_digest(s.tobytes())
-        rows.append((key, int.from_bytes(key[:8], "big", signed=True), len(s), fingerprint(s), len(counted), counted, others[:missing]))
-    return pd.DataFrame(rows, columns=["key", "part", "n", "fp", "k", "counted", "rest"])
+        rows.append((key, int.from_bytes(key[:8], "big", signed=True), len(s), fingerprint(s), odd_sketch(s), len(counted), counted, others[:missing]))
+    return pd.DataFrame(rows, columns=["key", "part", "n", "fp", "odd", "k", "counted", "rest"])
 
 
 def _whole(texts: pd.Series) -> pd.Series:
@@ -87,14 +92,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return a.join(_few(pairs), "u").join(b, "v").where(5 * both >= 4 * (F.size("set_u") + F.size("set_v") - both)).select("u", "v").distinct()
 
 
-def _fitting(n: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """May these members be similar, by their sizes (0: unknown) and fingerprints?"""
+def _fitting(n: np.ndarray, odd: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """May these members be similar, by their sizes (0: unknown) and odd sketches? Never false of similar ones."""
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    return (low == 0) | ((5 * low >= 4 * high) & ((low < VOTES) | (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= BITS)))
+    differ = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64)
+    return (low == 0) | ((5 * low >= 4 * high) & (9 * differ <= low + high))
 
 
 def _candidates(way: str):
-    """Pairs of a cell's members (of: id, n, fp, c), each way as said above: "ring", "far" or "all"."""
+    """Pairs of a cell's members (of: id, n, odd, c), each way as said above: "ring", "far" or "all"."""
 
     def met(ids: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         m = len(ids)
@@ -121,9 +127,10 @@ def _candidates(way: str):
         found, size = [], 0
         for pdf in frames:
             for of in pdf["of"]:
-                ids, n, fp, c = (np.array([r[k] for r in of], np.int64) for k in ("id", "n", "fp", "c"))
+                ids, n, c = (np.array([r[k] for r in of], np.int64) for k in ("id", "n", "c"))
+                odd = np.frombuffer(b"".join(r["odd"] for r in of), np.uint64).reshape(-1, 4)
                 for i, j in met(ids, c):
-                    ok = (c[i] != c[j]) & _fitting(n, fp, i, j)
+                    ok = (c[i] != c[j]) & _fitting(n, odd, i, j)
                     i, j = ids[i[ok]], ids[j[ok]]
                     found.append(np.column_stack([np.maximum(i, j), np.minimum(i, j)]))
                     size += len(i)
@@ -137,17 +144,17 @@ def _candidates(way: str):
 
 
 def _groups(each: DataFrame) -> DataFrame:
-    """(s, id, n, fp, size): the members of each group of documents that share a prefix shingle."""
+    """(s, id, n, odd, size): the members of each group of documents that share a prefix shingle."""
     counted = each.select("id", F.explode("counted").alias("s"))
     several = counted.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     shared = counted.join(several, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("of"))  # at most the shingles of a text
     p = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
     one = F.count("*") == 1
-    info = each.groupBy("id").agg(F.when(one, F.max("n")).otherwise(0).alias("n"), F.when(one, F.max("fp")).otherwise(0).alias("fp"), F.when(one, F.max(p - F.col("k"))).alias("more"))
+    info = each.groupBy("id").agg(F.when(one, F.max("n")).otherwise(0).alias("n"), F.first("odd").alias("odd"), F.when(one, F.max(p - F.col("k"))).alias("more"))
     # Shingles of one document come first in its order; ids with several texts give all that they share.
     need = F.coalesce(F.greatest(F.col("more") + F.size("of"), F.lit(0)), F.size("of")).cast("int")
-    first = shared.join(info, "id").select("id", "n", "fp", F.explode(F.slice("of", F.lit(1), need)).alias("x")).select(F.col("x.s").alias("s"), "id", "n", "fp")
-    rest = each.select("id", F.explode("rest").alias("s")).join(info, "id").select("s", "id", "n", "fp")
+    first = shared.join(info, "id").select("id", "n", "odd", F.explode(F.slice("of", F.lit(1), need)).alias("x")).select(F.col("x.s").alias("s"), "id", "n", "odd")
+    rest = each.select("id", F.explode("rest").alias("s")).join(info, "id").select("s", "id", "n", "odd")
     entries = first.unionByName(rest).distinct()
     sizes = entries.groupBy("s").agg(F.count("*").alias("size")).where("size > 1")
     return materialize(entries.join(sizes, "s"), "groups")
@@ -163,11 +170,11 @@ def _cells(groups: DataFrame, whole: bool, cell: int = CELL) -> DataFrame:
     else:
         turned = groups.withColumn("a", F.explode(F.sequence(F.lit(0), F.when(parts > 1, 1).otherwise(0))))
         keyed = turned.withColumn("b", F.when(F.col("a") == 0, part(0)).otherwise(part(1)))
-    return keyed.groupBy("s", "a", "b").agg(F.collect_list(F.struct("id", "n", "fp", "c")).alias("of")).where(F.size("of") > 1).select("of")
+    return keyed.groupBy("s", "a", "b").agg(F.collect_list(F.struct("id", "n", "odd", "c")).alias("of")).where(F.size("of") > 1).select("of")
 
 
-def links(docs: DataFrame, id_col: str, text_col: str, cell: int = CELL) -> DataFrame:
-    """Links (u, v) between ids of docs whose components are those of all near copies."""
+def links(docs: DataFrame, id_col: str, text_col: str, cell: int = CELL, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links (u, v) between ids of docs whose components are those of all near copies. first: more candidates (u, v) from fingerprints (fp, id)."""
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     each = materialize(given.withColumn("c", F.pandas_udf(_cut, _CUT)(F.col("text"))).select("id", "c.*"), "shingles")
     nodes = materialize(each.groupBy("key").agg(F.min("id").alias("id")), "distinct")
@@ -178,6 +185,10 @@ def links(docs: DataFrame, id_col: str, text_col: str, cell: int = CELL) -> Data
     met = materialize(groups.select("id").distinct(), "met")
     given = materialize(given.join(_few(met), "id", "left_semi").select("id", F.pandas_udf(_whole, "array<long>")(F.col("text")).alias("set")), "sets")
     pairs = _cells(groups.withColumn("c", F.col("id")), False, cell).mapInPandas(_candidates("ring"), _PAIRS)
+    if first is not None:
+        prints = each.groupBy("fp").agg(F.min("id").alias("id"))
+        same = each.select("id", "fp").join(prints.withColumnRenamed("id", "v"), "fp").where("id <> v").select(F.col("id").alias("u"), "v")
+        pairs = pairs.unionByName(same).unionByName(first(prints))
     near = materialize(_confirmed(materialize(pairs.distinct(), "candidates"), given), "near")
     large = groups.where(F.col("size") > SMALL)
     for way in ("far", "all"):
@@ -192,8 +203,8 @@ def links(docs: DataFrame, id_col: str, text_col: str, cell: int = CELL) -> Data
     return equal.unionByName(near)
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs without the rows whose id is not the least of its component; rows without an id stay."""
-    found = connected_components(links(docs, id_col, text_col, cell))
+    found = connected_components(links(docs, id_col, text_col, cell, first))
     gone = materialize(found.where("node <> component").select(F.col("node").alias(id_col)).distinct(), "copies")
     return docs.join(gone, id_col, "left_anti")

@@ -1,13 +1,15 @@
 """Reproducible shuffle into shards: a Feistel permutation with cycle walking over global row numbers.
 
-Rows get gapless numbers without a global sort: a hash bucket of the id (about ``BUCKET_ROWS`` rows each, ``BUCKETS`` of
+Rows get gapless numbers without a global sort: a hash bucket of the id and the first order column (a number that tells texts
+apart, so rows without an id or of one id spread over all buckets; about ``BUCKET_ROWS`` rows each, ``BUCKETS`` of
 them at least), the bucket's offset, and the row's rank in its bucket. Only the offsets, one row a bucket, meet in one task. A Feistel network over the smallest grid a x b >= N permutes the
 numbers; a result outside [0, N) walks on until it falls inside. The place p that a row gets gives shard p mod n and slot
 p div n, so shard sizes differ by one row at most (law ``rows``) and slots are gapless from 0. The round function is
 cubing modulo a prime, so any engine with 64-bit integers computes the same shuffle.
 
-Only DataFrame functions run. Defined results: rows that repeat are numbered one after another; rows without an id form
-bucket 0; an empty table gives an empty result; existing columns named shard or slot are replaced, others are kept.
+Only DataFrame functions run. Defined results: rows that repeat in id and text are numbered one after another; rows without
+an id count as id 0 in the choice of a bucket and come first in it; a null text counts as empty, and of texts of any length only
+size and checksum are used; an empty table gives an empty result; existing columns named shard or slot are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ def mix(value: Column, key: tuple[int, int]) -> Column:
     return (t * t % PRIME * t + key[1]) % PRIME
 
 
+def dealing(id_: Column, salt: Column) -> Column:
+    """A number for mix() from an id and a number below 2**40."""
+    return F.pmod(F.coalesce(id_.cast("long"), F.lit(0)), F.lit(PRIME)) + salt * F.lit(1 << 20)
+
+
 def _feistel(df: DataFrame, x: str, a: int, b: int, seed: int, only: Column) -> DataFrame:
     """df with x permuted on [0, a * b) where `only` holds."""
     df = df.withColumns({"__l": F.expr(f"{x} div {b}"), "__r": F.col(x) % b})
@@ -89,9 +96,9 @@ def permute(df: DataFrame, number: str, n: int, seed: int = SEED) -> DataFrame:
 
 
 def numbered(df: DataFrame, id_col: str, order: list[str], number: str, seed: int = SEED) -> tuple[DataFrame, int]:
-    """df with gapless row numbers from 0 in a column, and their count. Order inside a bucket: the id, then `order`."""
+    """df with gapless row numbers from 0 in a column, and their count. Order inside a bucket: the id, then `order`, whose first column is a number below 2**40."""
     total = df.count()
-    bucket = (mix(F.col(id_col), keys(seed + 1, 1)[0]) % max(BUCKETS, total // BUCKET_ROWS)).cast("int")
+    bucket = (mix(dealing(F.col(id_col), F.coalesce(F.col(order[0]), F.lit(0)) if order else F.lit(0)), keys(seed + 1, 1)[0]) % max(BUCKETS, total // BUCKET_ROWS)).cast("int")
     counts = df.select(bucket.alias("__bucket")).groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row for each bucket
     offsets = counts.select("__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
@@ -122,6 +129,10 @@ def _sql_mix(value: str, key: tuple[int, int]) -> str:
     return f"(({t} * {t} % {PRIME} * {t} + {key[1]}) % {PRIME})"
 
 
+def _sql_dealing(id_: str, salt: str) -> str:
+    return f"(((coalesce({id_}, 0) % {PRIME}) + {PRIME}) % {PRIME} + {salt} * {1 << 20})"
+
+
 def _sql_feistel(x: str) -> str:
     """One pass over the grid of table `grid` (a, b)."""
     left, right = f"(({x}) // b)", f"(({x}) % b)"
@@ -146,7 +157,7 @@ sized AS (SELECT count(*)::BIGINT AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM d
 grid AS (SELECT n, a, (n + a - 1) // a AS b FROM sized),
 walked AS (
   SELECT doc_id, size, text_crc32, n, a, b, 0 AS step,
-    row_number() OVER (ORDER BY {_sql_mix('doc_id', keys(SEED + 1, 1)[0])} % greatest({BUCKETS}, n // {BUCKET_ROWS}), doc_id NULLS FIRST, text_crc32, size) - 1 AS p FROM docs, grid
+    row_number() OVER (ORDER BY {_sql_mix(_sql_dealing('doc_id', 'text_crc32'), keys(SEED + 1, 1)[0])} % greatest({BUCKETS}, n // {BUCKET_ROWS}), doc_id NULLS FIRST, text_crc32, size) - 1 AS p FROM docs, grid
   UNION ALL
   SELECT doc_id, size, text_crc32, n, a, b, step + 1, l{ROUNDS} * b + r{ROUNDS} FROM ({_sql_feistel('p')}) WHERE step = 0 OR p >= n)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {SHARDS})::INTEGER AS shard, p // {SHARDS} AS slot, NULL::INTEGER AS grown_shard

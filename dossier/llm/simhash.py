@@ -118,14 +118,7 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs without the rows whose id is not the least of its component; rows without an id stay."""
-    found = cluster(docs, id_col, text_col, shingle)
-    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct(), "copies")
-    return docs.join(gone, id_col, "left_anti")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies (five-word shingles, Jaccard similarity of 0.8 or more): candidates from rare common shingles,
-    pruned by their fingerprints' differing bits, confirmed on the texts; see near_copies for why."""
-    return near_copies.dedupe(docs, id_col, text_col)
+    """docs without near copies (five-word shingles, Jaccard similarity of 0.8 or more): candidates from fingerprints at most two
+    bits apart and from rare common shingles, confirmed on whole shingle sets; see near_copies for why."""
+    return near_copies.dedupe(docs, id_col, text_col, first=links)

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from dossier.llm import near_copies
@@ -47,6 +48,35 @@ def test_all_pairs(spark, cell, small, monkeypatch):
     assert kept == kept_by_hand(rows) and 6 < len(kept) < len(rows)
 
 
+def test_no_similar_pair_is_pruned():
+    """Sets of any size at a similarity of exactly 0.8 or above fit, however many fingerprint bits differ."""
+    r = np.random.default_rng(5)
+    for _ in range(3000):
+        common, own = int(r.integers(1, 400)), [0, 0]
+        for _ in range(int(r.integers(0, common // 4 + 1))):
+            own[int(r.integers(0, 2))] += 1
+        h = r.integers(0, 1 << 63, common + sum(own)).astype(np.uint64)
+        a, b = np.sort(h[: common + own[0]]), np.sort(np.concatenate([h[:common], h[common + own[0] :]]))
+        n = np.array([len(a), len(b)])
+        odd = np.frombuffer(near_copies.odd_sketch(a) + near_copies.odd_sketch(b), np.uint64).reshape(-1, 4)
+        assert near_copies._fitting(n, odd, np.array([0]), np.array([1])).all()
+    a, b = (np.sort(r.integers(0, 1 << 63, 100).astype(np.uint64)) for _ in range(2))
+    odd = np.frombuffer(near_copies.odd_sketch(a) + near_copies.odd_sketch(b), np.uint64).reshape(-1, 4)
+    assert not near_copies._fitting(np.array([100, 100]), odd, np.array([0]), np.array([1])).any()
+
+
+def test_fingerprints_far_apart_are_still_linked(spark):
+    """Near copies of a few shingles whose fingerprints differ in very many bits."""
+    from dossier.llm import simhash
+
+    r, rows = random.Random(11), []
+    for g in range(150):
+        w = [f"w{r.randrange(5000)}" for _ in range(40)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[1:], f"x{g}"])), (len(rows) + 2, " ".join([f"y{g}", *w, f"z{g}"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.near_duplicates(docs).collect()} == kept_by_hand(rows)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (4, "d e"), (4, "d e"), (5, "d e")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1) for r in near_copies.dedupe(docs).collect()) == [-1, -1, 4, 4]
