@@ -8,7 +8,7 @@ are then left (say, where most documents have just over half a sequence) are fil
 where the gap ends. So at most ``LEAST`` - 1 ids of a sequence are padding, but for one sequence a group.
 
 No token of the tokenizers meant here spans a blank that follows another character, so a text is encoded chunk by chunk (blanks and the
-characters up to the next blank), and the ids of chunks are remembered within a task, up to ``CHUNKS`` of them. Long texts are
+characters up to the next blank), and the ids of chunks are remembered within a Python worker, up to about ``CHUNKS`` of them. Long texts are
 encoded and cut ``BLOCK`` characters at a time, so beside the text itself memory stays bounded.
 
 Defined results: null and empty texts have the end id alone; rows that repeat and rows without an id are documents of their
@@ -23,10 +23,10 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from dossier.llm.common import materialize, table
 
 SIZE, GROUP, LEAST, END_ID, SEED = 2048, 4096, 32, 1, 11
-CHUNKS, BLOCK = 200_000, 1 << 20
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+CHUNKS, BLOCK = 400_000, 1 << 20
+#: Blanks and then letters up to a blank or a mark that no token joins to a letter, or up to a blank.
+_CHUNK = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^ \n.,;:!?$%*()])|[ \n]*[^ \n]+|[ \n]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 PLACED = PIECE + ", sequence_id long, offset long"
 
@@ -58,15 +59,15 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = {None: 0}  # chunk -> its number; None is the end of a document
-        self.start, self.count, self.flat = array("q", [0]), array("q", [1]), array("i", [self.end_id])
+        self.known = {None: 1}  # chunk -> where its ids start, times 2**24, and their number; None is the end of a document
+        self.flat = array("i", [self.end_id])
 
     def learn(self, chunks: list[str]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            self.known[chunk] = len(self.start)
-            self.start.append(len(self.flat))
-            self.count.append(len(found.ids))
-            self.flat.extend(found.ids)
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        start = len(self.flat) + n.cumsum() - n
+        self.flat.extend(chain.from_iterable(found))
+        self.known.update(zip(chunks, ((start << 24) | n).tolist(), strict=True))
 
     def __call__(self, texts: list[str], ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
@@ -76,13 +77,25 @@ class Encoder:
         self.learn(list(set().union(*parts).difference(self.known)))
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
-        count = np.frombuffer(self.count, np.int64)[place]
+        count = place & 0xFFFFFF
         ends_at = count.cumsum()
-        flat = np.frombuffer(self.flat, np.int32)[np.repeat(np.frombuffer(self.start, np.int64)[place] - (ends_at - count), count) + np.arange(int(count.sum()))]
+        flat = gathered(np.frombuffer(self.flat, np.int32), place >> 24, count)
         total = np.concatenate([[0], ends_at])[n.cumsum()] if len(n) else n
         return flat, np.diff(total, prepend=0)
 
 
+@lru_cache(2)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each Python worker, which serves many tasks: what it has learnt stays."""
+    return Encoder(path, end_id)
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of `count` values from `start` on, one after the other."""
+    before = count.cumsum() - count
+    return flat[np.repeat(start - before, count) + np.arange(int(count.sum()))]
+
+
 def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
     """A text in parts of about `size` characters, cut before a blank that follows another character."""
     at = 0
@@ -135,7 +148,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         return _batch([p for doc, a, b in zip(docs, at - n, at, strict=True) for p in cut(doc, flat[a:b], 0, int(b - a))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, end_id)
+        encode = encoder(path, end_id)
         for batch in batches:
             held, texts, chars = [], [], 0
             for doc, value in zip(batch.column(0), batch.column(1), strict=True):
@@ -210,26 +223,26 @@ def packed(found: DataFrame, size: int = SIZE, group: int = GROUP, least: int =
     rest = found.where(F.col("length") < size)
     groups = max(1, -(-rest.count() // group))
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "__row"], ascending=[False, True], ignore_index=True)
-        lengths = pdf["length"].tolist()
-        bins = filled([[(i, 0, lengths[i]) for i in b] for b in first_fit(lengths, size)], size, least)
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        rows = rows.sort_by([("length", "descending"), ("__row", "ascending")])
+        lengths = rows["length"].to_numpy()
+        bins = filled([[(i, 0, int(lengths[i])) for i in b] for b in first_fit(lengths.tolist(), size)], size, least)
         item, begin, length = np.array([x for b in bins for x in b], np.int64).T
         fill = np.array([len(b) for b in bins])
         before = length.cumsum() - length
-        out = pdf.take(item).reset_index(drop=True)
-        whole = out["length"].to_numpy() == length
-        out["sequence_id"] = (np.int64(key[0]) * (1 << 32) + np.repeat(np.arange(len(bins)), fill)) * 2 + 1
-        out["offset"] = before - np.repeat(before[fill.cumsum() - fill], fill)
-        out["start"] += begin
-        out["length"] = length
-        for i in np.flatnonzero(~whole).tolist():
-            out.at[i, "ids"] = out.at[i, "ids"][begin[i] : begin[i] + length[i]]
-            out.at[i, "ids_crc32"] = _crc(out.at[i, "ids"])
-        return out.drop(columns=["__group", "__row"])
+        ids = gathered(rows["ids"].combine_chunks().flatten().to_numpy(), (lengths.cumsum() - lengths)[item] + begin, length)
+        crc = rows["ids_crc32"].to_numpy()[item]
+        for i in np.flatnonzero(lengths[item] != length).tolist():
+            crc[i] = _crc(ids[before[i] : before[i] + length[i]])
+        sequence = (np.int64(key[0].as_py()) * (1 << 32) + np.repeat(np.arange(len(bins)), fill)) * 2 + 1
+        lists = pa.ListArray.from_arrays(pa.array(np.append(before, before[-1] + length[-1]), pa.int32()), pa.array(ids, pa.int32()))
+        start = rows["start"].to_numpy()[item] + begin
+        columns = [rows["doc_id"].take(pa.array(item)), start, length, crc, rows["doc_tokens"].to_numpy()[item], lists, sequence, before - np.repeat(before[fill.cumsum() - fill], fill)]
+        return pa.table(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"])
 
     dealt = rest.withColumn("__group", F.pmod(F.xxhash64("__row", F.lit(seed)), F.lit(groups)))
-    placed = dealt.groupBy("__group").applyInPandas(pack, PLACED)
+    placed = dealt.groupBy("__group").applyInArrow(pack, PLACED)
     return whole.unionByName(placed)
 
 
