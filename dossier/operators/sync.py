@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.operators import trees
+
 
 def until_repeat(items: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     """Items of a paged scan before the first repeated id; everything from there on is dropped.
@@ -58,30 +60,14 @@ def frozen_scope(documents: DataFrame) -> DataFrame:
     return documents.where("NOT is_soft_deleted").groupBy("matter_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-TREE = """
-WITH RECURSIVE tree AS (
-  SELECT id, name, id AS root, 0 AS depth, name AS path FROM {f} WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM {f})
-  UNION ALL
-  SELECT c.id, c.name, t.root, t.depth + 1, concat(t.path, '/', c.name) FROM tree t JOIN {f} c ON c.parent_id = t.id)
-SELECT * FROM tree"""
-BELOW = """
-WITH RECURSIVE below AS (
-  SELECT id FROM {f} WHERE id = {start}
-  UNION ALL
-  SELECT c.id FROM below b JOIN {f} c ON c.parent_id = b.id WHERE c.id NOT IN ({excluded}))
-SELECT DISTINCT id FROM below"""
-
-
 def folder_tree(folders: DataFrame) -> DataFrame:
-    """(id, name, root, depth, path) of folders (id, name, parent_id); unknown parents make roots."""
-    return folders.sparkSession.sql(TREE, f=folders)
+    """(id, name, root, depth, path) of folders (id, name, parent_id); unknown parents make roots, cycles have none."""
+    return trees.tree(folders)
 
 
 def documents_below(documents: DataFrame, folders: DataFrame, start: str, excluded: list[str] | None = None) -> DataFrame:
     """Documents (folder) in a folder or below it; excluded folders prune what is below them, the start stays."""
-    names = ", ".join("'" + x.replace("'", "''") + "'" for x in excluded or ["\x00"])
-    ids = folders.sparkSession.sql(BELOW.replace("{start}", "'" + start.replace("'", "''") + "'").replace("{excluded}", names), f=folders)
-    return documents.join(ids.withColumnRenamed("id", "folder"), "folder", "left_semi")
+    return documents.join(trees.below(folders, start, excluded).withColumnRenamed("id", "folder"), "folder", "left_semi")
 
 
 def changed(documents: DataFrame, previous: DataFrame, key: str) -> DataFrame:
