@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from dossier.llm.common import materialize, table
 
 SIZE, GROUP, LEAST, END_ID, SEED = 2048, 4096, 32, 1, 11
-CHUNKS, BLOCK = 400_000, 1 << 20
+CHUNKS, BLOCK = 500_000, 1 << 20
 #: Blanks and then letters up to a blank or a mark that no token joins to a letter, or up to a blank.
 _CHUNK = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^ \n.,;:!?$%*()])|[ \n]*[^ \n]+|[ \n]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
@@ -56,11 +56,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.forget()
-
-    def forget(self) -> None:
         self.known = {None: 1}  # chunk -> where its ids start, times 2**24, and their number; None is the end of a document
-        self.flat = array("i", [self.end_id])
+        self.flat = array("i", [end_id])
+
+    def forget(self, keep: set) -> None:
+        """All chunks but those to keep."""
+        kept = [c for c in self.known if c in keep and c is not None]
+        place = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
+        count = place & 0xFFFFFF
+        self.flat = array("i", [self.end_id, *gathered(np.frombuffer(self.flat, np.int32), place >> 24, count).tolist()])
+        self.known = {None: 1} | dict(zip(kept, (((1 + count.cumsum() - count) << 24) | count).tolist(), strict=True))
 
     def learn(self, chunks: list[str]) -> None:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -72,9 +77,10 @@ class Encoder:
     def __call__(self, texts: list[str], ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         parts = [_CHUNK.findall(t) + [None] * ends for t in texts]
+        wanted = set().union(*parts)
         if len(self.known) > CHUNKS:
-            self.forget()
-        self.learn(list(set().union(*parts).difference(self.known)))
+            self.forget(wanted)
+        self.learn(list(wanted.difference(self.known)))
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
         count = place & 0xFFFFFF

@@ -68,6 +68,15 @@ def test_chunks_of_any_kind_give_the_ids_of_whole_texts(plain):
     assert all("".join(packing.blocks(t, 7)) == t and [x for b in packing.blocks(t, 7) for x in plain(b)[:-1]] == plain(t)[:-1] for t in texts)
 
 
+def test_forgotten_chunks_are_learnt_again(plain, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNKS", 50)
+    encode = packing.Encoder(packing.default_tokenizer())
+    for seed in range(12):
+        texts = [words(seed * 10 + i, 40, 300) for i in range(3)]
+        flat, n = encode(texts)
+        assert flat.tolist() == [x for t in texts for x in plain(t)] and len(n) == 3 and len(encode.known) < 50 + 2 * 121
+
+
 def test_long_text_in_blocks(spark, plain, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 5000)
     text = words(1, 30_000, 500) + "\n" + "x" * 20_000 + " " + words(2, 50)
