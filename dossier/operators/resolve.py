@@ -10,7 +10,8 @@ many mentions costs a look-up for most of them. The fold of one matter is sequen
 is the form without an order.
 
 Defined results: mentions without a name or a matter take no part; a name without anything left in its strict form matches
-such names only; rows that repeat are mentions of their own; an empty table gives an empty result.
+such names only; rows that repeat, and rows without an id or with one id, are mentions of their own, as all columns of a mention go
+through the stream with it; extra columns are kept, but those named like a result are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.functions import fixed, rules
 from dossier.functions import names as N
@@ -29,7 +31,7 @@ from dossier.functions.text import relevance_rank
 from dossier.operators.components import connected_components
 from dossier.sources.shared import materialize
 
-FOUND = "id long, person int, match_type string, match_score double"
+FOUND = T.StructType().add("form", "string").add("person", "integer").add("match_type", "string").add("match_score", "double")
 #: Is the new mention (name, role, observation) the known person (name, role, observation of the founder)? With confidence.
 Verdict = Callable[[dict, dict], tuple[bool, float]]
 
@@ -134,20 +136,27 @@ class People:
         return found
 
 
-def _matters(df: DataFrame, order: list[str], run: Callable, schema: str) -> DataFrame:
-    """run() over the rows of each matter in order, many matters in one stream: it gets an iterator of (is new matter, row)."""
+def _matters(df: DataFrame, order: list[str], needs: list[str], run: Callable, add: T.StructType, drop: list[str]) -> DataFrame:
+    """df less `drop`, with the columns `add` that run() gives for each row: a function of the columns `needs`, new for each
+    matter, over its rows in order. Many matters come in one stream; the other columns pass through as they are."""
+    kept = [f for f in df.schema.fields if f.name not in drop]
 
-    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, work = object(), run()
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row.matter_id != last:
-                    last, work = row.matter_id, run()
-                out.append(work(row))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, work = object(), None
+        for batch in batches:
+            table, out = pa.Table.from_batches([batch]), []
+            for matter, *values in zip(*[table[c].to_pylist() for c in ("matter_id", *needs)], strict=True):
+                if matter != last:
+                    last, work = matter, run()
+                out.append(work(*values))
+            found = zip(*out, strict=True) if out else [()] * len(add)
+            columns = [table[f.name].combine_chunks() for f in kept] + [pa.array(list(x), _ARROW[f.dataType.simpleString()]) for f, x in zip(add.fields, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], [f.name for f in kept] + add.names)
 
-    return df.repartition("matter_id").sortWithinPartitions("matter_id", *order).mapInPandas(stream, schema)
+    return df.repartition("matter_id").sortWithinPartitions("matter_id", *order).mapInArrow(stream, T.StructType(kept + add.fields))
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
 
 
 def forms(mentions: DataFrame, compat: bool = False) -> DataFrame:
@@ -159,21 +168,24 @@ def forms(mentions: DataFrame, compat: bool = False) -> DataFrame:
 def resolved(mentions: DataFrame, compat: bool = False, verdict: Verdict | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """mentions (id, matter_id, document_id, source_page, full_name, and role and observation for a verdict) with form, person
     (0, 1, .. in each matter) and how it matched. embed: a column function from names to vectors; it runs once a spelling."""
-    named = forms(mentions.where("matter_id IS NOT NULL"), compat)
-    rows = named.select("matter_id", "document_id", F.coalesce("source_page", F.lit(-1)).alias("page"), "id", "form", "full_name", *[F.col(c) if verdict else F.lit(None).cast("string").alias(c) for c in ("role", "observation")])
+    rows = forms(mentions.where("matter_id IS NOT NULL").drop(*FOUND.names), compat).withColumnRenamed("form", "__form").withColumn("__page", F.coalesce("source_page", F.lit(-1)))
+    told = {f"__{c}": F.col(c) if verdict else F.lit(None).cast("string") for c in ("role", "observation")}
+    rows = rows.withColumns(told)
+    order = ["document_id", "__page", "id"]
     if embed is not None:
-        vectors = rows.select("full_name").distinct().withColumn("vector", embed(F.col("full_name")))
-        first = F.row_number().over(Window.partitionBy("matter_id", "form").orderBy("document_id", "page", "id")) == 1
-        rows = rows.withColumn("first", first).join(vectors, "full_name").withColumn("vector", F.when(F.col("first"), F.col("vector"))).drop("first")
+        vectors = rows.select("full_name").distinct().withColumn("__vector", embed(F.col("full_name")))
+        first = F.row_number().over(Window.partitionBy("matter_id", "__form").orderBy(*order)) == 1
+        rows = rows.withColumn("__first", first).join(vectors, "full_name").withColumn("__vector", F.when(F.col("__first"), F.col("__vector")))
     else:
-        rows = rows.withColumn("vector", F.lit(None).cast("array<float>"))
+        rows = rows.withColumn("__vector", F.lit(None).cast("array<float>"))
 
     def run():
         people = People(verdict)
-        return lambda r: (r.id, *people.add(r.form, r.full_name, r.role, r.observation, r.vector))
+        return lambda form, *new: (form, *people.add(form, *new))
 
-    found = _matters(rows, ["document_id", "page", "id"], run, FOUND)
-    return named.join(found, "id")
+    # Of mentions with one place the name, role and observation decide, so the order does not depend on the layout.
+    order = [*order, "full_name", *[c for c in told if verdict]]
+    return _matters(rows, order, ["__form", "full_name", "__role", "__observation", "__vector"], run, FOUND, ["__form", "__page", "__first", "__vector", *told])
 
 
 def canonical_people(found: DataFrame) -> DataFrame:
@@ -222,15 +234,15 @@ def loose_clusters(mentions: DataFrame, least: int = fixed.LOOSE_MATCH) -> DataF
     def run():
         seeds: list[str] = []
 
-        def place(r) -> tuple:
-            n = next((i for i, seed in enumerate(seeds) if N.loose_score_of(seed, r.form) >= least), len(seeds))
+        def place(form: str) -> tuple:
+            n = next((i for i, seed in enumerate(seeds) if N.loose_score_of(seed, form) >= least), len(seeds))
             if n == len(seeds):
-                seeds.append(r.form)
-            return r.matter_id, r.form, n
+                seeds.append(form)
+            return (n,)
 
         return place
 
-    return named.join(_matters(few, ["place"], run, "matter_id long, form string, cluster int"), ["matter_id", "form"])
+    return named.join(_matters(few, ["place"], ["form"], run, T.StructType().add("cluster", "integer"), ["place"]), ["matter_id", "form"])
 
 
 def stats(found: DataFrame) -> DataFrame:

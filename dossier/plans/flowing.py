@@ -11,13 +11,14 @@ from dossier.plans.registry import query
 from dossier.sources import landing as L
 from dossier.sources.shared import scratch
 from dossier.streaming import flows as S
+from dossier.streaming import timeouts as T
 
 
 def _folder(t: Tables) -> str:
     return scratch(t.spark, "flow")
 
 
-FILES, PER_BATCH = 6, 2
+FILES, PER_BATCH, FILE_ROWS = 6, 2, 10_000_000
 
 
 def _landed(t: Tables, df: DataFrame, form: str = "parquet") -> str:
@@ -27,6 +28,17 @@ def _landed(t: Tables, df: DataFrame, form: str = "parquet") -> str:
     return f"{folder}/part-*"
 
 
+def _landed_in_order(t: Tables, df: DataFrame, order: str) -> str:
+    """Rows as they land in the order of a column: file after file, so that no file has a row before those of the files ahead of it."""
+    folder, place = _folder(t), F.col(order).cast("double")
+    files = max(FILES, df.count() // FILE_ROWS + 1)
+    cuts = df.select(place.alias("p")).approxQuantile("p", [i / files for i in range(1, files)], 0.01)
+    number = sum((F.coalesce(place > c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    for i in range(len(set(cuts)) + 1):
+        df.where(number == i).coalesce(1).write.parquet(f"{folder}/{i}")
+    return f"{folder}/*/part-*"
+
+
 def _arriving(t: Tables, table: str) -> DataFrame:
     rows = getattr(t, table)
     return S.arriving(t.spark, _landed(t, rows), rows.schema, PER_BATCH)
@@ -72,12 +84,12 @@ _RUNS = """SELECT {gap} AS minutes, user_id, min(ts) AS started, max(ts) + INTER
 
 @query("str_05_inactivity", " UNION ALL ".join(_RUNS.replace("{gap}", str(g)) for g in (5, 30)))
 def inactivity(t: Tables) -> DataFrame:
-    """Both rules over the landed log: jobs time out after 5 minutes, syncs after 30."""
-    folder = _folder(t)
-    S.drain(_arriving(t, "events").select("user_id", "ts"), f"{folder}/out", "append", f"{folder}/checkpoint")
-    log = t.spark.read.parquet(f"{folder}/out/n=*")
-    both = [S.sessions(log, "user_id", f"{g} minutes").withColumn("minutes", F.lit(g)) for g in (5, 30)]
-    return both[0].unionByName(both[1])
+    """Both rules in one stream over the log as it came: jobs time out after 5 minutes, syncs after 30."""
+    log = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    folder, arriving = _folder(t), S.arriving(t.spark, _landed_in_order(t, log, "ts"), log.schema, PER_BATCH)
+    with T.rocks(t.spark):
+        S.drain(T.time_outs(arriving, "user_id", [5, 30]), f"{folder}/out", "update", f"{folder}/checkpoint")
+    return T.latest_runs(t.spark, f"{folder}/out", "user_id")
 
 
 @query("str_06_daily_usage", "SELECT user_id, ts::DATE::VARCHAR AS day, count(*) AS used FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
@@ -106,8 +118,13 @@ def answers(t: Tables) -> DataFrame:
 
 @query("str_09_incremental_people")
 def incremental_people(t: Tables) -> DataFrame:
-    name = F.expr("concat(CASE user_id % 4 WHEN 0 THEN 'John' WHEN 1 THEN 'Mike' WHEN 2 THEN 'Bob' ELSE 'Robert' END, ' ', CASE event_id % 3 WHEN 0 THEN 'Carroll' WHEN 1 THEN 'Smith' ELSE 'Chen' END)")
-    forms = _arriving(t, "events").select((F.col("event_id") % 50).alias("matter_id"), strict(name, folded=True).alias("form"), F.col("event_id").alias("place"))
+    """Mentions that come with the events fold into the people that stand; see resolve for the rules."""
+    name = F.expr("concat(CASE user_id % 4 WHEN 0 THEN 'John' WHEN 1 THEN 'Mike' WHEN 2 THEN 'Bob' ELSE 'Robert' END, CASE event_id % 7 WHEN 0 THEN ' A.' ELSE '' END, ' ', CASE event_id % 3 WHEN 0 THEN 'Carroll' WHEN 1 THEN 'Smith' ELSE 'Chen' END)")
+    mail = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("u"), "user_id", F.lit("@firm.com")))
+    none = F.lit(None).cast("string")
+    said = t.events.select(F.col("event_id").alias("id"), (F.col("event_id") % 50).alias("matter_id"), F.col("event_id").alias("place"), name.alias("full_name"), F.col("event_type").alias("role"), none.alias("observation"), mail.alias("email"), none.alias("phone"), none.alias("address"))
     folder = _folder(t)
-    S.drain(S.resolve_stream(forms), f"{folder}/out", "append", f"{folder}/checkpoint")
-    return t.spark.read.parquet(f"{folder}/out/n=*").groupBy("matter_id", "form").agg(F.min("person").alias("person"))
+    arriving = S.arriving(t.spark, _landed_in_order(t, said, "place"), said.schema, PER_BATCH).withColumn("form", strict(F.col("full_name"), folded=True))
+    with T.rocks(t.spark):
+        S.drain(T.standing_people(arriving), f"{folder}/out", "append", f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/out/n=*").drop("batch")

@@ -22,11 +22,13 @@ def mention_rows(t: Tables) -> DataFrame:
     return R.mention_rows(t.mentions, t.filings, t.matters).select("id", "full_name", F.upper("importance").alias("importance"), "filename", "matter")
 
 
-@query("prj_02_canonical_observations", """SELECT canonical_id, count(*) AS n, sum(doc)::BIGINT AS docs, sum(page)::BIGINT AS pages, count(*) FILTER (WHERE text = '') AS untold
-    FROM (SELECT canonical_id, coalesce(document_id, 0) AS doc, coalesce(source_page, 0) AS page, coalesce(observation, '') AS text FROM mentions) GROUP BY canonical_id""")
+@query("prj_02_canonical_observations", """SELECT canonical_id, document_id, id AS mention, coalesce(document_id, 0) AS doc_id, coalesce(filename, 'Unknown') AS filename, source_page AS page, coalesce(observation, '') AS text
+    FROM mentions LEFT JOIN (SELECT id AS document_id, filename FROM filings) USING (document_id)""")
 def canonical_observations(t: Tables) -> DataFrame:
-    rekeyed = t.mentions.select("canonical_id", F.coalesce("document_id", F.lit(0)).alias("doc_id"), F.coalesce("source_page", F.lit(0)).alias("page"), F.coalesce("observation", F.lit("")).alias("text"))
-    return rekeyed.groupBy("canonical_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("docs"), F.sum("page").cast("long").alias("pages"), F.count_if(F.col("text") == "").alias("untold"))
+    """The observations of a person with the keys of its view: each person's array, put out one entry a row again."""
+    files = t.filings.select(F.col("id").alias("document_id"), "filename")
+    told = F.struct("document_id", F.col("id").alias("mention"), F.coalesce("document_id", F.lit(0)).alias("doc_id"), F.coalesce("filename", F.lit("Unknown")).alias("filename"), F.col("source_page").alias("page"), F.coalesce("observation", F.lit("")).alias("text"))
+    return t.mentions.join(files, "document_id", "left").select("canonical_id", told.alias("o")).select("canonical_id", "o.*")
 
 
 @query("prj_03_job_rows", """SELECT j.id, CASE WHEN total_documents = 0 THEN 0.0 ELSE round(processed_documents * 100.0 / total_documents, 1) END::DOUBLE AS progress,
@@ -94,9 +96,9 @@ def unprocessed(t: Tables) -> DataFrame:
     return t.filings.where("NOT is_processed").join(mine, "matter_id", "left_semi").select("id")
 
 
-@query("flt_10_work_product", f"SELECT doc_id, {_has('lower(source || chr(32) || substr(text, 1, 40))', fixed.WORK_PRODUCT_NAMES)} OR {_has('upper(substr(text, 1, 2048))', fixed.WORK_PRODUCT_HEADERS)} AS skip FROM documents")
+@query("flt_10_work_product", f"SELECT doc_id, {_has('lower(concat(source, chr(32), text))', fixed.WORK_PRODUCT_NAMES)} OR {_has('upper(substr(text, 1, 2048))', fixed.WORK_PRODUCT_HEADERS)} AS skip FROM documents")
 def work_product(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", rules.work_product(F.concat_ws(" ", "source", F.substring("text", 1, 40)), F.col("text")).alias("skip"))
+    return t.documents.select("doc_id", rules.work_product(F.concat_ws(" ", "source", "text"), F.col("text")).alias("skip"))
 
 
 def _rlike(column: str, patterns) -> str:
@@ -143,18 +145,11 @@ def private_data(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", rules.has_pii(F.col("text")).alias("has_pii"))
 
 
-def _containing(word: str):
-    return lambda x: F.contains(x, F.lit(word))
-
-
 @query("flt_18_observation_search", """SELECT canonical_id FROM mentions GROUP BY canonical_id
     HAVING bool_or(coalesce(contains(lower(observation), 'accident') OR contains(lower(full_name), 'taylor') OR contains(lower(email), '@firm1'), false))""")
 def observation_search(t: Tables) -> DataFrame:
-    people = t.mentions.groupBy("canonical_id").agg(F.collect_set(F.lower("full_name")).alias("names"), F.collect_set(F.lower("email")).alias("emails"), F.collect_set(F.lower("observation")).alias("seen"))
-    found = F.lit(False)
-    for c, word in (("names", "taylor"), ("emails", "@firm1"), ("seen", "accident")):
-        found = found | F.exists(c, _containing(word))
-    return people.where(found).select("canonical_id")
+    held = [F.coalesce(F.contains(F.lower(c), F.lit(word)), F.lit(False)) for c, word in (("full_name", "taylor"), ("email", "@firm1"), ("observation", "accident"))]
+    return t.mentions.groupBy("canonical_id").agg(F.bool_or(held[0] | held[1] | held[2]).alias("found")).where("found").select("canonical_id")
 
 
 @query("flt_19_awaiting_review", "SELECT matter_id, count(*) AS results FROM jobs WHERE status = 'completed' AND NOT is_archived GROUP BY matter_id")

@@ -32,10 +32,10 @@ def stale_syncs(t: Tables) -> DataFrame:
     return O.sync_state(rows, F.lit(t.now)).select("id", "sync_status")
 
 
-@query("ops_04_admission", """WITH a AS (SELECT * FROM jobs WHERE status IN ('processing', 'queued') AND created_at >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR)
+@query("ops_04_admission", """WITH a AS (SELECT * FROM jobs WHERE status IN ('processing', 'queued'))
     SELECT id, CASE WHEN matter_id IN (SELECT matter_id FROM a) THEN 'conflict' WHEN user_id IN (SELECT user_id FROM a WHERE status = 'processing') THEN 'queued' ELSE 'pending' END AS admission FROM jobs WHERE status = 'completed'""")
 def admission(t: Tables) -> DataFrame:
-    return O.admission(t.jobs.where("status = 'completed'"), t.jobs.where(F.col("created_at") >= F.lit(t.now) - F.expr("INTERVAL 36 HOURS")))
+    return O.admission(t.jobs.where("status = 'completed'"), t.jobs)
 
 
 @query("qta_01_credits", """WITH r AS (SELECT event_id AS id, user_id, user_id % 25 AS org, ts FROM events WHERE event_type <> 'view'),

@@ -1,4 +1,4 @@
-"""Streams: change events, progress, usage, billing, answers and incremental person resolution.
+"""Streams: change events, progress, usage, billing and answers.
 
 A flow takes a streaming DataFrame and returns one; drain() runs it over what has arrived (availableNow), each micro-batch
 into a folder of its own under the output path. A batch that is run again overwrites its folder, so results are exactly once.
@@ -6,12 +6,9 @@ into a folder of its own under the output path. A batch that is run again overwr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
 
 def arriving(spark: SparkSession, path: str, schema, per_batch: int = 4, form: str = "parquet") -> DataFrame:
     """Files (parquet or json lines) as a stream; path is a glob, a few files a batch."""
@@ -71,15 +68,6 @@ def progress(events: DataFrame, key: str, total: int) -> DataFrame:
     return events.groupBy(key).agg(F.least(F.count("*"), F.lit(total)).alias("processed"), F.max("ts").alias("last_activity_at"))
 
 
-def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Activity runs of landed events, split by silent gaps: (key, started, ended, events, closed). An end is the last event
-    plus the gap; a run is closed when that lies at or before the last event of all, else it is still open."""
-    timely = timed(events)
-    runs = timely.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
-    now = timely.agg(F.max("ts").alias("now"))
-    return runs.join(F.broadcast(now)).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events", (F.col("w.end") <= F.col("now")).alias("closed"))
-
-
 def daily_usage(events: DataFrame, key: str) -> DataFrame:
     """(key, day, used), update mode: late rows always count."""
     days = timed(events).groupBy(key, F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("used"))
@@ -149,35 +137,3 @@ def change_stream(events: DataFrame, state: DataFrame, out: str, checkpoint: str
 
     events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return _state(spark, out, {b: max(v) for b, v in _versions(spark, out).items()}, schema)
-
-
-def resolve_stream(mentions: DataFrame) -> DataFrame:
-    """Incremental person resolution: new forms (matter_id, form, place) of each matter fold into the people kept as state.
-
-    Forms of one micro-batch come in the order of their place, micro-batches in that of their arrival. Emits (matter_id, form,
-    person) for every arriving form, append mode; a form keeps the person that it first got.
-    """
-    from dossier.operators.resolve import fuzzy_of, tier
-    from dossier.functions.fixed import FUZZY_MATCH
-
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        people, known = map(list, state.get) if state.exists else ([], [])
-        of = dict(zip(known, people, strict=True))
-        arrived = [pdf for pdf in frames]  # one matter's share of a micro-batch
-        for pdf in [pd.concat(arrived)] if arrived else []:
-            rows = []
-            for form in pdf.sort_values("place", kind="stable")["form"]:
-                if form not in of:
-                    firsts: dict[int, str] = {}
-                    for f, p in of.items():
-                        firsts.setdefault(p, f)
-                    hit = next((p for p, f in firsts.items() if tier(form, f)), None)
-                    if hit is None and firsts:
-                        score, best = max((fuzzy_of(form, f), -p) for p, f in firsts.items())
-                        hit = -best if score >= FUZZY_MATCH else None
-                    of[form] = len(firsts) if hit is None else hit
-                rows.append((key[0], form, of[form]))
-            yield pd.DataFrame(rows, columns=["matter_id", "form", "person"])
-        state.update((list(of.values()), list(of)))
-
-    return mentions.groupBy("matter_id").applyInPandasWithState(fold, "matter_id long, form string, person int", "people array<int>, forms array<string>", "append", GroupStateTimeout.NoTimeout)

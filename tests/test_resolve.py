@@ -145,3 +145,20 @@ def test_folds_like_plain_python(spark):
         want[i] = found
     got = {x["id"]: x["person"] for x in P.resolved(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()}
     assert got == want
+
+
+def test_repeated_and_missing_ids_are_mentions_of_their_own(spark):
+    """Count in = count out, whatever the ids; other columns stay with their rows."""
+    rows = [(i, m, d, None, n, "other", o, None, None, 0.5, None, None, None) for i, m, d, n, o in [
+        (None, 1, 1, "Ann Lee", "a"), (None, 1, 1, "Ann Lee", "b"), (5, 1, 2, "Bob Stone", "c"), (5, 1, 2, "Bob Stone", "c"), (5, 2, 3, "Ann Lee", "d"), (None, 2, None, "Xu Wei", "e"), (7, None, 1, "Ann Lee", "f"), (8, 1, 1, None, "g")]]
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({"person": F.lit("clash"), "stamp": F.current_timestamp(), "money": F.lit(1).cast("decimal(9,2)")})
+    apart = lambda n: F.array(*[(n == x).cast("float") for x in ("Ann Lee", "Bob Stone", "Xu Wei")])
+    for embed in (None, apart):
+        found = P.resolved(frame, embed=embed)
+        got = found.collect()
+        assert sorted((r["id"] or -1, r["matter_id"], r["full_name"], r["observation"], r["person"]) for r in got) == [(-1, 1, "Ann Lee", "a", 0), (-1, 1, "Ann Lee", "b", 0), (-1, 2, "Xu Wei", "e", 0), (5, 1, "Bob Stone", "c", 1), (5, 1, "Bob Stone", "c", 1), (5, 2, "Ann Lee", "d", 1)]
+        assert all(r["stamp"] and r["money"] == 1 for r in got) and dict(found.dtypes)["person"] == "int"
+    assert {(r["matter_id"], r["mentions"], r["people"]) for r in P.stats(P.resolved(frame)).collect()} == {(1, 4, 2), (2, 2, 2)}
+    assert P.resolved(frame.limit(0)).count() == 0

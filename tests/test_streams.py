@@ -49,3 +49,92 @@ def test_change_stream_goes_on_after_a_restart(spark, tmp_path):
     assert run() == first
     land("c", [("document.updated", 7)])
     assert run() == first | {7: (None, False, True)}
+
+
+def runs_by_hand(rows, gap, now):
+    out = []
+    for key in {k for k, _ in rows}:
+        runs = []
+        for t in sorted(t for k, t in rows if k == key):
+            if runs and t <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], t + gap, runs[-1][2] + 1)
+            else:
+                runs.append((t, t + gap, 1))
+        out += [(key, *r, r[1] <= now) for r in runs]
+    return sorted(out, key=repr)
+
+
+def test_time_outs_in_batches_with_late_events_and_a_restart(spark, tmp_path):
+    """Time-outs after 5 and 30 minutes: late events join runs while the delay lasts, later ones are dropped, a restart goes on."""
+    from dossier.streaming import flows as S
+    from dossier.streaming import timeouts as T
+
+    r, start = random.Random(8), dt.datetime(2024, 1, 1)
+    rows = sorted(((r.choice([None, 1, 2, 3]), start + dt.timedelta(seconds=r.randrange(40_000))) for _ in range(500)), key=lambda x: x[1])
+    rows = [rows[i] for i in sorted(range(500), key=lambda i: i + r.randrange(12))]  # arrival: some minutes out of order
+    schema = "user_id long, ts timestamp"
+
+    def land(name, part):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        events = S.arriving(spark, f"{tmp_path}/in/*/*.parquet", schema, 1)
+        with T.rocks(spark):
+            S.drain(T.time_outs(events, "user_id", [5, 30], "45 minutes"), f"{tmp_path}/out", "update", f"{tmp_path}/checkpoint")
+        found = T.latest_runs(spark, f"{tmp_path}/out", "user_id").collect()
+        return {m: sorted(((x["user_id"], x["started"], x["ended"], x["events"], x["closed"]) for x in found if x["minutes"] == m), key=repr) for m in (5, 30)}
+
+    def want(part, m):
+        mark = max(t for _, t in part) - dt.timedelta(minutes=45)
+        return runs_by_hand(part, dt.timedelta(minutes=m), mark)
+
+    for i in range(3):
+        land(str(i), rows[i * 100 : i * 100 + 100])
+    found = run()
+    assert found == {m: want(rows[:300], m) for m in (5, 30)} and {x[-1] for x in found[5]} == {True, False}
+    land("3", rows[300:400] + [(1, rows[0][1] - dt.timedelta(days=1)), (2, None)])  # far behind the watermark, and without a time
+    land("4", rows[400:])
+    assert run() == {m: want(rows, m) for m in (5, 30)}
+
+
+def test_standing_people_equal_the_batch_fold(spark, tmp_path):
+    """Mentions in any split into files, with a restart, against the ordered fold over all of them; contacts are the first known."""
+    from dossier.operators import resolve as P
+    from dossier.streaming import flows as S
+    from dossier.streaming import timeouts as T
+
+    r = random.Random(5)
+    pool = ["John Smith", "Jon Smith", "John Q Smith", "J. Smith", "Mike Carroll", "Michael Carroll", "Mikey Carol", "FNU Carroll", "Ann Lee", "Lee Ann", "Anne Leigh", "Dr. Ann Lee Stone", ""]
+    rows = [(i, r.randrange(3), i, r.choice(pool), "other", None, r.choice([None, "", f"m{i}@x.y"]), r.choice([None, f"{i}"]), None) for i in range(240)]
+    schema = "id long, matter_id long, place long, full_name string, role string, observation string, email string, phone string, address string"
+    batch = spark.createDataFrame(rows, schema).withColumnsRenamed({"place": "document_id"}).selectExpr("*", "cast(null as int) as source_page")
+    want = {x["id"]: (x["person"], x["match_type"]) for x in P.resolved(batch).collect()}
+    first = {}
+    for row in rows:
+        known = first.setdefault((row[1], want[row[0]][0]), [None, None])
+        known[:] = [k or v or None for k, v in zip(known, row[6:8], strict=True)]
+    for n, cuts in enumerate(([], [50, 60, 170], [1, 2, 3, 239])):
+        edges = [0, *cuts, 240]
+        parts = [rows[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+        def land(i, part, n=n):
+            r.shuffle(part)
+            P.forms(spark.createDataFrame(part, schema)).coalesce(1).write.parquet(f"{tmp_path}/in{n}/{i}")
+
+        def run(n=n):
+            arriving = S.arriving(spark, f"{tmp_path}/in{n}/*/*.parquet", spark.read.parquet(f"{tmp_path}/in{n}/0").schema, 1)
+            with T.rocks(spark):
+                S.drain(T.standing_people(arriving), f"{tmp_path}/out{n}", "append", f"{tmp_path}/checkpoint{n}")
+
+        for i, part in enumerate(parts[:-1]):
+            land(i, part)
+        if len(parts) > 1:
+            run()
+        land(len(parts) - 1, parts[-1])
+        run()
+        found = spark.read.parquet(f"{tmp_path}/out{n}/n=*").collect()
+        assert {x["id"]: (x["person"], x["match_type"]) for x in found} == want and len(found) == 240
+        last = {}
+        for x in sorted(found, key=lambda x: x["id"]):
+            last[x["matter_id"], x["person"]] = [x["email"], x["phone"]]
+        assert last == first
