@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from dossier.functions import fixed, rules
 from dossier.functions import names as N
 from dossier.functions.text import relevance_rank
+from dossier.operators import seeds
 from dossier.operators.components import connected_components
 from dossier.sources.shared import materialize
 
@@ -222,27 +223,20 @@ def merged_observations(found: DataFrame) -> DataFrame:
     return told.groupBy("matter_id", "person", "document_id").agg(F.min_by(F.struct("source_page", "observation"), place).alias("o")).select("matter_id", "person", "document_id", "o.*")
 
 
-def loose_clusters(mentions: DataFrame, least: int = fixed.LOOSE_MATCH) -> DataFrame:
+def loose_clusters(mentions: DataFrame, least: int = fixed.LOOSE_MATCH, small: int = seeds.SMALL, block: int = seeds.BLOCK) -> DataFrame:
     """mentions with cluster: greedy seeds. The next free loose form seeds a cluster; later free forms join if they match the seed.
 
-    A form joins the first seed, in order, that it matches, so one ordered pass over the forms of a matter gives it.
+    Forms come in the order of their least mention id; clusters are numbered in the order of their seeds. See seeds for how a matter of
+    very many forms is dealt over tasks. Forms without an id come first.
     """
     spellings = mentions.select("full_name").distinct().withColumn("form", N.loose(F.col("full_name")))
-    named = mentions.join(spellings, "full_name")
-    few = named.where("matter_id IS NOT NULL").groupBy("matter_id", "form").agg(F.min("id").alias("place"))
-
-    def run():
-        seeds: list[str] = []
-
-        def place(form: str) -> tuple:
-            n = next((i for i, seed in enumerate(seeds) if N.loose_score_of(seed, form) >= least), len(seeds))
-            if n == len(seeds):
-                seeds.append(form)
-            return (n,)
-
-        return place
-
-    return named.join(_matters(few, ["place"], ["form"], run, T.StructType().add("cluster", "integer"), ["place"]), ["matter_id", "form"])
+    named = mentions.drop("form", "cluster").join(spellings, "full_name").where("matter_id IS NOT NULL")
+    few = materialize(named.groupBy("matter_id", "form").agg(F.min("id").alias("place")), "forms")
+    found = materialize(seeds.seeds(few, least, small, block), "found")
+    numbered = few.join(found.where("form = seed").select("matter_id", "form"), ["matter_id", "form"])  # a row for each seed
+    number = F.row_number().over(Window.partitionBy("matter_id").orderBy(F.col("place").asc_nulls_first(), "form")) - 1
+    numbered = numbered.select("matter_id", F.col("form").alias("seed"), number.alias("cluster"))
+    return named.join(found.join(numbered, ["matter_id", "seed"]).drop("seed"), ["matter_id", "form"])
 
 
 def stats(found: DataFrame) -> DataFrame:
