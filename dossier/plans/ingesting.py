@@ -15,6 +15,7 @@ from dossier.operators import sync as S
 from dossier.plans.bindings import Tables
 from dossier.plans.registry import query
 from dossier.sources import landing as L
+from dossier.sources import versioned as V
 from dossier.sources.shared import scratch
 
 
@@ -165,9 +166,25 @@ def requests(t: Tables) -> DataFrame:
 
 @query("snk_04_upsert_texts", """SELECT doc_id % 9 AS organization_id, doc_id AS external_id, sha256(text) AS content_hash, CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE n_chars END::BIGINT AS file_size FROM documents""")
 def upsert_texts(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.expr("doc_id % 9").alias("organization_id"), F.col("doc_id").alias("external_id"), F.sha2("text", 256).alias("content_hash"), "text", F.col("n_chars").alias("file_size"))
+    """Two commits to a store with versions, read back: what was known, then new rows of which some have no size."""
+    rows = t.documents.select(F.expr("doc_id % 9").alias("organization_id"), F.col("doc_id").alias("external_id"), F.sha2("text", 256).alias("content_hash"), "text", F.col("n_chars").cast("long").alias("file_size"))
     new = rows.where("external_id % 2 = 0").withColumn("file_size", F.lit(None).cast("long"))
-    return L.upsert_texts(rows.where("external_id % 3 > 0"), new.unionByName(rows.where("external_id % 2 = 1"))).drop("text")
+    store = V.VersionedTable(t.spark, scratch(t.spark, "texts"), rows.schema, ["organization_id", "external_id"])
+    store.upsert(rows.where("external_id % 3 > 0"), L.upsert_texts)
+    store.upsert(new.unionByName(rows.where("external_id % 2 = 1")), L.upsert_texts)
+    return store.read().drop("text")
+
+
+@query("snk_05_matter_store", """SELECT user_id, id, CASE WHEN id % 3 = 0 THEN concat('new ', description) ELSE description END AS description, status FROM matters""")
+def matter_store(t: Tables) -> DataFrame:
+    """Matters in a store with versions: all of them, then the changed fields of some, committed and read back."""
+    rows = t.matters.select("user_id", "id", "description", "status")
+    new = rows.where("id % 3 = 0").withColumns({"description": F.concat(F.lit("new "), "description"), "status": F.lit(None).cast("string")})
+    store = V.VersionedTable(t.spark, scratch(t.spark, "matters"), rows.schema, ["user_id", "id"], buckets=16)
+    merge = lambda old, fresh: S.upsert(old, fresh, ["user_id", "id"], ["description", "status"])
+    store.upsert(rows, merge)
+    store.upsert(new, merge)
+    return store.read()
 
 
 _SYNC = """s AS (SELECT * FROM filings WHERE id % 7 <> 0 AND matter_id % 10 <> 4), l AS (SELECT * FROM filings WHERE id % 5 <> 0), n AS (SELECT DISTINCT matter_id FROM s)"""
