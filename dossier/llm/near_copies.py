@@ -11,7 +11,7 @@ number of shingles in each of 256 parts of the hash space, two sets differ in at
 similar ones in at most a ninth of their sizes' sum.
 
 Equal sets collapse first. Documents with a common prefix shingle form a group, cut into cells of about ``CELL`` members. A
-small group gives all pairs of fitting sizes. A larger one first gives each member its ``NEXT`` successors in hash order;
+group of up to ``SMALL`` gives all pairs that fit. A larger one first gives each member its ``NEXT`` successors in hash order;
 members that are then outside the cell's largest component meet some of its members; at last the pairs that still lie in
 different components follow, in blocks. So a large group of copies costs a few pairs a document and loses no link.
 
@@ -34,7 +34,7 @@ from dossier.llm.common import materialize, mix64, shingle_hashes
 from dossier.operators.components import connected_components
 
 SHINGLE, PART = 5, 4
-SMALL, NEXT, FAR, CELL = 64, 8, 16, 4096
+SMALL, NEXT, FAR, CELL = 6, 2, 8, 4096
 #: Tables of two numbers a row are broadcast up to so many rows (8 MB), else shuffled.
 BROADCAST_ROWS = 500_000
 _PAIRS = "u long, v long"
