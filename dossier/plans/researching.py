@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from dossier.functions import fixed, hooks, rules
 from dossier.functions.text import sentence_chunks
 from dossier.operators import research as S
+from dossier.operators import vector_index
 from dossier.plans.bindings import Tables
 from dossier.plans.naming import CHUNKS
 from dossier.plans.registry import query
+from dossier.sources.shared import scratch
 
 
 def _any(column: str, words) -> str:
@@ -114,6 +116,14 @@ def nearest(t: Tables) -> DataFrame:
     return S.nearest_chunks(queries, chunks).select("query_id", "chunk_id", "rank")
 
 
+@query("rag_02_indexed")
+def indexed(t: Tables) -> DataFrame:
+    """The same questions through an inverted-file index over all rows, which is written and probed."""
+    queries = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("matter_id"), F.col("embedding").alias("q"))
+    chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("matter_id"), F.col("embedding").alias("e"))
+    return vector_index.InvertedFile.build(chunks, scratch(t.spark, "index")).search(queries).select("query_id", "chunk_id", "rank")
+
+
 @query("rag_03_context", """WITH c AS (SELECT source, lang, string_agg(concat('[', n, '] ', text), chr(10) ORDER BY n) AS x FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY ALL)
     SELECT s.source, l.role AS lang, sha256(coalesce(c.x, 'external')) AS context FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT DISTINCT lang AS role FROM documents UNION SELECT 'none') l LEFT JOIN c ON c.source = s.source AND c.lang = l.role""")
 def context(t: Tables) -> DataFrame:
