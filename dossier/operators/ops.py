@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.operators.running import RANGE_ROWS, ranged, running
+
 FREE_A_DAY = 10
 
 
@@ -41,16 +43,19 @@ def admission(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("m"), "conflict").when(F.col("u"), "queued").otherwise("pending").alias("admission"))
 
 
-def credit_decisions(requests: DataFrame, organizations: DataFrame, free: int = FREE_A_DAY) -> DataFrame:
+def credit_decisions(requests: DataFrame, organizations: DataFrame, free: int = FREE_A_DAY, rows: int = RANGE_ROWS) -> DataFrame:
     """requests (id, user_id, organization_id, ts) with decision: paid, free (first of a user's day), balance, denied.
 
     Subscribed organizations pay nothing here; the balance covers an organization's requests beyond the free ones in order.
+    A user's day and an organization may hold any share of the requests: their running counts are made by ranges of time. A null user
+    or organization counts as one of its own; requests that repeat count as often.
     """
     o = organizations.select(F.col("id").alias("organization_id"), "subscription_status", "bonus_credits")
-    rows = requests.join(o, "organization_id", "left")
+    asked = requests.join(o, "organization_id", "left")
     paid = F.coalesce(F.col("subscription_status").isin("active", "trialing"), F.lit(False))
-    day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "id")
-    rows = rows.withColumn("within", paid | (F.row_number().over(day) <= free))
-    beyond = F.sum(F.when(F.col("within"), 0).otherwise(1)).over(Window.partitionBy("organization_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
-    covered = beyond <= F.coalesce("bonus_credits", F.lit(0))
-    return rows.select("id", F.when(paid, "paid").when(F.col("within"), "free").when(covered, "balance").otherwise("denied").alias("decision"))
+    order = [F.col("ts"), F.col("id")]
+    asked = running(ranged(asked, order, rows), [F.col("user_id"), F.to_date("ts")], order, "of_day")
+    within = paid | (F.col("of_day") <= free)
+    asked = running(asked.withColumn("within", within), [F.col("organization_id")], order, "beyond", F.when(F.col("within"), 0).otherwise(1).cast("long"))
+    covered = F.col("beyond") <= F.coalesce("bonus_credits", F.lit(0))
+    return asked.select("id", F.when(paid, "paid").when(F.col("within"), "free").when(covered, "balance").otherwise("denied").alias("decision"))

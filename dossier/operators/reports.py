@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import relevance_rank
+from dossier.operators.running import RANGE_ROWS, ranged, running
 
 LEVELS = {"highly_relevant": "Highly Relevant", "relevant": "Relevant", "somewhat_relevant": "Somewhat Relevant", "not_relevant": "Not Relevant", "high": "Highly Relevant", "medium": "Relevant", "low": "Somewhat Relevant"}
 
@@ -34,14 +35,16 @@ def percent(score: Column) -> Column:
     return F.format_string("%.0f%%", F.bround(F.coalesce(score, F.lit(0.0)) * 100))
 
 
-def report(rows: DataFrame) -> DataFrame:
+def report(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Seven report columns plus place and color_class. People come by relevance, then by their first row; one row stays
     single, several get a summary and a detail each whose person columns are blank."""
     rank = relevance_rank(F.coalesce("relevance", F.when(F.col("importance") == "high", "highly_relevant").when(F.col("importance") == "low", "somewhat_relevant").otherwise("relevant")))
     rows = rows.withColumn("rank", F.when(rank < 0, 1).otherwise(3 - rank))
-    person = Window.partitionBy("full_name")
-    within = person.orderBy("rank", "id", F.desc("confidence_score"))
-    rows = rows.withColumns({"n": F.count("*").over(person), "i": F.row_number().over(within), "top": F.min(F.struct("rank", "id")).over(person)})
+    order = [F.col("rank"), F.col("id"), F.desc("confidence_score")]
+    rows = running(ranged(rows, order, range_rows), [F.col("full_name")], order, "i").withColumn("i", F.col("i").cast("int"))  # a common name is many tasks
+    person = F.coalesce(F.concat(F.lit("n"), "full_name"), F.lit(""))
+    each = rows.groupBy(person.alias("__person")).agg(F.count("*").alias("n"), F.min(F.struct("rank", "id")).alias("top"))
+    rows = rows.withColumn("__person", person).join(each, "__person")
     kinds = F.when(F.col("n") == 1, F.array(F.lit("single"))).when(F.col("i") == 1, F.array(F.lit("summary"), F.lit("detail"))).otherwise(F.array(F.lit("detail")))
     rows = rows.withColumn("kind", F.explode(kinds))
     blank, below = F.col("kind") == "detail", F.col("kind") == "summary"

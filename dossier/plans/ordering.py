@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import cosine, relevance_rank
 from dossier.operators import claims as C
 from dossier.operators import relations as R
+from dossier.operators.running import ranged, running
 from dossier.plans.bindings import Tables
 from dossier.plans.registry import query
 
@@ -84,8 +85,9 @@ def promotion(t: Tables) -> DataFrame:
 
 @query("win_12_running_use", "SELECT event_id, count(*) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM events WHERE event_type = 'purchase'")
 def running_use(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.where("event_type = 'purchase'").select("event_id", F.count("*").over(w).alias("used"))
+    order = [F.col("ts"), F.col("event_id")]
+    rows = ranged(t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), order)
+    return running(rows, [F.col("user_id"), F.to_date("ts")], order, "used").select("event_id", "used")
 
 
 @query("srt_01_page", "SELECT id, full_name FROM mentions ORDER BY full_name, id LIMIT 50 OFFSET 100")
