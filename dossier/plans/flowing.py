@@ -9,7 +9,8 @@ from dossier.functions.names import strict
 from dossier.plans.bindings import Tables
 from dossier.plans.registry import query
 from dossier.sources import landing as L
-from dossier.sources.shared import scratch
+from dossier.sources import paged_source
+from dossier.sources.shared import materialize, scratch
 from dossier.streaming import flows as S
 from dossier.streaming import timeouts as T
 
@@ -62,6 +63,21 @@ def changes(t: Tables) -> DataFrame:
     return S.change_stream(S.document_changes(hooks), state, f"{folder}/state", f"{folder}/checkpoint").drop("content_hash")
 
 
+@query("src_09_page_stream", "SELECT event_type, count(*) AS calls, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def page_stream(t: Tables) -> DataFrame:
+    """Webhook calls in landed pages, read as a stream of the registered format in two runs, the second from its offsets."""
+    call = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")))
+    pages = t.events.groupBy(F.floor(F.col("event_id") / 500).alias("page")).agg(F.concat(F.lit('{"data":['), F.array_join(F.array_sort(F.collect_list(call)), ","), F.lit("]}")).alias("value"))  # 500 a page
+    pages, folder = materialize(pages, "pages"), _folder(t)
+    half = (pages.agg(F.max("page")).first()[0] or 0) // 2
+    calls = paged_source.registered(t.spark).readStream.format("landed_pages").load(f"{folder}/in")
+    for part in ("page <= ", "page > "):
+        paged_source.land(pages.where(f"{part}{half}"), f"{folder}/in")
+        S.drain(calls, f"{folder}/out", "append", f"{folder}/checkpoint")
+    rows = t.spark.read.parquet(f"{folder}/out/n=*")
+    return rows.groupBy(F.get_json_object("item", "$.type").alias("event_type")).agg(F.count("*").alias("calls"), F.sum("id").alias("ids"))
+
+
 @query("str_02_last_triggered", "SELECT event_type, max(ts) AS last_triggered_at FROM events GROUP BY event_type")
 def last_triggered(t: Tables) -> DataFrame:
     return _latest(t, S.last_triggered(_arriving(t, "events")), ["event_type"])

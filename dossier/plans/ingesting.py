@@ -14,7 +14,9 @@ from dossier.functions.text import file_type
 from dossier.operators import sync as S
 from dossier.plans.bindings import Tables
 from dossier.plans.registry import query
+from dossier.operators.sync import until_repeat
 from dossier.sources import landing as L
+from dossier.sources import paged_source
 from dossier.sources import versioned as V
 from dossier.sources.shared import scratch
 
@@ -35,6 +37,15 @@ def paged_scan(t: Tables) -> DataFrame:
     return L.pages(_pages(t)).select("id")
 
 
+@query("src_01_data_source", "SELECT id FROM matters")
+def data_source(t: Tables) -> DataFrame:
+    """The same pages, landed as files and read by the registered format."""
+    folder = scratch(t.spark, "pages")
+    paged_source.land(_pages(t), folder)
+    items = paged_source.registered(t.spark).read.format("landed_pages").load(folder)
+    return until_repeat(items, "id", ["page", "pos"]).select("id")
+
+
 @query("src_02_matters", "SELECT id::VARCHAR AS external_id, client_name, status, practice_area FROM matters WHERE id % 2 = 0 AND client_name IS NOT NULL AND status = 'Open'")
 def matters(t: Tables) -> DataFrame:
     return L.matters(L.pages(_pages(t)), only_open=True).select("external_id", "client_name", "status", "practice_area")
