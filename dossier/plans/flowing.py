@@ -110,8 +110,10 @@ def inactivity(t: Tables) -> DataFrame:
 
 @query("str_06_daily_usage", "SELECT user_id, ts::DATE::VARCHAR AS day, count(*) AS used FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
 def daily_usage(t: Tables) -> DataFrame:
-    flow = S.daily_usage(_arriving(t, "events").where("event_type = 'purchase'"), "user_id")
-    return _latest(t, flow, ["user_id", "day"]).withColumn("day", F.col("day").cast("string"))
+    folder = _folder(t)
+    S.count_stream(S.daily_usage(_arriving(t, "events").where("event_type = 'purchase'"), "user_id"), f"{folder}/out", f"{folder}/checkpoint")
+    S.compacted(t.spark, f"{folder}/out")
+    return S.counted(t.spark, f"{folder}/out").withColumn("day", F.col("day").cast("string"))
 
 
 @query("str_07_billing", """SELECT user_id % 25 AS organization_id, arg_max(CASE event_type WHEN 'signup' THEN 'active' WHEN 'click' THEN 'trialing' WHEN 'error' THEN 'canceled' WHEN 'view' THEN 'past_due' END, (ts, event_id))

@@ -69,9 +69,48 @@ def progress(events: DataFrame, key: str, total: int) -> DataFrame:
 
 
 def daily_usage(events: DataFrame, key: str) -> DataFrame:
-    """(key, day, used), update mode: late rows always count."""
-    days = timed(events).groupBy(key, F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("used"))
-    return days.select(key, F.to_date("w.start").alias("day"), "used")
+    """(key, day) of each event; see count_stream for the counts."""
+    return timed(events).select(key, F.to_date("ts").alias("day"))
+
+
+def _parts(spark: SparkSession, out: str) -> tuple[int, list[str]]:
+    """The last batch that finished sums cover (-1: none), and the folders that make up the counts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(out)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [int(n[5:]) for n in names if n.startswith("upto=") and fs.exists(path(f"{out}/{n}", "_SUCCESS"))]
+    last = max(done, default=-1)
+    return last, ([f"{out}/upto={last}"] if done else []) + [f"{out}/n={n}" for n in sorted(int(x[2:]) for x in names if x.startswith("n=")) if n > last]
+
+
+def count_stream(rows: DataFrame, out: str, checkpoint: str) -> None:
+    """Counts equal rows of a stream without any state: each micro-batch writes its own counts, which counted() adds up.
+
+    So a row counts whenever it comes, however late, and what the stream keeps does not grow; compacted() folds the batches
+    that are done into one. A batch that runs again overwrites its counts.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*batch.columns).agg(F.count("*").alias("used")).write.mode("overwrite").parquet(f"{out}/n={number}")
+
+    rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def counted(spark: SparkSession, out: str) -> DataFrame:
+    """The counts of all micro-batches so far."""
+    rows = spark.read.parquet(*_parts(spark, out)[1])
+    return rows.groupBy(*[c for c in rows.columns if c != "used"]).agg(F.sum("used").alias("used"))
+
+
+def compacted(spark: SparkSession, out: str) -> None:
+    """Writes the sums of the batches that are done as one folder, then deletes what it covers; readers see either, never both."""
+    last, folders = _parts(spark, out)
+    newest = max((int(f.rsplit("n=", 1)[1]) for f in folders if "/n=" in f), default=last)
+    if newest > last:
+        counted(spark, out).write.mode("overwrite").parquet(f"{out}/upto={newest}")
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def subscription_state(events: DataFrame) -> DataFrame:

@@ -138,3 +138,36 @@ def test_standing_people_equal_the_batch_fold(spark, tmp_path):
         for x in sorted(found, key=lambda x: x["id"]):
             last[x["matter_id"], x["person"]] = [x["email"], x["phone"]]
         assert last == first
+
+
+def test_daily_use_keeps_no_state_and_counts_late_rows(spark, tmp_path):
+    """Rows of long ago count, a restart and compaction lose nothing, a repeated batch counts once, and no state rows are held."""
+    from dossier.streaming import flows as S
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n, hours=5)
+
+    def land(name, rows):
+        spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        events = S.arriving(spark, f"{tmp_path}/in/*/*.parquet", "user_id long, ts timestamp", 1)
+        S.count_stream(S.daily_usage(events, "user_id"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        return {(r["user_id"], str(r["day"])): r["used"] for r in S.counted(spark, f"{tmp_path}/out").collect()}
+
+    land("a", [(1, day(40)), (1, day(40)), (None, day(3))])
+    land("b", [(1, day(0)), (2, day(40)), (1, day(40))])
+    first = {(1, "2024-02-10"): 3, (None, "2024-01-04"): 1, (1, "2024-01-01"): 1, (2, "2024-02-10"): 1}
+    assert run() == first
+    S.compacted(spark, f"{tmp_path}/out")
+    assert run() == first and S._parts(spark, f"{tmp_path}/out")[1] == [f"{tmp_path}/out/upto=1"]
+    land("c", [(1, day(0)), (9, None)])
+    assert run() == first | {(1, "2024-01-01"): 2, (9, "None"): 1}
+    spark.read.parquet(f"{tmp_path}/out/upto=1").where("user_id = 1").write.parquet(f"{tmp_path}/out/upto=2")  # sums that were cut off do not count
+    import os
+
+    os.remove(f"{tmp_path}/out/upto=2/_SUCCESS")
+    assert run() == first | {(1, "2024-01-01"): 2, (9, "None"): 1}
+    flow = S.daily_usage(S.arriving(spark, f"{tmp_path}/in/*/*.parquet", "user_id long, ts timestamp", 1), "user_id")
+    done = flow.writeStream.foreachBatch(lambda batch, n: None).option("checkpointLocation", f"{tmp_path}/other").trigger(availableNow=True).start()
+    done.awaitTermination()
+    assert all(p["stateOperators"] == [] for p in done.recentProgress)
