@@ -100,7 +100,7 @@ def send_anchors(shards: int, window: int, anchor: int):
 def recurring(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """For each chunk, those of its entries that it must act on because more than one document holds them, with the smallest of all.
 
-    A document lies in one chunk, so an entry of two chunks has two documents.
+    An anchor of two chunks counts as one of two documents, though rows of one id may lie in both; windows carry their documents.
     """
     sizes = np.fromiter(map(len, pdf["hi"]), np.int64, len(pdf)) // 8
     hi, lo = joined(unpack(pdf["hi"], np.uint64), np.uint64), joined(unpack(pdf["lo"], np.uint32), np.uint32)
