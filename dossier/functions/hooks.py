@@ -48,6 +48,14 @@ def keep_attorney(names: pd.Series, observations: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"exclude": [False] * n, "is_fact_witness": [False] * n, "confidence": [0.0] * n, "reason": ["no model"] * n})
 
 
+def attorney_by_words(observation: Column) -> Column:
+    """Attorney verdict by words, (exclude, is_fact_witness, confidence, reason): who saw or testified stays, counsel goes, else unsure."""
+    low = F.lower(F.coalesce(observation, F.lit("")))
+    saw, counsel = low.rlike(r"\b(saw|testified)\b"), low.rlike(r"\bcounsel\b")
+    told = F.when(saw, "saw or testified").when(counsel, "counsel").otherwise("no sign")
+    return F.struct((~saw & counsel).alias("exclude"), saw.alias("is_fact_witness"), F.when(saw | counsel, 0.9).otherwise(0.0).alias("confidence"), told.alias("reason"))
+
+
 def people_in(text: Column) -> Column:
     """Person extraction: runs of two capitalised words, as records of the extraction format."""
     found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+)\b"), F.lit(1)))

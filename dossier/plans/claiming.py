@@ -47,16 +47,23 @@ def _part(name: str):
     return lambda t: C.relevancy(_claims(t), t.links, _people(t))[name]
 
 
-@query("clm_04_allegations", """SELECT c.id, count(p.id) AS witnesses FROM claims c LEFT JOIN links l ON l.case_claim_id = c.id LEFT JOIN canonicals p ON p.id = l.person_id
-    WHERE c.claim_type = 'allegation' GROUP BY c.id""")
+_LISTED = """SELECT c.id, coalesce(string_agg(concat(p.full_name, ' ', p.id, ' ', l.relationship), '; ' ORDER BY p.full_name, p.id, l.relationship) FILTER (WHERE p.id IS NOT NULL), '') AS witnesses
+    FROM claims c LEFT JOIN links l ON l.case_claim_id = c.id LEFT JOIN canonicals p ON p.id = l.person_id WHERE c.claim_type = '{kind}' GROUP BY c.id"""
+
+
+def _lines():
+    """The witnesses of a claim as one text."""
+    return F.array_join(F.transform("witnesses", lambda w: F.concat_ws(" ", w["full_name"], w["person_id"].cast("string"), w["relationship"])), "; ").alias("witnesses")
+
+
+@query("clm_04_allegations", _LISTED.replace("{kind}", "allegation"))
 def allegations(t: Tables) -> DataFrame:
-    return _part("allegations")(t).select("id", F.size("witnesses").cast("long").alias("witnesses"))
+    return _part("allegations")(t).select("id", _lines())
 
 
-@query("clm_04_defenses", """SELECT c.id, count(p.id) AS witnesses FROM claims c LEFT JOIN links l ON l.case_claim_id = c.id LEFT JOIN canonicals p ON p.id = l.person_id
-    WHERE c.claim_type = 'defense' GROUP BY c.id""")
+@query("clm_04_defenses", _LISTED.replace("{kind}", "defense"))
 def defenses(t: Tables) -> DataFrame:
-    return _part("defenses")(t).select("id", F.size("witnesses").cast("long").alias("witnesses"))
+    return _part("defenses")(t).select("id", _lines())
 
 
 @query("clm_04_witness_summary", """SELECT l.person_id, p.full_name, count(*) AS links, count(*) FILTER (WHERE claim_type = 'allegation') AS allegations, count(*) FILTER (WHERE claim_type = 'defense') AS defenses

@@ -51,10 +51,13 @@ def matters(t: Tables) -> DataFrame:
     return L.matters(L.pages(_pages(t)), only_open=True).select("external_id", "client_name", "status", "practice_area")
 
 
-@query("src_03_documents", "SELECT id::VARCHAR AS external_id, CASE WHEN id % 10 = 0 THEN 'unknown' ELSE filename END AS filename, 'pdf' AS file_type, folder FROM filings")
+_MIME = "CASE id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 3 THEN 'message/rfc822' END"
+
+
+@query("src_03_documents", f"SELECT id::VARCHAR AS external_id, CASE WHEN id % 10 = 0 THEN 'unknown' ELSE filename END AS filename, list_last(string_split({_MIME}, '/')) AS file_type, folder, floor(size)::BIGINT AS file_size FROM filings")
 def documents(t: Tables) -> DataFrame:
-    item = F.to_json(F.struct("id", F.expr("CASE WHEN id % 10 <> 0 THEN filename END").alias("name"), F.lit("application/pdf").alias("content_type"), F.expr("CASE WHEN folder IS NOT NULL THEN named_struct('id', folder) END").alias("parent"), "size"))
-    return L.documents(t.filings.select(item.alias("item"))).select("external_id", "filename", "file_type", "folder")
+    item = F.to_json(F.struct("id", F.expr("CASE WHEN id % 10 <> 0 THEN filename END").alias("name"), F.expr(_MIME).alias("content_type"), F.expr("CASE WHEN folder IS NOT NULL THEN named_struct('id', folder) END").alias("parent"), F.floor("size").alias("size")))
+    return L.documents(t.filings.select(item.alias("item"))).select("external_id", "filename", "file_type", "folder", "file_size")
 
 
 def _folders(t: Tables) -> DataFrame:
@@ -74,10 +77,22 @@ def folders(t: Tables) -> DataFrame:
     return L.folders(items)
 
 
-@query("src_05_file_types", """SELECT page_id, sha256(html) AS content_hash, 'html' AS file_type FROM pages""")
+#: Leading bytes, extension, and the type that they make.
+_HEADS = (("25504446", "txt", "pdf"), ("D0CF11E0A1B11AE1", "xls", "xls"), ("D0CF11E0A1B11AE1", "doc", "doc"), ("D0CF11E0A1B11AE1", "ppt", "ppt"), ("D0CF11E0A1B11AE1", "pdf", "msg"), ("504B0304", "xlsx", "xlsx"), ("504B0304", "pptx", "pptx"),
+    ("504B0304", "bin", "docx"), ("89504E47", "jpg", "png"), ("FFD8FF", "png", "jpg"), ("49492A00", "bin", "tiff"), ("4D4D002A", "bin", "tiff"), ("7B5C727466", "doc", "rtf"), ("", "jpeg", "html"), ("20", "TIF", "html"), ("00", "tif", "tiff"),
+    ("00", "JPEG", "jpg"), ("00", "htm", "html"), ("00", "csv", "csv"), ("00", "exe", "unknown"), ("00", "", "unknown"))
+
+
+def _of_head(k: int) -> str:
+    return f"CASE page_id % {len(_HEADS)} " + " ".join(f"WHEN {i} THEN '{h[k]}'" for i, h in enumerate(_HEADS)) + " END"
+
+
+@query("src_05_file_types", f"""SELECT page_id, sha256(unhex({_of_head(0)}) || encode(html)) AS content_hash, {_of_head(2)} AS file_type FROM pages""")
 def file_types(t: Tables) -> DataFrame:
-    content = F.col("html").cast("binary")
-    return t.pages.select("page_id", F.sha2(content, 256).alias("content_hash"), file_type(F.lit("a.bin"), content).alias("file_type"))
+    """The pages behind the leading bytes of every kind of file, under names that agree or not."""
+    content = F.concat(F.unhex(F.expr(_of_head(0))), F.col("html").cast("binary"))
+    rows = t.pages.select("page_id", content.alias("content"), F.concat(F.lit("File."), F.expr(_of_head(1))).alias("name"))
+    return rows.select("page_id", F.sha2("content", 256).alias("content_hash"), file_type(F.col("name"), F.col("content")).alias("file_type"))
 
 
 @query("src_06_assets")
@@ -85,7 +100,7 @@ def assets(t: Tables) -> DataFrame:
     pages = t.pages.select(F.concat("page_id", F.lit(".html")).alias("name"), F.lit("html").alias("file_type"), F.col("html").cast("binary").alias("content"))
     mail = t.documents.select(F.concat("doc_id", F.lit(".eml")).alias("name"), F.lit("eml").alias("file_type"), F.concat(F.lit("From: a@b.c\nSubject: "), "source", F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text").cast("binary").alias("content"))
     found = L.assets(pages.unionByName(mail))
-    return found.select("name", "asset_type", F.length("text").alias("chars"), "error")
+    return found.select("name", "asset_type", F.md5("text").alias("text_hash"), "error")
 
 
 @query("src_06a_decoded_text", """SELECT doc_id, md5(CASE WHEN lang = 'en' THEN text ELSE regexp_replace(text, '[^\\x00-\\x{FF}]', '?', 'g') END) AS h FROM documents""")
@@ -96,11 +111,28 @@ def decoded_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(L.decoded(content).cast("binary")).alias("h"))
 
 
-@query("src_06c_csv_text", "SELECT doc_id, len(list_filter(string_split(concat_ws(',', lang, source, n_chars), ','), lambda x: x <> '')) AS cells FROM documents")
+@query("src_06c_csv_text", """SELECT doc_id, concat(concat_ws(' | ', lang, source, n_chars), chr(10), 'a, "b" | c') AS text FROM documents""")
 def csv_text(t: Tables) -> DataFrame:
-    lines = t.documents.select(F.concat("doc_id", F.lit(".csv")).alias("name"), F.lit("csv").alias("file_type"), F.concat(F.concat_ws(",", "lang", "source", "n_chars"), F.lit("\n,,\n")).cast("binary").alias("content"))
-    found = L.assets(lines)
-    return found.select(F.split("name", "[.]")[0].cast("long").alias("doc_id"), F.size(F.split("text", r" \| ")).cast("long").alias("cells"))
+    """Rows without any content go; quoted cells keep their commas and quotes."""
+    content = F.concat(F.concat_ws(",", "lang", "source", "n_chars"), F.lit('\n,,\n"a, ""b""",c\n')).cast("binary")
+    found = L.assets(t.documents.select(F.concat("doc_id", F.lit(".csv")).alias("name"), F.lit("csv").alias("file_type"), content.alias("content")))
+    return found.select(F.split("name", "[.]")[0].cast("long").alias("doc_id"), "text")
+
+
+_INNER = "From: x@y.z\nSubject: inner\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B2\n\n--B2\nContent-Type: text/plain\n\nhello\n--B2\nContent-Type: text/csv\nContent-Disposition: attachment; filename=deep.csv\n\na,b\n,\n1,2\n--B2--\n"
+
+
+@query("src_06d_mail", """WITH k AS (SELECT * FROM (VALUES (1, 'eml', 'email_body', NULL, ''), (2, 'txt', 'text', '', ''), (3, 'eml', 'email_body', '', ''), (4, 'csv', 'text', '', ' > inner.eml')) AS v(i, file_type, asset_type, p, c))
+    SELECT concat(CASE i WHEN 1 THEN doc_id || '.eml' WHEN 2 THEN 'note.txt' WHEN 3 THEN 'inner.eml' ELSE 'deep.csv' END) AS name, file_type, asset_type, CASE WHEN i > 1 THEN doc_id || '.eml' END AS parent, CASE WHEN i > 1 THEN doc_id || '.eml' || c ELSE '' END AS context,
+      CASE i WHEN 1 THEN concat('From: a@b.c', chr(10), 'To: ', chr(10), 'Date: ', chr(10), 'Subject: ', source, chr(10), chr(10), lang) WHEN 2 THEN text
+        WHEN 3 THEN concat('From: x@y.z', chr(10), 'To: ', chr(10), 'Date: ', chr(10), 'Subject: inner', chr(10), chr(10), 'hello') ELSE concat('a | b', chr(10), '1 | 2') END AS text FROM documents, k""")
+def mail(t: Tables) -> DataFrame:
+    """Mails with the document as an attached text, and with a mail that has an attachment itself."""
+    head = F.concat(F.lit("From: a@b.c\nSubject: "), "source", F.lit("\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B1\n\n--B1\nContent-Type: text/plain; charset=utf-8\n\n"), "lang")
+    note = F.concat(F.lit("\n--B1\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename=note.txt\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.col("text").cast("binary")))
+    inner = F.lit(f"\n--B1\nContent-Type: message/rfc822\nContent-Disposition: attachment; filename=inner.eml\n\n{_INNER}\n--B1--\n")
+    rows = t.documents.select(F.concat("doc_id", F.lit(".eml")).alias("name"), F.lit("eml").alias("file_type"), F.concat(head, note, inner).cast("binary").alias("content"))
+    return L.assets(rows).select("name", "file_type", "asset_type", "parent", "context", "text")
 
 
 def _answers(t: Tables) -> DataFrame:
@@ -175,6 +207,19 @@ def requests(t: Tables) -> DataFrame:
     return read.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("doc_id"), "record_id", F.length("t").cast("long").alias("chars"))
 
 
+@query("snk_01_case_requests", """WITH a AS (SELECT matter_id, string_agg('- ' || substr(claim_text, 1, 300), chr(10) ORDER BY id) AS told FROM (SELECT *, row_number() OVER (PARTITION BY matter_id ORDER BY id) AS n FROM claims WHERE claim_type = 'allegation') WHERE n <= 5 GROUP BY matter_id)
+    SELECT concat(k, '-7-', doc_id) AS record_id, CASE k WHEN 'relevance' THEN 1000 ELSE 2000 END AS max_tokens,
+      md5(concat(concat_ws(', ', 'Case ' || doc_id, lang), chr(10), substr(text, 1, 1500), chr(10), 'Allegations:', chr(10), coalesce(told, 'Not specified'), chr(10), CASE k WHEN 'relevance' THEN 'How relevant is this case, from 1 to 10, and why?' ELSE 'Give issue, rule, application and conclusion.' END)) AS prompt
+    FROM documents LEFT JOIN a ON a.matter_id = doc_id % 60, (SELECT unnest(['relevance', 'irac']) AS k)""")
+def case_requests(t: Tables) -> DataFrame:
+    """Two requests for each case, with the allegations of its matter."""
+    cases = t.documents.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 60).alias("matter_id"), F.concat(F.lit("Case "), "doc_id").alias("case_name"), F.col("lang").alias("court"), F.col("text").alias("snippet"))
+    said = t.claims.where("claim_type = 'allegation'").select("matter_id", "id", F.col("claim_text").alias("text"))
+    lines = L.case_requests(cases, said, 7)
+    of = lambda path: F.get_json_object("value", path)
+    return lines.select(of("$.recordId").alias("record_id"), of("$.modelInput.max_tokens").cast("int").alias("max_tokens"), F.md5(of("$.modelInput.messages[0].content[0].text")).alias("prompt"))
+
+
 @query("snk_04_upsert_texts", """SELECT doc_id % 9 AS organization_id, doc_id AS external_id, sha256(text) AS content_hash, CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE n_chars END::BIGINT AS file_size FROM documents""")
 def upsert_texts(t: Tables) -> DataFrame:
     """Two commits to a store with versions, read back: what was known, then new rows of which some have no size."""

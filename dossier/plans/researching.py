@@ -87,10 +87,12 @@ def concept_queries(t: Tables) -> DataFrame:
     return S.search_queries(claims, seen).select("matter_id", F.array_join("queries", "|").alias("queries"))
 
 
-@query("udf_07_query_lines", "SELECT id, 1 AS n FROM claims WHERE length(claim_text) < 100")
+@query("udf_07_query_lines", """SELECT id, 1 AS pos, claim_text AS line FROM claims WHERE length(claim_text) BETWEEN 6 AND 99
+    UNION ALL SELECT id, CASE WHEN length(claim_text) BETWEEN 6 AND 99 THEN 2 ELSE 1 END, concat('Roe v. ', id) FROM claims""")
 def query_lines(t: Tables) -> DataFrame:
-    answer = F.concat(F.lit("1. "), "claim_text", F.lit("\n- abc\n"))
-    return t.claims.select("id", F.size(hooks.query_lines(answer)).alias("n")).where("n > 0")
+    """Bullets and numbers go, lines of under six characters too."""
+    answer = F.concat(F.lit("1. "), "claim_text", F.lit("\n- abc\n  * Roe v. "), "id")
+    return t.claims.select("id", F.posexplode(hooks.query_lines(answer)).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
 
 
 @query("udf_09_safe_query", "SELECT id, id % 4 > 0 AS is_safe FROM claims")

@@ -58,14 +58,19 @@ def embedding(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(F.concat_ws(",", F.transform(hooks.embed(F.substring("text", 1, 8000)), lambda x: F.round(x, 4).cast("string"))), 256).alias("h"))
 
 
-@query("udf_03_attorney_verdict", "SELECT id, false AS exclude FROM mentions WHERE role = 'attorney'")
+@query("udf_03_attorney_verdict", """SELECT id, coalesce(contains(observation, 'Counsel'), false) AS exclude, coalesce(contains(observation, 'Testified') OR contains(observation, 'Saw'), false) AS is_fact_witness,
+    CASE WHEN observation IS NULL THEN 'no sign' WHEN contains(observation, 'Counsel') THEN 'counsel' ELSE 'saw or testified' END AS reason FROM mentions WHERE role = 'attorney'""")
 def attorney_verdict(t: Tables) -> DataFrame:
-    return t.mentions.where("role = 'attorney'").select("id", hooks.keep_attorney("full_name", "observation").alias("v")).select("id", F.expr("v.exclude AND v.confidence >= 0.7").alias("exclude"))
+    """The verdict by words is sure of counsel and of witnesses; the default model is never sure and excludes nobody."""
+    rows = t.mentions.where("role = 'attorney'").select("id", hooks.attorney_by_words(F.col("observation")).alias("v"), hooks.keep_attorney("full_name", "observation").alias("d"))
+    return rows.select("id", F.expr("(v.exclude AND v.confidence >= 0.7) OR (d.exclude AND d.confidence >= 0.7)").alias("exclude"), "v.is_fact_witness", "v.reason")
 
 
 @query("udf_04_extraction")
 def extraction(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.size(hooks.people_in(F.col("text"))).alias("people"))
+    """The people of each text by name, one text a document."""
+    names = F.transform(hooks.people_in(F.col("text")), lambda x: x["fullName"])
+    return t.documents.select("doc_id", F.size(names).alias("people"), F.array_join(F.array_sort(names), "; ").alias("names"))
 
 
 @query("udf_02_verdict")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import file_type, repaired_json, sha256
@@ -189,6 +189,32 @@ def requests(rows: DataFrame, record_id: Column, system: str, prompt: Column, ma
     return rows.select(F.to_json(F.struct(record_id.alias("recordId"), body.alias("modelInput"))).alias("value"))
 
 
+#: Kinds of requests about a case: what the model is, how much it may say, what is asked.
+CASE_KINDS = {
+    "relevance": ("You judge how relevant a case is.", 1000, "How relevant is this case, from 1 to 10, and why?"),
+    "irac": ("You write case briefs for an attorney.", 2000, "Give issue, rule, application and conclusion."),
+}
+
+
+def case_requests(cases: DataFrame, allegations: DataFrame, job: int, most: int = 5, chars: int = 300) -> DataFrame:
+    """One JSON line (value) for each (case, kind): cases (id, matter_id, case_name, court, snippet), allegations (matter_id, id, text).
+
+    The first `most` allegations of the matter, by id, are named, each cut to `chars` characters; a matter without any says
+    so. Record ids are kind-job-case. Snippets are cut to 1,500 characters, as the request format has it.
+    """
+    place = F.row_number().over(Window.partitionBy("matter_id").orderBy("id"))
+    first = allegations.where("coalesce(text, '') <> ''").withColumn("n", place).where(F.col("n") <= most)
+    line = F.concat(F.lit("- "), F.substring("text", 1, chars))
+    told = first.groupBy("matter_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("l")))), lambda x: x["l"]), "\n").alias("told"))  # `most` at most
+    rows = cases.join(told, "matter_id", "left").withColumn("told", F.coalesce("told", F.lit("Not specified")))
+    out = None
+    for kind, (system, most_tokens, asked) in CASE_KINDS.items():
+        case = F.concat_ws("\n", F.concat_ws(", ", "case_name", "court"), F.substring("snippet", 1, 1500), F.lit("Allegations:"), "told", F.lit(asked))
+        part = requests(rows, F.concat(F.lit(f"{kind}-{job}-"), F.col("id").cast("string")), system, case, most_tokens)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 ANSWER = "recordId string, modelOutput struct<content: array<struct<type: string, text: string>>, stop_reason: string, usage: map<string, bigint>>, error struct<message: string, code: string>"
 
 
