@@ -29,16 +29,18 @@ def embed(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def no_verdict(new: dict, known: dict) -> tuple[bool, float]:
-    """Same-person verdict over name, role and observation of both: never sure."""
-    return False, 0.0
+def no_verdict(new: dict, known: dict) -> tuple[bool, float, str]:
+    """Same-person verdict over name, role and observation of both, with its confidence and reason: never sure."""
+    return False, 0.0, "no model"
 
 
-def initials_verdict(new: dict, known: dict) -> tuple[bool, float]:
+def initials_verdict(new: dict, known: dict) -> tuple[bool, float, str]:
     """Same-person verdict of a simple kind: sure when last names and first initials are equal, surer when roles are too."""
     x, y = (v["name"].lower().split() for v in (new, known))
     same = bool(x and y) and x[-1] == y[-1] and x[0][0] == y[0][0]
-    return same, (0.9 if new["role"] == known["role"] else 0.8) if same else 0.0
+    if not same:
+        return False, 0.0, "other initials or last names"
+    return (True, 0.9, "equal initials, last names and roles") if new["role"] == known["role"] else (True, 0.8, "equal initials and last names")
 
 
 @F.pandas_udf(T.StructType([T.StructField("exclude", T.BooleanType()), T.StructField("is_fact_witness", T.BooleanType()), T.StructField("confidence", T.DoubleType()), T.StructField("reason", T.StringType())]))

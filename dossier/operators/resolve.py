@@ -32,9 +32,9 @@ from dossier.operators import seeds
 from dossier.operators.components import connected_components
 from dossier.sources.shared import materialize
 
-FOUND = T.StructType().add("form", "string").add("person", "integer").add("match_type", "string").add("match_score", "double")
-#: Is the new mention (name, role, observation) the known person (name, role, observation of the founder)? With confidence.
-Verdict = Callable[[dict, dict], tuple[bool, float]]
+FOUND = T.StructType().add("form", "string").add("person", "integer").add("match_type", "string").add("match_score", "double").add("match_reason", "string")
+#: Is the new mention (name, role, observation) the known person (name, role, observation of the founder)? With confidence, and a reason if it has one.
+Verdict = Callable[[dict, dict], tuple[bool, float] | tuple[bool, float, str]]
 
 
 def excluded(mentions: DataFrame, firm_domain: str | None = None) -> DataFrame:
@@ -111,13 +111,13 @@ class People:
         found = self._nearest(form, found, doubtful)
         if found is None and self.verdict is not None:
             for score, i in sorted(doubtful, key=lambda x: -x[0])[:3]:
-                same, sure = self.verdict(new, {k: self.people[i][k] for k in ("name", "role", "observation")})
+                same, sure, *why = self.verdict(new, {k: self.people[i][k] for k in ("name", "role", "observation")})
                 if same and sure >= fixed.VERDICT:
-                    return i, "verified", (score + sure) / 2
+                    return i, "verified", (score + sure) / 2, *why
         return found
 
     def add(self, form: str, name: str, role: str | None, observation: str | None, vector) -> tuple:
-        """(person, how, score) of the next mention."""
+        """(person, how, score, reason) of the next mention; only a verdict has a reason."""
         if vector is not None:
             self.vectors[form] = np.asarray(vector, np.float64)
         new = {"name": name, "role": role, "observation": observation}
@@ -128,13 +128,13 @@ class People:
         if found is None:
             self.people.append({"form": form} | new)
             self.known = {}
-            return len(self.people) - 1, "none", 0.0
+            return len(self.people) - 1, "none", 0.0, None
         person = self.people[found[0]]
         if len(name) > len(person["name"]):
             if form != person["form"]:
                 self.known = {}
             person["form"], person["name"] = form, name
-        return found
+        return (*found, None)[:4]
 
 
 def _matters(df: DataFrame, order: list[str], needs: list[str], run: Callable, add: T.StructType, drop: list[str]) -> DataFrame:

@@ -77,7 +77,7 @@ def extraction(t: Tables) -> DataFrame:
 def verdict(t: Tables) -> DataFrame:
     """A verdict that is sure of equal initials and last names confirms uncertain pairs."""
     found = P.resolved(_mentions(t), verdict=hooks.initials_verdict)
-    return found.select("id", "matter_id", "person", "match_type")
+    return found.select("id", "matter_id", "person", "match_type", "match_reason")
 
 
 @query("udf_05_verified", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'checked' ELSE role END AS people FROM conversations")

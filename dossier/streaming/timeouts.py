@@ -147,7 +147,7 @@ class Standing(StatefulProcessor):
         fold, out = People(self.verdict), []
         fold.people = [dict(p) for p in stood.values()]
         for r in arrived.itertuples(index=False):
-            person, how, score = fold.add(r.form, r.full_name, r.role, r.observation, None)
+            person, how, score, _ = fold.add(r.form, r.full_name, r.role, r.observation, None)
             p = fold.people[person]
             p.update({c: p.get(c) or getattr(r, c) or None for c in ("email", "phone", "address")})
             out.append((r.id, key[0], person, how, score, p["name"], p["email"], p["phone"], p["address"]))

@@ -162,3 +162,16 @@ def test_repeated_and_missing_ids_are_mentions_of_their_own(spark):
         assert all(r["stamp"] and r["money"] == 1 for r in got) and dict(found.dtypes)["person"] == "int"
     assert {(r["matter_id"], r["mentions"], r["people"]) for r in P.stats(P.resolved(frame)).collect()} == {(1, 4, 2), (2, 2, 2)}
     assert P.resolved(frame.limit(0)).count() == 0
+
+
+def test_verdicts_have_reasons(spark):
+    """Only a verdict that confirms leaves its reason; the other tiers have none."""
+    from dossier.functions import hooks
+
+    names = ["Jonathan Blackwood", "Ann Lee", "Jonas Blackford", "Xavier Blackwood", "Ann Lee"]
+    rows = [(i, 1, i, None, n, r, None, None, None, 0.5, None, None, None) for i, (n, r) in enumerate(zip(names, ["other"] * 5, strict=True))]
+    asked = lambda new, known: (known["name"].startswith("Jonathan"), 0.8, f"asked about {known['name']}")
+    found = {r["id"]: (r["match_type"], r["match_reason"]) for r in P.resolved(spark.createDataFrame(rows, SCHEMA), verdict=asked).collect()}
+    assert all((kind == "verified") == (why is not None) for kind, why in found.values()) and found[4] == ("exact", None) and found[0] == ("none", None)
+    assert {why for kind, why in found.values() if kind == "verified"} <= {"asked about Jonathan Blackwood"} and any(kind == "verified" for kind, _ in found.values())
+    assert hooks.initials_verdict({"name": "Jo Lee", "role": "a"}, {"name": "Jim Lee", "role": "b"}) == (True, 0.8, "equal initials and last names")
