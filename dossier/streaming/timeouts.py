@@ -142,7 +142,7 @@ class Standing(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows))  # one matter's mentions of one micro-batch
-        arrived = arrived.sort_values(["place", "id"], kind="stable").replace({np.nan: None})
+        arrived = arrived.assign(number=pd.to_numeric(arrived["id"])).sort_values(["place", "number"], kind="stable", na_position="first").replace({np.nan: None})
         stood = dict(sorted((k[0], dict(zip(_PERSON, v, strict=True))) for k, v in self.people.iterator()))
         fold, out = People(self.verdict), []
         fold.people = [dict(p) for p in stood.values()]
@@ -167,8 +167,9 @@ def standing_people(mentions: DataFrame, verdict: Verdict | None = None) -> Data
     Emits (id, matter_id, person, match_type, match_score, person_name, email, phone, address) for each mention, append mode: the person
     it was given and how that person stood then; contacts are the first known ones. Mentions of one micro-batch come in the order of
     (place, id), micro-batches in that of their arrival, so any split into files gives what the ordered fold gives over that order.
-    Mentions without a name or a matter take no part; one matter's mentions of one micro-batch meet in one task.
+    Mentions without a name or a matter take no part; those without a place or an id come first of their batch; one matter's mentions of one micro-batch meet in one task.
     """
-    rows = mentions.where("matter_id IS NOT NULL AND full_name IS NOT NULL").select("id", "matter_id", "place", "form", "full_name", "role", "observation", "email", "phone", "address")
-    schema = "id long, matter_id long, person int, match_type string, match_score double, person_name string, email string, phone string, address string"
-    return rows.groupBy("matter_id").transformWithStateInPandas(Standing(verdict), schema, "Append", "None")
+    # Ids go as text: beside a null, pandas would hold them as floating point numbers.
+    rows = mentions.where("matter_id IS NOT NULL AND full_name IS NOT NULL").select(F.col("id").cast("string"), "matter_id", "place", "form", "full_name", "role", "observation", "email", "phone", "address")
+    schema = "id string, matter_id long, person int, match_type string, match_score double, person_name string, email string, phone string, address string"
+    return rows.groupBy("matter_id").transformWithStateInPandas(Standing(verdict), schema, "Append", "None").withColumn("id", F.col("id").cast("long"))

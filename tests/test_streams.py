@@ -140,6 +140,23 @@ def test_standing_people_equal_the_batch_fold(spark, tmp_path):
         assert last == first
 
 
+def test_standing_people_without_ids(spark, tmp_path):
+    """Rows without an id count, and do not blur the large ids beside them."""
+    from dossier.operators import resolve as P
+    from dossier.streaming import flows as S
+    from dossier.streaming import timeouts as T
+
+    big = (1 << 62) + 1
+    rows = [(big, 1, 2, "Ann Lee", None, None, None, None, None), (None, 1, 2, "Ann Lee", None, None, None, None, None), (big + 1, 1, None, "Bob Stone", None, None, None, None, None), (5, None, 1, "X Y", None, None, None, None, None), (6, 1, 1, None, None, None, None, None, None)]
+    schema = "id long, matter_id long, place long, full_name string, role string, observation string, email string, phone string, address string"
+    P.forms(spark.createDataFrame(rows, schema)).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    arriving = S.arriving(spark, f"{tmp_path}/in/*/*.parquet", spark.read.parquet(f"{tmp_path}/in/0").schema, 1)
+    with T.rocks(spark):
+        S.drain(T.standing_people(arriving), f"{tmp_path}/out", "append", f"{tmp_path}/checkpoint")
+    found = spark.read.parquet(f"{tmp_path}/out/n=*").collect()
+    assert sorted((r["id"] or 0, r["person"], r["match_type"]) for r in found) == [(0, 1, "none"), (big, 1, "exact"), (big + 1, 0, "none")]
+
+
 def test_daily_use_keeps_no_state_and_counts_late_rows(spark, tmp_path):
     """Rows of long ago count, a restart and compaction lose nothing, a repeated batch counts once, and no state rows are held."""
     from dossier.streaming import flows as S
