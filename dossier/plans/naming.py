@@ -52,7 +52,20 @@ def parts(t: Tables) -> DataFrame:
     return _names(t).select("full_name", N.parts(F.col("n")).alias("p")).select("full_name", "p.*")
 
 
-@query("fn_04_jaro_winkler")
+#: Letter after letter of n takes the first free equal letter of m within reach; then transpositions and the common start count.
+_JARO = f"""WITH RECURSIVE p AS ({_PAIRS}),
+    w AS (SELECT full_name, other, n, m, 0 AS i, '' AS hit, []::BIGINT[] AS used FROM p
+      UNION ALL SELECT full_name, other, n, m, i + 1, CASE WHEN j IS NULL THEN hit ELSE concat(hit, n[i + 1]) END, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END
+      FROM (SELECT *, list_filter(range(greatest(1, i + 1 - r), least(length(m), i + 1 + r) + 1), lambda j: m[j] = n[i + 1] AND NOT list_contains(used, j))[1] AS j
+        FROM (SELECT *, greatest(0, greatest(length(n), length(m)) // 2 - 1) AS r FROM w WHERE i < length(n)))),
+    d AS (SELECT *, length(hit) AS k, list_sort(used) AS u FROM w WHERE i = length(n)),
+    s AS (SELECT *, (k / length(n) + k / length(m) + (k - len(list_filter(range(1, k + 1), lambda x: hit[x] <> m[u[x]])) / 2) / k) / 3 AS jaro,
+      list_max(list_filter(range(0, least(4, length(n), length(m)) + 1), lambda x: n[1:x] = m[1:x])) AS start FROM d WHERE k > 0),
+    jw AS (SELECT full_name, other, n, m, CASE WHEN n = m THEN 1.0 ELSE jaro + start * 0.1 * (1 - jaro) END::DOUBLE AS jw FROM s
+      UNION ALL SELECT full_name, other, n, m, CASE WHEN n = m THEN 1.0 ELSE 0.0 END FROM d WHERE k = 0)"""
+
+
+@query("fn_04_jaro_winkler", f"{_JARO} SELECT full_name, other, round(jw, 6) AS score FROM jw")
 def jaro_winkler(t: Tables) -> DataFrame:
     return _pairs(t).select("full_name", "other", F.round(N.jaro_winkler("n", "m"), 6).alias("score"))
 
@@ -62,7 +75,7 @@ def levenshtein(t: Tables) -> DataFrame:
     return _pairs(t).select("full_name", "other", F.round(N.levenshtein_similarity(F.col("n"), F.col("m")), 6).alias("score"))
 
 
-@query("fn_06_fuzzy")
+@query("fn_06_fuzzy", f"{_JARO} SELECT full_name, other, round(0.6 * jw + 0.4 * CASE WHEN n = m THEN 1.0 WHEN n = '' OR m = '' THEN 0.0 ELSE 1 - levenshtein(n, m) / greatest(length(n), length(m)) END, 6)::DOUBLE AS score FROM jw")
 def fuzzy(t: Tables) -> DataFrame:
     return _pairs(t).select("full_name", "other", F.round(N.fuzzy(F.col("n"), F.col("m")), 6).alias("score"))
 
