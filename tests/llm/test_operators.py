@@ -419,6 +419,23 @@ def test_sharding_edges(spark):
     assert len(rows) == 9 and sorted(r["shard"] for r in rows) == [0, 0, 0, 1, 1, 2, 2, 3, 3]
 
 
+def test_rows_without_ids_spread(spark):
+    """With nine of ten ids missing or equal, no chunk and no bucket holds over twice the mean."""
+    from dossier.llm import chunks
+
+    rows = [(None if i % 10 < 5 else 7 if i % 10 < 9 else i, words(i, 30, 3000), "en", "a") for i in range(6000)]
+    docs = documents(spark, rows)
+    chunked, _ = chunks.dealt(docs.withColumn("text", F.repeat("text", 80)), "doc_id", "text", "string")
+    sizes = [r["count"] for r in chunked.groupBy("chunk").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    keyed = docs.select(mixing.place_key(F.col("doc_id"), F.col("text")).alias("k")).groupBy(F.expr(f"k div {shuffle_shards.PRIME // 40}")).count().collect()
+    assert max(r["count"] for r in keyed) < 2 * 6000 / 40
+    sized = docs.withColumns({"crc": F.crc32(F.col("text").cast("binary")).cast("long")})
+    bucket = shuffle_shards.mix(shuffle_shards.dealing(F.col("doc_id"), F.col("crc")), shuffle_shards.keys(9, 1)[0]) % 40
+    assert max(r["count"] for r in sized.groupBy(bucket.alias("b")).count().collect()) < 2 * 6000 / 40
+    assert sorted(r["shard"] for r in shuffle_shards.assign(sized, "doc_id", order=["crc"]).groupBy("shard").count().collect()) == list(range(8))
+
+
 def test_walks_cover():
     for n in (*range(2, 60), 905):
         a = shuffle_shards.math.isqrt(n - 1) + 1

@@ -70,16 +70,16 @@ def mixed_by_hand(rows):
 
 
 def shards_by_hand(rows):
-    """(doc_id, shard, slot) of rows (doc_id, text): numbered by bucket, id, checksum and size, then walked through the permutation."""
+    """(doc_id, shard, slot) of rows (doc_id, text): numbered by bucket (of id and checksum), id, checksum and size, then walked through the permutation."""
     from dossier.llm import shuffle_shards as S
 
     (k, c), n = S.keys(S.SEED + 1, 1)[0], len(rows)
 
-    def bucket(i):
-        t = (i % S.PRIME + k) % S.PRIME
+    def bucket(i, crc):
+        t = ((i % S.PRIME + crc * 2**20) % S.PRIME + k) % S.PRIME
         return (t * t % S.PRIME * t + c) % S.PRIME % S.BUCKETS
 
-    ordered = sorted((bucket(i), i, zlib.crc32(t.encode()), len(t.encode()) + 1) for i, t in rows)
+    ordered = sorted((bucket(i, zlib.crc32(t.encode())), i, zlib.crc32(t.encode()), len(t.encode()) + 1) for i, t in rows)
     a = S.math.isqrt(n - 1) + 1
     b = -(-n // a)
     out = []
