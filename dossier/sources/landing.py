@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import csv
 import email
+import email.headerregistry
 import email.policy
 import html.parser
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -137,6 +139,18 @@ def _office(content: bytes, kind: str) -> list[tuple[int | None, str]]:
         return out
 
 
+_registry = email.headerregistry.HeaderRegistry()
+_kept = lru_cache(2_000)(_registry)
+
+
+def _header(name: str, value: str):
+    """A parsed header. A message parses each header anew whenever it is asked for, so short ones are kept."""
+    return _kept(name, value) if len(value) <= 1_000 else _registry(name, value)
+
+
+MAIL = email.policy.default.clone(header_factory=_header)
+
+
 def assets_of(name: str, kind: str, content: bytes, parent: str | None = None, context: str = "") -> Iterator[tuple]:
     """Asset rows of one file; what cannot be read gives an error row, never an exception."""
     try:
@@ -152,7 +166,7 @@ def assets_of(name: str, kind: str, content: bytes, parent: str | None = None, c
         elif kind in ("png", "jpg", "tiff"):
             yield name, kind, "image", None, 1, parent, context, None
         elif kind == "eml":
-            message = email.message_from_bytes(content, policy=email.policy.default)
+            message = email.message_from_bytes(content, policy=MAIL)
             body = message.get_body(("plain",))
             head = "\n".join(f"{k}: {message.get(k, '')}" for k in ("From", "To", "Date", "Subject"))
             yield name, kind, "email_body", f"{head}\n\n{body.get_content() if body else ''}", None, parent, context, None
