@@ -80,9 +80,8 @@ def promotable_users(t: Tables) -> DataFrame:
 
 @query("jn_11_unlinked", "SELECT id, id IN (SELECT witness_id FROM links) AS is_linked FROM mentions")
 def unlinked(t: Tables) -> DataFrame:
-    linked = t.links.select(F.col("witness_id").alias("id")).distinct()
-    yes = t.mentions.join(linked, "id", "left_semi").select("id", F.lit(True).alias("is_linked"))
-    return yes.unionByName(t.mentions.join(linked, "id", "left_anti").select("id", F.lit(False).alias("is_linked")))
+    linked = t.links.select(F.col("witness_id").alias("id")).distinct().withColumn("is_linked", F.lit(True))
+    return t.mentions.select("id").join(linked, "id", "left").select("id", F.coalesce("is_linked", F.lit(False)).alias("is_linked"))
 
 
 @query("jn_15_cached_text", """SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN d.text WHEN d.doc_id % 3 = 1 THEN d.text END AS text FROM documents d""")

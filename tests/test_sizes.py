@@ -12,3 +12,17 @@ def test_headers_are_parsed_once():
     assert message["Subject"] is message["Subject"] and message["Subject"] == "café"
     long = "x" * 2_000
     assert email.message_from_bytes(f"Subject: {long}\n\nhello".encode(), policy=L.MAIL)["Subject"] == long
+
+
+def test_one_join_tells_linked_from_unlinked(spark):
+    import os
+
+    import pytest
+
+    from dossier.plans import registry
+    from tests.sql_twin import DATA
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data")
+    plan = registry.queries()["jn_11_unlinked"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
