@@ -36,7 +36,7 @@ def _landed_in_order(t: Tables, df: DataFrame, order: str) -> str:
     cuts = df.select(place.alias("p")).approxQuantile("p", [i / files for i in range(1, files)], 0.01)
     number = sum((F.coalesce(place > c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0))
     for i in range(len(set(cuts)) + 1):
-        df.where(number == i).coalesce(1).write.parquet(f"{folder}/{i}")
+        df.where(number == i).repartition(1).write.parquet(f"{folder}/{i}")
     return f"{folder}/*/part-*"
 
 

@@ -33,54 +33,67 @@ def rocks(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def merged_runs(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """Runs (first, last, events) of which those at most `gap` apart become one."""
-    out: list[tuple[int, int, int]] = []
-    for first, last, n in sorted(runs):
-        if out and first - out[-1][1] <= gap:
-            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+#: Keys share their state by hash: what a call of the state store costs is paid once a bucket, not once a key.
+BUCKETS = 1_024
+_RUN = pa.schema([("key", pa.string()), ("minutes", pa.int32()), ("first", pa.int64()), ("final", pa.int64()), ("n", pa.int64())])
+
+
+def merged_runs(runs: list[tuple]) -> list[tuple]:
+    """Runs (key, minutes, first, final, events) of which those of one (key, minutes) at most so many minutes apart become one."""
+    out: list[tuple] = []
+    for run in sorted(runs):
+        key, minutes, first, final, n = run
+        if out and out[-1][0] == key and out[-1][1] == minutes and first - out[-1][3] <= minutes * MINUTE:
+            out[-1] = (*out[-1][:3], max(out[-1][3], final), out[-1][4] + n)
         else:
-            out.append((first, last, n))
+            out.append(run)
     return out
 
 
 class TimeOuts(StatefulProcessor):
-    """The open runs of one (key, minutes). A run is told when it changes, and as closed when the watermark passes its end.
+    """The open runs of the keys of one bucket. A run is told when it changes, and as closed when the watermark passes its end.
 
     One timer stands at the earliest end. A late event can join two open runs: then the start that is gone is told with no events.
     """
 
     def init(self, handle) -> None:
-        self.handle, self.runs = handle, handle.getListState("runs", "first long, last long, n long")
+        self.handle, self.runs = handle, handle.getValueState("runs", "runs binary")  # as one Arrow stream: a row of a list state costs far more
 
-    def _read(self) -> list[tuple[int, int, int]]:
-        return [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
+    def _read(self) -> list[tuple]:
+        if not self.runs.exists():
+            return []
+        table = pa.ipc.open_stream(bytes(self.runs.get()[0])).read_all()
+        return list(zip(*[table[c].to_pylist() for c in _RUN.names], strict=True))
 
-    def _keep(self, runs: list[tuple[int, int, int]], gap: int) -> None:
+    def _keep(self, runs: list[tuple]) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if runs:
-            self.runs.put(runs)
-            self.handle.registerTimer(-(-(min(r[1] for r in runs) + gap) // 1000))
-        else:
+        if not runs:
             self.runs.clear()
+            return
+        sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*runs, strict=True), _RUN, strict=True)], schema=_RUN)
+        with pa.ipc.new_stream(sink, _RUN) as out:
+            out.write_batch(batch)
+        self.runs.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(-(-min(r[3] + r[1] * MINUTE for r in runs) // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        gap, before = key[1] * MINUTE, self._read()
-        now = before
-        for pdf in rows:
-            now = merged_runs([*now, *zip(pdf["first"].tolist(), pdf["final"].tolist(), pdf["n"].tolist(), strict=True)], gap)
-        self._keep(now, gap)
-        gone = {r[0] for r in before} - {r[0] for r in now}
-        yield self._told(key, [r for r in now if r not in before] + [(f, f, 0) for f in sorted(gone)], False)
+        before = self._read()
+        came = [t for pdf in rows for t in zip(*[pdf[c].tolist() for c in _RUN.names], strict=True)]
+        now = merged_runs([*before, *came])
+        self._keep(now)
+        known, starts = set(before), {r[:3] for r in now}
+        gone = [(*r[:3], r[2], 0) for r in before if r[:3] not in starts]
+        yield self._told([r for r in now if r not in known] + gone, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        gap, runs, mark = key[1] * MINUTE, self._read(), timerValues.getCurrentWatermarkInMs() * 1000
-        self._keep([r for r in runs if r[1] + gap > mark], gap)
-        yield self._told(key, [r for r in runs if r[1] + gap <= mark], True)
+        runs, mark = self._read(), timerValues.getCurrentWatermarkInMs() * 1000
+        over = [r[3] + r[1] * MINUTE <= mark for r in runs]
+        self._keep([r for r, o in zip(runs, over, strict=True) if not o])
+        yield self._told([r for r, o in zip(runs, over, strict=True) if o], True)
 
-    def _told(self, key, runs: list, closed: bool) -> pd.DataFrame:
-        rows = [(key[0], key[1], first, last + key[1] * MINUTE, n, closed) for first, last, n in runs]
+    def _told(self, runs: list[tuple], closed: bool) -> pd.DataFrame:
+        rows = [(key, minutes, first, final + minutes * MINUTE, n, closed) for key, minutes, first, final, n in runs]
         return pd.DataFrame(rows, columns=["key", "minutes", "started", "ended", "events", "closed"])
 
     def close(self) -> None:
@@ -92,7 +105,7 @@ def time_outs(events: DataFrame, key: str, minutes: list[int], delay: str = "0 s
 
     An end is the last event plus the silence; runs are told open (closed false) as they grow, and closed once the
     watermark, the latest event less `delay`, reaches their end (to the millisecond). Update mode; see latest_runs. The state is the
-    runs still open. Events in one Arrow batch become runs before the shuffle, so a key with very many events sends few rows. Events
+    runs still open, those of a bucket of keys together. Events in one Arrow batch become runs before the shuffle, so a key with very many events sends few rows. Events
     behind the watermark are dropped, unless their batch holds one ahead of it in the same run. Events without a time take no part;
     events without a key are a key of their own.
     """
@@ -116,7 +129,8 @@ def time_outs(events: DataFrame, key: str, minutes: list[int], delay: str = "0 s
     # The key goes as text, as rows with a null key would not meet their state.
     timely = events.where(F.col("ts").isNotNull()).select(F.to_json(F.struct(F.col(key).alias("key"))).alias("key"), F.col("ts").cast("timestamp"))
     runs = timely.mapInArrow(partial, "key string, minutes int, first long, final long, n long, last timestamp").withWatermark("last", delay)
-    told = runs.groupBy("key", "minutes").transformWithStateInPandas(TimeOuts(), "key string, minutes int, started long, ended long, events long, closed boolean", "Update", "EventTime")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+    told = runs.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(TimeOuts(), "key string, minutes int, started long, ended long, events long, closed boolean", "Update", "EventTime")
     times = [F.timestamp_micros(c).alias(c) for c in ("started", "ended")]
     return told.select(F.from_json("key", f"key {kind}")["key"].alias(key), "minutes", *times, "events", "closed")
 
