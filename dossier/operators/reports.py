@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import relevance_rank
 from dossier.operators.running import RANGE_ROWS, ranged, running
+from dossier.sources.shared import materialize
 
 LEVELS = {"highly_relevant": "Highly Relevant", "relevant": "Relevant", "somewhat_relevant": "Somewhat Relevant", "not_relevant": "Not Relevant", "high": "Highly Relevant", "medium": "Relevant", "low": "Somewhat Relevant"}
 
@@ -35,16 +36,42 @@ def percent(score: Column) -> Column:
     return F.format_string("%.0f%%", F.bround(F.coalesce(score, F.lit(0.0)) * 100))
 
 
+NAME_BUCKETS = 65_536
+
+
+def _numbered(rows: DataFrame, order: list[Column], range_rows: int) -> DataFrame:
+    """rows with n, the rows of their full_name, i, their number among them, and top, the rank and id of the first.
+
+    Names are windows of their own, in one shuffle. Those of a hash bucket with more rows than any task should hold are ranged instead,
+    so a common name is many tasks; of NAME_BUCKETS counts all are small.
+    """
+    bucket = F.pmod(F.xxhash64("full_name"), F.lit(NAME_BUCKETS))
+    sizes = materialize(rows.groupBy(bucket.alias("__bucket")).agg(F.count("*").alias("size")), "buckets")
+    mean = F.lit((sizes.agg(F.avg("size")).first()[0] or 0) * 4)
+    heavy = sizes.where(F.col("size") > F.greatest(F.lit(range_rows), mean)).select("__bucket")
+    name = Window.partitionBy("full_name").orderBy(*order)
+    whole = name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def light(part: DataFrame) -> DataFrame:
+        top = F.first(F.struct("rank", "id")).over(whole)
+        return part.withColumns({"i": F.row_number().over(name), "n": F.count("*").over(whole), "top": top})
+
+    if heavy.isEmpty():
+        return light(rows)
+    rows = rows.withColumn("__bucket", bucket)
+    common = running(ranged(rows.join(F.broadcast(heavy), "__bucket", "left_semi"), order, range_rows), [F.col("full_name")], order, "i").withColumn("i", F.col("i").cast("int"))
+    person = F.coalesce(F.concat(F.lit("n"), "full_name"), F.lit(""))
+    each = common.groupBy(person.alias("__person")).agg(F.count("*").alias("n"), F.min(F.struct("rank", "id")).alias("top"))
+    common = common.withColumn("__person", person).join(each, "__person").drop("__person", "__range", "__bucket")
+    return light(rows.join(F.broadcast(heavy), "__bucket", "left_anti").drop("__bucket")).unionByName(common)
+
+
 def report(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Seven report columns plus place and color_class. People come by relevance, then by their first row; one row stays
     single, several get a summary and a detail each whose person columns are blank."""
     rank = relevance_rank(F.coalesce("relevance", F.when(F.col("importance") == "high", "highly_relevant").when(F.col("importance") == "low", "somewhat_relevant").otherwise("relevant")))
     rows = rows.withColumn("rank", F.when(rank < 0, 1).otherwise(3 - rank))
-    order = [F.col("rank"), F.col("id"), F.desc("confidence_score")]
-    rows = running(ranged(rows, order, range_rows), [F.col("full_name")], order, "i").withColumn("i", F.col("i").cast("int"))  # a common name is many tasks
-    person = F.coalesce(F.concat(F.lit("n"), "full_name"), F.lit(""))
-    each = rows.groupBy(person.alias("__person")).agg(F.count("*").alias("n"), F.min(F.struct("rank", "id")).alias("top"))
-    rows = rows.withColumn("__person", person).join(each, "__person")
+    rows = _numbered(rows, [F.col("rank"), F.col("id"), F.desc("confidence_score")], range_rows)
     kinds = F.when(F.col("n") == 1, F.array(F.lit("single"))).when(F.col("i") == 1, F.array(F.lit("summary"), F.lit("detail"))).otherwise(F.array(F.lit("detail")))
     rows = rows.withColumn("kind", F.explode(kinds))
     blank, below = F.col("kind") == "detail", F.col("kind") == "summary"
@@ -89,8 +116,9 @@ def scope(mentions: DataFrame, documents: DataFrame, jobs: DataFrame, job: int |
 
 
 def write_report(rows: DataFrame, path: str, form: str = "parquet") -> None:
-    """Writes a report table in its order: parquet, json or csv."""
-    getattr(rows.orderBy("place").drop("place").write.mode("overwrite").option("header", "true"), form)(path)
+    """Writes a report table in its order: parquet, or json or csv in gzip files."""
+    out = rows.orderBy("place").drop("place").write.mode("overwrite").option("header", "true")
+    getattr(out if form == "parquet" else out.option("compression", "gzip"), form)(path)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:

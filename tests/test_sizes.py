@@ -26,3 +26,19 @@ def test_one_join_tells_linked_from_unlinked(spark):
         pytest.skip("no test data")
     plan = registry.queries()["jn_11_unlinked"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_names_of_a_report_take_one_shuffle(spark):
+    from dossier.operators import reports
+
+    rows = spark.range(300).select("id", F.concat(F.lit("n"), F.col("id") % 40).alias("full_name"), F.lit(1).alias("rank"), (F.col("id") % 3 / 2).alias("confidence_score"))
+    found = reports._numbered(rows, [F.col("rank"), F.col("id"), F.desc("confidence_score")], 10**6)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r["n"], r["top"]["id"]) for r in found.where("id = 47").collect()} == {(8, 7)}
+
+
+def test_runs_of_many_keys_in_one_state():
+    from dossier.streaming.timeouts import MINUTE, merged_runs
+
+    runs = [("b", 5, 0, 0, 1), ("a", 5, 9 * MINUTE, 9 * MINUTE, 1), ("a", 5, 0, 4 * MINUTE, 2), ("a", 30, 40 * MINUTE, 40 * MINUTE, 1)]
+    assert merged_runs(runs) == [("a", 5, 0, 9 * MINUTE, 3), ("a", 30, 40 * MINUTE, 40 * MINUTE, 1), ("b", 5, 0, 0, 1)]
