@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ from dossier.functions import names as N
 from dossier.sources.shared import discard, materialize
 
 SMALL, BLOCK, ROWS, KINDS = 2_000, 1_024, 512, 40
+#: So few forms are compared without sketches.
+PLAIN = 64
 #: Blocks of seeds (one row a matter) are broadcast up to so many matters.
 BROADCAST_MATTERS = 200
 
@@ -72,6 +73,11 @@ def possible(a: Sketch, b: Sketch, least: int) -> np.ndarray:
 
 def in_order(forms: list[str], least: int) -> list[int]:
     """For each form the number of the form that is its seed (its own number: it is a seed)."""
+    if len(forms) <= PLAIN:
+        seed: list[int] = []
+        for i, form in enumerate(forms):
+            seed.append(next((j for j in range(i) if seed[j] == j and N.loose_score_of(forms[j], form) >= least), i))
+        return seed
     sketch, seed = Sketch(forms), np.full(len(forms), -1)
     for start in range(0, len(forms), ROWS):
         rows = range(start, min(start + ROWS, len(forms)))
@@ -84,13 +90,29 @@ def in_order(forms: list[str], least: int) -> list[int]:
 
 
 def _decided(block: DataFrame, least: int) -> DataFrame:
-    """(matter_id, form, place, seed) of blocks of forms, each matter's in one group of BLOCK rows at most."""
+    """(matter_id, form, place, seed) of blocks of forms, each matter's at most BLOCK or SMALL rows; many matters in one stream."""
+    schema = pa.schema([("matter_id", pa.int64()), ("form", pa.string()), ("place", pa.int64()), ("seed", pa.string())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "form"], ignore_index=True, na_position="first")
-        return pdf.assign(seed=pdf["form"].to_numpy()[in_order(pdf["form"].tolist(), least)])[["matter_id", "form", "place", "seed"]]
+    def decide(rows: list[tuple]) -> list[tuple]:
+        names = [r[1] for r in rows]
+        return [(*r, names[j]) for r, j in zip(rows, in_order(names, least), strict=True)]
 
-    return block.groupBy("matter_id").applyInPandas(run, "matter_id long, form string, place long, seed string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matter: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*[batch[c].to_pylist() for c in schema.names[:3]], strict=True):
+                if matter and matter[0][0] != row[0]:
+                    out += decide(matter)
+                    matter = []
+                matter.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        if matter:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*decide(matter), strict=True), schema.types, strict=True)], schema=schema)
+
+    rows = block.select("matter_id", "form", "place").repartition("matter_id").sortWithinPartitions("matter_id", F.col("place").asc_nulls_first(), "form")
+    return rows.mapInArrow(run, "matter_id long, form string, place long, seed string")
 
 
 def _matched(rows: DataFrame, least: int) -> DataFrame:
