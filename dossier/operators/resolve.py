@@ -74,6 +74,24 @@ def fuzzy_of(a: str, b: str) -> float:
     return 0.6 * N.jaro_winkler_of(a, b) + 0.4 * edits
 
 
+#: Up to so many spellings, their vectors are sent to the tasks; beyond, they go with the first mention of a form.
+FEW_SPELLINGS = 5_000
+
+
+class Vector:
+    """A vector with its norm; of those that a task keeps for all matters, cosines are remembered."""
+
+    def __init__(self, values) -> None:
+        self.values = np.asarray(values, np.float64)
+        self.norm = np.linalg.norm(self.values)
+
+
+@lru_cache(20_000)
+def cosine(a: Vector, b: Vector) -> float | None:
+    size = float(a.norm * b.norm)
+    return float(a.values @ b.values) / size if size else None
+
+
 class People:
     """The people of one matter, in order of creation, and what each form was given since the last change."""
 
@@ -88,10 +106,9 @@ class People:
         fuzzy_person, best = (found[0], found[2]) if found else (None, 0.0)
         for i, p in enumerate(self.people):
             other = self.vectors.get(p["form"])
-            size = 0.0 if other is None else float(np.linalg.norm(mine) * np.linalg.norm(other))
-            if i == fuzzy_person or not size:
+            score = None if other is None or i == fuzzy_person else cosine(mine, other)
+            if score is None:
                 continue
-            score = float(mine @ other) / size
             if score >= fixed.EMBEDDING_MATCH and score > best:
                 found, best = (i, "embedding", score), score
             elif score >= fixed.EMBEDDING_UNCERTAIN:
@@ -118,8 +135,8 @@ class People:
 
     def add(self, form: str, name: str, role: str | None, observation: str | None, vector) -> tuple:
         """(person, how, score, reason) of the next mention; only a verdict has a reason."""
-        if vector is not None:
-            self.vectors[form] = np.asarray(vector, np.float64)
+        if vector is not None and form not in self.vectors:
+            self.vectors[form] = vector if isinstance(vector, Vector) else Vector(vector)
         new = {"name": name, "role": role, "observation": observation}
         key = form if self.verdict is None else (form, role, observation)
         if key not in self.known:
@@ -160,33 +177,49 @@ def _matters(df: DataFrame, order: list[str], needs: list[str], run: Callable, a
 _ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
 
 
-def forms(mentions: DataFrame, compat: bool = False) -> DataFrame:
-    """mentions with their strict form; names are normalised once for each different spelling."""
-    spellings = mentions.select("full_name").distinct().withColumn("form", N.strict(F.col("full_name"), compat))
-    return mentions.join(spellings, "full_name")
+def forms(mentions: DataFrame, compat: bool = False, spelt: DataFrame | None = None) -> DataFrame:
+    """mentions with their strict form; names are normalised once for each different spelling.
+
+    The spellings are written: otherwise a condition on forms moves below the distinct, and all rows are normalised. spelt: a table with all
+    spellings (and maybe more), where one is at hand that costs less than mentions.
+    """
+    return mentions.join(_spellings(mentions if spelt is None else spelt, lambda c: N.strict(c, compat)), "full_name")
+
+
+def _spellings(mentions: DataFrame, form: Callable[[Column], Column]) -> DataFrame:
+    return materialize(mentions.where("full_name IS NOT NULL").select("full_name").distinct().withColumn("form", form(F.col("full_name"))), "spellings")
 
 
-def resolved(mentions: DataFrame, compat: bool = False, verdict: Verdict | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+def resolved(mentions: DataFrame, compat: bool = False, verdict: Verdict | None = None, embed: Callable[[Column], Column] | None = None, spelt: DataFrame | None = None) -> DataFrame:
     """mentions (id, matter_id, document_id, source_page, full_name, and role and observation for a verdict) with form, person
-    (0, 1, .. in each matter) and how it matched. embed: a column function from names to vectors; it runs once a spelling."""
-    rows = forms(mentions.where("matter_id IS NOT NULL").drop(*FOUND.names), compat).withColumnRenamed("form", "__form").withColumn("__page", F.coalesce("source_page", F.lit(-1)))
-    told = {f"__{c}": F.col(c) if verdict else F.lit(None).cast("string") for c in ("role", "observation")}
-    rows = rows.withColumns(told)
-    order = ["document_id", "__page", "id"]
+    (0, 1, .. in each matter) and how it matched. embed: a column function from names to vectors; it runs once a spelling. spelt: see forms().
+
+    All columns go through the stream, so callers with large tables select those that they need."""
+    rows = forms(mentions.where("matter_id IS NOT NULL").drop(*FOUND.names), compat, spelt).withColumnRenamed("form", "__form").withColumn("__page", F.coalesce("source_page", F.lit(-1)))
+    order, told = ["document_id", "__page", "id"], ["role", "observation"] if verdict else []
+    needs, few = ["__form", "full_name", *told], {}
     if embed is not None:
-        vectors = rows.select("full_name").distinct().withColumn("__vector", embed(F.col("full_name")))
-        first = F.row_number().over(Window.partitionBy("matter_id", "__form").orderBy(*order)) == 1
-        rows = rows.withColumn("__first", first).join(vectors, "full_name").withColumn("__vector", F.when(F.col("__first"), F.col("__vector")))
-    else:
-        rows = rows.withColumn("__vector", F.lit(None).cast("array<float>"))
+        vectors = materialize((mentions if spelt is None else spelt).where("full_name IS NOT NULL").select("full_name").distinct().withColumn("__vector", embed(F.col("full_name"))), "vectors")
+        if vectors.count() <= FEW_SPELLINGS:  # then they go to the tasks at once, not with the rows
+            few = {r["full_name"]: Vector(r["__vector"]) for r in vectors.collect() if r["__vector"] is not None}
+        else:
+            first = F.row_number().over(Window.partitionBy("matter_id", "__form").orderBy(*order)) == 1
+            rows = rows.withColumn("__first", first).join(vectors, "full_name").withColumn("__vector", F.when(F.col("__first"), F.col("__vector")))
+            needs.append("__vector")
 
     def run():
         people = People(verdict)
-        return lambda form, *new: (form, *people.add(form, *new))
+
+        def work(form, name, *more):
+            role, observation = more[:2] if told else (None, None)
+            vector = few.get(name) if few else more[-1] if needs[-1] == "__vector" else None
+            return form, *people.add(form, name, role, observation, vector)
+
+        return work
 
     # Of mentions with one place the name, role and observation decide, so the order does not depend on the layout.
-    order = [*order, "full_name", *[c for c in told if verdict]]
-    return _matters(rows, order, ["__form", "full_name", "__role", "__observation", "__vector"], run, FOUND, ["__form", "__page", "__first", "__vector", *told])
+    order = [*order, "full_name", *told]
+    return _matters(rows, order, needs, run, FOUND, ["__form", "__page", "__first", "__vector"])
 
 
 def canonical_people(found: DataFrame) -> DataFrame:
@@ -199,10 +232,9 @@ def canonical_people(found: DataFrame) -> DataFrame:
     key, order = ["matter_id", "person"], F.struct("document_id", F.coalesce("source_page", F.lit(-1)).alias("page"), "id")
     told = F.coalesce(F.col("observation"), F.lit("")) != ""
     before = Window.partitionBy(*key, "document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    of_person = Window.partitionBy(*key)
-    rows = found.withColumn("place", order).withColumns({"told": told, "new": ~F.coalesce(F.max(told).over(before), F.lit(False))})
-    firsts = rows.groupBy(*key).agg(F.min("place").alias("start"))
-    rows = rows.join(firsts, key)
+    start = F.first("place").over(Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("place", order).withColumn("start", start)  # first: its shuffle serves all that follows, and the fold runs once
+    rows = rows.withColumns({"told": told, "new": ~F.coalesce(F.max(told).over(before), F.lit(False))})
     rank = relevance_rank(F.when(F.col("place") == F.col("start"), F.when(relevance_rank(F.col("relevance")) < 0, "relevant").otherwise(F.col("relevance"))).otherwise(F.col("relevance")))
     rows = rows.withColumn("rank", rank)
     filled = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("place"))).alias(c)
@@ -223,14 +255,14 @@ def merged_observations(found: DataFrame) -> DataFrame:
     return told.groupBy("matter_id", "person", "document_id").agg(F.min_by(F.struct("source_page", "observation"), place).alias("o")).select("matter_id", "person", "document_id", "o.*")
 
 
-def loose_clusters(mentions: DataFrame, least: int = fixed.LOOSE_MATCH, small: int = seeds.SMALL, block: int = seeds.BLOCK) -> DataFrame:
+def loose_clusters(mentions: DataFrame, least: int = fixed.LOOSE_MATCH, small: int = seeds.SMALL, block: int = seeds.BLOCK, spelt: DataFrame | None = None) -> DataFrame:
     """mentions with cluster: greedy seeds. The next free loose form seeds a cluster; later free forms join if they match the seed.
 
     Forms come in the order of their least mention id; clusters are numbered in the order of their seeds. See seeds for how a matter of
     very many forms is dealt over tasks. Forms without an id come first.
     """
-    spellings = mentions.select("full_name").distinct().withColumn("form", N.loose(F.col("full_name")))
-    named = mentions.drop("form", "cluster").join(spellings, "full_name").where("matter_id IS NOT NULL")
+    spellings = _spellings(mentions if spelt is None else spelt, N.loose)
+    named = mentions.drop("form", "cluster").where("matter_id IS NOT NULL").join(spellings, "full_name")
     few = materialize(named.groupBy("matter_id", "form").agg(F.min("id").alias("place")), "forms")
     found = materialize(seeds.seeds(few, least, small, block), "found")
     numbered = few.join(found.where("form = seed").select("matter_id", "form"), ["matter_id", "form"])  # a row for each seed
@@ -245,7 +277,7 @@ def stats(found: DataFrame) -> DataFrame:
     return found.groupBy("matter_id").agg(F.count("*").alias("mentions"), n.alias("people"), F.round((1 - n / F.count("*")) * 100, 1).alias("merged_share"))
 
 
-def linked(mentions: DataFrame) -> DataFrame:
+def linked(mentions: DataFrame, spelt: DataFrame | None = None) -> DataFrame:
     """Scale mode for matters with very many names: (id, matter_id, form, person) by the rule tiers alone, transitively.
 
     Forms that share the last name and a variant of another name are one person by the last-name tier, whichever two are
@@ -254,7 +286,7 @@ def linked(mentions: DataFrame) -> DataFrame:
     People are the connected components; person is the least form hash of one. Placeholders (unknown first names) join the
     least form of their last name. No fuzzy tier; the ordered fold stays the reference.
     """
-    named = forms(mentions)
+    named = forms(mentions, spelt=spelt)
     few = named.select("matter_id", "form").distinct().where("form <> ''").withColumn("node", F.xxhash64("matter_id", "form"))
     few = materialize(few.withColumn("t", N.tokens(F.col("form"))), "forms")
     given = F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))
@@ -286,7 +318,7 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     holds all mentions of either side.
     """
     both = a.select("id", "matter_id", F.col("person").alias("p")).join(b.select("id", F.col("person").alias("q")), "id")
-    cells = both.groupBy("matter_id", "p", "q").agg(F.count("*").alias("n"))
+    cells = materialize(both.groupBy("matter_id", "p", "q").agg(F.count("*").alias("n")), "cells")  # read three times
     of_a = cells.groupBy("matter_id", "p").agg(F.sum("n").alias("in_a"))
     of_b = cells.groupBy("matter_id", "q").agg(F.sum("n").alias("in_b"))
     joined = cells.join(of_a, ["matter_id", "p"]).join(of_b.withColumnRenamed("q", "r").withColumnRenamed("matter_id", "m"), (F.col("matter_id") == F.col("m")) & F.col("q").eqNullSafe(F.col("r")))

@@ -11,14 +11,20 @@ from dossier.plans.bindings import Tables
 from dossier.plans.registry import query
 
 
-def _mentions(t: Tables) -> DataFrame:
-    return t.mentions.join(t.filings.select(F.col("id").alias("document_id"), "matter_id"), "document_id")
+#: What the fold needs of a mention; all that it gets goes through its stream.
+PLACED = ("id", "document_id", "source_page", "full_name")
+
+
+def _mentions(t: Tables, *more: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = (t.mentions if rows is None else rows).select(*PLACED, *more)
+    return rows.join(t.filings.select(F.col("id").alias("document_id"), "matter_id"), "document_id")
 
 
 @query("er_20_canonicalize")
 def canonicalize(t: Tables) -> DataFrame:
     """All tiers: names embedded once a spelling, doubtful pairs put to a verdict (the default is never sure)."""
-    found = P.resolved(P.excluded(_mentions(t), "firm2.com"), verdict=hooks.no_verdict, embed=hooks.embed)
+    rows = _mentions(t, "role", "observation", rows=P.excluded(t.mentions, "firm2.com"))
+    found = P.resolved(rows, verdict=hooks.no_verdict, embed=hooks.embed, spelt=t.mentions)
     return found.select("id", "matter_id", "person", "match_type", F.round("match_score", 4).alias("match_score"))
 
 
@@ -26,22 +32,24 @@ def canonicalize(t: Tables) -> DataFrame:
 def scale_mode(t: Tables) -> DataFrame:
     """The pair-free transitive form beside the ordered fold, matter by matter."""
     rows = _mentions(t)
-    return P.agreement(P.resolved(rows), P.linked(rows))
+    return P.agreement(P.resolved(rows, spelt=t.mentions), P.linked(rows, spelt=t.mentions))
 
 
 @query("er_21_merged")
 def merged(t: Tables) -> DataFrame:
-    return P.canonical_people(P.resolved(_mentions(t)))
+    told = t.mentions.withColumn("observation", F.substring("observation", 1, 1))  # only whether something was observed counts
+    more = ("role", "relevance", "relevance_reason", "observation", "email", "phone", "address", "confidence_score")
+    return P.canonical_people(P.resolved(_mentions(t, *more, rows=told), spelt=t.mentions))
 
 
 @query("er_22_loose_clusters")
 def loose_clusters(t: Tables) -> DataFrame:
-    return P.loose_clusters(_mentions(t)).select("id", "matter_id", "cluster")
+    return P.loose_clusters(_mentions(t), spelt=t.mentions).select("id", "matter_id", "cluster")
 
 
 @query("er_23_recanonicalize")
 def recanonicalize(t: Tables) -> DataFrame:
-    return P.stats(P.resolved(_mentions(t)))
+    return P.stats(P.resolved(_mentions(t), spelt=t.mentions))
 
 
 @query("er_24_members", "SELECT canonical_id, id, full_name, row_number() OVER (PARTITION BY canonical_id ORDER BY full_name, id) AS place FROM mentions")
@@ -76,7 +84,7 @@ def extraction(t: Tables) -> DataFrame:
 @query("udf_02_verdict")
 def verdict(t: Tables) -> DataFrame:
     """A verdict that is sure of equal initials and last names confirms uncertain pairs."""
-    found = P.resolved(_mentions(t), verdict=hooks.initials_verdict)
+    found = P.resolved(_mentions(t, "role", "observation"), verdict=hooks.initials_verdict, spelt=t.mentions)
     return found.select("id", "matter_id", "person", "match_type", "match_reason")
 
 

@@ -42,3 +42,30 @@ def test_runs_of_many_keys_in_one_state():
 
     runs = [("b", 5, 0, 0, 1), ("a", 5, 9 * MINUTE, 9 * MINUTE, 1), ("a", 5, 0, 4 * MINUTE, 2), ("a", 30, 40 * MINUTE, 40 * MINUTE, 1)]
     assert merged_runs(runs) == [("a", 5, 0, 9 * MINUTE, 3), ("a", 30, 40 * MINUTE, 40 * MINUTE, 1), ("b", 5, 0, 0, 1)]
+
+
+def test_names_are_normalised_once_a_spelling_and_folds_run_once(spark):
+    from dossier.operators import resolve as P
+
+    rows = spark.range(60).select("id", (F.col("id") % 3).alias("matter_id"), F.col("id").alias("document_id"), F.lit(None).cast("int").alias("source_page"), F.concat(F.lit("Ann L"), F.col("id") % 5).alias("full_name"))
+    for c in ("role", "relevance", "relevance_reason", "observation", "email", "phone", "address"):
+        rows = rows.withColumn(c, F.lit("x"))
+    plan = P.forms(rows).where("form <> ''")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "_decomposed" not in plan
+    people = P.canonical_people(P.resolved(rows.withColumn("confidence_score", F.lit(0.5))))
+    assert people._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_vectors_with_the_rows_or_at_once_give_the_same(spark, monkeypatch):
+    from dossier.functions import hooks
+    from dossier.operators import resolve as P
+
+    names = ["Ann Lee", "Lee Ann Q", "Dr. Ann Lee", "Bob Stone", "Robert Stone", "Stone Bob R", "An Leigh"]
+    rows = spark.createDataFrame([(i, i % 4, i, None, names[i * i % 7]) for i in range(120)], "id long, matter_id long, document_id long, source_page int, full_name string")
+
+    def found():
+        return sorted(tuple(r) for r in P.resolved(rows, embed=hooks.embed).select("id", "person", "match_type", "match_score").collect())
+
+    at_once = found()
+    monkeypatch.setattr(P, "FEW_SPELLINGS", 1)
+    assert found() == at_once
