@@ -8,12 +8,13 @@ order here has the shingles whose hash is a multiple of ``PART`` first, rare one
 of documents, then all others by hash. A passage that many documents share so comes last, and only texts that are copies in
 large part meet. An odd sketch prunes them before whole sets are compared, and loses none either: it has the parity of the
 number of shingles in each of 256 parts of the hash space, two sets differ in at least as many shingles as their sketches in bits, and
-similar ones in at most a ninth of their sizes' sum.
+similar ones in at most a ninth of their sizes' sum. Where texts share much, one of ``WIDE`` parts follows.
 
 Equal sets collapse first. Documents with a common prefix shingle form a group, cut into cells of about ``CELL`` members. A
 group of up to ``SMALL`` gives all pairs that fit. A larger one first gives each member its ``NEXT`` successors in hash order;
 members that are then outside the cell's largest component meet some of its members; at last the pairs that still lie in
-different components follow, in blocks. So a large group of copies costs a few pairs a document and loses no link.
+different components follow, in blocks. Texts that share many shingles meet in many groups; of these the least gives their pair, the
+others do not. So a large group of copies costs a few pairs a document and loses no link.
 
 Defined results: texts are lower-cased in A-Z; one of fewer than five words has one shingle; blank texts are copies of
 each other. Rows without an id stay. An id with several texts stands for all of them. Of linked documents the least id stays.
@@ -35,6 +36,8 @@ from dossier.operators.components import connected_components
 
 SHINGLE, PART = 5, 4
 SMALL, NEXT, FAR, CELL = 6, 2, 8, 4096
+#: Parts of the hash space in the short and in the long odd sketch.
+ODD, WIDE = 256, 2048
 #: Tables of two numbers a row are broadcast up to so many rows (8 MB), else shuffled.
 BROADCAST_ROWS = 500_000
 _PAIRS = "u long, v long"
@@ -55,9 +58,9 @@ def fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0])
 
 
-def odd_sketch(found: np.ndarray) -> bytes:
-    """256 bits: is the number of different hashes in each part of the hash space odd?"""
-    return np.packbits(np.bincount((found >> np.uint64(40)).astype(np.int64) % 256, minlength=256) % 2 == 1).tobytes()
+def odd_sketch(found: np.ndarray, parts: int = ODD) -> bytes:
+    """A bit for each part of the hash space: is the number of different hashes there odd?"""
+    return np.packbits(np.bincount((found >> np.uint64(40)).astype(np.int64) % parts, minlength=parts) % 2 == 1).tobytes()
 
 
 def prefix_size(n: int) -> int:
@@ -76,8 +79,9 @@ def _cut(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["key", "part", "n", "fp", "odd", "k", "counted", "rest"])
 
 
-def _whole(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: shingles(x).view(np.int64))
+def _whole(texts: pd.Series) -> pd.DataFrame:
+    found = [shingles(x) for x in texts]
+    return pd.DataFrame({"set": [s.view(np.int64) for s in found], "wide": [odd_sketch(s, WIDE) for s in found]})
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -99,25 +103,49 @@ def _fitting(n: np.ndarray, odd: np.ndarray, i: np.ndarray, j: np.ndarray) -> np
     return (low == 0) | ((5 * low >= 4 * high) & (9 * differ <= low + high))
 
 
+def _met(way: str, ids: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of a cell's members, each way as said above."""
+    m = len(ids)
+    if way == "all" or m <= SMALL:
+        for i in range(0, m, 256):
+            x, y = np.nonzero(c[i : i + 256, None] != c[None, :])
+            yield x[y > x + i] + i, y[y > x + i]
+        return
+    order = np.argsort(mix64(ids.astype(np.uint64)), kind="stable")
+    if way == "ring":
+        yield np.tile(order, NEXT), np.concatenate([np.roll(order, -k) for k in range(1, NEXT + 1)])
+        return
+    labels, counts = np.unique(c, return_counts=True)
+    main = c[order] == labels[counts.argmax()]
+    inside, outside = order[main], np.flatnonzero(~main)
+    at = np.cumsum(main)[outside]  # the members of the largest component that follow in hash order
+    yield np.repeat(order[outside], FAR), inside[(at[:, None] + np.arange(FAR)[None, :]) % len(inside)].ravel()
+
+
 def _candidates(way: str):
-    """Pairs of a cell's members (of: id, n, odd, c), each way as said above: "ring", "far" or "all"."""
-
-    def met(ids: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m = len(ids)
-        if way == "all" or m <= SMALL:
-            for i in range(0, m, 256):
-                x, y = np.nonzero(c[i : i + 256, None] != c[None, :])
-                yield x[y > x + i] + i, y[y > x + i]
-            return
-        order = np.argsort(mix64(ids.astype(np.uint64)), kind="stable")
-        if way == "ring":
-            yield np.tile(order, NEXT), np.concatenate([np.roll(order, -k) for k in range(1, NEXT + 1)])
-            return
-        labels, counts = np.unique(c, return_counts=True)
-        main = c[order] == labels[counts.argmax()]
-        inside, outside = order[main], np.flatnonzero(~main)
-        at = np.cumsum(main)[outside]  # the members of the largest component that follow in hash order
-        yield np.repeat(order[outside], FAR), inside[(at[:, None] + np.arange(FAR)[None, :]) % len(inside)].ravel()
+    """Pairs of the members of cells (of: id, n, odd, c; but for "ring" also wide, and for "all" part and before; own: both of its parts are one)."""
+
+    def pairs(of: list, own: bool) -> Iterator[np.ndarray]:
+        ids, n, c = (np.array([r[k] for r in of], np.int64) for k in ("id", "n", "c"))
+        odd = np.frombuffer(b"".join(r["odd"] for r in of), np.uint64).reshape(len(of), -1)
+        wide = None if way == "ring" else np.frombuffer(b"".join(r["wide"] for r in of), np.uint64).reshape(len(of), -1)
+        part = np.array([r["part"] for r in of], np.int64) if way == "all" else None
+        before = {}  # place: the groups before this one that a member is in
+        for i, j in _met(way, ids, c):
+            ok = (c[i] != c[j]) & _fitting(n, odd, i, j)
+            if part is not None:
+                ok &= own | (part[i] != part[j])
+            i, j = i[ok], j[ok]
+            if wide is not None:
+                ok = _fitting(n, wide, i, j)
+                i, j = i[ok], j[ok]
+            if part is not None:
+                for k in np.union1d(i, j).tolist():
+                    if k not in before:
+                        before[k] = frozenset(of[k]["before"].tolist())
+                ok = np.array([before[x].isdisjoint(before[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[ok], j[ok]
+            yield np.column_stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def packed() -> pd.DataFrame:
@@ -126,17 +154,13 @@ def _candidates(way: str):
 
         found, size = [], 0
         for pdf in frames:
-            for of in pdf["of"]:
-                ids, n, c = (np.array([r[k] for r in of], np.int64) for k in ("id", "n", "c"))
-                odd = np.frombuffer(b"".join(r["odd"] for r in of), np.uint64).reshape(-1, 4)
-                for i, j in met(ids, c):
-                    ok = (c[i] != c[j]) & _fitting(n, odd, i, j)
-                    i, j = ids[i[ok]], ids[j[ok]]
-                    found.append(np.column_stack([np.maximum(i, j), np.minimum(i, j)]))
-                    size += len(i)
-                if size >= 500_000:
-                    yield packed()
-                    found, size = [], 0
+            for of, own in zip(pdf["of"], pdf["own"], strict=True):
+                for both in pairs(of, own):
+                    found.append(both)
+                    size += len(both)
+                    if size >= 500_000:
+                        yield packed()
+                        found, size = [], 0
         if size:
             yield packed()
 
@@ -160,17 +184,26 @@ def _groups(each: DataFrame) -> DataFrame:
     return materialize(entries.join(sizes, "s"), "groups")
 
 
+def _open(left: DataFrame, wide: DataFrame) -> DataFrame:
+    """Members of groups (s, id, n, odd, size, c) with their long sketches and, in order, the groups before this one that they are in."""
+    of = left.groupBy("id", "n", "odd", "c").agg(F.array_sort(F.collect_list(F.struct("s", "size"))).alias("of"))  # at most the shingles of a text
+    each = of.join(wide, "id").select("id", "n", "odd", "c", "wide", F.col("of.s").alias("all"), F.posexplode("of").alias("at", "x"))
+    return each.select("id", "n", "odd", "c", "wide", "x.s", "x.size", F.slice("all", F.lit(1), F.col("at")).alias("before"))
+
+
 def _cells(groups: DataFrame, whole: bool, cell: int = CELL) -> DataFrame:
-    """(of): lists of members of one group, two times `cell` at most; whole: any two members meet, else most are connected."""
+    """(of, own): lists of members of one group, two times `cell` at most; whole: any two members meet, else most are connected. own: of one part alone."""
     parts = F.ceil(F.col("size") / cell)
     part = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), parts)
     if whole:
         other = groups.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("p", part(0))
-        keyed = other.withColumns({"a": F.least("p", "o"), "b": F.greatest("p", "o")})
+        keyed = other.withColumns({"a": F.least("p", "o"), "b": F.greatest("p", "o")}).withColumnRenamed("p", "part")
     else:
         turned = groups.withColumn("a", F.explode(F.sequence(F.lit(0), F.when(parts > 1, 1).otherwise(0))))
         keyed = turned.withColumn("b", F.when(F.col("a") == 0, part(0)).otherwise(part(1)))
-    return keyed.groupBy("s", "a", "b").agg(F.collect_list(F.struct("id", "n", "odd", "c")).alias("of")).where(F.size("of") > 1).select("of")
+    member = F.struct(*[k for k in ("id", "n", "odd", "c", "wide", "part", "before") if k in keyed.columns])
+    own = (F.col("a") == F.col("b")).alias("own")
+    return keyed.groupBy("s", "a", "b").agg(F.collect_list(member).alias("of")).where(F.size("of") > 1).select("of", own)
 
 
 def links(docs: DataFrame, id_col: str, text_col: str, cell: int = CELL, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -183,7 +216,9 @@ def links(docs: DataFrame, id_col: str, text_col: str, cell: int = CELL, first:
     equal = copies.select("u", "v").distinct()
     groups = _groups(each.join(_few(copies).select(F.col("u").alias("id"), "part"), ["id", "part"], "left_anti"))
     met = materialize(groups.select("id").distinct(), "met")
-    given = materialize(given.join(_few(met), "id", "left_semi").select("id", F.pandas_udf(_whole, "array<long>")(F.col("text")).alias("set")), "sets")
+    whole = F.pandas_udf(_whole, "set array<long>, wide binary")(F.col("text"))
+    given = materialize(given.join(_few(met), "id", "left_semi").withColumn("c", whole).select("id", "c.*"), "sets")
+    wide = given.groupBy("id").agg(F.first("wide").alias("wide"))  # an id with several texts fits any
     pairs = _cells(groups.withColumn("c", F.col("id")), False, cell).mapInPandas(_candidates("ring"), _PAIRS)
     if first is not None:
         prints = each.groupBy("fp").agg(F.min("id").alias("id"))
@@ -198,7 +233,9 @@ def links(docs: DataFrame, id_col: str, text_col: str, cell: int = CELL, first:
         left = materialize(labelled.join(split, "s", "left_semi"), "open")
         if left.isEmpty():
             break
-        pairs = materialize(_cells(left, way == "all", cell).mapInPandas(_candidates(way), _PAIRS).distinct().join(near, ["u", "v"], "left_anti"), "candidates")
+        members = _open(left, wide)
+        pairs = _cells(members if way == "all" else members.drop("before"), way == "all", cell).mapInPandas(_candidates(way), _PAIRS)
+        pairs = materialize(pairs.distinct(), "candidates")  # of different components, so none is in near
         near = materialize(near.unionByName(_confirmed(pairs, given)), "near")
     return equal.unionByName(near)
 

@@ -65,6 +65,41 @@ def test_no_similar_pair_is_pruned():
     assert not near_copies._fitting(np.array([100, 100]), odd, np.array([0]), np.array([1])).any()
 
 
+@pytest.mark.parametrize("cell", [8, 4096])
+def test_a_pair_of_many_groups_is_given_once(spark, cell):
+    """Thirty unlinked members meet in twenty groups; each pair comes from one cell of one group."""
+    found = near_copies.shingles(" ".join(f"w{i}" for i in range(60)).encode())
+    odd, wide = near_copies.odd_sketch(found), near_copies.odd_sketch(found, near_copies.WIDE)
+    left = spark.createDataFrame([(s, i, 56, odd, i, 30) for s in range(-10, 10) for i in range(30) if (s + i) % 7], "s long, id long, n long, odd binary, c long, size long")
+    sketches = spark.createDataFrame([(i, wide) for i in range(30)], "id long, wide binary")
+    cells = near_copies._cells(near_copies._open(left, sketches), True, cell)
+    pairs = [tuple(r) for r in cells.mapInPandas(near_copies._candidates("all"), near_copies._PAIRS).collect()]
+    assert sorted(pairs) == [(u, v) for u in range(30) for v in range(u)]
+
+
+def test_texts_that_share_much_but_are_no_copies_give_few_candidates(spark, monkeypatch):
+    """A family of texts, each six of 400 words away from one base: any two have a similarity of about 0.74."""
+    r, rows, counts = random.Random(4), [], []
+    base = [f"w{i}" for i in range(400)]
+    for i in range(60):
+        w = list(base)
+        for k in r.sample(range(400), 6):
+            w[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    rows.append((60, rows[0][1] + " y"))
+
+    def counted(df, name, write=near_copies.materialize):
+        out = write(df, name)
+        if name == "candidates":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in near_copies.dedupe(docs).collect()} == kept_by_hand(rows)
+    assert len(counts) == 3 and max(counts[1:]) <= len(rows)  # without the long sketch nearly all 1,830 pairs
+
+
 def test_fingerprints_far_apart_are_still_linked(spark):
     """Near copies of a few shingles whose fingerprints differ in very many bits."""
     from dossier.llm import simhash
