@@ -8,7 +8,8 @@ are then left (say, where most documents have just over half a sequence) are fil
 where the gap ends. So at most ``LEAST`` - 1 ids of a sequence are padding, but for one sequence a group.
 
 No token of the tokenizers meant here spans a blank that follows another character, so a text is encoded chunk by chunk (blanks and the
-characters up to the next blank), and the ids of chunks are remembered within a Python worker, up to about ``CHUNKS`` of them. Long texts are
+characters up to the next blank), and the ids of chunks are remembered within a Python worker, up to about ``CHUNKS`` of them. New chunks are
+encoded many at a time as one text, whose ids are dealt to them by the characters that each id stands for. Long texts are
 encoded and cut ``BLOCK`` characters at a time, so beside the text itself memory stays bounded.
 
 Defined results: null and empty texts have the end id alone; rows that repeat and rows without an id are documents of their
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from dossier.llm.common import materialize, table
 
 SIZE, GROUP, LEAST, END_ID, SEED = 2048, 4096, 32, 1, 11
-CHUNKS, BLOCK = 500_000, 1 << 20
+CHUNKS, BLOCK, JOINT = 500_000, 1 << 20, 200
 #: Blanks and then letters up to a blank or a mark that no token joins to a letter, or up to a blank.
 _CHUNK = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^ \n.,;:!?$%*()])|[ \n]*[^ \n]+|[ \n]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
@@ -56,6 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.chars = starts_of_ids(self.tokenizer)
         self.known = {None: 1}  # chunk -> where its ids start, times 2**24, and their number; None is the end of a document
         self.flat = array("i", [end_id])
 
@@ -68,6 +70,28 @@ class Encoder:
         self.known = {None: 1} | dict(zip(kept, (((1 + count.cumsum() - count) << 24) | count).tolist(), strict=True))
 
     def learn(self, chunks: list[str]) -> None:
+        joint = [c for c in chunks if c[0] in " \n" and c[-1].isalnum()]  # no token spans the blank between two of them
+        if not self.together(joint):
+            joint = []
+        held = set(joint)
+        self.alone([c for c in chunks if c not in held])
+
+    def together(self, chunks: list[str]) -> bool:
+        """Learns chunks that start with a blank and end with a letter or digit from joint texts; False (nothing learnt) if their ids do not tell where each ends."""
+        texts = ["".join(chunks[i : i + JOINT]) for i in range(0, len(chunks), JOINT)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.int32)
+        before = np.concatenate([[0], self.chars[ids].cumsum()])  # characters that start before each id
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        start = np.concatenate([[0], length.cumsum()])
+        at = np.searchsorted(before, start, "right") - 1  # ids that only go on with a character stand before the next chunk's first
+        if before[-1] != start[-1] or (before[at] != start).any():
+            return False
+        self.known.update(zip(chunks, (((len(self.flat) + at[:-1]) << 24) | np.diff(at)).tolist(), strict=True))
+        self.flat.frombytes(ids.tobytes())
+        return True
+
+    def alone(self, chunks: list[str]) -> None:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
         start = len(self.flat) + n.cumsum() - n
@@ -90,6 +114,18 @@ class Encoder:
         return flat, np.diff(total, prepend=0)
 
 
+def starts_of_ids(tokenizer) -> np.ndarray:
+    """How many characters start in the bytes of each id of a byte-level vocabulary: its bytes but those that go on with a character."""
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte-level alphabet writes as themselves
+    others = [b for b in range(256) if b not in plain]
+    goes_on = {chr(b) for b in plain if 128 <= b < 192} | {chr(256 + k) for k, b in enumerate(others) if 128 <= b < 192}
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = sum(c not in goes_on for c in token)
+    return out
+
+
 @lru_cache(2)
 def encoder(path: str, end_id: int) -> Encoder:
     """One for each Python worker, which serves many tasks: what it has learnt stays."""

@@ -68,6 +68,26 @@ def test_chunks_of_any_kind_give_the_ids_of_whole_texts(plain):
     assert all("".join(packing.blocks(t, 7)) == t and [x for b in packing.blocks(t, 7) for x in plain(b)[:-1]] == plain(t)[:-1] for t in texts)
 
 
+def test_new_chunks_are_encoded_together(plain, monkeypatch):
+    """Words of any letters take few calls' texts, and each keeps its own ids."""
+    r = random.Random(8)
+    letters = ["a", "e", "rt", "ing", "é", "ß", "Ж", "中", "文", "\u0e01", "\U00020000", "7", "'s", "-", "Z"]
+    new = list(dict.fromkeys(r.choice([" ", "\n", "  ", " \n "]) + "".join(r.choices(letters, k=r.randrange(1, 9))) + r.choice("aé中7\U00020000") for _ in range(5000)))
+    encode, given = packing.Encoder(packing.default_tokenizer()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    tokenizer, encode.tokenizer = encode.tokenizer, Counted()
+    encode.learn(new)
+    assert len(given) <= len(new) / 50
+    for c in new:
+        at, n = encode.known[c] >> 24, encode.known[c] & 0xFFFFFF
+        assert encode.flat[at : at + n].tolist() == plain(c)[:-1]
+
+
 def test_forgotten_chunks_are_learnt_again(plain, monkeypatch):
     monkeypatch.setattr(packing, "CHUNKS", 50)
     encode = packing.Encoder(packing.default_tokenizer())
