@@ -8,7 +8,8 @@ are then left (say, where most documents have just over half a sequence) are fil
 where the gap ends. So at most ``LEAST`` - 1 ids of a sequence are padding, but for one sequence a group.
 
 No token of the tokenizers meant here spans a blank that follows another character, so a text is encoded chunk by chunk (blanks and the
-characters up to the next blank), and the ids of chunks are remembered within a Python worker, up to about ``CHUNKS`` of them. New chunks are
+characters up to the next blank), and the ids of chunks are remembered within a Python worker, up to about ``CHUNKS`` of them. Chunks are cut
+on the bytes of many texts at once and numbered by Arrow's dictionary encoding, so only the different ones of a batch are looked up. New chunks are
 encoded many at a time as one text, whose ids are dealt to them by the characters that each id stands for. Long texts are
 encoded and cut ``BLOCK`` characters at a time, so beside the text itself memory stays bounded.
 
@@ -25,7 +26,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,11 @@ from dossier.llm.common import materialize, table
 
 SIZE, GROUP, LEAST, END_ID, SEED = 2048, 4096, 32, 1, 11
 CHUNKS, BLOCK, JOINT = 500_000, 1 << 20, 200
-#: Blanks and then letters up to a blank or a mark that no token joins to a letter, or up to a blank.
-_CHUNK = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^ \n.,;:!?$%*()])|[ \n]*[^ \n]+|[ \n]+")
+#: Marks before which a chunk ends if a letter stands before them, as no token joins the two.
+MARKS = ".,;:!?$%*()#&"
+_BLANK, _LETTER, _MARK = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*b" \n"]], _KIND[[*range(65, 91), *range(97, 123)]], _KIND[[*MARKS.encode()]] = _BLANK, _LETTER, _MARK
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 PLACED = PIECE + ", sequence_id long, offset long"
 
@@ -60,14 +64,21 @@ class Encoder:
         self.chars = starts_of_ids(self.tokenizer)
         self.known = {None: 1}  # chunk -> where its ids start, times 2**24, and their number; None is the end of a document
         self.flat = array("i", [end_id])
-
-    def forget(self, keep: set) -> None:
-        """All chunks but those to keep."""
-        kept = [c for c in self.known if c in keep and c is not None]
-        place = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
-        count = place & 0xFFFFFF
+        self.uses = array("i", [0])  # at the start of a chunk's ids: how many batches used it
+
+    def forget(self) -> None:
+        """All chunks but those that several batches used, the most used ones first, half of `CHUNKS` at most; if there are more, counts are halved, so old use fades."""
+        del self.known[None]
+        names, place = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        uses = np.frombuffer(self.uses, np.int32)[place >> 24]
+        often = np.flatnonzero(uses > 1)
+        kept = np.sort(often[np.argsort(-uses[often], kind="stable")[: CHUNKS // 2]])
+        place, count = place[kept], place[kept] & 0xFFFFFF
+        start = 1 + count.cumsum() - count
         self.flat = array("i", [self.end_id, *gathered(np.frombuffer(self.flat, np.int32), place >> 24, count).tolist()])
-        self.known = {None: 1} | dict(zip(kept, (((1 + count.cumsum() - count) << 24) | count).tolist(), strict=True))
+        self.uses = array("i", bytes(4 * len(self.flat)))
+        np.frombuffer(self.uses, np.int32)[start] = uses[kept] // (1 + (len(kept) < len(often)))
+        self.known = {None: 1} | dict(zip([names[i] for i in kept.tolist()], ((start << 24) | count).tolist(), strict=True))
 
     def learn(self, chunks: list[str]) -> None:
         joint = [c for c in chunks if c[0] in " \n" and c[-1].isalnum()]  # no token spans the blank between two of them
@@ -100,13 +111,21 @@ class Encoder:
 
     def __call__(self, texts: list[str], ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
-        parts = [_CHUNK.findall(t) + [None] * ends for t in texts]
-        wanted = set().union(*parts)
+        found, bounds = chunked(texts)
+        names = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # of text objects, several times faster than to_pylist
         if len(self.known) > CHUNKS:
-            self.forget(wanted)
-        self.learn(list(wanted.difference(self.known)))
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
+            self.forget()
+        place = np.fromiter(map(self.known.get, names, repeat(0)), np.int64, len(names))
+        unknown = np.flatnonzero(place == 0)
+        new = [names[i] for i in unknown.tolist()]
+        self.learn(new)
+        place[unknown] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.uses.frombytes(bytes(4 * (len(self.flat) - len(self.uses))))
+        np.frombuffer(self.uses, np.int32)[place >> 24] += 1
+        place = place[found.indices.to_numpy()]
+        n = np.diff(bounds) + ends
+        if ends:
+            place = np.insert(place, bounds[1:], self.known[None])
         count = place & 0xFFFFFF
         ends_at = count.cumsum()
         flat = gathered(np.frombuffer(self.flat, np.int32), place >> 24, count)
@@ -114,6 +133,23 @@ class Encoder:
         return flat, np.diff(total, prepend=0)
 
 
+def chunked(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of all texts in a row, as a dictionary array, and the number of chunks before each text and after the last."""
+    column = pa.array(texts, pa.large_string())
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int64, len(texts) + 1)
+    data = np.frombuffer(data or b"", np.uint8, edges[-1])
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))  # of the Latin letters beyond ASCII, but for two signs among them
+    kind[lead + 1] = np.where((data[lead] == 0xC3) & ((data[lead + 1] & 0xDF) == 0x97), 0, _LETTER)
+    starts = np.zeros(len(data) + 1, bool)
+    starts[1:-1] = ((kind[1:] == _BLANK) & (kind[:-1] != _BLANK)) | ((kind[1:] == _MARK) & (kind[:-1] == _LETTER))
+    starts[edges] = True  # and the end, which is no chunk's
+    at = np.flatnonzero(starts)
+    chunks = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data))
+    return chunks.dictionary_encode(), np.searchsorted(at, edges)
+
+
 def starts_of_ids(tokenizer) -> np.ndarray:
     """How many characters start in the bytes of each id of a byte-level vocabulary: its bytes but those that go on with a character."""
     vocab = tokenizer.get_vocab(with_added_tokens=True)

@@ -97,6 +97,43 @@ def test_forgotten_chunks_are_learnt_again(plain, monkeypatch):
         assert flat.tolist() == [x for t in texts for x in plain(t)] and len(n) == 3 and len(encode.known) < 50 + 2 * 121
 
 
+def test_chunks_that_many_batches_use_are_kept(plain, monkeypatch):
+    """Words that were common before stay known when a batch of others makes the encoder forget."""
+    monkeypatch.setattr(packing, "CHUNKS", 60)
+    encode, learnt = packing.Encoder(packing.default_tokenizer()), []
+    learn = encode.learn
+    monkeypatch.setattr(encode, "learn", lambda chunks: (learnt.extend(chunks), learn(chunks)))
+    common = " ".join(f"common{chr(97 + i)}" for i in range(20))
+    for batch in range(8):
+        text = " ".join(f"rare{chr(97 + batch)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50))
+        for t in [common] * (2 if batch == 0 else 0) + [text]:
+            assert encode([t])[0].tolist() == plain(t)
+    assert len(encode.known) <= 60 + 51
+    del learnt[:]
+    assert encode([common])[0].tolist() == plain(common) and learnt == []
+
+
+def test_different_chunks_of_many_texts(plain):
+    """A batch's chunks are numbered together, joined they are the texts, and no token spans two of them."""
+    texts = ["one two one two, one", "", "\u00e9t\u00e9### \u00d7, \u00f7! na\u00efve(x) \u0416, e\u0301. \U0001f600? <|endoftext|>a#\t \nb", " ", "a", "\u00e9"]
+    found, bounds = packing.chunked(texts)
+    chunks = found.to_pylist()
+    parts = [chunks[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert ["".join(p) for p in parts] == texts and parts[0] == ["one", " two", " one", " two", ",", " one"]
+    assert parts[2][:9] == ["\u00e9t\u00e9", "###", " \u00d7,", " \u00f7!", " na\u00efve", "(x", ")", " \u0416,", " e\u0301."]
+    assert len(found.dictionary) == len(set(chunks)) < len(chunks)
+    r = random.Random(5)
+    alphabet = [*packing.MARKS, *"ab'|<>_-\"1 \n\t\r", "\u00e9", "\u00d7", "\u00f7", "\u00df", "\u024f", "\u0416", "\u0301", "\u4e2d", "\U0001f600", "\u00a0", "'s", "'ll", "<|endoftext|>"]
+    texts = ["".join(r.choices(alphabet, k=r.randrange(40))) for _ in range(3000)]
+    encode = packing.Encoder(packing.default_tokenizer())
+    flat, n = encode(texts)
+    at = n.cumsum()
+    assert [flat[b - k : b].tolist() for k, b in zip(n, at, strict=True)] == [plain(t) for t in texts]
+    for t in ([], [""], ["", ""]):
+        flat, n = encode(t)
+        assert flat.tolist() == [packing.END_ID] * len(t) and n.tolist() == [1] * len(t) and encode(t, False)[0].tolist() == []
+
+
 def test_long_text_in_blocks(spark, plain, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 5000)
     text = words(1, 30_000, 500) + "\n" + "x" * 20_000 + " " + words(2, 50)
