@@ -75,7 +75,9 @@ class Encoder:
         kept = np.sort(often[np.argsort(-uses[often], kind="stable")[: CHUNKS // 2]])
         place, count = place[kept], place[kept] & 0xFFFFFF
         start = 1 + count.cumsum() - count
-        self.flat = array("i", [self.end_id, *gathered(np.frombuffer(self.flat, np.int32), place >> 24, count).tolist()])
+        ids = gathered(np.frombuffer(self.flat, np.int32), place >> 24, count)
+        self.flat = array("i", [self.end_id])
+        self.flat.frombytes(ids.tobytes())
         self.uses = array("i", bytes(4 * len(self.flat)))
         np.frombuffer(self.uses, np.int32)[start] = uses[kept] // (1 + (len(kept) < len(often)))
         self.known = {None: 1} | dict(zip([names[i] for i in kept.tolist()], ((start << 24) | count).tolist(), strict=True))
