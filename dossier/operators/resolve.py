@@ -16,6 +16,7 @@ through the stream with it; extra columns are kept, but those named like a resul
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -174,7 +175,7 @@ def _matters(df: DataFrame, order: list[str], needs: list[str], run: Callable, a
     return df.repartition("matter_id").sortWithinPartitions("matter_id", *order).mapInArrow(stream, T.StructType(kept + add.fields))
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 
 
 def forms(mentions: DataFrame, compat: bool = False, spelt: DataFrame | None = None) -> DataFrame:
@@ -277,17 +278,120 @@ def stats(found: DataFrame) -> DataFrame:
     return found.groupBy("matter_id").agg(F.count("*").alias("mentions"), n.alias("people"), F.round((1 - n / F.count("*")) * 100, 1).alias("merged_share"))
 
 
-def linked(mentions: DataFrame, spelt: DataFrame | None = None) -> DataFrame:
+#: Matters of up to so many forms are linked in the stream that reads them; a larger one by joins over many tasks.
+SMALL = 1_000
+
+
+@lru_cache(20_000)
+def _keys(form: str) -> tuple[str, frozenset, frozenset] | None:
+    """Last name, variants of the other names (none: a placeholder) and tokens of a form, which linked() goes by; None for less than two tokens."""
+    *given, last = [x for x in form.split(" ") if x] or [""]
+    real = set(given) - set(fixed.UNKNOWN_NAMES)
+    return (last, frozenset(v for x in real for v in fixed.NICKNAMES.get(x, (x,))), frozenset([*given, last])) if given else None
+
+
+def linked_forms(forms: list[str]) -> list[int]:
+    """What linked() finds among the different forms of one matter, in the order of their hashes: for each the number of the first form of its person."""
+    root = list(range(len(forms)))
+
+    def first(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def link(i: int, j: int) -> None:
+        i, j = first(i), first(j)
+        root[max(i, j)] = min(i, j)
+
+    keys = [_keys(f) for f in forms]
+    several = [(i, *k) for i, k in enumerate(keys) if k]
+    by_name, known, holders, parts = {}, {}, defaultdict(list), {}
+    for i, last, variants, tokens in several:
+        for v in variants:
+            link(i, by_name.setdefault((last, v), i))
+        if variants:
+            known.setdefault(last, i)
+        if len(tokens) > 1:
+            parts.setdefault(tokens, i)
+            for x in tokens:
+                holders[x].append(i)
+    for i, last, variants, _ in several:
+        if not variants and last in known:
+            link(i, known[last])
+    for part, i in parts.items():
+        for j in min((holders[x] for x in part), key=len):
+            if part <= keys[j][2]:
+                link(i, j)
+    return [first(i) for i in range(len(forms))]
+
+
+def _streamed(rows: DataFrame, schema: T.StructType, run: Callable) -> DataFrame:
+    """What run(), new for each matter, makes of rows (matter_id and others, a matter's rows in one task and in order): add() takes the other
+    values of each, then end(matter) gives rows of the result. Many matters come in one stream."""
+    names = rows.columns
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, work, kind = None, None, None
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(x), kind if f.name == "matter_id" else _ARROW[f.dataType.simpleString()]) for f, x in zip(schema, columns, strict=True)], schema.names)
+
+        for batch in batches:
+            out, kind = [], batch["matter_id"].type
+            for matter, *values in zip(*[batch[c].to_pylist() for c in names], strict=True):
+                if work is None or matter != last:
+                    out += work.end(last) if work else []
+                    last, work = matter, run()
+                work.add(*values)
+            if out:
+                yield batch_of(out)
+        if work and (out := work.end(last)):
+            yield batch_of(out)
+
+    return rows.mapInArrow(stream, schema)
+
+
+class _Linked:
+    """linked() of one matter's forms, in the order of their nodes; those of a large matter are given back without a person."""
+
+    def __init__(self, small: int) -> None:
+        self.small, self.nodes, self.forms = small, [], []
+
+    def add(self, node: int, form: str) -> None:
+        self.nodes.append(node)
+        self.forms.append(form)
+
+    def end(self, matter) -> list[tuple]:
+        found = [self.nodes[i] for i in linked_forms(self.forms)] if len(self.forms) <= self.small else [None] * len(self.forms)
+        return [(matter, *row) for row in zip(self.nodes, self.forms, found, strict=True)]
+
+
+def linked(mentions: DataFrame, spelt: DataFrame | None = None, small: int = SMALL) -> DataFrame:
     """Scale mode for matters with very many names: (id, matter_id, form, person) by the rule tiers alone, transitively.
 
     Forms that share the last name and a variant of another name are one person by the last-name tier, whichever two are
     taken, so each such key links its forms to its least one: no pairs are formed. A token set meets the forms that hold the
     rarest of its tokens (in its matter), and those that hold all of its tokens are linked to it, however long they are.
     People are the connected components; person is the least form hash of one. Placeholders (unknown first names) join the
-    least form of their last name. No fuzzy tier; the ordered fold stays the reference.
+    least form of their last name. No fuzzy tier; the ordered fold stays the reference. Matters of up to `small` forms are
+    linked in one stream, larger ones by joins and rounds over all tasks.
     """
     named = forms(mentions, spelt=spelt)
-    few = named.select("matter_id", "form").distinct().where("form <> ''").withColumn("node", F.xxhash64("matter_id", "form"))
+    people = _people(named.select("matter_id", "form").distinct(), small)
+    return named.join(people, ["matter_id", "form"], "left").select("id", "matter_id", "form", "person")
+
+
+def _people(few: DataFrame, small: int) -> DataFrame:
+    """(matter_id, form, person) of different forms (matter_id, form), none for the empty form: see linked()."""
+    few = few.where("form <> '' AND matter_id IS NOT NULL").withColumn("node", F.xxhash64("matter_id", "form"))
+    done = None
+    if small:
+        rows = few.select("matter_id", "node", "form").repartition("matter_id").sortWithinPartitions("matter_id", "node", "form")
+        found = materialize(_streamed(rows, T.StructType([*rows.schema]).add("person", "long"), lambda: _Linked(small)), "linked")
+        done, few = found.where("person IS NOT NULL").drop("node"), found.where("person IS NULL").drop("person")
+        if few.isEmpty():
+            return done
     few = materialize(few.withColumn("t", N.tokens(F.col("form"))), "forms")
     given = F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))
     unknown = F.array(*map(F.lit, fixed.UNKNOWN_NAMES))
@@ -308,7 +412,60 @@ def linked(mentions: DataFrame, spelt: DataFrame | None = None) -> DataFrame:
     edges = stars.unionByName(wild).unionByName(inside)
     found = connected_components(edges)
     people = few.join(found, "node", "left").select("matter_id", "form", F.coalesce("component", "node").alias("person"))
-    return named.join(people, ["matter_id", "form"], "left").select("id", "matter_id", "form", "person")
+    return people if done is None else done.unionByName(people)
+
+
+def placed(mentions: DataFrame) -> DataFrame:
+    """mentions (document_id, full_name) with their place in the document as id, and without a page: in the same order as by page and id, but
+    small, for those that only need the order. Documents shuffled for it stay where a join on document_id looks for them."""
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.coalesce("source_page", F.lit(-1)), "id", "full_name"))
+    return mentions.select("document_id", "full_name", place.alias("id"), F.lit(None).cast("int").alias("source_page"))
+
+
+class _Compared:
+    """The fold of one matter, counted by form and person, and how far linked() agrees; a large matter gives its counts."""
+
+    def __init__(self, small: int) -> None:
+        self.small, self.people, self.counts, self.nodes = small, People(None), Counter(), {}
+
+    def add(self, form: str, name: str, node: int) -> None:
+        self.counts[form, self.people.add(form, name, None, None, None)[0]] += 1
+        self.nodes[form] = node
+
+    def end(self, matter) -> list[tuple]:
+        forms = sorted((f for f in self.nodes if f), key=self.nodes.get)
+        if len(forms) > self.small:
+            return [(matter, f, p, n, None, None, None) for (f, p), n in self.counts.items()]
+        of_form, cells, in_a, in_b = dict(zip(forms, linked_forms(forms), strict=True)), Counter(), Counter(), Counter()
+        for (form, p), n in self.counts.items():
+            q = of_form.get(form)
+            for counter, key in ((cells, (p, q)), (in_a, p), (in_b, q)):
+                counter[key] += n
+        same = sum(n for (p, q), n in cells.items() if n == in_a[p] == in_b[q])
+        return [(matter, None, None, sum(cells.values()), len(in_a), len(in_b.keys() - {None}), same)]
+
+
+def compared(mentions: DataFrame, spelt: DataFrame | None = None, small: int = SMALL) -> DataFrame:
+    """agreement() of resolved() and linked() over all mentions, each counted once whatever its id: (matter_id, people_a, people_b, same).
+
+    Mentions are shuffled by matter once: what linked() finds hangs on the form alone, so it is compared with the fold's people by form, and nothing is
+    joined back. Matters of up to `small` forms are linked where they are folded; of larger ones, the counts by form and person are left.
+    """
+    rows, spellings = mentions.where("matter_id IS NOT NULL").select("matter_id", "document_id", "source_page", "id", "full_name"), _spellings(mentions if spelt is None else spelt, N.strict)
+    if spellings.count() <= FEW_SPELLINGS:  # then forms are not shuffled
+        rows = rows.repartition("matter_id").join(F.broadcast(spellings), "full_name")
+    else:
+        rows = rows.join(spellings, "full_name").repartition("matter_id")
+    rows = rows.sortWithinPartitions("matter_id", "document_id", F.coalesce("source_page", F.lit(-1)), "id", "full_name").select("matter_id", "form", "full_name", F.xxhash64("matter_id", "form").alias("node"))
+    schema = T.StructType([rows.schema["matter_id"]]).add("form", "string").add("p", "integer").add("n", "long").add("people_a", "long").add("people_b", "long").add("same", "long")
+    found = materialize(_streamed(rows, schema, lambda: _Compared(small)), "compared")
+    done = found.where("people_a IS NOT NULL").select("matter_id", "people_a", "people_b", F.round(F.col("same") / F.col("n"), 4).alias("same"))
+    left = found.where("people_a IS NULL").select("matter_id", "form", "p", "n")
+    if left.isEmpty():
+        return done
+    people = _people(left.select("matter_id", "form").distinct(), 0).withColumnRenamed("person", "q")
+    cells = left.join(people, ["matter_id", "form"], "left").groupBy("matter_id", "p", "q").agg(F.sum("n").alias("n"))
+    return done.unionByName(_agreement(cells))
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -318,7 +475,11 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     holds all mentions of either side.
     """
     both = a.select("id", "matter_id", F.col("person").alias("p")).join(b.select("id", F.col("person").alias("q")), "id")
-    cells = materialize(both.groupBy("matter_id", "p", "q").agg(F.count("*").alias("n")), "cells")  # read three times
+    return _agreement(both.groupBy("matter_id", "p", "q").agg(F.count("*").alias("n")))
+
+
+def _agreement(cells: DataFrame) -> DataFrame:
+    cells = materialize(cells, "cells")  # read three times
     of_a = cells.groupBy("matter_id", "p").agg(F.sum("n").alias("in_a"))
     of_b = cells.groupBy("matter_id", "q").agg(F.sum("n").alias("in_b"))
     joined = cells.join(of_a, ["matter_id", "p"]).join(of_b.withColumnRenamed("q", "r").withColumnRenamed("matter_id", "m"), (F.col("matter_id") == F.col("m")) & F.col("q").eqNullSafe(F.col("r")))

@@ -31,8 +31,7 @@ def canonicalize(t: Tables) -> DataFrame:
 @query("er_20_scale_mode")
 def scale_mode(t: Tables) -> DataFrame:
     """The pair-free transitive form beside the ordered fold, matter by matter."""
-    rows = _mentions(t)
-    return P.agreement(P.resolved(rows, spelt=t.mentions), P.linked(rows, spelt=t.mentions))
+    return P.compared(_mentions(t, rows=P.placed(t.mentions)), spelt=t.mentions)
 
 
 @query("er_21_merged")

@@ -175,3 +175,51 @@ def test_verdicts_have_reasons(spark):
     assert all((kind == "verified") == (why is not None) for kind, why in found.values()) and found[4] == ("exact", None) and found[0] == ("none", None)
     assert {why for kind, why in found.values() if kind == "verified"} <= {"asked about Jonathan Blackwood"} and any(kind == "verified" for kind, _ in found.values())
     assert hooks.initials_verdict({"name": "Jo Lee", "role": "a"}, {"name": "Jim Lee", "role": "b"}) == (True, 0.8, "equal initials and last names")
+
+
+def random_mentions(spark, n=400):
+    """Mentions of several matters whose names link by last names, nicknames, placeholders and token subsets; one matter has no names left."""
+    import random
+
+    r = random.Random(11)
+    first = ["John", "Jack", "Liz A.", "Beth", "Dr. Bob", "Robert", "FNU", "Unknown", "FNU LNU", "Ann Mary", "Ann", "", "Chris", "Christine", "J."]
+    last = ["Carroll", "Smith", "Smith Carroll", "O'Brien", "Chen Jr.", "Lee", "Ann", "FNU", ""]
+    rows = [(i, i % 7, i % 60 * 7 + i % 7, r.choice([None, 1, 2]), " ".join([r.choice(first), r.choice(last)]), "other", None, None, None, 0.5, None, None, None) for i in range(n)]
+    rows += [(n, 8, 900, None, "", *rows[0][5:]), (n + 1, 8, 900, None, "Mr.", *rows[0][5:]), (n + 2, None, 901, None, "Ann Lee", *rows[0][5:]), (n + 3, 8, 901, None, None, *rows[0][5:])]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("small", [0, 12, 30, 1_000])
+def test_small_and_large_matters_are_linked_alike(spark, small):
+    frame = random_mentions(spark)
+    person = lambda found: {r["id"]: (r["form"], r["person"]) for r in found.collect()}
+    rounds = person(P.linked(frame, small=0))
+    assert person(P.linked(frame, small=small)) == rounds and len({p for _, p in rounds.values()}) > 60
+    want = sorted(map(tuple, P.agreement(P.resolved(frame), P.linked(frame, small=0)).collect()))
+    assert sorted(map(tuple, P.compared(frame, small=small).collect())) == want and len(want) == 8 and any(0 < r[3] < 1 for r in want)
+
+
+def test_scale_mode_counts_each_mention_once(spark, monkeypatch):
+    """Rows without an id or of one id are mentions of their own; forms come before or after the shuffle; matters may be texts."""
+    from pyspark.sql import functions as F
+
+    frame = random_mentions(spark, 200)
+    want = sorted(map(tuple, P.compared(frame).collect()))
+    equal = frame.where("id % 5 <> 0").unionByName(frame.where("id % 5 = 0").withColumn("id", F.lit(None).cast("long"))).withColumn("id", F.when(F.col("id") % 5 == 1, 7).otherwise(F.col("id")))
+    each = {r["matter_id"]: (r["n"], r["people"]) for r in P.resolved(equal).groupBy("matter_id").agg(F.count("*").alias("n"), F.count_distinct("person").alias("people")).collect()}
+    got = P.compared(equal).collect()
+    assert {r["matter_id"]: r["people_a"] for r in got} == {m: people for m, (_, people) in each.items()}
+    assert all(abs(r["same"] * each[r["matter_id"]][0] - round(r["same"] * each[r["matter_id"]][0])) < 0.01 for r in got)
+    monkeypatch.setattr(P, "FEW_SPELLINGS", 1)
+    assert sorted(map(tuple, P.compared(frame).collect())) == want
+    texts = P.compared(frame.withColumn("matter_id", F.concat(F.lit("m"), "matter_id")), small=12).collect()
+    assert sorted((int(r["matter_id"][1:]), r["people_a"]) for r in texts) == [r[:2] for r in want]
+    assert P.compared(frame.limit(0)).count() == 0
+
+
+def test_places_keep_the_order(spark):
+    frame = random_mentions(spark).where("matter_id IS NOT NULL")
+    matter = frame.select("document_id", "matter_id").distinct()
+    assert matter.count() == matter.select("document_id").distinct().count()
+    found = P.compared(P.placed(frame.repartition(5)).join(matter, "document_id"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, P.compared(frame).collect()))

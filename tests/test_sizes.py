@@ -69,3 +69,27 @@ def test_vectors_with_the_rows_or_at_once_give_the_same(spark, monkeypatch):
     at_once = found()
     monkeypatch.setattr(P, "FEW_SPELLINGS", 1)
     assert found() == at_once
+
+
+def test_scale_mode_shuffles_mentions_twice_and_takes_no_rounds(spark, monkeypatch):
+    """By document for the join, then by matter; what it needs of small matters comes from one stream, so nothing else is shuffled or written."""
+    import os
+
+    import pytest
+
+    from dossier.operators import resolve as P
+    from dossier.plans import registry
+    from tests.sql_twin import DATA
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data")
+    plans, write = {}, P.materialize
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(P, "materialize", written)
+    found = registry.queries()["er_20_scale_mode"](spark, DATA)
+    assert set(plans) == {"spellings", "compared"} and plans["compared"].count("Exchange hashpartitioning") <= 3
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
